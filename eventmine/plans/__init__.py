@@ -1,5 +1,5 @@
 """Registered queries. Importing this package fills ``registry.QUERIES`` and
 ``registry.ORACLE``."""
 
-from . import catalog_examples  # noqa: F401
+from . import catalog_behaviour, catalog_examples  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

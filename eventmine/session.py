@@ -25,6 +25,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
     own settings and call :func:`ensure_conf` instead."""
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.driver.memory", "8g"))
