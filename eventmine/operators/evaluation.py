@@ -19,7 +19,8 @@ def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
 def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label",
                    n_buckets: int = 64) -> DataFrame:
     """P25. One row: n, n_pos, AUC (tied scores count one half) and log loss
-    (scores clipped to [1e-15, 1 - 1e-15]).
+    (scores clipped to [1e-15, 1 - 1e-15]). AUC is NULL when only one class
+    is present.
 
     Examples collapse to one row per distinct score (partial aggregation),
     then negatives below each score come from a global running sum over
@@ -31,8 +32,8 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
     return cum.agg(
         (F.sum("pos") + F.sum("neg")).alias("n"),
         F.sum("pos").alias("n_pos"),
-        F.round(F.sum(F.col("pos") * (F.col("neg_le") - F.col("neg") * 0.5))
-                / (F.sum("pos") * F.sum("neg")), 9).alias("auc"),
+        F.round(F.try_divide(F.sum(F.col("pos") * (F.col("neg_le") - F.col("neg") * 0.5)),
+                             F.sum("pos") * F.sum("neg")), 9).alias("auc"),
         F.round(-(F.sum(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p)))
                 / (F.sum("pos") + F.sum("neg")), 9).alias("logloss"))
 

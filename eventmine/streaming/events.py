@@ -44,8 +44,9 @@ def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
 
 def stream_window_counts(stream: DataFrame, width: str, delay: str) -> DataFrame:
     """P30. Tumbling event-time windows per event type (count, value sum).
-    Append mode emits a window once the watermark passes its end; rows
-    behind the watermark are dropped."""
+    Append mode emits a window once the watermark passes its end. A row is
+    dropped as late when it is older than the watermark the previous
+    micro-batch ended with (Spark's late-event watermark)."""
     s = with_event_time(stream, delay)
     return (s.groupBy(F.window("event_time", _interval(width)).alias("w"), "event_type")
              .agg(F.count(F.lit(1)).alias("n"),

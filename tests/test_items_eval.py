@@ -1,0 +1,150 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventmine.operators import evaluation as V
+from eventmine.operators import items as I
+from eventmine.operators import models as M
+from eventmine.operators import sales as S
+from eventmine.operators.ordered import global_positions
+
+from conftest import SF001
+
+
+def test_top_k_break_and_keep(spark):
+    df = spark.createDataFrame([("a", 1, 10), ("a", 2, 10), ("a", 3, 9), ("a", 4, 8), ("b", 5, 1)],
+                               "g string, id long, v long")
+    brk = {(r.g, r.id) for r in I.top_k(df, "g", "v", 2, "break", ["id"]).collect()}
+    assert brk == {("a", 1), ("a", 2), ("b", 5)}
+    keep = {(r.g, r.id) for r in I.top_k(df, "g", "v", 2, "keep").collect()}
+    assert keep == {("a", 1), ("a", 2), ("a", 3), ("b", 5)}
+
+
+def test_pair_rules_equal_fpgrowth_pairs(spark):
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    part = spark.read.parquet(f"{SF001}/part.parquet")
+    bi = I.basket_items(li, part)
+    n_baskets = bi.select("basket").distinct().count()
+    min_count = 3
+    pr = {(r.item_a, r.item_b): r.n_ab for r in I.pair_rules(bi, min_count).collect()}
+    fi = I.frequent_itemsets(bi, min_count / n_baskets)
+    fp = {tuple(r["items"]): r.freq for r in fi.where("size = 2").collect()}
+    assert pr and pr == fp
+
+
+def test_pair_rules_metrics(spark):
+    bi = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, "x"), (2, "y"), (3, "x"), (4, "z")],
+                               "basket long, item string")
+    r = I.pair_rules(bi, 2).collect()
+    assert len(r) == 1
+    r = r[0]
+    assert (r.item_a, r.item_b, r.n_ab, r.n_a, r.n_b) == ("x", "y", 2, 3, 2)
+    assert r.support == 0.5 and r.conf_ab == round(2 / 3, 9) and r.conf_ba == 1.0
+    assert r.lift == round(2 * 4 / (3 * 2), 9)
+
+
+def brute_auc(rows):
+    pos = [s for s, l in rows if l == 1]
+    neg = [s for s, l in rows if l == 0]
+    tot = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    return tot / (len(pos) * len(neg))
+
+
+def test_auc_ties_equal_pair_counting(spark):
+    rnd = random.Random(5)
+    rows = [(round(rnd.random(), 1), rnd.randint(0, 1)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    m = V.binary_metrics(df, n_buckets=4).first()
+    assert abs(m.auc - brute_auc(rows)) < 1e-9
+    ll = -sum(l * math.log(min(max(s, 1e-15), 1 - 1e-15)) + (1 - l) * math.log(1 - min(max(s, 1e-15), 1 - 1e-15))
+              for s, l in rows) / len(rows)
+    assert abs(m.logloss - ll) < 1e-8
+
+
+def test_auc_single_class_is_null(spark):
+    df = spark.createDataFrame([(0.3, 1), (0.5, 1)], "score double, label int")
+    m = V.binary_metrics(df).first()
+    assert m.n == 2 and m.n_pos == 2 and m.auc is None
+
+
+def test_threshold_metrics_and_deciles(spark):
+    rows = [(float(i % 10) / 10, int(i % 3 == 0), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "score double, label int, id long")
+    t = {r.threshold: r for r in V.threshold_metrics(df, n_buckets=3).collect()}
+    for th, r in t.items():
+        sel = [x for x in rows if x[0] >= th]
+        assert r.tp == sum(x[1] for x in sel) and r.fp == len(sel) - r.tp
+    dec = V.lift_by_decile(df, "id", n_buckets=3).collect()
+    assert sorted(d.decile for d in dec) == list(range(1, 11)) and sum(d.n for d in dec) == 100
+
+
+def test_global_positions_equal_row_number(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.randint(0, 20)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    got = {r.id: r.pos for r in global_positions(df, "v", ["id"], n_buckets=7, descending=True).collect()}
+    exp = {id_: i + 1 for i, (id_, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    assert got == exp
+
+
+def test_ranking_metrics_hand_computed(spark):
+    ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1)],
+                                   "user_id long, item string, rank int")
+    truth = spark.createDataFrame([(1, "b"), (1, "d"), (2, "y"), (3, "z")], "user_id long, item string")
+    r = V.ranking_metrics(ranked, truth, 3).first()
+    assert r.n_users == 3
+    p = (1 / 3 + 0 + 0) / 3
+    rec = (1 / 2 + 0 + 0) / 3
+    ap = ((1 / 2) / 2) / 3
+    ndcg = ((1 / math.log2(3)) / (1 + 1 / math.log2(3))) / 3
+    assert abs(r.precision_at_k - p) < 1e-9 and abs(r.recall_at_k - rec) < 1e-9
+    assert abs(r.map_at_k - ap) < 1e-9 and abs(r.ndcg_at_k - ndcg) < 1e-6
+
+
+def test_write_predictions_refuses_bad_and_writes_good(spark, tmp_path):
+    exp = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    bad = spark.createDataFrame([(1, 0.5), (1, 0.4), (4, float("nan"))], "user_id long, score double")
+    checks = {r.check: r.n_bad for r in V.prediction_checks(bad, exp).collect()}
+    assert checks == {"duplicate_key": 1, "missing_key": 2, "unexpected_key": 1, "null_or_nan_score": 1}
+    with pytest.raises(V.PredictionCheckFailed):
+        V.write_predictions(bad, str(tmp_path / "bad"), exp)
+    good = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.1)], "user_id long, score double")
+    V.write_predictions(good, str(tmp_path / "good"), exp)
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 3
+
+
+def test_rollup_rfm(spark):
+    t = {n: spark.read.parquet(f"{SF001}/{n}.parquet") for n in ("orders", "customer", "nation", "region")}
+    r = S.sales_rollup(t["orders"], t["customer"], t["nation"], t["region"])
+    tot = r.where("gid = 7").first()
+    assert tot.n_orders == 1500
+    rfm = S.rfm(t["orders"], "2001-08-02 00:00:00", n_buckets=4)
+    rows = rfm.collect()
+    assert len(rows) == t["orders"].select("o_custkey").distinct().count()
+    from pyspark.sql import Window
+    w = Window.orderBy("frequency", "custkey")
+    ref = {r.custkey: r.f for r in rfm.select("custkey", F.ntile(5).over(w).alias("f")).collect()}
+    assert ref == {r.custkey: r.f_score for r in rows}
+
+
+def test_train_score_recovers_planted_signal(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(600):
+        f1 = rnd.gauss(0, 1)
+        label = int(f1 + rnd.gauss(0, 0.5) > 0)
+        rows.append((i, f1, rnd.gauss(0, 1), label, "train" if i < 400 else "test"))
+    df = spark.createDataFrame(rows, "user_id long, f1 double, f2 double, label int, split string")
+    scored = M.train_score(df, ["f1", "f2"], keep=["user_id", "label"])
+    assert scored.count() == 200
+    auc = V.binary_metrics(scored).first().auc
+    assert auc > 0.85
+
+
+def test_recommend_shapes(spark):
+    rows = [(u, f"i{(u + j) % 6}", 1 + (u * j) % 3) for u in range(20) for j in range(3)]
+    df = spark.createDataFrame(rows, "user_id long, item string, n long")
+    rec = I.recommend(df, 2, max_iter=3).collect()
+    assert len(rec) == 40 and {r.rank for r in rec} == {1, 2}
