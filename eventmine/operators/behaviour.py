@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import duration_us, from_micros, micros, ntz_literal
-from .ordered import BUCKET, TS_US, halo_copies, lag_across_buckets, with_time_bucket
+from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
+                      with_time_bucket)
 
 ORDER = [TS_US, "event_id"]
 
@@ -43,7 +44,9 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
                 .withColumn("_off", F.coalesce(F.sum(F.col("_n_in") + F.col("_first_start")).over(
                     wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                 .select(key, BUCKET, "_first_start", "_off"))
-    out = inner.join(summ, [key, BUCKET])
+    # The summary branch re-reads the narrow (key, ts, event_id) projection;
+    # the join moves only the summary (one row per user-bucket).
+    out = inner.join(summ, [key, BUCKET], "left")
     return out.select(*events.columns,
                       (F.col("_off") + F.col("_first_start") + F.col("_cum_in"))
                       .cast("bigint").alias("session_no"))
@@ -145,18 +148,18 @@ def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str |
 def gap_stats(events: DataFrame, bucket: str = "1d", key: str = "user_id") -> DataFrame:
     """P10. Per user: number of gaps, exact p50 / p90 and mean of the
     seconds between consecutive events. The previous event comes from the
-    bucketed lag; the gap column is reduced to (user, gap, count) before the
-    per-user percentile, so repeated gaps collapse map-side."""
+    bucketed lag; quantiles from ``keyed_quantiles`` (exact, interpolated,
+    without gathering a user's gaps in one buffer)."""
     ev = with_time_bucket(events.select(key, "event_id", "ts"), "ts", bucket)
     ev = lag_across_buckets(ev, key, ORDER, {"_prev_us": F.col(TS_US)})
     gaps = (ev.where(F.col("_prev_us").isNotNull())
               .select(key, (F.col(TS_US) - F.col("_prev_us")).alias("_gap_us")))
-    freq = gaps.groupBy(key, "_gap_us").agg(F.count(F.lit(1)).alias("_f"))
-    return freq.groupBy(key).agg(
-        F.sum("_f").alias("n_gaps"),
-        (F.round(F.percentile("_gap_us", F.lit(0.5), F.col("_f"))) / 1e6).alias("p50_s"),
-        (F.round(F.percentile("_gap_us", F.lit(0.9), F.col("_f"))) / 1e6).alias("p90_s"),
-        F.round(F.sum(F.col("_gap_us") * F.col("_f")) / F.sum("_f") / 1e6, 6).alias("mean_s"))
+    q = keyed_quantiles(gaps, key, "_gap_us", {"_p50": 0.5, "_p90": 0.9})
+    # integer sum / count / 1e6: the same IEEE result in any engine, no rounding
+    mean = gaps.groupBy(key).agg((F.sum("_gap_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"))
+    return q.join(mean, key).select(
+        key, F.col("n").alias("n_gaps"),
+        (F.round("_p50", 1) / 1e6).alias("p50_s"), (F.round("_p90", 1) / 1e6).alias("p90_s"), "mean_s")
 
 
 def transitions(events: DataFrame, bucket: str = "1d", key: str = "user_id") -> DataFrame:

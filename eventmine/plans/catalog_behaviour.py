@@ -159,9 +159,9 @@ def q_trailing(spark, d):
 WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id
              ORDER BY ts, event_id)) AS gap_us FROM events)
 SELECT user_id, count(*)::BIGINT AS n_gaps,
-  round(quantile_cont(gap_us, 0.5)) / 1e6 AS p50_s,
-  round(quantile_cont(gap_us, 0.9)) / 1e6 AS p90_s,
-  round(sum(gap_us) / count(*) / 1e6, 6) AS mean_s
+  round(quantile_cont(gap_us, 0.5), 1) / 1e6 AS p50_s,
+  round(quantile_cont(gap_us, 0.9), 1) / 1e6 AS p90_s,
+  sum(gap_us) / count(*) / 1e6 AS mean_s
 FROM g WHERE gap_us IS NOT NULL GROUP BY user_id
 """)
 def q_gap_stats(spark, d):

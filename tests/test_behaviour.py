@@ -168,3 +168,19 @@ def test_retention_and_audience(spark):
     b = ("2024-01-08 00:00:00", "2024-01-15 00:00:00")
     got = {r.user_id: r.status for r in B.audience_diff(df, a, b).collect()}
     assert got == {1: "kept", 2: "new", 3: "lost"}
+
+
+@given(vals=st.lists(st.tuples(st.integers(0, 2), st.integers(-10**9, 10**9)), min_size=1, max_size=80))
+@settings(**SETTINGS)
+def test_keyed_quantiles_equal_numpy(spark, vals):
+    import numpy as np
+    from eventmine.operators.ordered import keyed_quantiles
+    df = spark.createDataFrame(vals, "k long, v long")
+    got = {r.k: (r.n, r.p10, r.p50, r.p90) for r in
+           keyed_quantiles(df, "k", "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, resolution=2).collect()}
+    for k in {k for k, _ in vals}:
+        xs = np.array([v for kk, v in vals if kk == k], dtype=float)
+        n, *qs = got[k]
+        assert n == len(xs)
+        for q, p in zip(qs, (10, 50, 90)):
+            assert abs(q - np.percentile(xs, p)) <= 1e-6 * max(1.0, abs(q))
