@@ -154,3 +154,14 @@ def q_target_encode(spark, d):
     ex = ex.join(cust, "user_id")
     out = X.target_encode(ex, "c_mktsegment", prior_weight=P.PRIOR_WEIGHT)
     return out.select("user_id", "cutoff", "label", "c_mktsegment", F.round("te", 9).alias("te"))
+
+
+@query("split_examples_time", f"""
+SELECT user_id, cutoff, label,
+  CASE WHEN cutoff >= TIMESTAMP '{P.CUTOFFS[-1]}' THEN 'test'
+       WHEN cutoff >= TIMESTAMP '{P.CUTOFFS[-2]}' THEN 'valid' ELSE 'train' END AS split
+FROM ({LABELS_SQL})
+""")
+def q_split_time(spark, d):
+    ex = X.label_examples(events(spark, d), P.CUTOFFS, P.HORIZON)
+    return X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], valid_cutoff=P.CUTOFFS[-2])

@@ -76,7 +76,21 @@ def q_pairs(spark, d):
 @query("frequent_itemsets_brand")
 def q_fpgrowth(spark, d):
     bi = I.basket_items(t(spark, d, "lineitem"), t(spark, d, "part"))
-    return I.frequent_itemsets(bi, 0.005)
+    return I.frequent_itemsets(bi, P.FP_MIN_SUPPORT)
+
+
+@query("frequent_pairs_fpgrowth", f"""
+WITH bi AS ({BASKET_SQL}),
+nb AS (SELECT count(DISTINCT basket) AS n FROM bi)
+SELECT x.item AS item_a, y.item AS item_b, count(*)::BIGINT AS freq
+FROM bi x JOIN bi y ON x.basket = y.basket AND x.item < y.item
+GROUP BY 1, 2 HAVING count(*) >= (SELECT ceil({P.FP_MIN_SUPPORT} * n) FROM nb)
+""")
+def q_fp_pairs(spark, d):
+    """Size-2 rows of FP-growth; must equal the pair counts of the self-join."""
+    bi = I.basket_items(t(spark, d, "lineitem"), t(spark, d, "part"))
+    fi = I.frequent_itemsets(bi, P.FP_MIN_SUPPORT).where(F.col("size") == 2)
+    return fi.select(F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), "freq")
 
 
 def customer_brand_counts(spark, d, before: str | None = None, since: str | None = None):
@@ -105,6 +119,15 @@ def q_train_score(spark, d):
     return M.train_score(ex, feats, keep=["user_id", "cutoff", "label"])
 
 
+@query("train_score_gbt")
+def q_train_score_gbt(spark, d):
+    ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
+    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1])
+    feats = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
+             "recency_s", "active_days"]
+    return M.train_score(ex, feats, kind="gbt", keep=["user_id", "cutoff", "label"])
+
+
 SCORED_SQL = f"""
 SELECT user_id, cutoff, label, (n_purchase + 1) / (n_events + 2) AS score
 FROM ({EXAMPLES_SQL})

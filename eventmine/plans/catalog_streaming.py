@@ -16,6 +16,7 @@ from .registry import query
 DELAY_US = duration_us(P.STREAM_DELAY)
 WIDTH_US = duration_us(P.WINDOW_WIDTH)
 GAP_US = duration_us(P.SESSION_GAP)
+TTL_US = duration_us(P.STATE_TTL)
 
 
 def _stream(spark, d):
@@ -54,7 +55,19 @@ def q_stream_dedup(spark, d):
     return ST.run_available_now(spark, s, "dedup")
 
 
-@query("stream_user_state")
+@query("stream_user_state", f"""
+WITH u AS (SELECT user_id, count(*)::BIGINT AS n_events,
+             count_if(event_type = 'purchase')::BIGINT AS n_purchases, max(ts) AS last_event,
+             max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_purchase
+           FROM events GROUP BY user_id),
+m AS (SELECT epoch_ms(max(ts)) - {DELAY_US // 1000} AS wm FROM events)
+SELECT u.user_id, u.last_event AS as_of,
+  epoch_ms(u.last_event) + {TTL_US // 1000} < m.wm AS expired,
+  u.n_events, u.n_purchases, u.last_event, u.last_purchase
+FROM u, m
+""")
 def q_stream_user_state(spark, d):
-    s = ST.stream_user_state(_stream(spark, d), "3d", P.STREAM_DELAY)
+    """Whole file in one micro-batch: the final state per user, expired when
+    its last event + TTL is behind the final watermark."""
+    s = ST.stream_user_state(_stream(spark, d), P.STATE_TTL, P.STREAM_DELAY)
     return ST.latest_user_state(ST.run_available_now(spark, s, "user-state"))

@@ -21,3 +21,5 @@ RANK_SPLIT = "1999-01-01 00:00:00"
 WINDOW_WIDTH = "1d"
 WINDOW_SLIDE = "12h"
 STREAM_DELAY = "1h"
+STATE_TTL = "3d"
+FP_MIN_SUPPORT = 0.005

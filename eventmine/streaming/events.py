@@ -113,7 +113,7 @@ def _user_state_fn(ttl_ms: int, positive_type: str) -> Callable:
                 mp = pdf.loc[is_p, "event_time"].max()
                 lastp = mp if lastp is None or mp > lastp else lastp
         state.update((n, p, last, lastp))
-        state.setTimeoutTimestamp(int(pd.Timestamp(last).timestamp() * 1000) + ttl_ms)
+        state.setTimeoutTimestamp(pd.Timestamp(last).value // 1_000_000 + ttl_ms)
         yield pd.DataFrame([{"user_id": user_id, "as_of": last, "n_events": n, "n_purchases": p,
                              "last_event": last, "last_purchase": lastp, "expired": False}])
     return fn
@@ -135,10 +135,13 @@ def stream_user_state(stream: DataFrame, ttl: str, delay: str,
 
 def latest_user_state(sink: DataFrame) -> DataFrame:
     """The last row written per user (expiry rows win over updates at the
-    same time)."""
+    same time); times as TIMESTAMP_NTZ like the event log."""
     m = sink.groupBy("user_id").agg(F.max(F.struct("as_of", "expired", "n_events", "n_purchases",
                                                    "last_event", "last_purchase")).alias("m"))
-    return m.select("user_id", "m.*")
+    return m.select("user_id", *[F.col(f"m.{c}").cast("timestamp_ntz").alias(c)
+                                 if c in ("as_of", "last_event", "last_purchase") else F.col(f"m.{c}")
+                                 for c in ("as_of", "expired", "n_events", "n_purchases",
+                                           "last_event", "last_purchase")])
 
 
 def run_available_now(spark: SparkSession, streaming_df: DataFrame, name: str,
