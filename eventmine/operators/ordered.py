@@ -18,6 +18,8 @@ helpers here split the order into buckets and stitch neighbouring buckets:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,10 +135,12 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
     from pyspark.ml.feature import Bucketizer
 
     sums = sums or {}
-    dv = df.withColumn("_qv", F.col(value).cast("double"))
+    # NULL sorts first ascending / last descending, as in Spark's ordering;
+    # NaN lands in Bucketizer's extra last bucket, also as Spark orders it.
+    dv = df.withColumn("_qv", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = dv.approxQuantile("_qv", probs, rel_error) if n_buckets > 1 else []
-    splits = sorted({float(q) for q in qs})
+    splits = sorted({float(q) for q in qs if math.isfinite(q)})
     splits = [float("-inf")] + splits + [float("inf")]
     bk = Bucketizer(splits=splits, inputCol="_qv", outputCol="_gb", handleInvalid="keep")
     db = bk.transform(dv)

@@ -7,7 +7,6 @@ batch DataFrame."""
 from __future__ import annotations
 
 from ..functions.timefn import duration_us
-from ..sources.tables import read_table
 from ..streaming import events as ST
 from . import params as P
 from .catalog_behaviour import SESSIONIZED_SQL
@@ -49,9 +48,10 @@ def q_stream_sessions(spark, d):
 
 @query("stream_dedup", "SELECT * FROM events")
 def q_stream_dedup(spark, d):
-    feed = ST.stage_copies(spark, read_table(spark, d, "events"), "dedup", copies=2)
-    s = ST.stream_dedup(ST.read_event_stream(spark, feed, max_files_per_trigger=1),
-                        ["event_id"], P.STREAM_DELAY)
+    """The event feed delivered twice (two file streams over the same files,
+    unioned): every event must come out once."""
+    feed = _stream(spark, d).unionByName(_stream(spark, d))
+    s = ST.stream_dedup(feed, ["event_id"], P.STREAM_DELAY)
     return ST.run_available_now(spark, s, "dedup")
 
 

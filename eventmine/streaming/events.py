@@ -160,11 +160,3 @@ def run_available_now(spark: SparkSession, streaming_df: DataFrame, name: str,
     if q.exception() is not None:
         raise q.exception()
     return spark.read.schema(streaming_df.schema).parquet(sink)
-
-
-def stage_copies(spark: SparkSession, df: DataFrame, name: str, copies: int = 2) -> str:
-    """Write ``df`` ``copies`` times into one fresh folder (a replayed feed)."""
-    path = scratch_path(spark, f"{name}-feed")
-    for _ in range(copies):
-        df.write.mode("append").parquet(path)
-    return path

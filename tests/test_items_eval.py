@@ -148,3 +148,14 @@ def test_recommend_shapes(spark):
     df = spark.createDataFrame(rows, "user_id long, item string, n long")
     rec = I.recommend(df, 2, max_iter=3).collect()
     assert len(rec) == 40 and {r.rank for r in rec} == {1, 2}
+
+
+def test_global_positions_nulls_and_nan(spark):
+    rows = [(1, None), (2, 3.0), (3, float("nan")), (4, 1.0), (5, None), (6, 3.0)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    from pyspark.sql import Window
+    for desc in (False, True):
+        got = {r.id: r.pos for r in global_positions(df, "v", ["id"], n_buckets=3, descending=desc).collect()}
+        o = F.col("v").desc() if desc else F.col("v").asc()
+        ref = {r.id: r.p for r in df.select("id", F.row_number().over(Window.orderBy(o, "id")).alias("p")).collect()}
+        assert got == ref
