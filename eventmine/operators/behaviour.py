@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timefn import duration_us, from_micros, micros, ntz_literal
 from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
-                      with_time_bucket)
+                      running_sum_across_buckets, with_time_bucket)
 
 ORDER = [TS_US, "event_id"]
 
@@ -121,15 +121,60 @@ def _interval(spec: str) -> str:
 
 
 def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str | None = None,
-                      key: str = "user_id") -> DataFrame:
+                      key: str = "user_id", method: str = "auto") -> DataFrame:
     """P09. Per event, the count and value sum of the same user's events in
     ``[ts - h, ts)`` for each horizon ``h`` — the event itself and others at
     the same instant excluded.
 
-    Partitioned by (user, bucket) with halo copies of the events within the
-    longest horizon of the next bucket; copies per event ≤ 1 + h/bucket.
-    Defaults the bucket to the longest horizon (two copies at most)."""
+    ``method='auto'`` (default) takes ``halo`` when it needs at most four
+    copies per event (longest horizon ≤ 3 buckets), else ``prefix``.
+
+    ``method='prefix'``: count(ts' < t) − count(ts' < t − h). Each
+    event adds probe rows at t and at t − h per horizon; running sums over
+    (user, bucket) partitions with bucket hand-over (two-level scan) give the
+    counts before every probe, and the probes are regrouped per event. Any
+    bucket width works (default 1 day), so a hot user splits finely; rows
+    moved ≈ (horizons + 2) × events.
+
+    ``method='halo'``: a range window per (user, bucket) with each event
+    copied into the next buckets its horizon reaches; bucket defaults to the
+    longest horizon (two copies). Fewer rows move, but a hot user is only
+    split per horizon-wide bucket."""
     hs = {n: duration_us(h) for n, h in horizons.items()}
+    if method == "auto":
+        method = "halo" if bucket is None or max(hs.values()) <= 3 * duration_us(bucket) else "prefix"
+    if method == "halo":
+        return _trailing_halo(events, hs, bucket, key)
+    b = duration_us(bucket or "1d")
+    base = events.select(key, "event_id", "ts", micros("ts").alias(TS_US),
+                         F.col("value").cast("decimal(18,2)").alias("_v"))
+    probes = F.array(*[F.struct(F.lit(n).alias("n"), (F.col(TS_US) - F.lit(h)).alias("t"))
+                       for n, h in [("_self", 0), *hs.items()]])
+    ev_rows = base.select(key, F.col(TS_US).alias("_t"), F.lit(1).alias("_kind"), "event_id",
+                          F.lit(None).cast("string").alias("_pn"), F.lit(1).alias("_c"), "_v",
+                          F.lit(None).cast("timestamp_ntz").alias("ts"))
+    pr_rows = (base.select(key, "event_id", "ts", F.explode(probes).alias("_p"))
+               .select(key, F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), "event_id",
+                       F.col("_p.n").alias("_pn"), F.lit(0).alias("_c"),
+                       F.lit(0).cast("decimal(18,2)").alias("_v"), "ts"))
+    u = ev_rows.unionByName(pr_rows).withColumn(
+        BUCKET, F.floor(F.col("_t") / F.lit(b)).cast("bigint"))
+    # probes sort before events at the same instant: their running sums
+    # count events strictly before the probe time
+    rs = running_sum_across_buckets(u, key, ["_t", "_kind", "event_id", "_pn"],
+                                    {"_cc": F.col("_c"), "_vv": F.col("_v")})
+    pr = rs.where(F.col("_kind") == 0)
+    aggs = [F.max(F.when(F.col("_pn") == n, F.col(c))).alias(f"{c}{n}")
+            for n in ["_self", *hs] for c in ("_cc", "_vv")]
+    per = pr.groupBy(key, "event_id").agg(F.max("ts").alias("ts"), *aggs)
+    cols = []
+    for n in hs:
+        cols += [(F.col("_cc_self") - F.col(f"_cc{n}")).cast("bigint").alias(f"n_{n}"),
+                 (F.col("_vv_self") - F.col(f"_vv{n}")).cast("double").alias(f"value_{n}")]
+    return per.select(key, "event_id", "ts", *cols)
+
+
+def _trailing_halo(events: DataFrame, hs: dict, bucket, key: str) -> DataFrame:
     reach = max(hs.values())
     bucket = bucket or reach
     ev = events.select(key, "event_id", "ts", micros("ts").alias(TS_US),

@@ -152,7 +152,7 @@ SELECT user_id, event_id, ts,
 FROM events WINDOW {_TR_WIN}
 """)
 def q_trailing(spark, d):
-    return B.trailing_features(events(spark, d), P.TRAILING)
+    return B.trailing_features(events(spark, d), P.TRAILING, bucket=P.TS_BUCKET)
 
 
 @query("gap_stats", """

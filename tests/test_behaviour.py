@@ -103,19 +103,22 @@ def test_funnel_matches_brute_force(spark, raw):
 def test_trailing_matches_brute_force(spark, raw):
     rows = _to_rows(raw)
     df = make_events(spark, rows)
-    got = {r.event_id: (r.n_2h, r.n_5h) for r in
-           B.trailing_features(df, {"2h": "2h", "5h": "5h"}, bucket="1h").collect()}
     exp = {}
     for r in rows:
         same = [o for o in rows if o[2] == r[2]]
         exp[r[0]] = tuple(sum(1 for o in same if r[1] - h <= o[1] < r[1]) for h in (2 * H, 5 * H))
-    assert got == exp
+    for method in ("prefix", "halo"):
+        got = {r.event_id: (r.n_2h, r.n_5h) for r in
+               B.trailing_features(df, {"2h": "2h", "5h": "5h"}, bucket="1h", method=method).collect()}
+        assert got == exp
 
 
 def test_trailing_excludes_same_instant(spark):
     rows = [(1, ts(0), 1, "view"), (2, ts(0), 1, "view"), (3, ts(10), 1, "view")]
-    got = {r.event_id: r.n_1h for r in B.trailing_features(make_events(spark, rows), {"1h": "1h"}).collect()}
-    assert got == {1: 0, 2: 0, 3: 2}
+    for method in ("prefix", "halo"):
+        got = {r.event_id: (r.n_1h, r.value_1h) for r in
+               B.trailing_features(make_events(spark, rows), {"1h": "1h"}, method=method).collect()}
+        assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (2, 2.0)}
 
 
 @given(raw=event_rows)
