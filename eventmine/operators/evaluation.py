@@ -11,6 +11,9 @@ EPS = 1e-15
 
 
 def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """One row per distinct score; rows without a score or label are not
+    evaluated."""
+    scored = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     return scored.groupBy(F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))

@@ -103,7 +103,8 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
                bucket: str = "1d", prefix: str = "r_") -> DataFrame:
     """P14. Each left row gets the latest right row with the same ``by`` at or
     before its time (strictly before if ``strict``); NULL if none. Among right
-    rows with equal time the largest ``right_id`` wins.
+    rows with equal time the largest ``right_id`` wins; a NULL key matches
+    nothing.
 
     Both sides are unioned with a side flag and ordered by
     (time, side, id): at equal times right rows sort before left rows unless
@@ -111,6 +112,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
     bucket-to-bucket hand-over in :func:`carry_last_across_buckets`, so one
     busy key does not become one task."""
     right_side = 0 if not strict else 2
+    right = right.where(F.col(by).isNotNull())  # a NULL key matches nothing
     payload_cols = [right_id, right_ts, *[c for c in right_cols if c not in (right_id, right_ts)]]
     l = left.select(F.col(by).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
                     F.lit(None).cast("long").alias("_rid"),
@@ -162,7 +164,8 @@ def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str =
     (group, leading ``prefix_len`` hex digits of the hash); prefix counts
     locate the boundary prefix, everything below it is kept, and only the
     boundary prefix is ranked. The count table has at most
-    groups × 16^prefix_len rows, so the boundary lookup is broadcast."""
+    groups × 16^prefix_len rows, so the boundary lookup is broadcast. Rows
+    with a NULL label are neither positive nor negative and are left out."""
     h = md5_key(key, seed)
     ex = examples.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, prefix_len))
     pos = ex.where(F.col(label) == 1)

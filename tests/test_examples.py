@@ -108,3 +108,11 @@ def test_split_is_stable_and_target_encoding_uses_earlier_only(spark):
     want = (sum(r[2] for r in a_c1) + 2.0 * prior) / (len(a_c1) + 2.0)
     got = {r.te for r in te if r.cutoff == C2 and r.seg == "A"}
     assert len(got) == 1 and abs(got.pop() - want) < 1e-12
+
+
+def test_as_of_null_keys_match_nothing(spark):
+    left = spark.createDataFrame([(None, ts(10), 1), (1, ts(10), 2)], "k long, t timestamp_ntz, id long")
+    right = spark.createDataFrame([(None, ts(5), 10, "a"), (1, ts(5), 11, "b")],
+                                  "k long, t timestamp_ntz, rid long, v string")
+    got = {r.id: r.r_rid for r in X.as_of_join(left, right, "k", "t", "t", "rid", ["v"]).collect()}
+    assert got == {1: None, 2: 11}
