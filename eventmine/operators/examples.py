@@ -31,40 +31,70 @@ def _cutoff_at(idx: Column, cutoffs: list[str]) -> Column:
     return F.element_at(ntz_array(cutoffs), idx + 1)
 
 
-def features_at_cutoff(events: DataFrame, cutoffs: list[str],
-                       event_types: list[str] = EVENT_TYPES) -> DataFrame:
-    """P16. One row per (user seen before the cutoff, cutoff), from events with
-    ``ts < cutoff`` only: counts per event type, value sum, seconds since the
-    last event, distinct active days."""
-    cutoffs = sorted(cutoffs)
-    n = len(cutoffs)
-    ev = (events.where(F.col("ts") < ntz_literal(cutoffs[-1]))
+def _per_day(events: DataFrame, cutoffs: list[str], event_types: list[str],
+             until=None, hits: list[Column] | None = None) -> DataFrame:
+    """Level 1: one row per (user, day, segment) — partial aggregation
+    collapses hot users map-side. ``until`` bounds the scan (pushed to the
+    reader); ``hits`` are extra boolean columns kept as per-row maxima."""
+    last = until if until is not None else ntz_literal(cutoffs[-1])
+    ev = (events.where(F.col("ts") < last)
                 .select("user_id", "ts", "event_type", "value")
                 .withColumn("seg", _segment(F.col("ts"), cutoffs))
                 .withColumn("day", F.to_date("ts")))
-    # Level 1: one row per (user, day, segment); map-side partial aggregation
-    # collapses hot users before the shuffle.
-    per_day = ev.groupBy("user_id", "day", "seg").agg(
+    return ev.groupBy("user_id", "day", "seg").agg(
         F.count(F.lit(1)).alias("n_events"),
         *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in event_types],
         F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"),
-        F.max("ts").alias("last_ts"))
+        F.max("ts").alias("last_ts"),
+        *[F.max(h.cast("int")).alias(f"_h{i}") for i, h in enumerate(hits or [])])
+
+
+def _features_from_per_day(per_day: DataFrame, cutoffs: list[str], event_types: list[str],
+                           with_labels: bool = False) -> DataFrame:
+    """Level 2: fan each (user, day, segment) row out to the cutoffs it
+    precedes (features) and, with ``with_labels``, to the cutoffs whose label
+    window it falls in (the two sets are disjoint: a label event is at or
+    after its cutoff), then one ``groupBy(user_id, ci)``."""
+    n = len(cutoffs)
+    seg = F.col("seg")
     # A day is active before cutoff i from the first segment it appears in.
     first_seg = F.min("seg").over(Window.partitionBy("user_id", "day"))
-    per_day = per_day.withColumn("new_day", (F.col("seg") == first_seg).cast("int"))
-    # Level 2: fan each (user, day, segment) row out to the cutoffs after it.
-    fan = per_day.withColumn("ci", F.explode(F.sequence(F.col("seg"), F.lit(n - 1))))
+    per_day = per_day.withColumn("new_day", (seg == first_seg).cast("int"))
+    if with_labels:
+        hs = F.array(*[F.col(f"_h{i}") for i in range(n)])
+        targets = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
+                           lambda j: (j >= seg) | (F.element_at(hs, j + 1) == 1))
+    else:
+        targets = F.sequence(seg, F.lit(n - 1))
+        per_day = per_day.where(seg < n)
+    fan = per_day.withColumn("ci", F.explode(targets))
+    is_f = seg <= F.col("ci")
     count_cols = ["n_events"] + [f"n_{t}" for t in event_types]
-    agg = fan.groupBy("user_id", "ci").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in count_cols],
-        F.sum("value_sum").cast("double").alias("value_sum"),
-        F.max("last_ts").alias("last_ts"),
-        F.sum("new_day").cast("bigint").alias("active_days"))
+    aggs = [*[F.sum(F.when(is_f, F.col(c))).cast("bigint").alias(c) for c in count_cols],
+            F.sum(F.when(is_f, F.col("value_sum"))).cast("double").alias("value_sum"),
+            F.max(F.when(is_f, F.col("last_ts"))).alias("last_ts"),
+            F.sum(F.when(is_f, F.col("new_day"))).cast("bigint").alias("active_days")]
+    if with_labels:
+        aggs.append(F.coalesce(F.max(F.when(~is_f, F.element_at(hs, F.col("ci") + 1))), F.lit(0))
+                    .cast("int").alias("label"))
+    agg = fan.groupBy("user_id", "ci").agg(*aggs)
+    if with_labels:
+        agg = agg.where(F.col("n_events").isNotNull())  # seen before the cutoff
     cutoff = _cutoff_at(F.col("ci"), cutoffs)
     return agg.select(
         "user_id", cutoff.alias("cutoff"), *count_cols, "value_sum",
         ((micros(cutoff) - micros("last_ts")) / F.lit(1e6)).alias("recency_s"),
-        "active_days")
+        "active_days", *(["label"] if with_labels else []))
+
+
+def features_at_cutoff(events: DataFrame, cutoffs: list[str],
+                       event_types: list[str] = EVENT_TYPES) -> DataFrame:
+    """P16. One row per (user seen before the cutoff, cutoff), from events with
+    ``ts < cutoff`` only: counts per event type, value sum, seconds since the
+    last event, distinct active days."""
+    cutoffs = sorted(cutoffs)
+    per_day = _per_day(events, cutoffs, event_types)
+    return _features_from_per_day(per_day, cutoffs, event_types)
 
 
 def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
@@ -91,11 +121,24 @@ def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
               .select("user_id", cutoff.alias("cutoff"), F.col("r.label").cast("int").alias("label")))
 
 
-def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str = "1d"
-                           ) -> DataFrame:
-    """Features (P16) joined to labels (P15) on (user_id, cutoff)."""
-    return features_at_cutoff(events, cutoffs).join(
-        label_examples(events, cutoffs, horizon), ["user_id", "cutoff"])
+def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
+                           event_types: list[str] = EVENT_TYPES,
+                           positive_type: str = "purchase") -> DataFrame:
+    """Features (P16) joined to labels (P15) on (user_id, cutoff), from one
+    scan of the event log and one level-2 aggregate: the (user, day, segment)
+    reduction also carries one label flag per cutoff, and those rows are
+    fanned out to the cutoffs whose label window they fall in."""
+    cutoffs = sorted(cutoffs)
+    h = duration_us(horizon)
+    ts_us = micros("ts")
+    hits = []
+    for c in cutoffs:
+        c_us = micros(ntz_literal(c))
+        hits.append((F.col("event_type") == positive_type) & (ts_us >= c_us)
+                    & (ts_us < c_us + F.lit(h)))
+    until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
+    per_day = _per_day(events, cutoffs, event_types, until=until, hits=hits)
+    return _features_from_per_day(per_day, cutoffs, event_types, with_labels=True)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str,

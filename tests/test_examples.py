@@ -116,3 +116,12 @@ def test_as_of_null_keys_match_nothing(spark):
                                   "k long, t timestamp_ntz, rid long, v string")
     got = {r.id: r.r_rid for r in X.as_of_join(left, right, "k", "t", "t", "rid", ["v"]).collect()}
     assert got == {1: None, 2: 11}
+
+
+def test_examples_with_features_equals_join_of_parts(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    cut = ["2024-01-05 12:00:00", "2024-01-06 00:00:00", "2024-01-20 00:00:00"]
+    joined = X.features_at_cutoff(ev, cut).join(X.label_examples(ev, cut, "2d"), ["user_id", "cutoff"])
+    one_pass = X.examples_with_features(ev, cut, "2d")
+    cols = joined.columns
+    assert sorted(map(tuple, one_pass.select(*cols).collect())) == sorted(map(tuple, joined.collect()))
