@@ -47,10 +47,9 @@ def threshold_metrics(scored: DataFrame, score: str = "score", label: str = "lab
     precision, recall, F1 (0 where tp = 0)."""
     per = _per_score(scored, score, label)
     cum = global_positions(per, "score", [], out="_ix", descending=True, n_buckets=n_buckets,
-                           sums={"tp": F.col("pos"), "fp": F.col("neg")})
-    tot = per.agg(F.sum("pos").alias("_P")).scalar()
+                           sums={"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.col("tp") / tot
+    rec = F.col("tp") / F.col("total_tp")
     return cum.select(
         F.col("score").alias("threshold"), "tp", "fp",
         F.round(prec, 9).alias("precision"), F.round(rec, 9).alias("recall"),
@@ -73,14 +72,15 @@ def lift_by_decile(scored: DataFrame, key: str, score: str = "score", label: str
     """P25. Deciles by descending score (ties by ``key``): rows, positives,
     positive rate and lift over the overall rate."""
     ranked = global_positions(scored.select(key, score, label), score, [key], out="_pos",
-                              descending=True, n_buckets=n_buckets)
-    n = scored.agg(F.count(F.lit(1))).scalar()
-    rate = scored.agg(F.avg(F.col(label).cast("double"))).scalar()
-    dec = ranked.withColumn("decile", ntile_of(F.col("_pos"), n, 10))
-    return dec.groupBy("decile").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("n_pos"),
-        F.round(F.avg(F.col(label).cast("double")), 9).alias("rate"),
-        F.round(F.avg(F.col(label).cast("double")) / rate, 9).alias("lift"))
+                              descending=True, n_buckets=n_buckets, totals=True)
+    dec = ranked.withColumn("decile", ntile_of(F.col("_pos"), F.col("_pos_total"), 10))
+    per = dec.groupBy("decile").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("n_pos"))
+    # ten rows: the overall rate comes from a window over the decile table
+    allw = Window.partitionBy(F.lit(1))
+    overall = F.sum("n_pos").over(allw) / F.sum("n").over(allw)
+    return per.select("decile", "n", "n_pos", F.round(F.col("n_pos") / F.col("n"), 9).alias("rate"),
+                      F.round((F.col("n_pos") / F.col("n")) / overall, 9).alias("lift"))
 
 
 def ranking_metrics(ranked: DataFrame, truth: DataFrame, k: int, user: str = "user_id",

@@ -123,18 +123,30 @@ def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
 
 def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str = "pos",
                      descending: bool = False, n_buckets: int = 64,
-                     rel_error: float = 0.001, sums: dict | None = None) -> DataFrame:
+                     rel_error: float = 0.001, sums: dict | None = None,
+                     totals: bool = False, materialize: bool = True) -> DataFrame:
     """1-based position of each row in the global order
     ``(value [desc], *tiebreak)``, without a single-task window.
 
     Range buckets come from ``approxQuantile`` (a bounded sketch; ``n_buckets``
     split points reach the driver). Equal values always share a bucket, so the
     order inside a bucket decides ties. ``sums`` (name → column) adds
-    inclusive running sums in the same order. The bucket summary has at most
-    ``n_buckets`` rows and is broadcast."""
+    inclusive running sums in the same order; ``totals`` adds the grand
+    totals (``<out>_total`` rows, ``total_<name>`` per sum) from the same
+    bucket summary, so callers need no extra pass. The bucket summary has at
+    most ``n_buckets`` rows and is broadcast.
+
+    The input is read three times (sketch, bucket rows, bucket summary), so
+    by default it is first checkpointed to the shared checkpoint folder:
+    upstream work runs once and lineage is cut."""
     from pyspark.ml.feature import Bucketizer
 
+    from ..session import checkpoint_dir
+
     sums = sums or {}
+    if materialize:
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     # NULL sorts first ascending / last descending, as in Spark's ordering;
     # NaN lands in Bucketizer's extra last bucket, also as Spark orders it.
     dv = df.withColumn("_qv", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
@@ -150,16 +162,25 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
     wr = w.rowsBetween(Window.unboundedPreceding, 0)
     inner = db.select("*", F.row_number().over(w).alias("_rn"),
                       *[F.sum(_col(v)).over(wr).alias(f"_rs_{n}") for n, v in sums.items()])
-    summary = inner.groupBy("_gb").agg(F.count(F.lit(1)).alias("_cnt"),
-                                       *[F.sum(_col(v)).alias(f"_tot_{n}") for n, v in sums.items()])
-    # One row per bucket: an unpartitioned window here touches n_buckets rows.
+    summary = db.groupBy("_gb").agg(F.count(F.lit(1)).alias("_cnt"),
+                                    *[F.sum(_col(v)).alias(f"_tot_{n}") for n, v in sums.items()])
+    # One row per bucket: unpartitioned windows here touch n_buckets rows.
     wo = Window.orderBy(gb_order).rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.orderBy(gb_order).rowsBetween(Window.unboundedPreceding,
+                                                Window.unboundedFollowing)
+    extra = []
+    if totals:
+        extra = [F.sum("_cnt").over(wall).cast("bigint").alias(f"{out}_total"),
+                 *[F.sum(f"_tot_{n}").over(wall).alias(f"total_{n}") for n in sums]]
     summary = summary.select(
         "_gb", F.coalesce(F.sum("_cnt").over(wo), F.lit(0)).alias("_off"),
-        *[F.coalesce(F.sum(f"_tot_{n}").over(wo), F.lit(0)).alias(f"_off_{n}") for n in sums])
+        *[F.coalesce(F.sum(f"_tot_{n}").over(wo), F.lit(0)).alias(f"_off_{n}") for n in sums],
+        *extra)
     res = inner.join(F.broadcast(summary), "_gb")
+    keep_totals = [f"{out}_total", *[f"total_{n}" for n in sums]] if totals else []
     return res.select(*df.columns, (F.col("_off") + F.col("_rn")).cast("bigint").alias(out),
-                      *[(F.col(f"_rs_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums])
+                      *[(F.col(f"_rs_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums],
+                      *keep_totals)
 
 
 def keyed_quantiles(df: DataFrame, keys, value: str, probs: dict, resolution: int = 32

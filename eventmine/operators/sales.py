@@ -57,11 +57,11 @@ def rfm(orders: DataFrame, as_of: str, n_buckets: int = 64) -> DataFrame:
     per = per.withColumn(
         "recency_days",
         F.floor((micros(ntz_literal(as_of)) - micros("_last")) / F.lit(86_400_000_000)).cast("bigint"))
-    n = per.agg(F.count(F.lit(1))).scalar()
     r = global_positions(per, "recency_days", ["custkey"], out="_pr", descending=True,
-                         n_buckets=n_buckets)
+                         n_buckets=n_buckets, totals=True)
     r = global_positions(r, "frequency", ["custkey"], out="_pf", n_buckets=n_buckets)
     r = global_positions(r, "monetary", ["custkey"], out="_pm", n_buckets=n_buckets)
+    n = F.col("_pr_total")
     return r.select("custkey", "recency_days", "frequency", "monetary",
                     ntile_of(F.col("_pr"), n, 5).alias("r_score"),
                     ntile_of(F.col("_pf"), n, 5).alias("f_score"),
