@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import duration_us, from_micros, micros, ntz_literal
+from ..session import checkpoint_dir
 from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
                       running_sum_across_buckets, with_time_bucket)
 
@@ -199,6 +200,10 @@ def gap_stats(events: DataFrame, bucket: str = "1d", key: str = "user_id") -> Da
     ev = lag_across_buckets(ev, key, ORDER, {"_prev_us": F.col(TS_US)})
     gaps = (ev.where(F.col("_prev_us").isNotNull())
               .select(key, (F.col(TS_US) - F.col("_prev_us")).alias("_gap_us")))
+    # the gap table feeds four branches (rank, bucket summary, pick, mean):
+    # write it once to the shared checkpoint folder instead of recomputing it
+    checkpoint_dir(events.sparkSession)
+    gaps = gaps.checkpoint(eager=True)
     q = keyed_quantiles(gaps, key, "_gap_us", {"_p50": 0.5, "_p90": 0.9})
     # integer sum / count / 1e6: the same IEEE result in any engine, no rounding
     mean = gaps.groupBy(key).agg((F.sum("_gap_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"))
