@@ -84,10 +84,12 @@ def frequent_itemsets(basket_items_df: DataFrame, min_support: float, basket: st
 
 def recommend(interactions: DataFrame, k: int, user: str = "user_id", item: str = "item",
               weight: str = "n", rank: int = 8, max_iter: int = 8, reg: float = 0.1,
-              alpha: float = 1.0, seed: int = 42) -> DataFrame:
+              alpha: float = 1.0, seed: int = 42, blocks: int | None = None) -> DataFrame:
     """P23. Top-``k`` items per user from implicit counts with ALS
     (``implicitPrefs=True``). String items are indexed with StringIndexer and
-    mapped back. Returns (user, item, rank, score)."""
+    mapped back. Returns (user, item, rank, score). ``blocks`` (user and item
+    blocks) defaults to the cluster's default parallelism, so the factor
+    updates spread over every core without over-splitting small inputs."""
     from pyspark.ml.feature import IndexToString, StringIndexer
     from pyspark.ml.recommendation import ALS
 
@@ -96,8 +98,10 @@ def recommend(interactions: DataFrame, k: int, user: str = "user_id", item: str
     data = idx.transform(interactions).select(
         F.col(user).cast("int").alias("_u"), F.col("_item_ix").cast("int").alias("_i"),
         F.col(weight).cast("float").alias("_w"))
+    blocks = blocks or interactions.sparkSession.sparkContext.defaultParallelism
     als = ALS(userCol="_u", itemCol="_i", ratingCol="_w", implicitPrefs=True, rank=rank,
               maxIter=max_iter, regParam=reg, alpha=alpha, seed=seed,
+              numUserBlocks=blocks, numItemBlocks=blocks,
               coldStartStrategy="drop", checkpointInterval=4)
     model = als.fit(data)
     rec = model.recommendForAllUsers(k)
