@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_key
 from ..functions.timefn import duration_us, micros, ntz_array, ntz_literal
-from .ordered import BUCKET, TS_US, carry_last_across_buckets, with_time_bucket
+from .ordered import TS_US, carry_last_across_buckets, with_time_bucket
 
 # The event vocabulary of the event log.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]

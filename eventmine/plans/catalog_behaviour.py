@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions.timefn import duration_us
 from ..operators import behaviour as B
 from ..operators import cleaning as C
