@@ -226,15 +226,19 @@ def transitions(events: DataFrame, bucket: str = "1d", key: str = "user_id") ->
 
 def retention(events: DataFrame, period: str = "week", key: str = "user_id") -> DataFrame:
     """P12. Cohort = period of a user's first event; for each cohort and
-    offset (periods since the cohort), distinct active users."""
+    offset (periods since the cohort), distinct active users.
+
+    One ``groupBy(user)`` collects the user's distinct active periods (at most
+    one per period of the time span, whatever the user's row count; combined
+    map-side), the earliest is the cohort, and the (cohort, offset) counts
+    come from exploding those few periods."""
     per = F.date_trunc(period, "ts").cast("timestamp_ntz")
-    active = events.select(key, per.alias("period")).distinct()
-    first = active.groupBy(key).agg(F.min("period").alias("cohort"))
-    j = active.join(first, key)
+    users = events.groupBy(key).agg(F.collect_set(per).alias("_ps"))
+    ex = users.select(F.array_min("_ps").alias("cohort"), F.explode("_ps").alias("_p"))
     unit = {"week": 7, "day": 1}[period]
-    off = (F.datediff("period", "cohort") / F.lit(unit)).cast("int")
-    return (j.groupBy("cohort", off.alias("period_offset"))
-             .agg(F.count(F.lit(1)).alias("n_users")))
+    off = (F.datediff("_p", "cohort") / F.lit(unit)).cast("int")
+    return (ex.groupBy("cohort", off.alias("period_offset"))
+              .agg(F.count(F.lit(1)).alias("n_users")))
 
 
 def audience_diff(events: DataFrame, period_a: tuple[str, str], period_b: tuple[str, str],
