@@ -63,7 +63,8 @@ WITH u AS (SELECT user_id, count(*)::BIGINT AS n_events,
 m AS (SELECT epoch_ms(max(ts)) - {DELAY_US // 1000} AS wm FROM events)
 SELECT u.user_id, u.last_event AS as_of,
   epoch_ms(u.last_event) + {TTL_US // 1000} < m.wm AS expired,
-  u.n_events, u.n_purchases, u.last_event, u.last_purchase
+  u.n_events, u.n_purchases, u.last_event, u.last_purchase,
+  ((epoch_us(u.last_event) - epoch_us(u.last_purchase)) // 86400000000)::BIGINT AS days_since_purchase
 FROM u, m
 """)
 def q_stream_user_state(spark, d):

@@ -135,13 +135,17 @@ def stream_user_state(stream: DataFrame, ttl: str, delay: str,
 
 def latest_user_state(sink: DataFrame) -> DataFrame:
     """The last row written per user (expiry rows win over updates at the
-    same time); times as TIMESTAMP_NTZ like the event log."""
+    same time); times as TIMESTAMP_NTZ like the event log, plus whole days
+    from the last purchase to the user's last event."""
     m = sink.groupBy("user_id").agg(F.max(F.struct("as_of", "expired", "n_events", "n_purchases",
                                                    "last_event", "last_purchase")).alias("m"))
-    return m.select("user_id", *[F.col(f"m.{c}").cast("timestamp_ntz").alias(c)
-                                 if c in ("as_of", "last_event", "last_purchase") else F.col(f"m.{c}")
-                                 for c in ("as_of", "expired", "n_events", "n_purchases",
-                                           "last_event", "last_purchase")])
+    out = m.select("user_id", *[F.col(f"m.{c}").cast("timestamp_ntz").alias(c)
+                                if c in ("as_of", "last_event", "last_purchase") else F.col(f"m.{c}")
+                                for c in ("as_of", "expired", "n_events", "n_purchases",
+                                          "last_event", "last_purchase")])
+    days = F.floor(F.timestamp_diff("MICROSECOND", F.col("last_purchase"), F.col("last_event"))
+                   / F.lit(86_400_000_000)).cast("bigint")
+    return out.withColumn("days_since_purchase", days)
 
 
 def run_available_now(spark: SparkSession, streaming_df: DataFrame, name: str,

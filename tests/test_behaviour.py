@@ -187,3 +187,15 @@ def test_keyed_quantiles_equal_numpy(spark, vals):
         assert n == len(xs)
         for q, p in zip(qs, (10, 50, 90)):
             assert abs(q - np.percentile(xs, p)) <= 1e-6 * max(1.0, abs(q))
+
+
+def test_gap_stats_approx_close_to_exact(spark):
+    from conftest import SF001
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ex = {r.user_id: r for r in B.gap_stats(ev).collect()}
+    ap = {r.user_id: r for r in B.gap_stats(ev, method="approx").collect()}
+    assert ex.keys() == ap.keys()
+    for u, r in ex.items():
+        assert ap[u].n_gaps == r.n_gaps and abs(ap[u].mean_s - r.mean_s) < 1e-9
+        # approx returns an observed gap next to the interpolated median
+        assert ap[u].p50_s > 0 and ap[u].p90_s >= ap[u].p50_s
