@@ -42,6 +42,15 @@ def duration_us(spec: str | int | _dt.timedelta) -> int:
     raise ValueError(f"cannot read duration {spec!r}")
 
 
+def floor_div(c: Column, n: int) -> Column:
+    """Floor of ``c / n`` for a BIGINT column and a positive constant, exact
+    at bucket edges and for negative values: the dividend is made an exact
+    multiple of ``n`` first (``pmod`` is never negative), so the quotient is
+    an exact integer for any |c| below 2^53 (about 285 years of microseconds
+    either side of 1970)."""
+    return ((c - F.pmod(c, F.lit(n))) / F.lit(n)).cast("bigint")
+
+
 def ntz_literal(ts: str | _dt.datetime) -> Column:
     """A TIMESTAMP_NTZ literal, independent of the session zone."""
     if isinstance(ts, _dt.datetime):

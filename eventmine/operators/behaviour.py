@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import duration_us, micros, ntz_literal
+from ..functions.timefn import duration_us, floor_div, micros, ntz_literal
 from ..session import checkpoint_dir
 from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
                       running_sum_across_buckets, with_time_bucket)
@@ -158,8 +158,7 @@ def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str |
                .select(key, F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), "event_id",
                        F.col("_p.n").alias("_pn"), F.lit(0).alias("_c"),
                        F.lit(0).cast("decimal(18,2)").alias("_v"), "ts"))
-    u = ev_rows.unionByName(pr_rows).withColumn(
-        BUCKET, F.floor(F.col("_t") / F.lit(b)).cast("bigint"))
+    u = ev_rows.unionByName(pr_rows).withColumn(BUCKET, floor_div(F.col("_t"), b))
     # probes sort before events at the same instant: their running sums
     # count events strictly before the probe time
     rs = running_sum_across_buckets(u, key, ["_t", "_kind", "event_id", "_pn"],

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import duration_us, micros
+from ..functions.timefn import duration_us, floor_div, micros
 
 BUCKET = "_bkt"
 TS_US = "_ts_us"
@@ -41,7 +41,7 @@ def with_time_bucket(df: DataFrame, ts_col: str, bucket: str | int) -> DataFrame
     """Add ``_ts_us`` (epoch micros of ``ts_col``) and ``_bkt`` (its bucket)."""
     b = duration_us(bucket)
     return (df.withColumn(TS_US, micros(ts_col))
-              .withColumn(BUCKET, F.floor(F.col(TS_US) / F.lit(b)).cast("bigint")))
+              .withColumn(BUCKET, floor_div(F.col(TS_US), b)))
 
 
 def lag_across_buckets(df: DataFrame, keys, order, values: dict, bucket_col: str = BUCKET
@@ -112,9 +112,9 @@ def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
     1 + ceil(reach / B)."""
     b = duration_us(bucket)
     t = F.col(ts_us)
-    own = F.floor(t / F.lit(b)).cast("bigint")
-    lo = F.floor((t - F.lit(ahead_us)) / F.lit(b)).cast("bigint")
-    hi = F.floor((t + F.lit(back_us)) / F.lit(b)).cast("bigint")
+    own = floor_div(t, b)
+    lo = floor_div(t - F.lit(ahead_us), b)
+    hi = floor_div(t + F.lit(back_us), b)
     return (df.withColumn("_own_b", own)
               .withColumn("_pb", F.explode(F.sequence(lo, hi)))
               .withColumn("_own", F.col("_pb") == F.col("_own_b"))
