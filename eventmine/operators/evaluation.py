@@ -114,19 +114,25 @@ def ranking_metrics(ranked: DataFrame, truth: DataFrame, k: int, user: str = "us
 def prediction_checks(pred: DataFrame, expected_keys: DataFrame, key: str = "user_id",
                       score: str = "score") -> DataFrame:
     """P27. (check, n_bad) for a prediction table: duplicate keys, expected
-    keys missing, unexpected keys, NULL or NaN scores."""
-    dup = (pred.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-               .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n_bad"))
-               .select(F.lit("duplicate_key").alias("check"), "n_bad"))
-    exp = expected_keys.select(key).distinct()
-    got = pred.select(key).distinct()
-    missing = exp.join(got, key, "left_anti").agg(F.count(F.lit(1)).alias("n_bad")).select(
-        F.lit("missing_key").alias("check"), "n_bad")
-    extra = got.join(exp, key, "left_anti").agg(F.count(F.lit(1)).alias("n_bad")).select(
-        F.lit("unexpected_key").alias("check"), "n_bad")
-    bad = pred.agg(F.count_if(F.col(score).isNull() | F.isnan(score)).alias("n_bad")).select(
-        F.lit("null_or_nan_score").alias("check"), "n_bad")
-    return dup.unionByName(missing).unionByName(extra).unionByName(bad)
+    keys missing, unexpected keys, NULL or NaN scores.
+
+    One pass over the predictions (count and bad scores per key, combined
+    map-side), one full outer join with the distinct expected keys, one
+    global aggregate."""
+    sc = F.col(score)
+    per = pred.groupBy(key).agg(F.count(F.lit(1)).alias("_c"),
+                                F.count_if(sc.isNull() | F.isnan(sc)).alias("_bad"))
+    exp = expected_keys.select(key).distinct().withColumn("_e", F.lit(True))
+    j = per.join(exp, key, "full_outer")
+    one = j.agg(
+        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_key"),
+        F.count_if(F.col("_c").isNull()).cast("bigint").alias("missing_key"),
+        F.count_if(F.col("_e").isNull()).cast("bigint").alias("unexpected_key"),
+        F.coalesce(F.sum("_bad"), F.lit(0)).cast("bigint").alias("null_or_nan_score"))
+    names = ["duplicate_key", "missing_key", "unexpected_key", "null_or_nan_score"]
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(n).alias("n_bad")) for n in names])).alias("r")
+    ).select("r.*")
 
 
 class PredictionCheckFailed(ValueError):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_key
 from ..functions.timefn import duration_us, micros, ntz_array, ntz_literal
+from ..session import checkpoint_dir
 from .ordered import TS_US, carry_last_across_buckets, with_time_bucket
 
 # The event vocabulary of the event log.
@@ -198,8 +199,8 @@ def split_examples(examples: DataFrame, by: str = "hash", key: str = "user_id",
 
 
 def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str = "user_id",
-                    group: str = "cutoff", label: str = "label", prefix_len: int = 4
-                    ) -> DataFrame:
+                    group: str = "cutoff", label: str = "label", prefix_len: int = 4,
+                    materialize: bool = True) -> DataFrame:
     """P18. All positives plus, per ``group``, the ``floor(ratio * positives)``
     negatives with the smallest md5('<key>:<seed>') (ties by ``key``).
 
@@ -208,7 +209,12 @@ def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str =
     locate the boundary prefix, everything below it is kept, and only the
     boundary prefix is ranked. The count table has at most
     groups × 16^prefix_len rows, so the boundary lookup is broadcast. Rows
-    with a NULL label are neither positive nor negative and are left out."""
+    with a NULL label are neither positive nor negative and are left out.
+    The examples are read by four branches, so by default they are first
+    checkpointed to the shared checkpoint folder."""
+    if materialize:
+        checkpoint_dir(examples.sparkSession)
+        examples = examples.checkpoint(eager=True)
     h = md5_key(key, seed)
     ex = examples.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, prefix_len))
     pos = ex.where(F.col(label) == 1)
@@ -246,8 +252,8 @@ def target_encode(examples: DataFrame, category: str, label: str = "label",
         Window.unboundedPreceding, -1)
     per = (per.withColumn("_n_prev", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
               .withColumn("_pos_prev", F.coalesce(F.sum("_pos").over(earlier), F.lit(0))))
-    tot = examples.groupBy(time_col).agg(
-        F.count(F.lit(1)).alias("_tn"), F.sum(F.col(label).cast("long")).alias("_tp"))
+    # totals per cutoff from the (category, cutoff) table, not another pass
+    tot = per.groupBy(time_col).agg(F.sum("_n").alias("_tn"), F.sum("_pos").alias("_tp"))
     # one row per cutoff: an unpartitioned window over cutoffs is tiny
     te = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)
     tot = tot.select(time_col, (F.sum("_tp").over(te) / F.sum("_tn").over(te)).alias("_prior"))
