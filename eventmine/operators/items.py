@@ -74,8 +74,13 @@ def frequent_itemsets(basket_items_df: DataFrame, min_support: float, basket: st
     ``pair_rules`` at the same count threshold."""
     from pyspark.ml.fpm import FPGrowth
 
+    from ..session import checkpoint_dir
+
     sets = (basket_items_df.groupBy(F.col(basket).alias("basket"))
             .agg(F.collect_set(item).alias("items")))
+    # FP-growth reads its input in several passes: compute the baskets once
+    checkpoint_dir(sets.sparkSession)
+    sets = sets.checkpoint(eager=True)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(sets)
     fi = model.freqItemsets
     return fi.select(F.sort_array("items").alias("items"), F.size("items").alias("size"),
@@ -93,6 +98,11 @@ def recommend(interactions: DataFrame, k: int, user: str = "user_id", item: str
     from pyspark.ml.feature import IndexToString, StringIndexer
     from pyspark.ml.recommendation import ALS
 
+    from ..session import checkpoint_dir
+
+    # indexing and every ALS pass read the interactions: compute them once
+    checkpoint_dir(interactions.sparkSession)
+    interactions = interactions.checkpoint(eager=True)
     idx = StringIndexer(inputCol=item, outputCol="_item_ix", stringOrderType="alphabetAsc").fit(
         interactions)
     data = idx.transform(interactions).select(

@@ -14,16 +14,20 @@ def train_score(examples: DataFrame, features: list[str], label: str = "label",
     ``VectorAssembler`` + ``StandardScaler`` + ``LogisticRegression`` (or
     ``GBTClassifier`` with ``kind='gbt'``); the vector stays inside the ML
     pipeline and the output has a plain ``score`` column (probability of 1).
-    The training set is checkpointed to the shared checkpoint folder before
-    ``fit`` so each optimizer iteration reads it instead of recomputing it."""
+    The examples are checkpointed to the shared checkpoint folder before
+    ``fit``: every optimizer iteration and the scoring pass read them instead
+    of recomputing the feature pipeline."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     keep = keep or [c for c in examples.columns if c not in features]
-    data = examples.withColumn("_y", F.col(label).cast("double"))
-    train = data.where(F.col(split_col) == train_value).checkpoint(eager=True)
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(examples.sparkSession)
+    data = examples.withColumn("_y", F.col(label).cast("double")).checkpoint(eager=True)
+    train = data.where(F.col(split_col) == train_value)
     rest = data.where(F.col(split_col) != train_value)
     stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
               StandardScaler(inputCol="_raw", outputCol="_x")]
