@@ -44,8 +44,13 @@ def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket
     ``a < b``; no basket is gathered into one row. A basket holding a third
     of all lines is a skewed join partition, which adaptive execution splits
     on both sides into chunk x chunk tasks. Pair counts are partially
-    aggregated before their shuffle."""
+    aggregated before their shuffle. The distinct (basket, item) table feeds
+    five branches and is checkpointed once to the shared checkpoint folder."""
+    from ..session import checkpoint_dir
+
     bi = basket_items_df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")).distinct()
+    checkpoint_dir(bi.sparkSession)
+    bi = bi.checkpoint(eager=True)
     n_baskets = bi.select("_b").distinct().agg(F.count(F.lit(1)))
     item_n = bi.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
     frequent = item_n.where(F.col("_n") >= min_count)
