@@ -20,7 +20,7 @@ def _per_score(scored: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label",
-                   n_buckets: int = 64) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """P25. One row: n, n_pos, AUC (tied scores count one half) and log loss
     (scores clipped to [1e-15, 1 - 1e-15]). AUC is NULL when only one class
     is present.
@@ -42,7 +42,7 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
 
 
 def threshold_metrics(scored: DataFrame, score: str = "score", label: str = "label",
-                      n_buckets: int = 64) -> DataFrame:
+                      n_buckets: int | None = None) -> DataFrame:
     """P25. Per distinct score t (predict positive iff score >= t): tp, fp,
     precision, recall, F1 (0 where tp = 0)."""
     per = _per_score(scored, score, label)
@@ -68,7 +68,7 @@ def ntile_of(pos, n, k: int):
 
 
 def lift_by_decile(scored: DataFrame, key: str, score: str = "score", label: str = "label",
-                   n_buckets: int = 64) -> DataFrame:
+                   n_buckets: int | None = None) -> DataFrame:
     """P25. Deciles by descending score (ties by ``key``): rows, positives,
     positive rate and lift over the overall rate."""
     ranked = global_positions(scored.select(key, score, label), score, [key], out="_pos",

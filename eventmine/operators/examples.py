@@ -113,7 +113,10 @@ def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
         c_us = micros(ntz_literal(c))
         in_win = (F.col("event_type") == positive_type) & (ts_us >= c_us) & (ts_us < c_us + F.lit(h))
         hits.append(F.max(in_win.cast("int")).alias(f"h{i}"))
-    per_user = events.groupBy("user_id").agg(F.min("ts").alias("first_ts"), *hits)
+    # nothing at or after the last label window matters (pushed to the scan)
+    until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
+    per_user = (events.where(F.col("ts") < until)
+                      .groupBy("user_id").agg(F.min("ts").alias("first_ts"), *hits))
     rows = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"h{i}").alias("label"))
                      for i in range(len(cutoffs))])
     ex = per_user.select("user_id", "first_ts", F.explode(rows).alias("r"))

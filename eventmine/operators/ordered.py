@@ -122,8 +122,8 @@ def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
 
 
 def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str = "pos",
-                     descending: bool = False, n_buckets: int = 64,
-                     rel_error: float = 0.001, sums: dict | None = None,
+                     descending: bool = False, n_buckets: int | None = None,
+                     rel_error: float | None = None, sums: dict | None = None,
                      totals: bool = False, materialize: bool = True) -> DataFrame:
     """1-based position of each row in the global order
     ``(value [desc], *tiebreak)``, without a single-task window.
@@ -136,6 +136,10 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
     bucket summary, so callers need no extra pass. The bucket summary has at
     most ``n_buckets`` rows and is broadcast.
 
+    ``n_buckets`` defaults to ``max(64, 4 x default parallelism)`` so bucket
+    size shrinks as the cluster grows; the sketch error defaults to a quarter
+    of a bucket's share so buckets stay balanced.
+
     The input is read three times (sketch, bucket rows, bucket summary), so
     by default it is first checkpointed to the shared checkpoint folder:
     upstream work runs once and lineage is cut."""
@@ -144,6 +148,10 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
     from ..session import checkpoint_dir
 
     sums = sums or {}
+    if n_buckets is None:
+        n_buckets = max(64, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    if rel_error is None:
+        rel_error = 1.0 / (4 * n_buckets)
     if materialize:
         checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)

@@ -42,7 +42,7 @@ def sales_rollup(orders: DataFrame, customer: DataFrame, nation: DataFrame, regi
                  F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
 
 
-def rfm(orders: DataFrame, as_of: str, n_buckets: int = 64) -> DataFrame:
+def rfm(orders: DataFrame, as_of: str, n_buckets: int | None = None) -> DataFrame:
     """P29. Per customer: days since the last order at ``as_of``, order count,
     spend, and a 1–5 score on each — ``ntile(5)`` by (metric, customer) with
     recency reversed, so 5 is best.

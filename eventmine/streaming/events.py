@@ -27,8 +27,10 @@ def _interval(spec: str) -> str:
 
 
 def read_event_stream(spark: SparkSession, directory: str, glob: str | None = None,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """File-source stream of ``events`` parquet files in ``directory``."""
+                      max_files_per_trigger: int | None = 1000) -> DataFrame:
+    """File-source stream of ``events`` parquet files in ``directory``.
+    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog is
+    worked off in many bounded batches (also under ``availableNow``)."""
     r = spark.readStream.schema(SCHEMAS["events"])
     if glob:
         r = r.option("pathGlobFilter", glob)
