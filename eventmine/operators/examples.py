@@ -23,9 +23,12 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def _segment(ts: Column, cutoffs: list[str]) -> Column:
     """Number of cutoffs at or before ``ts``: the event precedes cutoffs
-    ``seg .. len(cutoffs)-1``."""
-    arr = ntz_array(cutoffs)
-    return F.size(F.filter(arr, lambda c: c <= ts)).cast("int")
+    ``seg .. len(cutoffs)-1``. A sum of comparisons, so it stays inside
+    whole-stage codegen (no higher-order function per event)."""
+    seg = F.lit(0)
+    for c in cutoffs:
+        seg = seg + (ts >= ntz_literal(c)).cast("int")
+    return seg
 
 
 def _cutoff_at(idx: Column, cutoffs: list[str]) -> Column:
