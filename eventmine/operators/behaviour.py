@@ -22,21 +22,28 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
                key: str = "user_id") -> DataFrame:
     """P05. Add ``session_no`` (1, 2, … per user). A new session starts iff the
     time since the user's previous event is strictly greater than ``gap``.
+    Events without a user or a time are kept with a NULL ``session_no``.
 
     Inside each (user, bucket): lag and a running count of session starts.
     Per (user, bucket) summary: first and last time, starts inside. A scan of
     the summary per user decides whether each bucket's first event starts a
     session and gives the count of sessions before the bucket."""
     g = duration_us(gap)
-    ev = with_time_bucket(events, "ts", bucket)
+    has_key = F.col(key).isNotNull() & F.col("ts").isNotNull()
+    ev = with_time_bucket(events.where(has_key), "ts", bucket)
+    # stated here, the join's inferred not-null filters add nothing, so the
+    # window and summary branches plan identically and share one exchange
+    ev = ev.where(F.col(BUCKET).isNotNull())
     w = Window.partitionBy(key, BUCKET).orderBy(*ORDER)
     prev_in = F.lag(TS_US).over(w)
     inner = (ev.withColumn("_prev_in", prev_in)
                .withColumn("_start_in", (F.col(TS_US) - F.col("_prev_in") > F.lit(g)).cast("int"))
                .withColumn("_cum_in", F.coalesce(F.sum("_start_in").over(
                    w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))))
+    # first/last from ``ts`` (same order as the micros): the summary branch
+    # then reads the same columns as the window branch
     summ = inner.groupBy(key, BUCKET).agg(
-        F.min(TS_US).alias("_first"), F.max(TS_US).alias("_last"),
+        micros(F.min("ts")).alias("_first"), micros(F.max("ts")).alias("_last"),
         F.coalesce(F.sum("_start_in"), F.lit(0)).alias("_n_in"))
     wb = Window.partitionBy(key).orderBy(BUCKET)
     prev_last = F.lag("_last").over(wb)
@@ -45,12 +52,15 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
                 .withColumn("_off", F.coalesce(F.sum(F.col("_n_in") + F.col("_first_start")).over(
                     wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                 .select(key, BUCKET, "_first_start", "_off"))
-    # The summary branch re-reads the narrow (key, ts, event_id) projection;
-    # the join moves only the summary (one row per user-bucket).
-    out = inner.join(summ, [key, BUCKET], "left")
-    return out.select(*events.columns,
-                      (F.col("_off") + F.col("_first_start") + F.col("_cum_in"))
-                      .cast("bigint").alias("session_no"))
+    # The join moves only the summary (one row per user-bucket); the big side
+    # is already partitioned by (user, bucket).
+    out = inner.join(summ, [key, BUCKET])
+    sessions = out.select(*events.columns,
+                          (F.col("_off") + F.col("_first_start") + F.col("_cum_in"))
+                          .cast("bigint").alias("session_no"))
+    # Events without a user or a time are kept, unsessionized.
+    rest = events.where(~has_key).withColumn("session_no", F.lit(None).cast("bigint"))
+    return sessions.unionByName(rest)
 
 
 def session_summary(events: DataFrame, gap: str = "8h", bucket: str = "1d",
@@ -59,7 +69,7 @@ def session_summary(events: DataFrame, gap: str = "8h", bucket: str = "1d",
     event types, whether it contains ``positive_type``, value sum. A plain
     ``groupBy`` on the sessionized log — partial aggregation, no single-key
     task."""
-    s = sessionize(events, gap, bucket, key)
+    s = sessionize(events, gap, bucket, key).where(F.col("session_no").isNotNull())
     return s.groupBy(key, "session_no").agg(
         F.min("ts").alias("session_start"),
         F.max("ts").alias("last_event"),

@@ -199,3 +199,9 @@ def test_gap_stats_approx_close_to_exact(spark):
         assert ap[u].n_gaps == r.n_gaps and abs(ap[u].mean_s - r.mean_s) < 1e-9
         # approx returns an observed gap next to the interpolated median
         assert ap[u].p50_s > 0 and ap[u].p90_s >= ap[u].p50_s
+
+
+def test_sessionize_keeps_rows_without_user_or_time(spark):
+    rows = [(1, ts(0), 1, "view"), (2, None, 1, "view"), (3, ts(5), None, "view")]
+    got = {r.event_id: r.session_no for r in B.sessionize(make_events(spark, rows), "30m").collect()}
+    assert got == {1: 1, 2: None, 3: None}
