@@ -160,7 +160,8 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
     dv = df.withColumn("_qv", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     qs = dv.approxQuantile("_qv", probs, rel_error) if n_buckets > 1 else []
-    splits = sorted({float(q) for q in qs if math.isfinite(q)})
+    # any finite split keeps the order right; Bucketizer needs at least one
+    splits = sorted({float(q) for q in qs if math.isfinite(q)}) or [0.0]
     splits = [float("-inf")] + splits + [float("inf")]
     bk = Bucketizer(splits=splits, inputCol="_qv", outputCol="_gb", handleInvalid="keep")
     db = bk.transform(dv)
