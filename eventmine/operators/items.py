@@ -34,18 +34,27 @@ def basket_items(lineitem: DataFrame, part: DataFrame, item_col: str = "p_brand"
 
 
 def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket",
-               item: str = "item") -> DataFrame:
+               item: str = "item", hot_min_items: int = 10_000) -> DataFrame:
     """P21. For item pairs (a < b) in at least ``min_count`` baskets: count,
     support, confidence both ways and lift.
 
     Items below ``min_count`` cannot be in such a pair and are dropped first
     (a join against the frequent items, not a driver-side list). Pairs come
     from an equi-join of (basket, item) with itself on ``basket`` and
-    ``a < b``; no basket is gathered into one row. A basket holding a third
-    of all lines is a skewed join partition, which adaptive execution splits
-    on both sides into chunk x chunk tasks. Pair counts are partially
-    aggregated before their shuffle. The distinct (basket, item) table feeds
-    five branches and is checkpointed once to the shared checkpoint folder."""
+    ``a < b``; no basket is gathered into one row, and pair counts are
+    partially aggregated before their shuffle.
+
+    Hot baskets. A basket with m distinct items yields m(m-1)/2 pairs, so a
+    basket holding a third of the data must not be expanded. Up to
+    ``k = min_count - 1`` of the largest baskets with at least
+    ``hot_min_items`` frequent items are set aside; pairs come from the other
+    baskets only, and each candidate pair then gets the number of hot baskets
+    holding both items from two membership joins (rows: candidates × k).
+    Exact: a pair reaching ``min_count`` with at most k < ``min_count`` hot
+    baskets must occur in some other basket, so it is a candidate.
+
+    The distinct (basket, item) table feeds several branches and is
+    checkpointed once to the shared checkpoint folder."""
     from ..session import checkpoint_dir
 
     bi = basket_items_df.select(F.col(basket).alias("_b"), F.col(item).alias("_i")).distinct()
@@ -55,11 +64,27 @@ def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket
     item_n = bi.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
     frequent = item_n.where(F.col("_n") >= min_count)
     fb = bi.join(frequent.select("_i"), "_i", "left_semi")
-    a = fb.select("_b", F.col("_i").alias("item_a"))
-    b = fb.select("_b", F.col("_i").alias("item_b"))
-    pairs = (a.join(b, "_b").where(F.col("item_a") < F.col("item_b"))
-              .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_ab"))
-              .where(F.col("n_ab") >= min_count))
+    k = max(min_count - 1, 0)
+    hot = (fb.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
+             .where(F.col("_m") >= hot_min_items)
+             .orderBy(F.col("_m").desc(), F.col("_b")).limit(k).select("_b"))
+    hot = F.broadcast(hot)  # at most k = min_count - 1 rows
+    normal = fb.join(hot, "_b", "left_anti")
+    a = normal.select("_b", F.col("_i").alias("item_a"))
+    b = normal.select("_b", F.col("_i").alias("item_b"))
+    cand = (a.join(b, "_b").where(F.col("item_a") < F.col("item_b"))
+             .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_norm"))
+             .where(F.col("_n_norm") >= F.lit(min_count - k)))
+    hb = fb.join(hot, "_b", "left_semi")
+    in_hot = (cand.select("item_a", "item_b")
+                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_a")), "item_a")
+                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_b")),
+                        ["_h", "item_b"], "left_semi")
+                  .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_hot")))
+    pairs = (cand.join(in_hot, ["item_a", "item_b"], "left")
+                 .select("item_a", "item_b",
+                         (F.col("_n_norm") + F.coalesce(F.col("_n_hot"), F.lit(0))).alias("n_ab"))
+                 .where(F.col("n_ab") >= min_count))
     na = frequent.select(F.col("_i").alias("item_a"), F.col("_n").alias("n_a"))
     nb = frequent.select(F.col("_i").alias("item_b"), F.col("_n").alias("n_b"))
     total = n_baskets.scalar()

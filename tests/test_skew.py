@@ -83,3 +83,18 @@ def test_hot_order_and_customer_match_sql(spark, skewed_orders_dir, name):
     got = E.queries()[name](spark, skewed_orders_dir).select(*cols).collect()
     assert len(got) == len(want)
     assert _norm(got) == _norm(want)
+
+
+def test_hot_basket_pairs_without_expanding_it(spark, skewed_orders_dir):
+    """Part-level pairs with one order holding a third of the line items:
+    the hot-basket path (no pair expansion of that basket) equals the plain
+    self-join over every basket."""
+    from eventmine.operators import items as I
+    li = spark.read.parquet(f"{skewed_orders_dir}/lineitem.parquet")
+    part = spark.read.parquet(f"{skewed_orders_dir}/part.parquet")
+    bi = I.basket_items(li, part, "p_partkey")
+    for min_count in (2, 3):
+        fast = I.pair_rules(bi, min_count, hot_min_items=100).collect()
+        plain = I.pair_rules(bi, min_count, hot_min_items=10**9).collect()
+        assert len(fast) > 0
+        assert sorted(map(tuple, fast)) == sorted(map(tuple, plain))
