@@ -47,8 +47,10 @@ def with_time_bucket(df: DataFrame, ts_col: str, bucket: str | int) -> DataFrame
 def lag_across_buckets(df: DataFrame, keys, order, values: dict, bucket_col: str = BUCKET
                        ) -> DataFrame:
     """Add, per row, the ``values`` (name → column) of the previous row of its
-    key in ``order``; NULL on a key's first row. ``order`` must be total within
-    a key and consistent with the bucket (bucket = function of its lead column).
+    key in ``order``; NULL on a key's first row and on rows whose key or
+    bucket is NULL (they have no place in an order). ``order`` must be total
+    within a key and consistent with the bucket (bucket = function of its
+    lead column).
     """
     keys, order = _cols(keys), [_col(o) for o in _cols(order)]
     payload = F.struct(*[_col(v).alias(n) for n, v in values.items()])
@@ -58,7 +60,10 @@ def lag_across_buckets(df: DataFrame, keys, order, values: dict, bucket_col: str
                     .agg(F.max_by(payload, F.struct(*order)).alias("_last")))
     ws = Window.partitionBy(*keys).orderBy(bucket_col)
     summary = summary.select(*keys, bucket_col, F.lag("_last").over(ws).alias("_lag_prev"))
-    prev = F.coalesce(F.col("_lag_in"), F.col("_lag_prev"))
+    keyed = F.lit(True)
+    for k in [*keys, bucket_col]:
+        keyed = keyed & F.col(k).isNotNull()
+    prev = F.when(keyed, F.coalesce(F.col("_lag_in"), F.col("_lag_prev")))
     return (inner.join(summary, [*keys, bucket_col], "left")
                  .select(*df.columns, *[prev[n].alias(n) for n in values]))
 
@@ -67,7 +72,8 @@ def carry_last_across_buckets(df: DataFrame, keys, order, value: Column, out: st
                               include_current: bool = True, bucket_col: str = BUCKET
                               ) -> DataFrame:
     """Add ``out``: the last non-NULL ``value`` at (or strictly before, when
-    ``include_current`` is False) each row, in ``order`` within its key."""
+    ``include_current`` is False) each row, in ``order`` within its key; NULL
+    for rows whose key or bucket is NULL."""
     keys, order = _cols(keys), [_col(o) for o in _cols(order)]
     w = (Window.partitionBy(*keys, bucket_col).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
@@ -78,14 +84,18 @@ def carry_last_across_buckets(df: DataFrame, keys, order, value: Column, out: st
           .rowsBetween(Window.unboundedPreceding, -1))
     summary = summary.select(*keys, bucket_col,
                              F.last(F.col("_bl.v"), ignorenulls=True).over(ws).alias("_carry_prev"))
+    keyed = F.lit(True)
+    for k in [*keys, bucket_col]:
+        keyed = keyed & F.col(k).isNotNull()
     return (inner.join(summary, [*keys, bucket_col], "left")
                  .select(*df.columns,
-                         F.coalesce("_carry_in", "_carry_prev").alias(out)))
+                         F.when(keyed, F.coalesce("_carry_in", "_carry_prev")).alias(out)))
 
 
 def running_sum_across_buckets(df: DataFrame, keys, order, sums: dict, bucket_col: str = BUCKET
                                ) -> DataFrame:
-    """Add inclusive running sums (name → column) in ``order`` within each key."""
+    """Add inclusive running sums (name → column) in ``order`` within each
+    key; NULL for rows whose key or bucket is NULL."""
     keys, order = _cols(keys), [_col(o) for o in _cols(order)]
     w = (Window.partitionBy(*keys, bucket_col).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, 0))
@@ -99,6 +109,7 @@ def running_sum_across_buckets(df: DataFrame, keys, order, sums: dict, bucket_co
     return (inner.join(summary, [*keys, bucket_col], "left")
                  .select(*df.columns,
                          *[(F.col(f"_rs_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]))
+    # (NULL keys find no summary row in the equi-join, so _off is NULL there)
 
 
 def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
