@@ -203,3 +203,41 @@ def q_audience(spark, d):
 
 
 
+
+
+GAP30_US = duration_us("30m")
+SESSIONIZED_30M_SQL = SESSIONIZED_SQL.replace(f"> {GAP_US}", f"> {GAP30_US}")
+
+
+@query("sessionize_30m", f"SELECT event_id, user_id, ts, session_no FROM ({SESSIONIZED_30M_SQL})")
+def q_sessionize_30m(spark, d):
+    s = B.sessionize(events(spark, d), "30m", bucket="6h")
+    return s.select("event_id", "user_id", "ts", "session_no")
+
+
+@query("trailing_features_halo", f"""
+SELECT user_id, event_id, ts,
+  {_TR_SQL}
+FROM events WINDOW {_TR_WIN}
+""")
+def q_trailing_halo(spark, d):
+    return B.trailing_features(events(spark, d), P.TRAILING, method="halo")
+
+
+_S2 = ["signup", "view", "purchase"]
+WITHIN72_US = duration_us("72h")
+
+
+@query("funnel_signup_72h", f"""
+WITH a AS (SELECT user_id, ts AS t0 FROM events WHERE event_type = '{_S2[0]}'),
+a1 AS (SELECT a.*, (SELECT min(e.ts) FROM events e WHERE e.user_id = a.user_id
+         AND e.event_type = '{_S2[1]}' AND e.ts > a.t0) AS t1 FROM a),
+a2 AS (SELECT a1.*, (SELECT min(e.ts) FROM events e WHERE e.user_id = a1.user_id
+         AND e.event_type = '{_S2[2]}' AND e.ts > a1.t1) AS t2 FROM a1)
+SELECT user_id, max(1 + CASE WHEN epoch_us(t1) - epoch_us(t0) <= {WITHIN72_US}
+    THEN 1 + CASE WHEN epoch_us(t2) - epoch_us(t0) <= {WITHIN72_US} THEN 1 ELSE 0 END
+    ELSE 0 END)::INTEGER AS depth
+FROM a2 GROUP BY user_id
+""")
+def q_funnel_72h(spark, d):
+    return B.funnel(events(spark, d), _S2, "72h", bucket=P.TS_BUCKET)

@@ -165,3 +165,20 @@ FROM ({LABELS_SQL})
 def q_split_time(spark, d):
     ex = X.label_examples(events(spark, d), P.CUTOFFS, P.HORIZON)
     return X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], valid_cutoff=P.CUTOFFS[-2])
+
+
+@query("as_of_last_view_strict", """
+WITH v AS (SELECT user_id, ts, max(event_id) AS event_id FROM events
+           WHERE event_type = 'view' GROUP BY user_id, ts),
+     vv AS (SELECT v.user_id, v.ts, v.event_id, e.value FROM v JOIN events e USING (event_id))
+SELECT p.event_id, p.user_id, p.ts, p.value,
+       vv.event_id AS r_event_id, vv.ts AS r_ts, vv.value AS r_value
+FROM (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN vv ON p.user_id = vv.user_id AND p.ts > vv.ts
+""")
+def q_as_of_strict(spark, d):
+    ev = events(spark, d)
+    purchases = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
+    views = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
+    return X.as_of_join(purchases, views, by="user_id", left_ts="ts", right_ts="ts",
+                        right_id="event_id", right_cols=["value"], strict=True, bucket=P.TS_BUCKET)
