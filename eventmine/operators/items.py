@@ -47,9 +47,11 @@ def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket
     Hot baskets. A basket with m distinct items yields m(m-1)/2 pairs, so a
     basket holding a third of the data must not be expanded. Up to
     ``k = min_count - 1`` of the largest baskets with at least
-    ``hot_min_items`` frequent items are set aside; pairs come from the other
-    baskets only, and each candidate pair then gets the number of hot baskets
-    holding both items from two membership joins (rows: candidates × k).
+    ``hot_min_items`` frequent items are set aside (their ids, at most k,
+    become a filter); pairs come from the other baskets only, and each
+    candidate pair then gets the number of hot baskets holding both items
+    from two membership joins (rows: candidates × k). Without hot baskets
+    the plan is the plain self-join.
     Exact: a pair reaching ``min_count`` with at most k < ``min_count`` hot
     baskets must occur in some other basket, so it is a candidate.
 
@@ -65,25 +67,28 @@ def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket
     frequent = item_n.where(F.col("_n") >= min_count)
     fb = bi.join(frequent.select("_i"), "_i", "left_semi")
     k = max(min_count - 1, 0)
-    hot = (fb.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
-             .where(F.col("_m") >= hot_min_items)
-             .orderBy(F.col("_m").desc(), F.col("_b")).limit(k).select("_b"))
-    hot = F.broadcast(hot)  # at most k = min_count - 1 rows
-    normal = fb.join(hot, "_b", "left_anti")
+    # at most k = min_count - 1 basket ids reach the driver (a parameter bound)
+    hot_ids = [r["_b"] for r in (
+        fb.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
+          .where(F.col("_m") >= hot_min_items)
+          .orderBy(F.col("_m").desc(), F.col("_b")).limit(k).collect())] if k else []
+    is_hot = F.col("_b").isin(hot_ids) if hot_ids else F.lit(False)
+    normal = fb.where(~is_hot)
     a = normal.select("_b", F.col("_i").alias("item_a"))
     b = normal.select("_b", F.col("_i").alias("item_b"))
     cand = (a.join(b, "_b").where(F.col("item_a") < F.col("item_b"))
-             .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_norm"))
-             .where(F.col("_n_norm") >= F.lit(min_count - k)))
-    hb = fb.join(hot, "_b", "left_semi")
-    in_hot = (cand.select("item_a", "item_b")
-                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_a")), "item_a")
-                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_b")),
-                        ["_h", "item_b"], "left_semi")
-                  .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_hot")))
-    pairs = (cand.join(in_hot, ["item_a", "item_b"], "left")
-                 .select("item_a", "item_b",
-                         (F.col("_n_norm") + F.coalesce(F.col("_n_hot"), F.lit(0))).alias("n_ab"))
+             .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_norm")))
+    if hot_ids:
+        cand = cand.where(F.col("_n_norm") >= F.lit(min_count - len(hot_ids)))
+        hb = fb.where(is_hot)
+        in_hot = (cand.select("item_a", "item_b")
+                      .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_a")), "item_a")
+                      .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_b")),
+                            ["_h", "item_b"], "left_semi")
+                      .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_hot")))
+        cand = (cand.join(in_hot, ["item_a", "item_b"], "left")
+                    .withColumn("_n_norm", F.col("_n_norm") + F.coalesce(F.col("_n_hot"), F.lit(0))))
+    pairs = (cand.select("item_a", "item_b", F.col("_n_norm").alias("n_ab"))
                  .where(F.col("n_ab") >= min_count))
     na = frequent.select(F.col("_i").alias("item_a"), F.col("_n").alias("n_a"))
     nb = frequent.select(F.col("_i").alias("item_b"), F.col("_n").alias("n_b"))
