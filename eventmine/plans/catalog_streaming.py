@@ -19,7 +19,7 @@ TTL_US = duration_us(P.STATE_TTL)
 
 
 def _stream(spark, d):
-    return ST.read_event_stream(spark, d, glob="events.parquet")
+    return ST.read_table_stream(spark, d, "events")
 
 
 @query("stream_window_counts", f"""

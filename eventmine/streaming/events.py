@@ -39,6 +39,19 @@ def read_event_stream(spark: SparkSession, directory: str, glob: str | None = No
     return r.parquet(directory)
 
 
+def read_table_stream(spark: SparkSession, base: str, name: str = "events",
+                      max_files_per_trigger: int | None = 1000) -> DataFrame:
+    """Stream the table ``<base>/<name>.parquet`` whether it is a directory of
+    part files (streamed directly) or a single file (its folder is streamed
+    with a file-name filter; the file source only takes directories)."""
+    path = f"{base.rstrip('/')}/{name}.parquet"
+    files = spark.read.parquet(path).inputFiles()
+    if any(f"/{name}.parquet/" in f for f in files):
+        return read_event_stream(spark, path, max_files_per_trigger=max_files_per_trigger)
+    return read_event_stream(spark, base, glob=f"{name}.parquet",
+                             max_files_per_trigger=max_files_per_trigger)
+
+
 def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
     return (stream.withColumn("event_time", to_event_time("ts"))
                   .withWatermark("event_time", _interval(delay)))

@@ -16,7 +16,7 @@ from conftest import SF01  # noqa: E402
 HOT = 999_999
 QUERIES = ["sessionize", "session_summary", "funnel", "trailing_features", "gap_stats",
            "transitions", "as_of_last_view", "features_at_cutoff", "label_examples",
-           "window_counts_sliding", "retention_weekly"]
+           "window_counts_sliding", "retention_weekly", "stream_sessions", "stream_user_state"]
 
 
 def _norm(rows):

@@ -79,3 +79,14 @@ def test_user_state_expiry_and_restart(spark, tmp_path):
     assert g[2].n_events == 2 and g[2].n_purchases == 1 and not g[2].expired   # state resumed
     assert g[1].expired and g[1].n_events == 2                                 # 10:30 + 2h < 13:50
     assert g[1].last_purchase.hour == 10
+
+
+def test_table_stream_from_file_or_directory(spark, tmp_path):
+    from conftest import SF001
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    ev.repartition(3).write.parquet(str(tmp_path / "events.parquet"))  # a directory table
+    for base in (SF001, str(tmp_path)):
+        s = ST.read_table_stream(spark, base, "events")
+        out = ST.run_available_now(spark, s, "t-read", sink=str(tmp_path / f"sink{len(base)}"),
+                                   checkpoint=str(tmp_path / f"ck{len(base)}"))
+        assert out.count() == 1000
