@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -66,12 +65,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique location under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/eventmine/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(p: str) -> bool:
-    return "://" not in p or p.startswith("file:")
-
-
-def makedirs_if_local(p: str) -> None:
-    if is_local_path(p):
-        os.makedirs(p.replace("file:", ""), exist_ok=True)
