@@ -9,7 +9,7 @@ from eventmine.operators import behaviour as B
 from conftest import make_events, ts
 
 H = dt.timedelta(hours=1)
-SETTINGS = dict(max_examples=12, deadline=None,
+SETTINGS = dict(max_examples=12, deadline=None, derandomize=True,
                 suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
