@@ -53,42 +53,40 @@ def _per_day(events: DataFrame, cutoffs: list[str], event_types: list[str],
         *[F.max(h.cast("int")).alias(f"_h{i}") for i, h in enumerate(hits or [])])
 
 
-def _features_from_per_day(per_day: DataFrame, cutoffs: list[str], event_types: list[str],
-                           with_labels: bool = False) -> DataFrame:
-    """Level 2: fan each (user, day, segment) row out to the cutoffs it
-    precedes (features) and, with ``with_labels``, to the cutoffs whose label
-    window it falls in (the two sets are disjoint: a label event is at or
-    after its cutoff), then one ``groupBy(user_id, ci)``."""
+def _features_from_per_day(per_day: DataFrame, cutoffs: list[str], event_types: list[str]
+                           ) -> DataFrame:
+    """Level 2: running sums over each user's segments. Rows of segment s
+    count for every cutoff from s on, so the per-(user, segment) totals are
+    summed cumulatively (a window over at most len(cutoffs) rows per user)
+    and each cumulative row is expanded to the cutoffs up to the user's next
+    segment: every (user, cutoff) output row is produced once."""
     n = len(cutoffs)
     seg = F.col("seg")
     # A day is active before cutoff i from the first segment it appears in.
     first_seg = F.min("seg").over(Window.partitionBy("user_id", "day"))
-    per_day = per_day.withColumn("new_day", (seg == first_seg).cast("int"))
-    if with_labels:
-        hs = F.array(*[F.col(f"_h{i}") for i in range(n)])
-        targets = F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
-                           lambda j: (j >= seg) | (F.element_at(hs, j + 1) == 1))
-    else:
-        targets = F.sequence(seg, F.lit(n - 1))
-        per_day = per_day.where(seg < n)
-    fan = per_day.withColumn("ci", F.explode(targets))
-    is_f = seg <= F.col("ci")
+    per_day = per_day.withColumn("new_day", (seg == first_seg).cast("int")).where(seg < n)
     count_cols = ["n_events"] + [f"n_{t}" for t in event_types]
-    aggs = [*[F.sum(F.when(is_f, F.col(c))).cast("bigint").alias(c) for c in count_cols],
-            F.sum(F.when(is_f, F.col("value_sum"))).cast("double").alias("value_sum"),
-            F.max(F.when(is_f, F.col("last_ts"))).alias("last_ts"),
-            F.sum(F.when(is_f, F.col("new_day"))).cast("bigint").alias("active_days")]
-    if with_labels:
-        aggs.append(F.coalesce(F.max(F.when(~is_f, F.element_at(hs, F.col("ci") + 1))), F.lit(0))
-                    .cast("int").alias("label"))
-    agg = fan.groupBy("user_id", "ci").agg(*aggs)
-    if with_labels:
-        agg = agg.where(F.col("n_events").isNotNull())  # seen before the cutoff
+    per_seg = per_day.groupBy("user_id", "seg").agg(
+        *[F.sum(c).alias(c) for c in count_cols],
+        F.sum("value_sum").alias("value_sum"),
+        F.max("last_ts").alias("last_ts"),
+        F.sum("new_day").alias("active_days"))
+    wu = Window.partitionBy("user_id").orderBy("seg")
+    run = wu.rowsBetween(Window.unboundedPreceding, 0)
+    cum = per_seg.select(
+        "user_id", "seg",
+        *[F.sum(c).over(run).cast("bigint").alias(c) for c in count_cols],
+        F.sum("value_sum").over(run).cast("double").alias("value_sum"),
+        F.max("last_ts").over(run).alias("last_ts"),
+        F.sum("active_days").over(run).cast("bigint").alias("active_days"),
+        F.lead("seg").over(wu).alias("_next"))
+    upto = F.coalesce(F.col("_next"), F.lit(n)) - 1
+    out = cum.withColumn("ci", F.explode(F.sequence(seg, upto)))
     cutoff = _cutoff_at(F.col("ci"), cutoffs)
-    return agg.select(
-        "user_id", cutoff.alias("cutoff"), *count_cols, "value_sum",
+    return out.select(
+        "user_id", "ci", cutoff.alias("cutoff"), *count_cols, "value_sum",
         ((micros(cutoff) - micros("last_ts")) / F.lit(1e6)).alias("recency_s"),
-        "active_days", *(["label"] if with_labels else []))
+        "active_days")
 
 
 def features_at_cutoff(events: DataFrame, cutoffs: list[str],
@@ -98,7 +96,7 @@ def features_at_cutoff(events: DataFrame, cutoffs: list[str],
     last event, distinct active days."""
     cutoffs = sorted(cutoffs)
     per_day = _per_day(events, cutoffs, event_types)
-    return _features_from_per_day(per_day, cutoffs, event_types)
+    return _features_from_per_day(per_day, cutoffs, event_types).drop("ci")
 
 
 def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
@@ -132,9 +130,9 @@ def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str =
                            event_types: list[str] = EVENT_TYPES,
                            positive_type: str = "purchase") -> DataFrame:
     """Features (P16) joined to labels (P15) on (user_id, cutoff), from one
-    scan of the event log and one level-2 aggregate: the (user, day, segment)
-    reduction also carries one label flag per cutoff, and those rows are
-    fanned out to the cutoffs whose label window they fall in."""
+    scan of the event log: the (user, day, segment) reduction also carries
+    one label flag per cutoff (labels are a max over the user's rows) and is
+    checkpointed once for both branches."""
     cutoffs = sorted(cutoffs)
     h = duration_us(horizon)
     ts_us = micros("ts")
@@ -145,7 +143,18 @@ def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str =
                     & (ts_us < c_us + F.lit(h)))
     until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
     per_day = _per_day(events, cutoffs, event_types, until=until, hits=hits)
-    return _features_from_per_day(per_day, cutoffs, event_types, with_labels=True)
+    # features and labels both read the (much smaller) per-day table: write it
+    # once instead of scanning the event log per branch
+    checkpoint_dir(per_day.sparkSession)
+    per_day = per_day.checkpoint(eager=True)
+    feats = _features_from_per_day(per_day, cutoffs, event_types)
+    n = len(cutoffs)
+    flags = per_day.groupBy("user_id").agg(
+        *[F.coalesce(F.max(f"_h{i}"), F.lit(0)).alias(f"_h{i}") for i in range(n)])
+    labels = flags.select("user_id", F.posexplode(F.array(*[F.col(f"_h{i}") for i in range(n)]))
+                          .alias("ci", "label"))
+    return (feats.join(labels, ["user_id", "ci"])
+                 .select(*[c for c in feats.columns if c != "ci"], F.col("label").cast("int")))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str,

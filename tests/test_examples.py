@@ -125,3 +125,33 @@ def test_examples_with_features_equals_join_of_parts(spark):
     one_pass = X.examples_with_features(ev, cut, "2d")
     cols = joined.columns
     assert sorted(map(tuple, one_pass.select(*cols).collect())) == sorted(map(tuple, joined.collect()))
+
+
+def test_many_cutoffs_match_sql(spark):
+    """28 daily cutoffs: the running-sum expansion equals the SQL join."""
+    import duckdb
+    cut = [f"2024-01-{d:02d} 06:00:00" for d in range(2, 30)]
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    got = X.examples_with_features(ev, cut, "1d").collect()
+    values = ", ".join(f"(TIMESTAMP '{c}')" for c in cut)
+    types = ", ".join(f"count_if(e.event_type = '{t}')::BIGINT AS n_{t}" for t in X.EVENT_TYPES)
+    sql = f"""
+    WITH c(cutoff) AS (VALUES {values}),
+    f AS (SELECT e.user_id, c.cutoff, count(*)::BIGINT AS n_events, {types},
+            sum(e.value::DECIMAL(18,2))::DOUBLE AS value_sum,
+            (epoch_us(c.cutoff) - epoch_us(max(e.ts))) / 1e6 AS recency_s,
+            count(DISTINCT e.ts::DATE)::BIGINT AS active_days
+          FROM events e JOIN c ON e.ts < c.cutoff GROUP BY 1, 2),
+    l AS (SELECT e.user_id, c.cutoff,
+            max(CASE WHEN e.event_type = 'purchase' AND e.ts >= c.cutoff
+                     AND e.ts < c.cutoff + INTERVAL 1 DAY THEN 1 ELSE 0 END)::INTEGER AS label
+          FROM events e CROSS JOIN c GROUP BY 1, 2)
+    SELECT f.*, l.label FROM f JOIN l USING (user_id, cutoff)"""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF001}/events.parquet')")
+    res = con.execute(sql)
+    cols = [d[0] for d in res.description]
+    want = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in res.fetchall())
+    have = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in cols))
+                  for r in got)
+    assert len(have) == len(want) and have == want
