@@ -104,26 +104,30 @@ def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
     """P15. One row per (user seen before the cutoff, cutoff); ``label`` is 1
     iff the user has a ``positive_type`` event in ``[cutoff, cutoff + horizon)``.
 
-    One pass, one ``groupBy(user_id)`` with one conditional aggregate per
-    cutoff, then a fan-out to at most ``len(cutoffs)`` rows per user."""
+    One pass, one ``groupBy(user_id)``: each positive event is exploded to the
+    indexes of the label windows holding it (cutoffs in ``(ts - h, ts]``, a
+    handful), and the user keeps its first event time and the set of hit
+    indexes (at most one entry per cutoff, combined map-side). Examples are
+    then the cutoffs after the user's first event."""
     cutoffs = sorted(cutoffs)
+    n = len(cutoffs)
     h = duration_us(horizon)
-    ts_us = micros("ts")
-    hits = []
-    for i, c in enumerate(cutoffs):
-        c_us = micros(ntz_literal(c))
-        in_win = (F.col("event_type") == positive_type) & (ts_us >= c_us) & (ts_us < c_us + F.lit(h))
-        hits.append(F.max(in_win.cast("int")).alias(f"h{i}"))
-    # nothing at or after the last label window matters (pushed to the scan)
+    ts = F.col("ts")
+    back = F.timestamp_add("MICROSECOND", F.lit(-h), ts)
+    # window j holds ts iff c_j <= ts < c_j + h, i.e. j in [lo, hi]
+    lo, hi = _segment(back, cutoffs), _segment(ts, cutoffs) - 1
+    hit_idx = F.when((F.col("event_type") == positive_type) & (hi >= lo), F.sequence(lo, hi))
     until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
-    per_user = (events.where(F.col("ts") < until)
-                      .groupBy("user_id").agg(F.min("ts").alias("first_ts"), *hits))
-    rows = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(f"h{i}").alias("label"))
-                     for i in range(len(cutoffs))])
-    ex = per_user.select("user_id", "first_ts", F.explode(rows).alias("r"))
-    cutoff = _cutoff_at(F.col("r.ci"), cutoffs)
-    return (ex.where(F.col("first_ts") < cutoff)
-              .select("user_id", cutoff.alias("cutoff"), F.col("r.label").cast("int").alias("label")))
+    per_user = (events.where(ts < until)
+                      .select("user_id", "ts", F.explode_outer(hit_idx).alias("_j"))
+                      .groupBy("user_id")
+                      .agg(F.min("ts").alias("first_ts"), F.collect_set("_j").alias("_hits")))
+    start_j = _segment(F.col("first_ts"), cutoffs)
+    ex = per_user.where(start_j < n).select(
+        "user_id", "_hits", F.explode(F.sequence(start_j, F.lit(n - 1))).alias("_ci"))
+    cutoff = _cutoff_at(F.col("_ci"), cutoffs)
+    return ex.select("user_id", cutoff.alias("cutoff"),
+                     F.array_contains("_hits", F.col("_ci")).cast("int").alias("label"))
 
 
 def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str = "1d",

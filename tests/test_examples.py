@@ -155,3 +155,20 @@ def test_many_cutoffs_match_sql(spark):
     have = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in (r[c] for c in cols))
                   for r in got)
     assert len(have) == len(want) and have == want
+
+
+def test_labels_many_overlapping_cutoffs_match_sql(spark):
+    import duckdb
+    cut = [f"2024-01-{d:02d} {hh:02d}:00:00" for d in range(2, 29) for hh in (0, 12)]
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    got = sorted(tuple(r) for r in X.label_examples(ev, cut, "2d").collect())
+    values = ", ".join(f"(TIMESTAMP '{c}')" for c in cut)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF001}/events.parquet')")
+    want = sorted(con.execute(f"""
+      WITH c(cutoff) AS (VALUES {values})
+      SELECT e.user_id, c.cutoff,
+        max(CASE WHEN e.event_type = 'purchase' AND e.ts >= c.cutoff
+                 AND e.ts < c.cutoff + INTERVAL 2 DAY THEN 1 ELSE 0 END)::INTEGER AS label
+      FROM events e CROSS JOIN c GROUP BY 1, 2 HAVING min(e.ts) < c.cutoff""").fetchall())
+    assert got == want
