@@ -36,10 +36,11 @@ def _cutoff_at(idx: Column, cutoffs: list[str]) -> Column:
 
 
 def _per_day(events: DataFrame, cutoffs: list[str], event_types: list[str],
-             until=None, hits: list[Column] | None = None) -> DataFrame:
+             until=None, hits: Column | None = None) -> DataFrame:
     """Level 1: one row per (user, day, segment) — partial aggregation
     collapses hot users map-side. ``until`` bounds the scan (pushed to the
-    reader); ``hits`` are extra boolean columns kept as per-row maxima."""
+    reader); ``hits`` (an array of label-window indexes per event) is kept as
+    the group's distinct indexes (at most one per cutoff)."""
     last = until if until is not None else ntz_literal(cutoffs[-1])
     ev = (events.where(F.col("ts") < last)
                 .select("user_id", "ts", "event_type", "value")
@@ -50,7 +51,8 @@ def _per_day(events: DataFrame, cutoffs: list[str], event_types: list[str],
         *[F.count_if(F.col("event_type") == t).alias(f"n_{t}") for t in event_types],
         F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"),
         F.max("ts").alias("last_ts"),
-        *[F.max(h.cast("int")).alias(f"_h{i}") for i, h in enumerate(hits or [])])
+        *([F.array_distinct(F.flatten(F.collect_set(hits))).alias("_hits")]
+          if hits is not None else []))
 
 
 def _features_from_per_day(per_day: DataFrame, cutoffs: list[str], event_types: list[str]
@@ -99,6 +101,15 @@ def features_at_cutoff(events: DataFrame, cutoffs: list[str],
     return _features_from_per_day(per_day, cutoffs, event_types).drop("ci")
 
 
+def _hit_windows(cutoffs: list[str], h: int, positive_type: str) -> Column:
+    """Indexes j of the label windows [c_j, c_j + h) holding a positive event
+    (cutoffs in (ts - h, ts]); NULL for other events."""
+    ts = F.col("ts")
+    back = F.timestamp_add("MICROSECOND", F.lit(-h), ts)
+    lo, hi = _segment(back, cutoffs), _segment(ts, cutoffs) - 1
+    return F.when((F.col("event_type") == positive_type) & (hi >= lo), F.sequence(lo, hi))
+
+
 def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
                    positive_type: str = "purchase") -> DataFrame:
     """P15. One row per (user seen before the cutoff, cutoff); ``label`` is 1
@@ -113,10 +124,7 @@ def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
     n = len(cutoffs)
     h = duration_us(horizon)
     ts = F.col("ts")
-    back = F.timestamp_add("MICROSECOND", F.lit(-h), ts)
-    # window j holds ts iff c_j <= ts < c_j + h, i.e. j in [lo, hi]
-    lo, hi = _segment(back, cutoffs), _segment(ts, cutoffs) - 1
-    hit_idx = F.when((F.col("event_type") == positive_type) & (hi >= lo), F.sequence(lo, hi))
+    hit_idx = _hit_windows(cutoffs, h, positive_type)
     until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
     per_user = (events.where(ts < until)
                       .select("user_id", "ts", F.explode_outer(hit_idx).alias("_j"))
@@ -134,31 +142,24 @@ def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str =
                            event_types: list[str] = EVENT_TYPES,
                            positive_type: str = "purchase") -> DataFrame:
     """Features (P16) joined to labels (P15) on (user_id, cutoff), from one
-    scan of the event log: the (user, day, segment) reduction also carries
-    one label flag per cutoff (labels are a max over the user's rows) and is
-    checkpointed once for both branches."""
+    scan of the event log: the (user, day, segment) reduction also carries the
+    label windows its positive events fall in (a few indexes per row), and is
+    checkpointed once for the feature and label branches."""
     cutoffs = sorted(cutoffs)
     h = duration_us(horizon)
-    ts_us = micros("ts")
-    hits = []
-    for c in cutoffs:
-        c_us = micros(ntz_literal(c))
-        hits.append((F.col("event_type") == positive_type) & (ts_us >= c_us)
-                    & (ts_us < c_us + F.lit(h)))
     until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
-    per_day = _per_day(events, cutoffs, event_types, until=until, hits=hits)
+    per_day = _per_day(events, cutoffs, event_types, until=until,
+                       hits=_hit_windows(cutoffs, h, positive_type))
     # features and labels both read the (much smaller) per-day table: write it
     # once instead of scanning the event log per branch
     checkpoint_dir(per_day.sparkSession)
     per_day = per_day.checkpoint(eager=True)
     feats = _features_from_per_day(per_day, cutoffs, event_types)
-    n = len(cutoffs)
-    flags = per_day.groupBy("user_id").agg(
-        *[F.coalesce(F.max(f"_h{i}"), F.lit(0)).alias(f"_h{i}") for i in range(n)])
-    labels = flags.select("user_id", F.posexplode(F.array(*[F.col(f"_h{i}") for i in range(n)]))
-                          .alias("ci", "label"))
-    return (feats.join(labels, ["user_id", "ci"])
-                 .select(*[c for c in feats.columns if c != "ci"], F.col("label").cast("int")))
+    hit = (per_day.select("user_id", F.explode("_hits").alias("ci")).distinct()
+                  .withColumn("label", F.lit(1)))
+    return (feats.join(hit, ["user_id", "ci"], "left")
+                 .select(*[c for c in feats.columns if c != "ci"],
+                         F.coalesce(F.col("label"), F.lit(0)).cast("int").alias("label")))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str,
