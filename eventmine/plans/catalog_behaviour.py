@@ -241,3 +241,10 @@ FROM a2 GROUP BY user_id
 """)
 def q_funnel_72h(spark, d):
     return B.funnel(events(spark, d), _S2, "72h", bucket=P.TS_BUCKET)
+
+
+@query("gap_stats_approx")
+def q_gap_stats_approx(spark, d):
+    """P10's large-data option: percentile_approx sketches per user (observed
+    gaps, not interpolated), so no SQL equivalent is registered."""
+    return B.gap_stats(events(spark, d), P.TS_BUCKET, method="approx")
