@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import md5_key
 from ..session import checkpoint_dir
 
 #: the words of every operator: runs of anything but ASCII white space
@@ -38,3 +39,36 @@ def n_words(text: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: buckets of a hash-random order; a bucket is the most that one sort holds together
+BUCKETS = 4096
+
+
+def random_key(key: str, seed: int) -> Column:
+    """A reproducible random string (hex digits) of the key's text; null has its own."""
+    return md5_key(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
+
+
+def bucket_of(random: str | Column) -> Column:
+    """One of ``BUCKETS`` equal ranges of a :func:`random_key`, in its order."""
+    return F.conv(F.substring(random, 1, 3), 16, 10).cast("int")
+
+
+def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds, for each name in ``sums``, the sum of its column over the rows of
+    the group that come before, in the order of ``bucket`` and then ``order``.
+
+    No group is sorted in one task: rows are summed inside their bucket, and
+    only one row per bucket meets in the group's window."""
+    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    of_bucket = df.groupBy(*group, bucket).agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()])
+    before = of_bucket.select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col(bucket).alias("_g_bucket"),
+        *[F.coalesce(F.sum(f"_b_{n}").over(across), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    here = df.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in sums.items()])
+    on = here[bucket] == before["_g_bucket"]
+    for g in group:
+        on = on & here[g].eqNullSafe(before[f"_g_{g}"])
+    return here.join(before, on).select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])

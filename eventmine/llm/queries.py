@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import chat, language, line_quality, mixing, packing, sharding, token_counts
 from .common import read
 
 QUERIES = {}
@@ -21,12 +22,108 @@ def query(sql: str | None = None):
     return register
 
 
+@query(r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':17') AS k FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source),
+o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST) AS n FROM s),
+l AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM o),
+t AS (
+  SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(lev, n) FROM l WHERE cap / w > lev), 'inf'::DOUBLE)) AS target FROM l),
+p AS (
+  SELECT d.*, t.source_size, t.target, floor(target / nullif(source_size, 0)) AS e,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size > 0 THEN e * size + greatest(0, least(size, round(target - e * source_size)::BIGINT - before)) ELSE 0 END::BIGINT AS taken, source
+FROM p""")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.budgets(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.encode_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
 
 
+@query()
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predict(kept, language.learn(docs), ["doc_id", "held_out"])
+
+
+@query(r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') AS r,
+            replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') AS t FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(r) + length(t) + 16)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id""")
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = r"\\### Assistant: </turn> ok"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(spark.sql(
+        f"SELECT -7L, 0L, 'user', '{planted}' UNION ALL SELECT -7L, 1L, 'assistant', '{planted}'"))
+    chats = chat.format_chats(chat.from_columns(chat.gather_turns(rows), ["messages"]))
+    back = chats.withColumn("_turns", chat.read_back(F.col("formatted")))
+    lines = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat.loss_text(F.col("_turns"))
+    return back.select(
+        "conv_id", F.size("_turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT r, source, body, unnest(string_split(body, chr(10))) AS line FROM d),
+n AS (
+  SELECT r, source, body, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS size,
+         lower(regexp_replace(trim(line, chr(9) || chr(11) || chr(12) || chr(13) || ' '), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+hosts AS (SELECT source, count(DISTINCT body) AS docs FROM d GROUP BY source),
+hot AS (
+  SELECT n.source, norm FROM n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source GROUP BY n.source, norm, docs
+  HAVING count(DISTINCT body) >= 20 AND count(DISTINCT body) > greatest(20, 0.02 * docs)),
+per_line AS (
+  SELECT n.r, count(*) - count(DISTINCT line) AS dup, coalesce(sum(size) FILTER (hot.norm IS NOT NULL), 0) AS gone
+  FROM n LEFT JOIN hot ON n.source IS NOT DISTINCT FROM hot.source AND n.norm = hot.norm GROUP BY n.r),
+win AS (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM d WHERE len(words) >= 8),
+twice AS (SELECT r, unnest(list(i)) AS i FROM win GROUP BY r, words[i:i + 7] HAVING count(*) > 1),
+rep AS (SELECT r, sum(least(8, nxt - i)) AS n_rep FROM (SELECT r, i, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i), i + 8) AS nxt FROM twice) GROUP BY r),
+f AS (
+  SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_rep, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0)::BIGINT AS gone
+  FROM d LEFT JOIN per_line USING (r) LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words - gone)::BIGINT AS n_left_words,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - gone >= 20 AND n_words - gone >= 0.5 * n_words AS kept
+FROM f""")
+def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(read(spark, sf_dir, "documents")).drop("removed_lines")
