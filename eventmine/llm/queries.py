@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, line_quality, mixing, packing, sharding, token_counts
+from . import chat, language, line_quality, mixing, packing, sharding, token_counts, vector_links
 from .common import read
 
 QUERIES = {}
@@ -87,6 +87,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+@query()
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.links(read(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
