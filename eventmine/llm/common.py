@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Python workers get rows by a bounded number of bytes, not by count alone."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -72,3 +76,24 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     for g in group:
         on = on & here[g].eqNullSafe(before[f"_g_{g}"])
     return here.join(before, on).select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_i_{n}")).alias(n) for n in sums])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Batches of rows sorted by their first columns, cut so that no group is
+    in two of them."""
+    rest: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = pa.Table.from_batches([b])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        last = [rows.column(c)[rows.num_rows - 1].as_py() for c in range(n_keys)]
+        same = np.ones(rows.num_rows, bool)
+        for c in range(n_keys):
+            same &= rows.column(c).to_numpy() == last[c]
+        at = rows.num_rows - int(same.sum())
+        if at:
+            yield rows.slice(0, at)
+        rest = rows.slice(at)
+    if rest is not None:
+        yield rest

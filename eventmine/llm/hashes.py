@@ -23,13 +23,27 @@ class _Powers:
 _powers = lru_cache(maxsize=2)(_Powers)
 
 
+class Spans:
+    """Hashes of spans of ``data``: equal for equal bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.p = _powers(max(_LEAST, 1 << len(data).bit_length()))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.p.sign[data] * self.p.up[:len(data)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.p.down[starts]
+        return mixed(h + (ends - starts).astype(np.uint64))
+
+    def of_length(self, n: int) -> np.ndarray:
+        """For the span of length ``n`` at every place where one fits."""
+        k = max(0, len(self.total) - n)
+        return mixed((self.total[n:] - self.total[:k]) * self.p.down[:k] + np.uint64(n))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ``data[start:end]`` for each span, equal for equal bytes."""
-    p = _powers(max(_LEAST, 1 << len(data).bit_length()))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(p.sign[data] * p.up[:len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * p.down[starts]
-    return mixed(h + (ends - starts).astype(np.uint64))
+    return Spans(data).hashes(starts, ends)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, line_quality, mixing, packing, sharding, text_links, token_counts, vector_links
+from . import chat, language, line_quality, mixing, packing, repeats, sharding, text_links, token_counts, vector_links
 from .common import read
 
 QUERIES = {}
@@ -102,6 +102,11 @@ def op7_minhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_links.links(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

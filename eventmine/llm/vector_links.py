@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage
+from .common import bounded_batches, cut_lineage, whole_groups
 from .components import components
 from .hashes import mixed
 
@@ -200,7 +200,7 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
             home = rows.column(5).to_numpy()
             return cls, verified(unit, lab, cls, weight, home, mine == i, mine == j, np.int64(bucket).view(np.uint64), threshold, how)
 
-        for rows in _whole_groups(batches, 3):
+        for rows in whole_groups(batches, 3):
             key_ = np.stack([rows.column(c).to_numpy() for c in range(3)])
             cut = np.concatenate([[0], np.flatnonzero((key_[:, 1:] != key_[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
             out = []
@@ -223,24 +223,3 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", la
         F.col("_id").alias(key), F.coalesce("_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("_component", "_id").alias("component_id"),
         F.coalesce(F.coalesce(F.col("_component"), F.col("_id")) == F.col("_id"), F.lit(False)).alias("kept"))
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Batches of rows sorted by their first columns, cut so that no group is
-    in two of them."""
-    rest: pa.Table | None = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rows = pa.Table.from_batches([b])
-        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-        last = [rows.column(c)[rows.num_rows - 1].as_py() for c in range(n_keys)]
-        same = np.ones(rows.num_rows, bool)
-        for c in range(n_keys):
-            same &= rows.column(c).to_numpy() == last[c]
-        at = rows.num_rows - int(same.sum())
-        if at:
-            yield rows.slice(0, at)
-        rest = rows.slice(at)
-    if rest is not None:
-        yield rest
