@@ -11,16 +11,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventmine.llm import packing
+from eventmine.llm import language, mixing, packing, repeats, text_links
 from eventmine.session import ensure_conf, scratch_path
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; the others go."""
+    return language.only_known(docs, language.learn(docs))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies."""
+    return text_links.deduplicated(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier in the corpus."""
+    return repeats.without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixing.mix(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in training sequences."""
     pieces = packing.encode_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_sources", mix_sources),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
 from .common import WORD, bucket_of, cut_lineage, n_words, prefix_sums, random_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -73,11 +74,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ``key`` must tell rows apart; rows that share one are taken together."""
     taken = budgets(docs, key=key, text=text, source=source, **options)
     per_key = taken.groupBy(key).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    per_key = per_key.where(F.col("_taken") > 0).withColumnRenamed(key, "_key")
+    per_key = bounded_broadcast(cut_lineage(per_key.where(F.col("_taken") > 0).withColumnRenamed(key, "_key")), 1_000_000)
     whole, part = F.expr("_taken div _size").cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     words = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     kept = docs.join(per_key, docs[key].eqNullSafe(per_key["_key"])).withColumn("_words", F.explode(words))
     # for the cut ones: the words up to there, each with the white space before it
     gaps, found = F.split(F.col(text), WORD), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.zip_with(F.slice(gaps, 1, F.col("_words")), F.slice(found, 1, F.col("_words")), F.concat), "")
+    cut = F.array_join(F.zip_with(F.slice(gaps, 1, F.col("_words")), F.slice(found, 1, F.col("_words")), lambda g, w: F.concat(g, w)), "")
     return kept.select(*[F.when(F.col("_words") >= 0, cut).otherwise(F.col(c)).alias(c) if c == text else c for c in docs.columns])

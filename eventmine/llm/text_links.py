@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
 from .common import bounded_batches, cut_lineage, utf8
 from .components import components
 from .hashes import mixed
@@ -219,5 +220,6 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents but for those linked to one with a smaller key, with the
     columns they had. ``key`` must tell rows apart."""
-    gone = links(docs, key, text, **options).where("NOT kept").select(F.col(key).alias("_gone"))
+    gone = cut_lineage(links(docs, key, text, **options).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")))
+    gone = bounded_broadcast(gone, 1_000_000)
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
