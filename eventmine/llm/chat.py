@@ -97,6 +97,10 @@ def _renamed(role: Column, mapping: Mapping) -> Column:
     return out
 
 
+def _message_turns(messages: Column, mapping: Mapping) -> Column:
+    return F.transform(messages, lambda m: _turn(_renamed(m[mapping.role], mapping), m[mapping.text]))
+
+
 def _joined(texts: list[Column]) -> Column:
     return texts[0] if len(texts) == 1 else F.array_join(F.filter(F.array(*texts), lambda t: t.isNotNull() & (t != "")), "\n")
 
@@ -109,7 +113,7 @@ def from_columns(df: DataFrame, record: list[str], registry=REGISTRY) -> DataFra
     if mapping is None:
         turns = F.lit(None).cast(TURNS)
     elif mapping.messages:
-        turns = F.transform(F.col(mapping.messages), lambda m: _turn(_renamed(m[mapping.role], mapping), m[mapping.text]))
+        turns = _message_turns(F.col(mapping.messages), mapping)
     else:
         turns = F.array(*[_turn(F.lit(r), _joined([F.col(p) for p in path.split("+")])) for r, path in mapping.turns])
     return df.withColumn("fingerprint", F.lit(print_)).withColumn("turns", turns)
@@ -142,7 +146,7 @@ def from_json(df: DataFrame, column: str, registry=REGISTRY) -> DataFrame:
             return F.try_variant_get(F.col("_v"), f"$.{path}", "string")
         if m.messages:
             listed = F.try_variant_get(F.col("_v"), f"$.{m.messages}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            own = F.transform(listed, lambda x, m=m: _turn(_renamed(x[m.role], m), x[m.text]))
+            own = _message_turns(listed, m)
         else:
             own = F.array(*[_turn(F.lit(r), _joined([at(p) for p in path.split("+")])) for r, path in m.turns])
         turns = F.when(F.col("fingerprint") == m.fingerprint, own).otherwise(turns)

@@ -67,7 +67,7 @@ def count_long(text: bytes, tok: PieceTokenizer, chunk: int = CHUNK, overlap: in
 def count_batch(texts: list[bytes], tok: PieceTokenizer, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     short = iter(batched([t for t in texts if len(t) <= chunk], tok, False))
     return [next(short)[0] if len(t) <= chunk else sum(
-        1 if odd % 2 else count_long(part, tok, chunk, overlap) for odd, part in enumerate(tok.segments(t)))
+        1 if odd % 2 else count_long(part, tok, chunk, overlap) for odd, part in enumerate(tok.segments(t)) if part)
         for t in texts]
 
 
