@@ -18,10 +18,6 @@ GAP_US = duration_us(P.SESSION_GAP)
 TTL_US = duration_us(P.STATE_TTL)
 
 
-def _stream(spark, d):
-    return ST.read_table_stream(spark, d, "events")
-
-
 @query("stream_window_counts", f"""
 WITH w AS (SELECT (epoch_us(ts) // {WIDTH_US}) * {WIDTH_US} AS ws, event_type, value FROM events),
 wm AS (SELECT max(epoch_us(ts)) - {DELAY_US} AS wm FROM events)
@@ -30,8 +26,7 @@ SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + {WIDTH_US}) AS wi
 FROM w, wm WHERE ws + {WIDTH_US} <= wm.wm GROUP BY ws, event_type
 """)
 def q_stream_windows(spark, d):
-    s = ST.stream_window_counts(_stream(spark, d), P.WINDOW_WIDTH, P.STREAM_DELAY)
-    return ST.run_available_now(spark, s, "window-counts")
+    return ST.replay(spark, d, lambda s: ST.stream_window_counts(s, P.WINDOW_WIDTH, P.STREAM_DELAY), "window-counts")
 
 
 @query("stream_sessions", f"""
@@ -42,24 +37,23 @@ SELECT s.* FROM s, (SELECT max(epoch_us(ts)) - {DELAY_US} AS wm FROM events) m
 WHERE epoch_us(s.session_end) <= m.wm
 """)
 def q_stream_sessions(spark, d):
-    s = ST.stream_sessions(_stream(spark, d), P.SESSION_GAP, P.STREAM_DELAY)
-    return ST.run_available_now(spark, s, "sessions")
+    return ST.replay(spark, d, lambda s: ST.stream_sessions(s, P.SESSION_GAP, P.STREAM_DELAY), "sessions")
 
 
 @query("stream_dedup", "SELECT * FROM events")
 def q_stream_dedup(spark, d):
-    """The event feed delivered twice (two file streams over the same files,
-    unioned): every event must come out once."""
-    feed = _stream(spark, d).unionByName(_stream(spark, d))
-    s = ST.stream_dedup(feed, ["event_id"], P.STREAM_DELAY)
-    return ST.run_available_now(spark, s, "dedup")
+    """The event feed delivered twice (each micro-batch holds every row two
+    times): every event must come out once."""
+    return ST.replay(spark, d, lambda s: ST.stream_dedup(s.unionByName(s), ["event_id"], P.STREAM_DELAY), "dedup")
 
 
 @query("stream_user_state", f"""
-WITH u AS (SELECT user_id, count(*)::BIGINT AS n_events,
+WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
+sp AS (SELECT user_id, max(CASE WHEN gap IS NULL OR gap > {TTL_US} THEN ts END) AS since FROM g GROUP BY user_id),
+u AS (SELECT user_id, count(*)::BIGINT AS n_events,
              count_if(event_type = 'purchase')::BIGINT AS n_purchases, max(ts) AS last_event,
              max(CASE WHEN event_type = 'purchase' THEN ts END) AS last_purchase
-           FROM events GROUP BY user_id),
+           FROM events JOIN sp USING (user_id) WHERE ts >= since GROUP BY user_id),
 m AS (SELECT epoch_ms(max(ts)) - {DELAY_US // 1000} AS wm FROM events)
 SELECT u.user_id, u.last_event AS as_of,
   epoch_ms(u.last_event) + {TTL_US // 1000} < m.wm AS expired,
@@ -68,7 +62,7 @@ SELECT u.user_id, u.last_event AS as_of,
 FROM u, m
 """)
 def q_stream_user_state(spark, d):
-    """Whole file in one micro-batch: the final state per user, expired when
-    its last event + TTL is behind the final watermark."""
-    s = ST.stream_user_state(_stream(spark, d), P.STATE_TTL, P.STREAM_DELAY)
-    return ST.latest_user_state(ST.run_available_now(spark, s, "user-state"))
+    """The state of each user's last spell, expired when its last event + TTL
+    is behind the final watermark."""
+    return ST.latest_user_state(
+        ST.replay(spark, d, lambda s: ST.stream_user_state(s, P.STATE_TTL, P.STREAM_DELAY), "user-state"))

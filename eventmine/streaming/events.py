@@ -1,9 +1,18 @@
 """Event-time streaming versions of the core counts.
 
 Each operator takes a *streaming* DataFrame with the ``events`` schema and
-returns a streaming DataFrame; :func:`run_available_now` drives one to a
-parquet sink under the shared checkpoint folder and returns the sink as a
-batch DataFrame. Event times are NTZ on disk; watermarks need TIMESTAMP, so
+returns a streaming DataFrame. Two drivers run one into a parquet sink under
+the shared checkpoint folder and return the sink as a batch DataFrame:
+
+* :func:`replay` for a table at rest. Which rows a watermark calls late
+  depends on how the rows are cut into micro-batches, so the rows are fed in
+  event-time order (one micro-batch per time slice, one slice if the table is
+  small): none is late, and the answer depends on neither the files nor the
+  number of batches.
+* :func:`run_live` for files that arrive. Rows behind the delay are written
+  to a side table with their count instead of vanishing: kept + late = input.
+
+:func:`run_available_now` is the plain run under both. Event times are NTZ on disk; watermarks need TIMESTAMP, so
 ``event_time`` is the cast column (session zone UTC keeps wall-clock values).
 """
 
@@ -16,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timefn import duration_us, to_event_time
-from ..session import checkpoint_dir, scratch_path
-from ..sources.tables import SCHEMAS
+from ..functions.timefn import duration_us, micros, to_event_time
+from ..session import checkpoint_dir, delete_path, scratch_path
+from ..sources.tables import SCHEMAS, read_table
 
 
 def _interval(spec: str) -> str:
@@ -26,11 +35,16 @@ def _interval(spec: str) -> str:
     return f"{us // 1_000_000} seconds" if us % 1_000_000 == 0 else f"{us} microseconds"
 
 
+#: bytes of input per micro-batch of a replay
+SLICE_BYTES = 64 << 30
+
+
 def read_event_stream(spark: SparkSession, directory: str, glob: str | None = None,
-                      max_files_per_trigger: int | None = 1000) -> DataFrame:
-    """File-source stream of ``events`` parquet files in ``directory``.
-    ``max_files_per_trigger`` bounds each micro-batch, so a large backlog is
-    worked off in many bounded batches (also under ``availableNow``)."""
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """File-source stream of ``events`` parquet files in ``directory``. By
+    default a run takes what is there as one micro-batch, as a batch job
+    would; ``max_files_per_trigger`` cuts it up, and with it what counts as
+    late (use :func:`replay` or :func:`run_live` where that matters)."""
     r = spark.readStream.schema(SCHEMAS["events"])
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -40,7 +54,7 @@ def read_event_stream(spark: SparkSession, directory: str, glob: str | None = No
 
 
 def read_table_stream(spark: SparkSession, base: str, name: str = "events",
-                      max_files_per_trigger: int | None = 1000) -> DataFrame:
+                      max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream the table ``<base>/<name>.parquet`` whether it is a directory of
     part files (streamed directly) or a single file (its folder is streamed
     with a file-name filter; the file source only takes directories)."""
@@ -52,6 +66,80 @@ def read_table_stream(spark: SparkSession, base: str, name: str = "events",
                              max_files_per_trigger=max_files_per_trigger)
 
 
+def replay(spark: SparkSession, base: str, build: Callable[[DataFrame], DataFrame], name: str,
+           table: str = "events", slices: int | None = None) -> DataFrame:
+    """Run ``build(stream)`` over the table at rest, in event-time order.
+
+    With one slice the table is streamed as it is, in one micro-batch. With
+    more, each time range is landed and run before the next one (same query
+    checkpoint, same sink). ``slices`` defaults to one per ``SLICE_BYTES`` of
+    files. Rows without a time have no place in an order: the first slice has
+    them, and the operators drop them as the batch ones do."""
+    path = f"{base.rstrip('/')}/{table}.parquet"
+    data = read_table(spark, base, table)
+    if slices is None:
+        slices = max(1, -(-_n_bytes(spark, path) // SLICE_BYTES))
+    if slices == 1:
+        return run_available_now(spark, build(read_table_stream(spark, base, table)), name)
+    us = data.select(micros("ts").cast("double").alias("t")).where(F.col("t").isNotNull())
+    cuts = sorted(set(us.approxQuantile("t", [k / slices for k in range(1, slices)], 0.1 / slices)))
+    landing, sink, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("landing", "sink", "ckpt"))
+    t = micros("ts")
+    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = data.where(F.lit(True) if low is None else t >= F.lit(int(low)))
+        part = part.where(F.lit(True) if high is None else (t < F.lit(int(high))) | (F.lit(k == 0) & t.isNull()))
+        part.write.mode("append").parquet(landing)
+        out = run_available_now(spark, build(read_event_stream(spark, landing)), name, sink=sink, checkpoint=ckpt)
+    delete_path(spark, landing)
+    return out
+
+
+def _n_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def run_live(spark: SparkSession, stream: DataFrame, build: Callable[[DataFrame], DataFrame], name: str,
+             delay: str, home: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run ``build(stream)`` over what has arrived: (sink, late rows).
+
+    Each micro-batch of ``stream`` is first split: a row more than ``delay``
+    behind the latest time of the batches before it is late and goes to the
+    side table; the others are landed and run. The latest time is kept per
+    batch number and every write of a batch replaces its own folder, so a
+    repeated batch changes nothing. With the same ``home`` a rerun resumes."""
+    home = home or scratch_path(spark, name)
+    landing, late = f"{home}/landing", f"{home}/late"
+    schema = stream.schema
+    delay_us = duration_us(delay)
+
+    def split(batch: DataFrame, number: int) -> None:
+        batch = batch.withColumn("_t", micros("ts"))
+        seen = _read_or_empty(spark, f"{home}/latest", "n bigint, t bigint").where(F.col("n") < number)
+        latest = seen.agg(F.max("t")).first()[0]
+        is_late = F.lit(False) if latest is None else F.coalesce(F.col("_t") < F.lit(latest - delay_us), F.lit(False))
+        batch.where(is_late).drop("_t").write.mode("overwrite").parquet(f"{late}/batch={number}")
+        batch.where(~is_late).drop("_t").write.mode("overwrite").parquet(f"{landing}/batch={number}")
+        batch.agg(F.lit(number).cast("bigint").alias("n"), F.max("_t").alias("t")).write.mode("overwrite").parquet(f"{home}/latest/batch={number}")
+        run_available_now(spark, build(read_event_stream(spark, f"{landing}/batch=*").select(*schema.fieldNames())),
+                          name, sink=f"{home}/sink", checkpoint=f"{home}/run")
+
+    q = stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{home}/split").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    built = build(read_event_stream(spark, landing))
+    return (_read_or_empty(spark, f"{home}/sink", built.schema),
+            _read_or_empty(spark, late, schema).select(*schema.fieldNames()))
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def with_event_time(stream: DataFrame, delay: str) -> DataFrame:
     return (stream.withColumn("event_time", to_event_time("ts"))
                   .withWatermark("event_time", _interval(delay)))
@@ -106,41 +194,63 @@ USER_STATE = T.StructType([
 
 
 def _user_state_fn(ttl_ms: int, positive_type: str) -> Callable:
+    def row(user_id, n, p, last, lastp, expired):
+        return {"user_id": user_id, "as_of": last, "n_events": n, "n_purchases": p, "last_event": last,
+                "last_purchase": lastp, "expired": expired}
+
     def fn(key, batches: Iterator[pd.DataFrame], state):
         (user_id,) = key
         if state.hasTimedOut:
-            n, p, last, lastp = state.get
+            out = [row(user_id, *state.get, True)]
             state.remove()
-            yield pd.DataFrame([{"user_id": user_id, "as_of": last, "n_events": n,
-                                 "n_purchases": p, "last_event": last, "last_purchase": lastp,
-                                 "expired": True}])
+            yield pd.DataFrame(out)
+            return
+        # the user's new events in time order; only times and a flag are kept
+        parts = [(b["event_time"], b["event_type"] == positive_type) for b in batches if len(b)]
+        if not parts:
             return
+        times = pd.concat([t for t, _ in parts], ignore_index=True)
+        flags = pd.concat([f for _, f in parts], ignore_index=True)[times.sort_values(kind="stable").index]
+        times = times.sort_values(kind="stable")
+        ttl = pd.Timedelta(milliseconds=ttl_ms)
         n, p, last, lastp = state.get if state.exists else (0, 0, None, None)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n += len(pdf)
-            is_p = pdf["event_type"] == positive_type
-            p += int(is_p.sum())
-            mx = pdf["event_time"].max()
-            last = mx if last is None or mx > last else last
-            if is_p.any():
-                mp = pdf.loc[is_p, "event_time"].max()
-                lastp = mp if lastp is None or mp > lastp else lastp
-        state.update((n, p, last, lastp))
-        state.setTimeoutTimestamp(pd.Timestamp(last).value // 1_000_000 + ttl_ms)
-        yield pd.DataFrame([{"user_id": user_id, "as_of": last, "n_events": n, "n_purchases": p,
-                             "last_event": last, "last_purchase": lastp, "expired": False}])
+        spell = (times.diff() > ttl).cumsum()
+        if last is not None and times.iloc[0] - last > ttl:
+            spell += 1
+        out = []
+        for number, own in times.groupby(spell.to_numpy()):
+            if number > 0 and n:
+                out.append(row(user_id, n, p, last, lastp, True))
+                n, p, last, lastp = 0, 0, None, None
+            n += len(own)
+            hits = own[flags.loc[own.index]]
+            p += len(hits)
+            last = own.iloc[-1] if last is None else max(last, own.iloc[-1])
+            if len(hits):
+                lastp = hits.iloc[-1] if lastp is None else max(lastp, hits.iloc[-1])
+        ends = pd.Timestamp(last).value // 1_000_000 + ttl_ms
+        if ends < state.getCurrentWatermarkMs():  # already over: a timeout can't be set in the past
+            out.append(row(user_id, n, p, last, lastp, True))
+            if state.exists:
+                state.remove()
+        else:
+            state.update((n, p, last, lastp))
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+            out.append(row(user_id, n, p, last, lastp, False))
+        yield pd.DataFrame(out)
     return fn
 
 
 def stream_user_state(stream: DataFrame, ttl: str, delay: str,
                       positive_type: str = "purchase") -> DataFrame:
-    """P32. Per user: running event and purchase counts, last event and last
-    purchase time. State expires ``ttl`` of event time after the user's last
-    event (event-time timeout, so it needs the watermark); the expiry emits a
-    final row with ``expired = true``. Emits one row per user per micro-batch
-    in which the user was seen or expired."""
+    """P32. Per user: event and purchase counts, last event and last purchase
+    time of the current spell. A spell ends when the next event is more than
+    ``ttl`` of event time after the last one, or when the watermark passes
+    that point (event-time timeout): its final row has ``expired = true`` and
+    its state is released, and a user who returns starts at one. The answer
+    is the same whether a gap falls inside a micro-batch or between two.
+    Emits one row per user and ended spell, and one for the open spell, per
+    micro-batch in which the user was seen or expired."""
     s = with_event_time(stream, delay).select("user_id", "event_time", "event_type")
     ttl_ms = duration_us(ttl) // 1000
     return s.groupBy("user_id").applyInPandasWithState(
