@@ -1,8 +1,10 @@
 """Behaviour mining over the event log.
 
 Per-user ordered work runs per (user, time bucket) — see ``ordered`` — so a
-user with a third of all events is spread over many tasks. ``bucket`` sets
-the bucket width; pick it so one user-bucket fits comfortably in a task.
+user with a third of all events is spread over many tasks. P05, P06, P10 and
+P11 cut the whole order (user, time, id) into equal ranges unless a fixed
+time ``bucket`` is given; the others take a time bucket, to be picked so that
+one user-bucket fits comfortably in a task.
 """
 
 from __future__ import annotations
@@ -11,14 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import duration_us, floor_div, micros, ntz_literal
-from ..session import checkpoint_dir
 from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
-                      running_sum_across_buckets, with_time_bucket)
+                      running_sum_across_buckets, with_bucket)
 
 ORDER = [TS_US, "event_id"]
 
 
-def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
+def sessionize(events: DataFrame, gap: str = "8h", bucket: str | None = None,
                key: str = "user_id") -> DataFrame:
     """P05. Add ``session_no`` (1, 2, … per user). A new session starts iff the
     time since the user's previous event is strictly greater than ``gap``.
@@ -30,7 +31,7 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
     session and gives the count of sessions before the bucket."""
     g = duration_us(gap)
     has_key = F.col(key).isNotNull() & F.col("ts").isNotNull()
-    ev = with_time_bucket(events.where(has_key), "ts", bucket)
+    ev = with_bucket(events.where(has_key), key, "ts", "event_id", bucket)
     # stated here, the join's inferred not-null filters add nothing, so the
     # window and summary branches plan identically and share one exchange
     ev = ev.where(F.col(BUCKET).isNotNull())
@@ -63,7 +64,7 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str = "1d",
     return sessions.unionByName(rest)
 
 
-def session_summary(events: DataFrame, gap: str = "8h", bucket: str = "1d",
+def session_summary(events: DataFrame, gap: str = "8h", bucket: str | None = None,
                     key: str = "user_id", positive_type: str = "purchase") -> DataFrame:
     """P06. One row per session: start, last event, event count, distinct
     event types, whether it contains ``positive_type``, value sum. A plain
@@ -87,24 +88,28 @@ def funnel(events: DataFrame, steps: list[str], within: str, bucket: str = "1d",
     after that, and so on; a step counts if it is within ``within`` of the
     anchor. Depth is the maximum over anchors.
 
-    Chains are built last step to first with ``first(..., ignorenulls)`` over
-    the following rows: k−1 window passes on one partitioning. Partitions
-    are (user, bucket) with halo copies of the events an anchor near the end
-    of a bucket can reach, so no user is one task."""
+    "Later" is strictly later: events at one instant don't follow each other.
+    Events without a user or a time take no part.
+
+    Chains are built last step to first. In reverse time order "the earliest
+    later event" is the last one seen so far, a growing frame that each of the
+    k−1 window passes on one partitioning reads once, however many events a
+    user has. Partitions are (user, bucket) with halo copies of the events an
+    anchor near the end of a bucket can reach, so no user is one task."""
     wu = duration_us(within)
-    ev = (events.where(F.col("event_type").isin(steps))
-                .select(key, "event_id", "event_type", micros("ts").alias(TS_US)))
-    ev = halo_copies(ev, TS_US, bucket, ahead_us=wu)
-    w = (Window.partitionBy(key, "_pb").orderBy(TS_US, "event_id")
-         .rowsBetween(1, Window.unboundedFollowing))
-    # nxt_i = time of step i reached by the greedy chain that starts at the
-    # first steps[i-1] event after the current row, one column per step.
+    ev = (events.where(F.col("event_type").isin(steps) & F.col(key).isNotNull() & F.col("ts").isNotNull())
+                .select(key, "event_type", micros("ts").alias(TS_US)))
+    ev = halo_copies(ev, TS_US, bucket, ahead_us=wu).withColumn("_back", -F.col(TS_US))
+    w = (Window.partitionBy(key, "_pb").orderBy("_back")
+         .rangeBetween(Window.unboundedPreceding, -1))
+    # _c.t{i} = time of step i reached by the greedy chain that starts at the
+    # first steps[i-1] event after the current row
     k = len(steps)
     for i in range(k - 1, 0, -1):
         here = F.struct(F.col(TS_US).alias(f"t{i}"),
                         *[F.col(f"_c.t{j}").alias(f"t{j}") for j in range(i + 1, k)])
         cand = F.when(F.col("event_type") == steps[i], here)
-        ev = ev.withColumn("_c_next", F.first(cand, ignorenulls=True).over(w))
+        ev = ev.withColumn("_c_next", F.last(cand, ignorenulls=True).over(w))
         ev = ev.drop("_c").withColumnRenamed("_c_next", "_c")
     anchors = ev.where(F.col("_own") & (F.col("event_type") == steps[0]))
     depth = F.lit(1)
@@ -131,76 +136,47 @@ def _interval(spec: str) -> str:
     return f"{us // 1_000_000} seconds" if us % 1_000_000 == 0 else f"{us} microseconds"
 
 
-def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str | None = None,
-                      key: str = "user_id", method: str = "auto") -> DataFrame:
+def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str = "1d",
+                      key: str = "user_id") -> DataFrame:
     """P09. Per event, the count and value sum of the same user's events in
     ``[ts - h, ts)`` for each horizon ``h`` — the event itself and others at
-    the same instant excluded.
-
-    ``method='auto'`` (default) takes ``halo`` when it needs at most four
-    copies per event (longest horizon ≤ 3 buckets), else ``prefix``.
-
-    ``method='prefix'``: count(ts' < t) − count(ts' < t − h). Each
-    event adds probe rows at t and at t − h per horizon; running sums over
-    (user, bucket) partitions with bucket hand-over (two-level scan) give the
-    counts before every probe, and the probes are regrouped per event. Any
-    bucket width works (default 1 day), so a hot user splits finely; rows
-    moved ≈ (horizons + 2) × events.
-
-    ``method='halo'``: a range window per (user, bucket) with each event
-    copied into the next buckets its horizon reaches; bucket defaults to the
-    longest horizon (two copies). Fewer rows move, but a hot user is only
-    split per horizon-wide bucket."""
+    the same instant excluded. One row per event that has a user and a time
+    (repeated event ids are separate rows); the others are left out.
+
+    A trailing count is count(ts' < t) − count(ts' < t − h). Events are
+    summed per (user, instant) first; each instant adds a probe at t and one
+    at t − h per horizon, and running sums over (user, bucket) partitions with
+    bucket hand-over (two-level scan) give the sums before every probe. Work
+    is linear in the events, whatever the horizon and the bucket, and a hot
+    user splits as finely as the bucket is narrow."""
     hs = {n: duration_us(h) for n, h in horizons.items()}
-    if method == "auto":
-        method = "halo" if bucket is None or max(hs.values()) <= 3 * duration_us(bucket) else "prefix"
-    if method == "halo":
-        return _trailing_halo(events, hs, bucket, key)
-    b = duration_us(bucket or "1d")
-    base = events.select(key, "event_id", "ts", micros("ts").alias(TS_US),
-                         F.col("value").cast("decimal(18,2)").alias("_v"))
-    probes = F.array(*[F.struct(F.lit(n).alias("n"), (F.col(TS_US) - F.lit(h)).alias("t"))
-                       for n, h in [("_self", 0), *hs.items()]])
-    ev_rows = base.select(key, F.col(TS_US).alias("_t"), F.lit(1).alias("_kind"), "event_id",
-                          F.lit(None).cast("string").alias("_pn"), F.lit(1).alias("_c"), "_v",
-                          F.lit(None).cast("timestamp_ntz").alias("ts"))
-    pr_rows = (base.select(key, "event_id", "ts", F.explode(probes).alias("_p"))
-               .select(key, F.col("_p.t").alias("_t"), F.lit(0).alias("_kind"), "event_id",
-                       F.col("_p.n").alias("_pn"), F.lit(0).alias("_c"),
-                       F.lit(0).cast("decimal(18,2)").alias("_v"), "ts"))
-    u = ev_rows.unionByName(pr_rows).withColumn(BUCKET, floor_div(F.col("_t"), b))
+    b = duration_us(bucket)
+    own = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "event_id", "ts", "value")
+    at = own.groupBy(key, micros("ts").alias("_at")).agg(
+        F.count(F.lit(1)).alias("_c"), F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")), F.lit(0)).alias("_v"))
+    probes = F.array(*[F.struct(F.lit(n).alias("pn"), (F.col("_at") - F.lit(h)).alias("t"), F.lit(0).cast("bigint").alias("c"),
+                                F.lit(0).cast("decimal(28,2)").alias("v")) for n, h in [("_self", 0), *hs.items()]],
+                     F.struct(F.lit(None).cast("string").alias("pn"), F.col("_at").alias("t"), F.col("_c").alias("c"),
+                              F.col("_v").cast("decimal(28,2)").alias("v")))
+    u = at.select(key, "_at", F.inline(probes)).withColumn("_kind", F.col("pn").isNull().cast("int")).withColumn(
+        BUCKET, floor_div(F.col("t"), b))
     # probes sort before events at the same instant: their running sums
     # count events strictly before the probe time
-    rs = running_sum_across_buckets(u, key, ["_t", "_kind", "event_id", "_pn"],
-                                    {"_cc": F.col("_c"), "_vv": F.col("_v")})
+    rs = running_sum_across_buckets(u, key, ["t", "_kind", "_at", "pn"], {"_cc": F.col("c"), "_vv": F.col("v")})
     pr = rs.where(F.col("_kind") == 0)
-    aggs = [F.max(F.when(F.col("_pn") == n, F.col(c))).alias(f"{c}{n}")
+    aggs = [F.max(F.when(F.col("pn") == n, F.col(c))).alias(f"{c}{n}")
             for n in ["_self", *hs] for c in ("_cc", "_vv")]
-    per = pr.groupBy(key, "event_id").agg(F.max("ts").alias("ts"), *aggs)
+    per = pr.groupBy(key, "_at").agg(*aggs)
     cols = []
     for n in hs:
         cols += [(F.col("_cc_self") - F.col(f"_cc{n}")).cast("bigint").alias(f"n_{n}"),
                  (F.col("_vv_self") - F.col(f"_vv{n}")).cast("double").alias(f"value_{n}")]
-    return per.select(key, "event_id", "ts", *cols)
-
-
-def _trailing_halo(events: DataFrame, hs: dict, bucket, key: str) -> DataFrame:
-    reach = max(hs.values())
-    bucket = bucket or reach
-    ev = events.select(key, "event_id", "ts", micros("ts").alias(TS_US),
-                       F.col("value").cast("decimal(18,2)").alias("_v"))
-    ev = halo_copies(ev, TS_US, bucket, back_us=reach)
-    base = Window.partitionBy(key, "_pb").orderBy(TS_US)
-    cols = []
-    for n, h in hs.items():
-        fr = base.rangeBetween(-h, -1)
-        cols += [F.count(F.lit(1)).over(fr).alias(f"n_{n}"),
-                 F.coalesce(F.sum("_v").over(fr), F.lit(0)).cast("double").alias(f"value_{n}")]
-    out = ev.select(key, "event_id", "ts", "_own", *cols).where(F.col("_own"))
-    return out.drop("_own")
+    per = per.select(key, "_at", *cols)
+    return own.withColumn("_at", micros("ts")).join(per, [key, "_at"]).select(key, "event_id", "ts", *[
+        f"{c}_{n}" for n in hs for c in ("n", "value")])
 
 
-def gap_stats(events: DataFrame, bucket: str = "1d", key: str = "user_id",
+def gap_stats(events: DataFrame, bucket: str | None = None, key: str = "user_id",
               method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """P10. Per user: number of gaps, p50 / p90 and mean of the seconds
     between consecutive events. The previous event comes from the bucketed
@@ -209,7 +185,7 @@ def gap_stats(events: DataFrame, bucket: str = "1d", key: str = "user_id",
     ``percentile_approx`` — a fixed-size mergeable sketch per user, one
     partially-aggregated ``groupBy``; values are actual gaps, not
     interpolated, within 1/``accuracy`` in rank."""
-    ev = with_time_bucket(events.select(key, "event_id", "ts"), "ts", bucket)
+    ev = with_bucket(events.select(key, "event_id", "ts"), key, "ts", "event_id", bucket)
     ev = lag_across_buckets(ev, key, ORDER, {"_prev_us": F.col(TS_US)})
     gaps = (ev.where(F.col("_prev_us").isNotNull())
               .select(key, (F.col(TS_US) - F.col("_prev_us")).alias("_gap_us")))
@@ -220,22 +196,18 @@ def gap_stats(events: DataFrame, bucket: str = "1d", key: str = "user_id",
             F.percentile_approx(sec, 0.5, accuracy).alias("p50_s"),
             F.percentile_approx(sec, 0.9, accuracy).alias("p90_s"),
             (F.sum("_gap_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"))
-    # the gap table feeds four branches (rank, bucket summary, pick, mean):
-    # write it once to the shared checkpoint folder instead of recomputing it
-    checkpoint_dir(events.sparkSession)
-    gaps = gaps.checkpoint(eager=True)
-    q = keyed_quantiles(gaps, key, "_gap_us", {"_p50": 0.5, "_p90": 0.9})
+    q = keyed_quantiles(gaps, key, "_gap_us", {"_p50": 0.5, "_p90": 0.9}, mean="_mean")
     # integer sum / count / 1e6: the same IEEE result in any engine, no rounding
-    mean = gaps.groupBy(key).agg((F.sum("_gap_us") / F.count(F.lit(1)) / 1e6).alias("mean_s"))
-    return q.join(mean, key).select(
+    return q.select(
         key, F.col("n").alias("n_gaps"),
-        (F.round("_p50", 1) / 1e6).alias("p50_s"), (F.round("_p90", 1) / 1e6).alias("p90_s"), "mean_s")
+        (F.round("_p50", 1) / 1e6).alias("p50_s"), (F.round("_p90", 1) / 1e6).alias("p90_s"),
+        (F.col("_mean") / 1e6).alias("mean_s"))
 
 
-def transitions(events: DataFrame, bucket: str = "1d", key: str = "user_id") -> DataFrame:
+def transitions(events: DataFrame, bucket: str | None = None, key: str = "user_id") -> DataFrame:
     """P11. Counts of (from_type, to_type) between consecutive events of a
     user and each pair's share of its ``from_type`` row."""
-    ev = with_time_bucket(events.select(key, "event_id", "ts", "event_type"), "ts", bucket)
+    ev = with_bucket(events.select(key, "event_id", "ts", "event_type"), key, "ts", "event_id", bucket)
     ev = lag_across_buckets(ev, key, ORDER, {"from_type": F.col("event_type")})
     pairs = (ev.where(F.col("from_type").isNotNull())
                .groupBy("from_type", F.col("event_type").alias("to_type"))
@@ -245,7 +217,7 @@ def transitions(events: DataFrame, bucket: str = "1d", key: str = "user_id") ->
 
 
 def retention(events: DataFrame, period: str = "week", key: str = "user_id") -> DataFrame:
-    """P12. Cohort = period of a user's first event; for each cohort and
+    """P12. Cohort = period (day, week, month, quarter or year) of a user's first event; for each cohort and
     offset (periods since the cohort), distinct active users.
 
     One ``groupBy(user)`` collects the user's distinct active periods (at most
@@ -255,8 +227,11 @@ def retention(events: DataFrame, period: str = "week", key: str = "user_id") ->
     per = F.date_trunc(period, "ts").cast("timestamp_ntz")
     users = events.groupBy(key).agg(F.collect_set(per).alias("_ps"))
     ex = users.select(F.array_min("_ps").alias("cohort"), F.explode("_ps").alias("_p"))
-    unit = {"week": 7, "day": 1}[period]
-    off = (F.datediff("_p", "cohort") / F.lit(unit)).cast("int")
+    if period in ("day", "week"):
+        off = F.floor(F.datediff("_p", "cohort") / F.lit({"week": 7, "day": 1}[period])).cast("int")
+    else:
+        months = (F.year("_p") - F.year("cohort")) * 12 + F.month("_p") - F.month("cohort")
+        off = F.floor(months / F.lit({"month": 1, "quarter": 3, "year": 12}[period])).cast("int")
     return (ex.groupBy("cohort", off.alias("period_offset"))
               .agg(F.count(F.lit(1)).alias("n_users")))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+from ..sources.sinks import write_csv, write_parquet
 from .ordered import global_positions
 
 EPS = 1e-15
@@ -44,12 +46,13 @@ def binary_metrics(scored: DataFrame, score: str = "score", label: str = "label"
 def threshold_metrics(scored: DataFrame, score: str = "score", label: str = "label",
                       n_buckets: int | None = None) -> DataFrame:
     """P25. Per distinct score t (predict positive iff score >= t): tp, fp,
-    precision, recall, F1 (0 where tp = 0)."""
+    precision, recall, F1 (0 where tp = 0). Without any positive, recall has
+    no value (NULL)."""
     per = _per_score(scored, score, label)
     cum = global_positions(per, "score", [], out="_ix", descending=True, n_buckets=n_buckets,
                            sums={"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.col("tp") / F.col("total_tp")
+    rec = F.try_divide(F.col("tp").cast("double"), F.col("total_tp").cast("double"))
     return cum.select(
         F.col("score").alias("threshold"), "tp", "fp",
         F.round(prec, 9).alias("precision"), F.round(rec, 9).alias("recall"),
@@ -70,7 +73,7 @@ def ntile_of(pos, n, k: int):
 def lift_by_decile(scored: DataFrame, key: str, score: str = "score", label: str = "label",
                    n_buckets: int | None = None) -> DataFrame:
     """P25. Deciles by descending score (ties by ``key``): rows, positives,
-    positive rate and lift over the overall rate."""
+    positive rate and lift over the overall rate (NULL if no row is positive)."""
     ranked = global_positions(scored.select(key, score, label), score, [key], out="_pos",
                               descending=True, n_buckets=n_buckets, totals=True)
     dec = ranked.withColumn("decile", ntile_of(F.col("_pos"), F.col("_pos_total"), 10))
@@ -80,7 +83,7 @@ def lift_by_decile(scored: DataFrame, key: str, score: str = "score", label: str
     allw = Window.partitionBy(F.lit(1))
     overall = F.sum("n_pos").over(allw) / F.sum("n").over(allw)
     return per.select("decile", "n", "n_pos", F.round(F.col("n_pos") / F.col("n"), 9).alias("rate"),
-                      F.round((F.col("n_pos") / F.col("n")) / overall, 9).alias("lift"))
+                      F.round(F.try_divide(F.col("n_pos") / F.col("n"), overall), 9).alias("lift"))
 
 
 def ranking_metrics(ranked: DataFrame, truth: DataFrame, k: int, user: str = "user_id",
@@ -143,15 +146,15 @@ def write_predictions(pred: DataFrame, path: str, expected_keys: DataFrame,
                       key: str = "user_id", score: str = "score", fmt: str = "parquet",
                       mode: str = "errorifexists") -> DataFrame:
     """P27. Refuse to write unless every check in ``prediction_checks`` is
-    zero; then write ``pred`` to ``path``. Returns the check table."""
-    checks = prediction_checks(pred, expected_keys, key, score)
-    rows = checks.collect()  # four rows
-    failed = {r["check"]: r["n_bad"] for r in rows if r["n_bad"]}
+    zero; then write ``pred`` to ``path``. Returns the check table.
+
+    The predictions are worked out once, into the shared checkpoint folder:
+    the rows checked are the rows written."""
+    checkpoint_dir(pred.sparkSession)
+    pred = pred.checkpoint(eager=True)
+    checks = prediction_checks(pred, expected_keys, key, score).checkpoint(eager=True)
+    failed = {r["check"]: r["n_bad"] for r in checks.collect() if r["n_bad"]}  # four rows
     if failed:
         raise PredictionCheckFailed(f"not written: {failed}")
-    w = pred.write.mode(mode)
-    if fmt == "csv":
-        w.option("header", "true").csv(path)
-    else:
-        w.parquet(path)
+    {"csv": write_csv, "parquet": write_parquet}[fmt](pred, path, mode)
     return checks

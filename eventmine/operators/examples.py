@@ -1,7 +1,8 @@
 """Examples and features at cutoff dates.
 
 Cutoffs are a short, sorted list of TIMESTAMP_NTZ strings (a parameter, not
-data). Features and labels are computed without a range join: each event is
+data). Events without a user belong to no example: P15, P16 and the flagship
+leave them out. Features and labels are computed without a range join: each event is
 tagged with the index of the first cutoff after it, the event log is reduced
 to one row per (user, day, segment) by a partially-aggregated ``groupBy``, and
 only those small rows are fanned out to the cutoffs they precede.
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_bucket, md5_key
+from ..functions.sizing import bounded_broadcast
 from ..functions.timefn import duration_us, micros, ntz_array, ntz_literal
 from ..session import checkpoint_dir
-from .ordered import TS_US, carry_last_across_buckets, with_time_bucket
+from .ordered import TS_US, carry_last_across_buckets, with_bucket
 
 # The event vocabulary of the event log.
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -42,7 +44,7 @@ def _per_day(events: DataFrame, cutoffs: list[str], event_types: list[str],
     reader); ``hits`` (an array of label-window indexes per event) is kept as
     the group's distinct indexes (at most one per cutoff)."""
     last = until if until is not None else ntz_literal(cutoffs[-1])
-    ev = (events.where(F.col("ts") < last)
+    ev = (events.where((F.col("ts") < last) & F.col("user_id").isNotNull())
                 .select("user_id", "ts", "event_type", "value")
                 .withColumn("seg", _segment(F.col("ts"), cutoffs))
                 .withColumn("day", F.to_date("ts")))
@@ -126,7 +128,7 @@ def label_examples(events: DataFrame, cutoffs: list[str], horizon: str = "1d",
     ts = F.col("ts")
     hit_idx = _hit_windows(cutoffs, h, positive_type)
     until = F.timestamp_add("MICROSECOND", F.lit(h), ntz_literal(cutoffs[-1]))
-    per_user = (events.where(ts < until)
+    per_user = (events.where((ts < until) & F.col("user_id").isNotNull())
                       .select("user_id", "ts", F.explode_outer(hit_idx).alias("_j"))
                       .groupBy("user_id")
                       .agg(F.min("ts").alias("first_ts"), F.collect_set("_j").alias("_hits")))
@@ -164,7 +166,7 @@ def examples_with_features(events: DataFrame, cutoffs: list[str], horizon: str =
 
 def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_ts: str,
                right_id: str, right_cols: list[str], strict: bool = False,
-               bucket: str = "1d", prefix: str = "r_") -> DataFrame:
+               bucket: str | None = None, prefix: str = "r_") -> DataFrame:
     """P14. Each left row gets the latest right row with the same ``by`` at or
     before its time (strictly before if ``strict``); NULL if none. Among right
     rows with equal time the largest ``right_id`` wins; a NULL key matches
@@ -188,7 +190,7 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
                      F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType)
                      .alias("_l"),
                      F.struct(*payload_cols).alias("_r"))
-    u = with_time_bucket(l.unionByName(r), "_t", bucket)
+    u = with_bucket(l.unionByName(r), "_k", "_t", ["_side", "_rid"], bucket)
     carried = carry_last_across_buckets(
         u, "_k", [TS_US, "_side", "_rid"], F.col("_r"), "_match", include_current=True)
     out = carried.where(F.col("_side") == 1)
@@ -198,20 +200,26 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, left_ts: str, right_t
 
 def split_examples(examples: DataFrame, by: str = "hash", key: str = "user_id",
                    n_buckets: int = 10, valid: int = 1, test: int = 1,
-                   test_cutoff: str | None = None, valid_cutoff: str | None = None) -> DataFrame:
-    """P17. Add ``split`` ∈ {train, valid, test}.
+                   test_cutoff: str | None = None, valid_cutoff: str | None = None,
+                   horizon: str = "0s") -> DataFrame:
+    """P17. Add ``split`` ∈ {train, valid, test, gap}.
 
     ``hash``: md5 bucket of ``key`` (stable across engines and runs): buckets
     ``[0, n-valid-test)`` train, the next ``valid`` valid, the last ``test``
-    test. ``time``: ``cutoff >= test_cutoff`` test, ``>= valid_cutoff`` valid."""
+    test. ``time``: ``cutoff >= test_cutoff`` test, ``>= valid_cutoff`` valid;
+    an earlier example whose label window (``horizon``) reaches past the next
+    part's first cutoff is in neither (``gap``): its label is not known then."""
     if by == "hash":
         b = md5_bucket(key, n_buckets)
         split = (F.when(b >= n_buckets - test, "test")
                   .when(b >= n_buckets - test - valid, "valid").otherwise("train"))
     elif by == "time":
+        ends = F.timestamp_add("MICROSECOND", F.lit(duration_us(horizon)), F.col("cutoff"))
         split = F.when(F.col("cutoff") >= ntz_literal(test_cutoff), "test")
+        split = split.when(ends > ntz_literal(test_cutoff), "gap")
         if valid_cutoff:
             split = split.when(F.col("cutoff") >= ntz_literal(valid_cutoff), "valid")
+            split = split.when(ends > ntz_literal(valid_cutoff), "gap")
         split = split.otherwise("train")
     else:
         raise ValueError(by)
@@ -228,7 +236,7 @@ def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str =
     (group, leading ``prefix_len`` hex digits of the hash); prefix counts
     locate the boundary prefix, everything below it is kept, and only the
     boundary prefix is ranked. The count table has at most
-    groups × 16^prefix_len rows, so the boundary lookup is broadcast. Rows
+    groups × 16^prefix_len rows and is broadcast only if it is small. Rows
     with a NULL label are neither positive nor negative and are left out.
     The examples are read by four branches, so by default they are first
     checkpointed to the shared checkpoint folder."""
@@ -246,7 +254,7 @@ def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str =
                     .join(quota, group)
                     .where(F.col("_before") < F.col("_q")))
     # prefixes entirely inside the quota, and the one that straddles it
-    cnt_b = F.broadcast(counts.select(group, "_p", "_before", "_c", "_q"))
+    cnt_b = bounded_broadcast(counts.select(group, "_p", "_before", "_c", "_q"))
     cand = neg.join(cnt_b, [group, "_p"])
     full = cand.where(F.col("_before") + F.col("_c") <= F.col("_q"))
     edge = cand.where(F.col("_before") + F.col("_c") > F.col("_q"))
@@ -258,27 +266,41 @@ def negative_sample(examples: DataFrame, ratio: float, seed: int = 0, key: str =
 
 
 def target_encode(examples: DataFrame, category: str, label: str = "label",
-                  prior_weight: float = 10.0, time_col: str = "cutoff") -> DataFrame:
+                  prior_weight: float = 10.0, time_col: str = "cutoff",
+                  horizon: str = "0s") -> DataFrame:
     """P19. Per example, the smoothed positive rate of its ``category`` using
-    only examples from earlier ``time_col`` values:
+    only examples whose label was known by then: those of earlier
+    ``time_col`` values ``c'`` whose label window is closed,
+    ``c' + horizon <= c``:
     ``(pos_prev + w * prior) / (n_prev + w)``, where ``prior`` is the overall
-    rate over earlier cutoffs. NULL when there is no earlier cutoff.
-
-    Examples are first reduced to (category, cutoff) counts; the running sums
-    run over that small table."""
-    per = examples.groupBy(category, time_col).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_pos"))
-    earlier = Window.partitionBy(category).orderBy(time_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    per = (per.withColumn("_n_prev", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-              .withColumn("_pos_prev", F.coalesce(F.sum("_pos").over(earlier), F.lit(0))))
-    # totals per cutoff from the (category, cutoff) table, not another pass
-    tot = per.groupBy(time_col).agg(F.sum("_n").alias("_tn"), F.sum("_pos").alias("_tp"))
-    # one row per cutoff: an unpartitioned window over cutoffs is tiny
-    te = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(time_col, (F.sum("_tp").over(te) / F.sum("_tn").over(te)).alias("_prior"))
+    rate over the same examples. NULL when there is none. A NULL category is
+    a category of its own; rows without a label don't count.
+
+    Examples are first reduced to (category, cutoff) counts. What is known at
+    a cutoff is the running sum up to the last closed cutoff before it, so
+    each cutoff's counts are moved to the first cutoff that may use them (one
+    row per cutoff decides that) and summed along."""
+    h = duration_us(horizon)
+    cat, t = F.col(category), F.col(time_col)
+    # a missing category joins and groups like any other value
+    examples_ = examples.withColumn("_cat", F.struct(cat.isNull(), cat))
+    per = examples_.groupBy("_cat", t.alias("_t")).agg(
+        F.count(F.col(label)).alias("_n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("_pos"))
+    # the cutoffs: a short list, one row each
+    cuts = per.select("_t").distinct()
+    ahead = Window.orderBy(micros("_t")).rangeBetween(max(h, 1), Window.unboundedFollowing)
+    usable = cuts.withColumn("_from", F.min("_t").over(ahead)).where(F.col("_from").isNotNull())
+    moved = per.join(F.broadcast(usable), "_t").groupBy("_cat", F.col("_from").alias("_t")).agg(
+        F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"))
+    grid = per.select("_cat", "_t").join(moved, ["_cat", "_t"], "full_outer")
+    upto = Window.partitionBy("_cat").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    known = grid.select("_cat", "_t", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_n_prev"),
+                        F.coalesce(F.sum("_pos").over(upto), F.lit(0)).alias("_pos_prev"))
+    tot = cuts.join(moved.groupBy("_t").agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos")), "_t", "left")
+    te = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)  # one row per cutoff
+    tot = tot.select("_t", F.try_divide(F.sum("_pos").over(te), F.sum("_n").over(te)).alias("_prior"))
     w = F.lit(prior_weight)
-    enc = per.join(F.broadcast(tot), time_col).select(
-        category, time_col,
+    enc = known.join(F.broadcast(tot), "_t").select(
+        "_cat", F.col("_t").alias(time_col),
         ((F.col("_pos_prev") + w * F.col("_prior")) / (F.col("_n_prev") + w)).alias("te"))
-    return examples.join(enc, [category, time_col], "left")
+    return examples_.join(enc, ["_cat", time_col], "left").select(*examples.columns, "te")

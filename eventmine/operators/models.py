@@ -16,7 +16,9 @@ def train_score(examples: DataFrame, features: list[str], label: str = "label",
     pipeline and the output has a plain ``score`` column (probability of 1).
     The examples are checkpointed to the shared checkpoint folder before
     ``fit``: every optimizer iteration and the scoring pass read them instead
-    of recomputing the feature pipeline."""
+    of recomputing the feature pipeline. A missing feature (NULL or NaN) takes
+    the mean of the training rows that have it, or 0 if none has; training
+    rows without a label are left out."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -27,9 +29,12 @@ def train_score(examples: DataFrame, features: list[str], label: str = "label",
     keep = keep or [c for c in examples.columns if c not in features]
     checkpoint_dir(examples.sparkSession)
     data = examples.withColumn("_y", F.col(label).cast("double")).checkpoint(eager=True)
-    train = data.where(F.col(split_col) == train_value)
+    given = {f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features}
+    means = data.where(F.col(split_col) == train_value).agg(*[F.avg(c).alias(f) for f, c in given.items()]).first()
+    data = data.withColumns({f"_f_{f}": F.coalesce(c, F.lit(float(means[f] or 0.0))) for f, c in given.items()})
+    train = data.where((F.col(split_col) == train_value) & F.col("_y").isNotNull())
     rest = data.where(F.col(split_col) != train_value)
-    stages = [VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
+    stages = [VectorAssembler(inputCols=[f"_f_{f}" for f in features], outputCol="_raw"),
               StandardScaler(inputCol="_raw", outputCol="_x")]
     if kind == "logistic":
         stages.append(LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=50, regParam=0.01))

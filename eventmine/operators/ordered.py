@@ -11,15 +11,13 @@ helpers here split the order into buckets and stitch neighbouring buckets:
   partitioned by (only the summary moves);
 * halo copies for bounded look-back / look-ahead frames: a row is copied into
   every neighbouring bucket whose frames can reach it;
-* global positions: range buckets from an approximate quantile sketch, row
-  numbers inside each bucket, bucket offsets from a summary whose size is the
-  bucket count (a parameter), so it is safe to broadcast.
+* range buckets: the whole order (key, time, id) or (value, tiebreak) cut into
+  equal parts, fixed by a checkpoint, so that neither a hot key nor a tied
+  value is one task; offsets come from a summary of one row per part.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +42,30 @@ def with_time_bucket(df: DataFrame, ts_col: str, bucket: str | int) -> DataFrame
               .withColumn(BUCKET, floor_div(F.col(TS_US), b)))
 
 
+def with_range_bucket(df: DataFrame, keys, ts_col: str, order) -> DataFrame:
+    """Add ``_ts_us`` and ``_bkt``: the row's part of the whole table when it
+    is cut into equal ranges of (keys, time, order). A key that holds a third
+    of the rows spans a third of the parts, be they all in one day or at one
+    instant. The parts are found by sampling, so the rows are written to the
+    shared checkpoint folder once, with their number; rows without a time
+    have no part, as with :func:`with_time_bucket`."""
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn(TS_US, micros(ts_col))
+    by = [_col(c) for c in [*_cols(keys), TS_US, *_cols(order)]]
+    return (df.repartitionByRange(n, *by)
+              .withColumn(BUCKET, F.when(F.col(TS_US).isNotNull(), F.spark_partition_id().cast("bigint")))
+              .checkpoint(eager=True))
+
+
+def with_bucket(df: DataFrame, keys, ts_col: str, order, bucket: str | int | None) -> DataFrame:
+    """Time buckets of width ``bucket``, or range buckets if it is None."""
+    return with_range_bucket(df, keys, ts_col, order) if bucket is None else with_time_bucket(df, ts_col, bucket)
+
+
 def lag_across_buckets(df: DataFrame, keys, order, values: dict, bucket_col: str = BUCKET
                        ) -> DataFrame:
     """Add, per row, the ``values`` (name → column) of the previous row of its
@@ -132,62 +154,46 @@ def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
               .drop("_own_b"))
 
 
+def _in_order(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """``df`` cut into ``n`` ranges of ``order`` and sorted inside: ``_gb`` is
+    a row's range, ``_rn`` its place there (from 1). Written to the shared
+    checkpoint folder once, so neither changes when a part is worked out again."""
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("_ix", F.monotonically_increasing_id()).checkpoint(eager=True))
+    return ranged.select(*df.columns, F.shiftright("_ix", 33).alias("_gb"),
+                         (F.col("_ix").bitwiseAND((1 << 33) - 1) + 1).alias("_rn"))
+
+
 def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str = "pos",
                      descending: bool = False, n_buckets: int | None = None,
-                     rel_error: float | None = None, sums: dict | None = None,
-                     totals: bool = False, materialize: bool = True) -> DataFrame:
+                     sums: dict | None = None, totals: bool = False) -> DataFrame:
     """1-based position of each row in the global order
     ``(value [desc], *tiebreak)``, without a single-task window.
 
-    Range buckets come from ``approxQuantile`` (a bounded sketch; ``n_buckets``
-    split points reach the driver). Equal values always share a bucket, so the
-    order inside a bucket decides ties. ``sums`` (name → column) adds
-    inclusive running sums in the same order; ``totals`` adds the grand
-    totals (``<out>_total`` rows, ``total_<name>`` per sum) from the same
-    bucket summary, so callers need no extra pass. The bucket summary has at
-    most ``n_buckets`` rows and is broadcast.
-
-    ``n_buckets`` defaults to ``max(64, 4 x default parallelism)`` so bucket
-    size shrinks as the cluster grows; the sketch error defaults to a quarter
-    of a bucket's share so buckets stay balanced.
-
-    The input is read three times (sketch, bucket rows, bucket summary), so
-    by default it is first checkpointed to the shared checkpoint folder:
-    upstream work runs once and lineage is cut."""
-    from pyspark.ml.feature import Bucketizer
-
-    from ..session import checkpoint_dir
-
+    Rows are cut into ``n_buckets`` equal ranges of the whole order, so rows
+    of one value are split by the tiebreak; NULL and NaN stand where Spark's
+    order puts them. The position inside a range and the counts of the ranges
+    before add up. ``sums`` (name → column) adds inclusive running sums in the
+    same order; ``totals`` adds the grand totals (``<out>_total`` rows,
+    ``total_<name>`` per sum). The summary has ``n_buckets`` rows and is
+    broadcast; the default, ``max(64, 4 x default parallelism)``, shrinks
+    ranges as the cluster grows. The input is written to the shared checkpoint
+    folder once and read from there."""
     sums = sums or {}
     if n_buckets is None:
         n_buckets = max(64, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    if rel_error is None:
-        rel_error = 1.0 / (4 * n_buckets)
-    if materialize:
-        checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    # NULL sorts first ascending / last descending, as in Spark's ordering;
-    # NaN lands in Bucketizer's extra last bucket, also as Spark orders it.
-    dv = df.withColumn("_qv", F.coalesce(F.col(value).cast("double"), F.lit(float("-inf"))))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = dv.approxQuantile("_qv", probs, rel_error) if n_buckets > 1 else []
-    # any finite split keeps the order right; Bucketizer needs at least one
-    splits = sorted({float(q) for q in qs if math.isfinite(q)}) or [0.0]
-    splits = [float("-inf")] + splits + [float("inf")]
-    bk = Bucketizer(splits=splits, inputCol="_qv", outputCol="_gb", handleInvalid="keep")
-    db = bk.transform(dv)
     val = F.col(value).desc() if descending else F.col(value).asc()
-    gb_order = F.col("_gb").desc() if descending else F.col("_gb").asc()
-    w = Window.partitionBy("_gb").orderBy(val, *[F.col(c).asc() for c in tiebreak])
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    inner = db.select("*", F.row_number().over(w).alias("_rn"),
-                      *[F.sum(_col(v)).over(wr).alias(f"_rs_{n}") for n, v in sums.items()])
-    summary = db.groupBy("_gb").agg(F.count(F.lit(1)).alias("_cnt"),
-                                    *[F.sum(_col(v)).alias(f"_tot_{n}") for n, v in sums.items()])
-    # One row per bucket: unpartitioned windows here touch n_buckets rows.
-    wo = Window.orderBy(gb_order).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.orderBy(gb_order).rowsBetween(Window.unboundedPreceding,
-                                                Window.unboundedFollowing)
+    placed = _in_order(df, [val, *[F.col(c).asc() for c in tiebreak]], n_buckets)
+    wr = Window.partitionBy("_gb").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.select("*", *[F.sum(_col(v)).over(wr).alias(f"_rs_{n}") for n, v in sums.items()])
+    summary = placed.groupBy("_gb").agg(F.count(F.lit(1)).alias("_cnt"),
+                                        *[F.sum(_col(v)).alias(f"_tot_{n}") for n, v in sums.items()])
+    # One row per range: unpartitioned windows here touch n_buckets rows.
+    wo = Window.orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)
+    wall = Window.orderBy("_gb").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     extra = []
     if totals:
         extra = [F.sum("_cnt").over(wall).cast("bigint").alias(f"{out}_total"),
@@ -203,36 +209,36 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
                       *keep_totals)
 
 
-def keyed_quantiles(df: DataFrame, keys, value: str, probs: dict, resolution: int = 32
-                    ) -> DataFrame:
+def keyed_quantiles(df: DataFrame, keys, value: str, probs: dict, mean: str | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key (the definition of
     Spark ``percentile`` / SQL ``quantile_cont``), one column per entry of
-    ``probs`` (name → probability), plus ``n``.
+    ``probs`` (name → probability), plus ``n`` and, if named, the ``mean``.
 
     No key's values are gathered in one buffer: values are counted per
-    (key, value) first, then ranked with a two-level running count over
-    (key, value bucket) partitions — buckets are log-scale, ``resolution``
-    per doubling, so a key's values spread over many tasks — and only the at
-    most two rows per quantile that hold the needed ranks are kept."""
+    (key, value) first, the counts are cut into equal ranges of (key, value),
+    so a key's values spread over as many tasks as they are worth however
+    close together they lie, and only the at most two rows per quantile that
+    hold the needed ranks are kept."""
     keys = _cols(keys)
     v = F.col(value)
     freq = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_f"))
-    vb = (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * resolution)).cast("bigint")
-    freq = freq.withColumn("_vb", vb)
-    w = (Window.partitionBy(*keys, "_vb").orderBy(value)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    freq = _in_order(freq, [*[F.col(k) for k in keys], v], n)
+    w = (Window.partitionBy(*keys, "_gb").orderBy("_rn")
          .rowsBetween(Window.unboundedPreceding, 0))
     inner = freq.withColumn("_cum_in", F.sum("_f").over(w))
-    summ = inner.groupBy(*keys, "_vb").agg(F.sum("_f").alias("_tot"))
-    wk = Window.partitionBy(*keys).orderBy("_vb")
-    summ = summ.select(*keys, "_vb",
+    summ = freq.groupBy(*keys, "_gb").agg(F.sum("_f").alias("_tot"), F.sum(v * F.col("_f")).alias("_vtot"))
+    wk = Window.partitionBy(*keys).orderBy("_gb")
+    every = Window.partitionBy(*keys)
+    summ = summ.select(*keys, "_gb",
                        F.coalesce(F.sum("_tot").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
                                   F.lit(0)).alias("_off"),
-                       F.sum("_tot").over(Window.partitionBy(*keys)).alias("n"))
-    j = inner.join(summ, [*keys, "_vb"], "left")
+                       F.sum("_tot").over(every).alias("n"), (F.sum("_vtot").over(every) / F.sum("_tot").over(every)).alias("_avg"))
+    j = inner.join(summ, [*keys, "_gb"], "left")
     cum = F.col("_off") + F.col("_cum_in")
     before = cum - F.col("_f")
     hit_any = F.lit(False)
-    aggs = [F.max("n").alias("n")]
+    aggs = [F.max("n").alias("n"), F.max("_avg").alias("_avg")]
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
@@ -249,4 +255,4 @@ def keyed_quantiles(df: DataFrame, keys, value: str, probs: dict, resolution: in
     for name in probs:
         lo_v, hi_v, fr = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_fr_{name}")
         outs.append((lo_v + (hi_v - lo_v) * fr).alias(name))
-    return picked.select(*keys, "n", *outs)
+    return picked.select(*keys, "n", *outs, *([F.col("_avg").alias(mean)] if mean else []))

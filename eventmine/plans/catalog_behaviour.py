@@ -76,12 +76,12 @@ RULES_SQL = "\nUNION ALL ".join([
 @query("rule_violations", RULES_SQL)
 def q_rules(spark, d):
     t = {n: read_table(spark, d, n) for n in ("orders", "lineitem", "customer", "part")}
-    return C.rule_violations(t["orders"], t["lineitem"], t["customer"], t["part"])
+    return C.order_table_rules(t["orders"], t["lineitem"], t["customer"], t["part"])
 
 
 @query("sessionize", f"SELECT event_id, user_id, ts, session_no FROM ({SESSIONIZED_SQL})")
 def q_sessionize(spark, d):
-    s = B.sessionize(events(spark, d), P.SESSION_GAP, P.TS_BUCKET)
+    s = B.sessionize(events(spark, d), P.SESSION_GAP)
     return s.select("event_id", "user_id", "ts", "session_no")
 
 
@@ -93,7 +93,7 @@ SELECT user_id, session_no, min(ts) AS session_start, max(ts) AS last_event,
 FROM ({SESSIONIZED_SQL}) GROUP BY user_id, session_no
 """)
 def q_session_summary(spark, d):
-    return B.session_summary(events(spark, d), P.SESSION_GAP, P.TS_BUCKET)
+    return B.session_summary(events(spark, d), P.SESSION_GAP)
 
 
 _S = P.FUNNEL_STEPS
@@ -163,7 +163,7 @@ SELECT user_id, count(*)::BIGINT AS n_gaps,
 FROM g WHERE gap_us IS NOT NULL GROUP BY user_id
 """)
 def q_gap_stats(spark, d):
-    return B.gap_stats(events(spark, d), P.TS_BUCKET)
+    return B.gap_stats(events(spark, d))
 
 
 @query("transitions", """
@@ -174,7 +174,7 @@ SELECT from_type, to_type, count(*)::BIGINT AS n,
 FROM t WHERE from_type IS NOT NULL GROUP BY from_type, to_type
 """)
 def q_transitions(spark, d):
-    return B.transitions(events(spark, d), P.TS_BUCKET)
+    return B.transitions(events(spark, d))
 
 
 @query("retention_weekly", """
@@ -221,7 +221,8 @@ SELECT user_id, event_id, ts,
 FROM events WINDOW {_TR_WIN}
 """)
 def q_trailing_halo(spark, d):
-    return B.trailing_features(events(spark, d), P.TRAILING, method="halo")
+    """The same contract over wide buckets (the longest horizon)."""
+    return B.trailing_features(events(spark, d), P.TRAILING, bucket=max(P.TRAILING.values(), key=duration_us))
 
 
 _S2 = ["signup", "view", "purchase"]
@@ -243,8 +244,16 @@ def q_funnel_72h(spark, d):
     return B.funnel(events(spark, d), _S2, "72h", bucket=P.TS_BUCKET)
 
 
-@query("gap_stats_approx")
+@query("gap_stats_approx", """
+WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id
+             ORDER BY ts, event_id)) AS gap_us FROM events)
+SELECT user_id, count(*)::BIGINT AS n_gaps,
+  quantile_disc(gap_us, 0.5) / 1e6 AS p50_s, quantile_disc(gap_us, 0.9) / 1e6 AS p90_s,
+  sum(gap_us) / count(*) / 1e6 AS mean_s
+FROM g WHERE gap_us IS NOT NULL GROUP BY user_id
+""")
 def q_gap_stats_approx(spark, d):
     """P10's large-data option: percentile_approx sketches per user (observed
-    gaps, not interpolated), so no SQL equivalent is registered."""
-    return B.gap_stats(events(spark, d), P.TS_BUCKET, method="approx")
+    gaps, not interpolated). A user with fewer gaps than the sketch's accuracy
+    has exact ranks, which the SQL checks."""
+    return B.gap_stats(events(spark, d), method="approx")

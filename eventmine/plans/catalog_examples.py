@@ -103,7 +103,7 @@ def q_as_of(spark, d):
     purchases = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
     views = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
     return X.as_of_join(purchases, views, by="user_id", left_ts="ts", right_ts="ts",
-                        right_id="event_id", right_cols=["value"], bucket=P.TS_BUCKET)
+                        right_id="event_id", right_cols=["value"])
 
 
 @query("split_examples", f"""
@@ -152,7 +152,7 @@ def q_target_encode(spark, d):
     ex = X.label_examples(events(spark, d), P.CUTOFFS, P.HORIZON)
     cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     ex = ex.join(cust, "user_id")
-    out = X.target_encode(ex, "c_mktsegment", prior_weight=P.PRIOR_WEIGHT)
+    out = X.target_encode(ex, "c_mktsegment", prior_weight=P.PRIOR_WEIGHT, horizon=P.HORIZON)
     return out.select("user_id", "cutoff", "label", "c_mktsegment", F.round("te", 9).alias("te"))
 
 
@@ -164,7 +164,7 @@ FROM ({LABELS_SQL})
 """)
 def q_split_time(spark, d):
     ex = X.label_examples(events(spark, d), P.CUTOFFS, P.HORIZON)
-    return X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], valid_cutoff=P.CUTOFFS[-2])
+    return X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], valid_cutoff=P.CUTOFFS[-2], horizon=P.HORIZON)
 
 
 @query("as_of_last_view_strict", """
@@ -181,4 +181,30 @@ def q_as_of_strict(spark, d):
     purchases = ev.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts", "value")
     views = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
     return X.as_of_join(purchases, views, by="user_id", left_ts="ts", right_ts="ts",
-                        right_id="event_id", right_cols=["value"], strict=True, bucket=P.TS_BUCKET)
+                        right_id="event_id", right_cols=["value"], strict=True)
+
+
+_DAILY = [f"2024-01-{n:02d} 00:00:00" for n in range(8, 18)]
+_DAILY_CTE = f"cutoffs(cutoff) AS (VALUES {', '.join(f'(TIMESTAMP {c!r})' for c in _DAILY)})"
+
+
+@query("target_encode_segment_overlap", f"""
+WITH {_DAILY_CTE},
+ex AS (SELECT e.user_id, c.cutoff, cu.c_mktsegment,
+         max(CASE WHEN e.event_type = 'purchase' AND e.ts >= c.cutoff AND e.ts < c.cutoff + INTERVAL 3 DAY THEN 1 ELSE 0 END)::INTEGER AS label
+       FROM events e CROSS JOIN cutoffs c JOIN customer cu ON cu.c_custkey = e.user_id
+       GROUP BY 1, 2, 3 HAVING min(e.ts) < c.cutoff),
+prev AS (SELECT s.c_mktsegment, c.cutoff, coalesce(sum(x.label), 0) AS pos, count(x.label) AS n
+         FROM (SELECT DISTINCT c_mktsegment FROM ex) s CROSS JOIN cutoffs c
+         LEFT JOIN ex x ON x.c_mktsegment = s.c_mktsegment AND x.cutoff + INTERVAL 3 DAY <= c.cutoff GROUP BY 1, 2),
+tot AS (SELECT cutoff, sum(pos) / nullif(sum(n), 0) AS prior FROM prev GROUP BY cutoff)
+SELECT ex.user_id, ex.cutoff, ex.label, ex.c_mktsegment,
+  round((pos + {P.PRIOR_WEIGHT} * prior) / (n + {P.PRIOR_WEIGHT}), 9) AS te
+FROM ex JOIN prev USING (c_mktsegment, cutoff) JOIN tot USING (cutoff)
+""")
+def q_target_encode_overlap(spark, d):
+    """Daily cutoffs with label windows of three days: only closed windows count."""
+    ex = X.label_examples(events(spark, d), _DAILY, "3d")
+    cust = read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    out = X.target_encode(ex.join(cust, "user_id"), "c_mktsegment", prior_weight=P.PRIOR_WEIGHT, horizon="3d")
+    return out.select("user_id", "cutoff", "label", "c_mktsegment", F.round("te", 9).alias("te"))

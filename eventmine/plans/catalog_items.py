@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import ntz_literal
@@ -10,6 +11,7 @@ from ..operators import examples as X
 from ..operators import items as I
 from ..operators import models as M
 from ..operators import sales as S
+from ..session import checkpoint_dir, scratch_path
 from ..sources.tables import read_table
 from . import params as P
 from .catalog_examples import EXAMPLES_SQL
@@ -73,7 +75,19 @@ def q_pairs(spark, d):
     return I.pair_rules(bi, P.PAIR_MIN_COUNT)
 
 
-@query("frequent_itemsets_brand")
+def _itemsets_sql(most: int) -> str:
+    """Itemsets of one to ``most`` items; a set one larger is in none, or the
+    sizes here would not be all (the tests look)."""
+    parts = []
+    for k in range(1, most + 1):
+        names = [f"x{i}" for i in range(k)]
+        joins = "bi x0" + "".join(f" JOIN bi {n} ON {n}.basket = x0.basket AND {m}.item < {n}.item" for m, n in zip(names, names[1:]))
+        parts.append(f"SELECT list_value({', '.join(n + '.item' for n in names)}) AS items, {k}::INTEGER AS size, count(*)::BIGINT AS freq "
+                     f"FROM {joins} GROUP BY {', '.join(n + '.item' for n in names)} HAVING count(*) >= (SELECT ceil({P.FP_MIN_SUPPORT} * n) FROM nb)")
+    return f"WITH bi AS ({BASKET_SQL}), nb AS (SELECT count(DISTINCT basket) AS n FROM bi) " + " UNION ALL ".join(parts)
+
+
+@query("frequent_itemsets_brand", _itemsets_sql(4))
 def q_fpgrowth(spark, d):
     bi = I.basket_items(t(spark, d, "lineitem"), t(spark, d, "part"))
     return I.frequent_itemsets(bi, P.FP_MIN_SUPPORT)
@@ -93,16 +107,16 @@ def q_fp_pairs(spark, d):
     return fi.select(F.col("items")[0].alias("item_a"), F.col("items")[1].alias("item_b"), "freq")
 
 
-def customer_brand_counts(spark, d, before: str | None = None, since: str | None = None):
-    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    if before:
-        o = o.where(F.col("o_orderdate") < ntz_literal(before))
-    if since:
-        o = o.where(F.col("o_orderdate") >= ntz_literal(since))
+def customer_brand_counts(spark, d, split: str | None = None):
+    """Lines per customer and brand; with ``split``, before and since then."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey", *(["o_orderdate"] if split else []))
     li = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("item"))
-    return (o.join(li, "o_orderkey").join(p, "l_partkey")
-             .groupBy(F.col("o_custkey").alias("user_id"), "item").agg(F.count(F.lit(1)).alias("n")))
+    per = o.join(li, "o_orderkey").join(p, "l_partkey").groupBy(F.col("o_custkey").alias("user_id"), "item")
+    if not split:
+        return per.agg(F.count(F.lit(1)).alias("n"))
+    at = F.col("o_orderdate")
+    return per.agg(F.count_if(at < ntz_literal(split)).alias("n_before"), F.count_if(at >= ntz_literal(split)).alias("n_since"))
 
 
 @query("recommend_brands")
@@ -110,10 +124,55 @@ def q_recommend(spark, d):
     return I.recommend(customer_brand_counts(spark, d), 5)
 
 
+SCORED_SQL = f"""
+SELECT user_id, cutoff, label, (n_purchase + 1) / (n_events + 2) AS score
+FROM ({EXAMPLES_SQL})
+"""
+
+RECOMMENDED = 5
+
+
+@query("recommend_brands_checks", f"""
+WITH u AS (SELECT o.o_custkey AS user_id FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+           JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1),
+b AS (SELECT least({RECOMMENDED}, count(DISTINCT p.p_brand)) AS k FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT u.user_id, b.k::BIGINT AS n_items, (b.k * (b.k + 1) // 2)::BIGINT AS rank_sum, true AS scores_fall FROM u, b
+""")
+def q_recommend_checks(spark, d):
+    """Every user has the same number of different items, at ranks 1 to k,
+    with scores that don't rise with the rank."""
+    r = I.recommend(customer_brand_counts(spark, d), RECOMMENDED)
+    w = Window.partitionBy("user_id").orderBy("rank")
+    r = r.withColumn("_rise", F.coalesce(F.col("score") > F.lag("score").over(w), F.lit(False)))
+    return r.groupBy("user_id").agg(F.count_distinct("item").alias("n_items"), F.sum("rank").cast("bigint").alias("rank_sum"),
+                                    (~F.max("_rise")).alias("scores_fall"))
+
+
+_TEST_SQL = f"SELECT user_id, cutoff, label, true AS score_in_0_1 FROM ({EXAMPLES_SQL}) WHERE cutoff >= TIMESTAMP '{P.CUTOFFS[-1]}'"
+
+
+@query("train_score_checks", _TEST_SQL)
+def q_train_score_checks(spark, d):
+    """Every test example is scored once, with a probability."""
+    s = q_train_score(spark, d)
+    return s.select("user_id", "cutoff", "label", F.col("score").between(0, 1).alias("score_in_0_1"))
+
+
+@query("write_predictions", f"""
+SELECT user_id, score FROM ({SCORED_SQL}) WHERE cutoff = TIMESTAMP '{P.CUTOFFS[-1]}'
+""")
+def q_write_predictions(spark, d):
+    """Checked, written and read back."""
+    pred = scored_examples(spark, d).where(F.col("cutoff") == ntz_literal(P.CUTOFFS[-1])).select("user_id", "score")
+    path = scratch_path(spark, "predictions")
+    V.write_predictions(pred, path, pred.select("user_id"))
+    return spark.read.parquet(path)
+
+
 @query("train_score_logistic")
 def q_train_score(spark, d):
     ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
-    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1])
+    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], horizon=P.HORIZON)
     feats = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
              "recency_s", "active_days"]
     return M.train_score(ex, feats, keep=["user_id", "cutoff", "label"])
@@ -122,18 +181,12 @@ def q_train_score(spark, d):
 @query("train_score_gbt")
 def q_train_score_gbt(spark, d):
     ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
-    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1])
+    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], horizon=P.HORIZON)
     feats = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
              "recency_s", "active_days"]
     return M.train_score(ex, feats, kind="gbt", keep=["user_id", "cutoff", "label"])
 
 
-SCORED_SQL = f"""
-SELECT user_id, cutoff, label, (n_purchase + 1) / (n_events + 2) AS score
-FROM ({EXAMPLES_SQL})
-"""
-
-
 def scored_examples(spark, d):
     ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
     return ex.select("user_id", "cutoff", "label",
@@ -160,7 +213,7 @@ per AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM s GROUP BY s
 c AS (SELECT score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS p FROM per
       WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
 SELECT score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp,
-  round(tp / (tp + fp), 9) AS precision, round(tp / p, 9) AS recall,
+  round(tp / (tp + fp), 9) AS precision, round(tp / nullif(p, 0), 9) AS recall,
   CASE WHEN tp = 0 THEN 0.0 ELSE
     round(2 * (tp / (tp + fp)) * (tp / p) / ((tp / (tp + fp)) + (tp / p)), 9) END AS f1
 FROM c
@@ -175,7 +228,7 @@ WITH s AS (SELECT user_id * 100 + ci AS k, label, score FROM ({SCORED_SQL}) x
            USING (cutoff)),
 d AS (SELECT *, ntile(10) OVER (ORDER BY score DESC, k) AS decile FROM s)
 SELECT decile::INTEGER AS decile, count(*)::BIGINT AS n, sum(label)::BIGINT AS n_pos,
-  round(avg(label), 9) AS rate, round(avg(label) / (SELECT avg(label) FROM s), 9) AS lift
+  round(avg(label), 9) AS rate, round(avg(label) / nullif((SELECT avg(label) FROM s), 0), 9) AS lift
 FROM d GROUP BY decile
 """)
 def q_lift(spark, d):
@@ -211,10 +264,12 @@ SELECT count(*)::BIGINT AS n_users, round(avg(hh / 5), 9) AS precision_at_k,
 FROM u
 """)
 def q_ranking(spark, d):
-    hist = customer_brand_counts(spark, d, before=P.RANK_SPLIT)
+    n = customer_brand_counts(spark, d, P.RANK_SPLIT)
+    checkpoint_dir(spark)
+    n = n.checkpoint(eager=True)  # both periods, from one join of orders to lines
+    hist = n.where("n_before > 0").select("user_id", "item", F.col("n_before").alias("n"))
     ranked = I.top_k(hist, "user_id", "n", 5, "break", ["item"])
-    truth = customer_brand_counts(spark, d, since=P.RANK_SPLIT)
-    return V.ranking_metrics(ranked, truth, 5)
+    return V.ranking_metrics(ranked, n.where("n_since > 0").select("user_id", "item"), 5)
 
 
 @query("prediction_checks", f"""

@@ -1,6 +1,8 @@
+import time
 import datetime as dt
 from collections import defaultdict
 
+import pytest
 from hypothesis import given, settings, HealthCheck
 from hypothesis import strategies as st
 
@@ -69,7 +71,7 @@ def py_funnel(rows, steps, within):
                 continue
             depth, pos = 1, i
             for s in steps[1:]:
-                nxt = next((j for j in range(pos + 1, len(rs)) if rs[j][3] == s), None)
+                nxt = next((j for j in range(len(rs)) if rs[j][1] > rs[pos][1] and rs[j][3] == s), None)
                 if nxt is None or rs[nxt][1] - a[1] > within:
                     break
                 depth, pos = depth + 1, nxt
@@ -107,18 +109,56 @@ def test_trailing_matches_brute_force(spark, raw):
     for r in rows:
         same = [o for o in rows if o[2] == r[2]]
         exp[r[0]] = tuple(sum(1 for o in same if r[1] - h <= o[1] < r[1]) for h in (2 * H, 5 * H))
-    for method in ("prefix", "halo"):
+    for bucket in ("1h", "1d"):
         got = {r.event_id: (r.n_2h, r.n_5h) for r in
-               B.trailing_features(df, {"2h": "2h", "5h": "5h"}, bucket="1h", method=method).collect()}
+               B.trailing_features(df, {"2h": "2h", "5h": "5h"}, bucket=bucket).collect()}
         assert got == exp
 
 
 def test_trailing_excludes_same_instant(spark):
     rows = [(1, ts(0), 1, "view"), (2, ts(0), 1, "view"), (3, ts(10), 1, "view")]
-    for method in ("prefix", "halo"):
-        got = {r.event_id: (r.n_1h, r.value_1h) for r in
-               B.trailing_features(make_events(spark, rows), {"1h": "1h"}, method=method).collect()}
-        assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (2, 2.0)}
+    got = {r.event_id: (r.n_1h, r.value_1h) for r in
+           B.trailing_features(make_events(spark, rows), {"1h": "1h"}).collect()}
+    assert got == {1: (0, 0.0), 2: (0, 0.0), 3: (2, 2.0)}
+
+
+def test_trailing_contract_for_nulls_and_repeats(spark):
+    rows = [(1, ts(0), 1, "view"), (1, ts(0), 1, "view"), (2, ts(10), 1, "view", None), (2, ts(20), 1, "view"),
+            (3, None, 1, "view"), (4, ts(5), None, "view")]
+    got = sorted((r.event_id, r.n_1h, r.value_1h) for r in
+                 B.trailing_features(make_events(spark, rows), {"1h": "1h"}).collect())
+    assert got == [(1, 0, 0.0), (1, 0, 0.0), (2, 2, 2.0), (2, 3, 2.0)]
+
+
+def test_funnel_steps_at_one_instant_do_not_follow_each_other(spark):
+    rows = [(1, ts(0), 1, "view"), (2, ts(0), 1, "click"), (3, ts(0), 1, "purchase"),
+            (4, ts(0), 2, "view"), (5, ts(1), 2, "click"), (6, ts(1), 2, "purchase"), (7, ts(2), 2, "purchase"),
+            (8, None, 3, "view"), (9, ts(0), None, "view")]
+    got = {r.user_id: r.depth for r in B.funnel(make_events(spark, rows), ["view", "click", "purchase"], "1h").collect()}
+    assert got == {1: 1, 2: 3}
+
+
+@pytest.mark.parametrize("what", ["funnel", "trailing"])
+def test_time_is_linear_in_one_users_events(spark, what):
+    def seconds(n):
+        ev = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 2) AS ts",
+                                       "7L AS user_id", "element_at(array('view', 'click', 'purchase'), cast(id % 3 + 1 AS int)) AS event_type",
+                                       "1.0D AS value", "'' AS props")
+        t0 = time.time()
+        df = B.funnel(ev, ["view", "click", "purchase"], "6h", bucket="30d") if what == "funnel" else B.trailing_features(
+            ev, {"1d": "1d"}, bucket="30d")
+        df.write.format("noop").mode("overwrite").save()
+        return time.time() - t0
+
+    seconds(2000)
+    small = min(seconds(8000) for _ in range(2))
+    assert seconds(64_000) < 12 * small
+
+
+def test_retention_by_month(spark):
+    rows = [(1, ts(days=0), 1, "view"), (2, ts(days=45), 1, "view"), (3, ts(days=40), 2, "view"), (4, ts(days=370), 1, "view")]
+    got = sorted((r.cohort.month, r.period_offset, r.n_users) for r in B.retention(make_events(spark, rows), "month").collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 12, 1), (2, 0, 1)]
 
 
 @given(raw=event_rows)
@@ -180,7 +220,7 @@ def test_keyed_quantiles_equal_numpy(spark, vals):
     from eventmine.operators.ordered import keyed_quantiles
     df = spark.createDataFrame(vals, "k long, v long")
     got = {r.k: (r.n, r.p10, r.p50, r.p90) for r in
-           keyed_quantiles(df, "k", "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, resolution=2).collect()}
+           keyed_quantiles(df, "k", "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, mean="avg").collect()}
     for k in {k for k, _ in vals}:
         xs = np.array([v for kk, v in vals if kk == k], dtype=float)
         n, *qs = got[k]

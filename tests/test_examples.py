@@ -1,3 +1,4 @@
+import pytest
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -172,3 +173,34 @@ def test_labels_many_overlapping_cutoffs_match_sql(spark):
                  AND e.ts < c.cutoff + INTERVAL 2 DAY THEN 1 ELSE 0 END)::INTEGER AS label
       FROM events e CROSS JOIN c GROUP BY 1, 2 HAVING min(e.ts) < c.cutoff""").fetchall())
     assert got == want
+
+
+def test_target_encode_uses_closed_label_windows_only(spark):
+    """With windows that overlap the next cutoffs, labels of open windows
+    change nothing."""
+    import datetime as dt
+    day = lambda n: dt.datetime(2024, 1, n)
+
+    def encoded(open_label):
+        rows = [(u, day(n), 1 if n == 1 and u < 2 else open_label if n > 1 else 0, "a" if u < 3 else None)
+                for u in range(5) for n in (1, 2, 3, 8)]
+        df = spark.createDataFrame(rows, "user_id long, cutoff timestamp_ntz, label int, seg string")
+        te = X.target_encode(df, "seg", prior_weight=2.0, horizon="7d").collect()
+        assert len(te) == len(rows)
+        return {(r.user_id, r.cutoff.day): r.te for r in te}
+
+    none, all_ = encoded(0), encoded(1)
+    assert none == all_
+    assert all(none[u, n] is None for u in range(5) for n in (1, 2, 3))
+    # only cutoff 1 is closed on day 8; a missing segment is one of its own
+    assert none[0, 8] == pytest.approx((2 + 2 * 2 / 5) / (3 + 2)) and none[4, 8] == pytest.approx((0 + 2 * 2 / 5) / (2 + 2))
+
+
+def test_time_split_leaves_a_gap_for_open_labels(spark):
+    import datetime as dt
+    rows = [(n, dt.datetime(2024, 1, n)) for n in range(1, 12)]
+    df = spark.createDataFrame(rows, "user_id long, cutoff timestamp_ntz")
+    got = {r.user_id: r.split for r in X.split_examples(df, by="time", valid_cutoff="2024-01-05 00:00:00",
+                                                        test_cutoff="2024-01-09 00:00:00", horizon="2d").collect()}
+    assert got == {1: "train", 2: "train", 3: "train", 4: "gap", 5: "valid", 6: "valid", 7: "valid", 8: "gap",
+                   9: "test", 10: "test", 11: "test"}

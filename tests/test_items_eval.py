@@ -159,3 +159,20 @@ def test_global_positions_nulls_and_nan(spark):
         o = F.col("v").desc() if desc else F.col("v").asc()
         ref = {r.id: r.p for r in df.select("id", F.row_number().over(Window.orderBy(o, "id")).alias("p")).collect()}
         assert got == ref
+
+
+def test_train_score_with_missing_features(spark):
+    rows = [(k, None if k % 4 == 0 else float("nan") if k % 4 == 1 else float(k % 7), None, k % 2, "train" if k < 60 else "test") for k in range(80)]
+    df = spark.createDataFrame(rows, "user_id long, f1 double, f2 double, label int, split string")
+    for kind in ("logistic", "gbt"):
+        out = M.train_score(df, ["f1", "f2"], kind=kind, keep=["user_id"]).collect()
+        assert len(out) == 20 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_global_positions_split_tied_values(spark):
+    df = spark.range(8000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 5L ELSE id END AS v")
+    from eventmine.operators.ordered import _in_order
+    parts = _in_order(df, [F.col("v"), F.col("id")], 16).groupBy("_gb").count().collect()
+    assert len(parts) >= 12 and max(r["count"] for r in parts) < 3 * 8000 / 16
+    got = [(r.pos, r.v, r.id) for r in global_positions(df, "v", ["id"], n_buckets=16).orderBy("pos").collect()]
+    assert [g[0] for g in got] == list(range(1, 8001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)

@@ -98,3 +98,19 @@ def test_hot_basket_pairs_without_expanding_it(spark, skewed_orders_dir):
         plain = I.pair_rules(bi, min_count, hot_min_items=10**9).collect()
         assert len(fast) > 0
         assert sorted(map(tuple, fast)) == sorted(map(tuple, plain))
+
+
+def test_no_task_holds_a_hot_users_day(spark):
+    """A third of the rows are one user's, all in one day and some at one
+    instant: the parts that the per-user scans run over stay even."""
+    from eventmine.operators.ordered import BUCKET, _in_order, with_range_bucket
+    ev = spark.range(24_000).selectExpr(
+        "id AS event_id", "CASE WHEN id % 3 = 0 THEN 1L ELSE 10 + id % 500 END AS user_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN (id % 900) * 90 ELSE id * 100 END) AS ts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = [r["count"] for r in with_range_bucket(ev, "user_id", "ts", "event_id").groupBy("user_id", BUCKET).count().collect()]
+    assert sum(sizes) == 24_000 and max(sizes) < 2 * 24_000 / n
+    # near-constant gaps: few distinct values, all alike
+    gaps = spark.range(24_000).selectExpr("1L AS k", "90000000 + id % 6000 AS v").distinct()
+    sizes = [r["count"] for r in _in_order(gaps, [F.col("k"), F.col("v")], 8).groupBy("_gb").count().collect()]
+    assert max(sizes) < 2 * 6000 / 8
