@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_conf(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    # Python workers import this package from where the driver did (a cluster
+    # has it installed or is given it with --py-files)
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH", "")]))
     checkpoint_dir(spark)
     return spark
 
