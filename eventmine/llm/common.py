@@ -20,7 +20,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def bounded_batches(spark: SparkSession) -> None:
     """Python workers get rows by a bounded number of bytes, not by count alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ CHOICES = 64
 #: bytes worked on at once; places in them must fit in the low 20 bits
 BLOCK = 1 << 20
 #: bytes of contexts in one transform
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: kinds of segments of one anchor beyond which it is split
 MOST = 20_000
 #: stands for a null id
