@@ -34,26 +34,23 @@ def basket_items(lineitem: DataFrame, part: DataFrame, item_col: str = "p_brand"
 
 
 def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket",
-               item: str = "item", hot_min_items: int = 10_000) -> DataFrame:
+               item: str = "item", block: int = 1000) -> DataFrame:
     """P21. For item pairs (a < b) in at least ``min_count`` baskets: count,
     support, confidence both ways and lift.
 
     Items below ``min_count`` cannot be in such a pair and are dropped first
-    (a join against the frequent items, not a driver-side list). Pairs come
-    from an equi-join of (basket, item) with itself on ``basket`` and
-    ``a < b``; no basket is gathered into one row, and pair counts are
-    partially aggregated before their shuffle.
-
-    Hot baskets. A basket with m distinct items yields m(m-1)/2 pairs, so a
-    basket holding a third of the data must not be expanded. Up to
-    ``k = min_count - 1`` of the largest baskets with at least
-    ``hot_min_items`` frequent items are set aside (their ids, at most k,
-    become a filter); pairs come from the other baskets only, and each
-    candidate pair then gets the number of hot baskets holding both items
-    from two membership joins (rows: candidates × k). Without hot baskets
-    the plan is the plain self-join.
-    Exact: a pair reaching ``min_count`` with at most k < ``min_count`` hot
-    baskets must occur in some other basket, so it is a candidate.
+    (a join against the frequent items). The ``k = min_count - 1`` largest
+    baskets are never expanded: a pair in ``min_count`` baskets must be in
+    another one as well, so pairs come from the others, and each then gets the
+    number of set-aside baskets holding both items from two membership joins
+    (rows: candidates x k at most). That is exact whatever the sizes, and it
+    is always done. The set-aside baskets are k rows, a parameter, so they
+    are broadcast.
+
+    The other baskets' pairs come from an equi-join per (basket, block pair),
+    ``block`` items to a block: no basket is gathered into one row, a large
+    one is many join keys, and pair counts are partially aggregated before
+    their shuffle.
 
     The distinct (basket, item) table feeds several branches and is
     checkpointed once to the shared checkpoint folder."""
@@ -66,28 +63,27 @@ def pair_rules(basket_items_df: DataFrame, min_count: int, basket: str = "basket
     item_n = bi.groupBy("_i").agg(F.count(F.lit(1)).alias("_n"))
     frequent = item_n.where(F.col("_n") >= min_count)
     fb = bi.join(frequent.select("_i"), "_i", "left_semi")
-    k = max(min_count - 1, 0)
-    # at most k = min_count - 1 basket ids reach the driver (a parameter bound)
-    hot_ids = [r["_b"] for r in (
-        fb.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
-          .where(F.col("_m") >= hot_min_items)
-          .orderBy(F.col("_m").desc(), F.col("_b")).limit(k).collect())] if k else []
-    is_hot = F.col("_b").isin(hot_ids) if hot_ids else F.lit(False)
-    normal = fb.where(~is_hot)
-    a = normal.select("_b", F.col("_i").alias("item_a"))
-    b = normal.select("_b", F.col("_i").alias("item_b"))
-    cand = (a.join(b, "_b").where(F.col("item_a") < F.col("item_b"))
-             .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_norm")))
-    if hot_ids:
-        cand = cand.where(F.col("_n_norm") >= F.lit(min_count - len(hot_ids)))
-        hb = fb.where(is_hot)
-        in_hot = (cand.select("item_a", "item_b")
-                      .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_a")), "item_a")
-                      .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_b")),
-                            ["_h", "item_b"], "left_semi")
-                      .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_hot")))
-        cand = (cand.join(in_hot, ["item_a", "item_b"], "left")
-                    .withColumn("_n_norm", F.col("_n_norm") + F.coalesce(F.col("_n_hot"), F.lit(0))))
+    sizes = fb.groupBy("_b").agg(F.count(F.lit(1)).alias("_m"))
+    aside = F.broadcast(sizes.orderBy(F.col("_m").desc(), F.col("_b")).limit(max(min_count - 1, 0)).select("_b"))
+    others = fb.join(aside, "_b", "left_anti").join(
+        sizes.select("_b", F.ceil(F.col("_m") / block).cast("int").alias("_blocks")), "_b")
+    mine = F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int")
+    others = (others.withColumn("_mine", mine)
+              .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+              .select("_b", "_i", "_mine", F.least("_mine", "_other").alias("_lo"), F.greatest("_mine", "_other").alias("_hi")))
+    x = others.where("_mine = _lo").select("_b", "_lo", "_hi", F.col("_i").alias("_x"))
+    y = others.where("_mine = _hi").select("_b", "_lo", "_hi", F.col("_i").alias("_y"))
+    cand = (x.join(y, ["_b", "_lo", "_hi"]).where((F.col("_x") < F.col("_y")) | ((F.col("_lo") < F.col("_hi")) & (F.col("_x") > F.col("_y"))))
+             .groupBy(F.least("_x", "_y").alias("item_a"), F.greatest("_x", "_y").alias("item_b"))
+             .agg(F.count(F.lit(1)).alias("_n_norm")))
+    hb = fb.join(aside, "_b", "left_semi")
+    in_hot = (cand.select("item_a", "item_b")
+                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_a")), "item_a")
+                  .join(hb.select(F.col("_b").alias("_h"), F.col("_i").alias("item_b")),
+                        ["_h", "item_b"], "left_semi")
+                  .groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("_n_hot")))
+    cand = (cand.join(in_hot, ["item_a", "item_b"], "left")
+                .withColumn("_n_norm", F.col("_n_norm") + F.coalesce(F.col("_n_hot"), F.lit(0))))
     pairs = (cand.select("item_a", "item_b", F.col("_n_norm").alias("n_ab"))
                  .where(F.col("n_ab") >= min_count))
     na = frequent.select(F.col("_i").alias("item_a"), F.col("_n").alias("n_a"))
