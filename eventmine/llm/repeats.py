@@ -10,7 +10,7 @@ equal strings meet under the same one.
 
 1. Documents are cut into segments, the starts of neighbouring strings with
    the same anchor. Only hashes leave the task: of the anchor and of the
-   segment with its context.
+   segment with its context. Equal segments within a batch are settled there.
 2. Sorted by anchor and segment, equal segments are neighbours, and all but
    the first are repeats as a whole. A segment whose anchor has no other one
    is done.
@@ -129,19 +129,37 @@ def _segments(keyed: DataFrame, length: int) -> DataFrame:
                 anchor, kind, doc, start, n = anchors(np.frombuffer(b"".join(parts), np.uint8), begins, ends, length)
                 of = pa.array(np.array(rows, np.int64)[doc])
                 place = ((start + np.array(offsets, np.int64)[doc]) << 8) | n
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(kind), ids.take(of), h.take(of), pa.array(place)],
-                                                 names=["_anchor", "_kind", "_id", "_h", "_place"])
+                yield _first_of_kind(anchor, kind, ids.take(of).to_numpy(), h.take(of).to_numpy(), place)
 
     return keyed.mapInArrow(work, "_anchor bigint, _kind bigint, _id bigint, _h bigint, _place bigint")
 
 
+def _first_of_kind(anchor, kind, i, h, place) -> pa.RecordBatch:
+    """What a task can settle before the rows move: of equal segments, all but
+    the first are repeats (anchor null), so a passage that fills a table moves
+    once per batch. Rows that are there twice are one."""
+    order = np.lexsort((place, h, i, kind, anchor))
+    anchor, kind, i, h, place = (x[order] for x in (anchor, kind, i, h, place))
+    same = np.zeros(len(order), bool)
+    same[1:] = (anchor[1:] == anchor[:-1]) & (kind[1:] == kind[:-1])
+    twice = np.zeros(len(order), bool)
+    twice[1:] = same[1:] & (i[1:] == i[:-1]) & (h[1:] == h[:-1]) & (place[1:] == place[:-1])
+    batch = pa.RecordBatch.from_arrays([pa.array(anchor, mask=same), *(pa.array(x) for x in (kind, i, h, place))],
+                                       names=["_anchor", "_kind", "_id", "_h", "_place"])
+    return batch.filter(pa.array(~twice)) if twice.any() else batch
+
+
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From segments in order: repeats (anchor null), and the first segment of
-    each kind where an anchor has several kinds. Holds one row at a time from
-    one batch to the next."""
+    """From segments in order: repeats (anchor null, as known ones come), and
+    the first segment of each kind where an anchor has several kinds. Holds one
+    row at a time from one batch to the next."""
     last: tuple | None = None  # the row before
     pending: tuple | None = None  # first of its anchor, if no other kind came yet
     for b in batches:
+        settled = b.filter(b.column(0).is_null())
+        if settled.num_rows:
+            yield settled.select(["_anchor", "_id", "_h", "_place"])
+            b = b.filter(b.column(0).is_valid())
         if not b.num_rows:
             continue
         a, k, i, h, p = (c.to_numpy() for c in b.columns)
@@ -273,7 +291,7 @@ def _repeats(keyed: DataFrame, length: int, chunk: int, most: int) -> DataFrame:
     bounded_batches(keyed.sparkSession)
     columns = ["_anchor", "_kind", "_id", "_h", "_place"]
     schema = "_anchor bigint, _id bigint, _h bigint, _place bigint"
-    sorted_out = cut_lineage(_segments(keyed, length).repartition("_anchor").sortWithinPartitions(*columns).mapInArrow(_sorted_out, schema))
+    sorted_out = cut_lineage(_segments(keyed, length).repartition(F.coalesce("_anchor", F.xxhash64("_id", "_place"))).sortWithinPartitions(*columns).mapInArrow(_sorted_out, schema))
     several = sorted_out.where(F.col("_anchor").isNotNull())
     contexts = _contexts(keyed, several, length, most).repartition("_unit").sortWithinPartitions("_unit")
     expanded = contexts.mapInArrow(lambda batches: _expanded(batches, length, chunk), schema)
