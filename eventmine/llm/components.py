@@ -19,10 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     hashed numbers a round removes a fixed share of the nodes on average, so
     the rounds grow with the logarithm of the longest path."""
     edges = cut_lineage(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     levels = []
-    while not edges.isEmpty():
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut_lineage(both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("node"), F.least("a", "low").alias("root")))
@@ -30,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         left, right = (point.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
         edges = cut_lineage(edges.join(left, "a").join(right, "b").where(F.col("ra") != F.col("rb")).select(
             F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        if edges.isEmpty():
+            break
     roots = levels.pop()
     while levels:
         below = levels.pop()

@@ -9,14 +9,17 @@ registers, 40 of them, are band buckets.
 
 1. Equal sets are one class; links are searched between classes.
 2. In each bucket of the first bands, every class is compared with one centre
-   (a random one for each bucket), then in all buckets with a centre of
-   another component, and at last all pairs of a bucket that are still in
-   different components, but for those inside the bucket's main component.
-   Large groups of copies are thus joined by a number of comparisons in
-   proportion to their size, and no candidate of the bands goes unseen.
-3. A pair's similarity is estimated from equal registers, corrected for
+   (a random one for each bucket). Large groups of copies are thus joined by
+   a number of comparisons in proportion to their size.
+3. What a bucket still holds in different components is compared pair by pair
+   inside a task, in blocks of ``BLOCK`` classes, on the lower 32 bits of the
+   shingles' hashes (with room for two that share them). Pairs aren't written:
+   each block pair gives the links that join its components, at most one per
+   class. That is repeated until a round finds none, so no candidate of the
+   bands goes unseen.
+4. A pair's similarity is estimated from equal registers, corrected for
    accidental collisions; unless it is clearly below the threshold, the pair
-   is confirmed on its full sets.
+   is confirmed on its full sets. Nothing is linked without that.
 
 Two sets at similarity 0.75 miss all bands with a chance of 2e-5, at 0.8 of
 1e-7. A link that wouldn't change the components needn't be compared.
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
-from .common import bounded_batches, cut_lineage, utf8
+from .common import bounded_batches, cut_lineage, utf8, whole_groups
 from .components import components
 from .hashes import mixed
 
@@ -50,6 +53,8 @@ BITS = 8
 REGISTERS = 1 << BITS
 MANTISSA = 10
 ROWS, BANDS, FIRST = 5, 40, 8
+#: classes of a bucket compared in one task
+BLOCK = 512
 #: chance that registers of different minima agree: equal zeros (sum of 4**-k) and equal mantissas
 COLLISION = 1 / 3 / (1 << MANTISSA)
 
@@ -118,7 +123,8 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     """The full set of each class in ``wanted`` (``_cls``, ``_low``: an id that has it)."""
-    ids = wanted.select(F.col("_low").alias("_id"), F.col("_cls").alias("_want"))
+    # a broadcast if the numbers are few enough, so that other texts needn't move
+    ids = bounded_broadcast(wanted.select(F.col("_low").alias("_id"), F.col("_cls").alias("_want")), 1_000_000)
     given = docs.select(F.col(key).alias("_id"), utf8(text).alias("_text"))
     given = given.join(ids, given["_id"].eqNullSafe(ids["_id"])).select("_want", "_text")
 
@@ -161,6 +167,67 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return cut_lineage(pairs.mapInArrow(same, "a bigint, b bigint"))
 
 
+def _joining(rooted: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
+    """Pairs (``a``, ``b``) that would join the components (``root``) within a
+    bucket, compared block by block."""
+    several = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), F.min("root").alias("_r0"), F.max("root").alias("_r1")).where(
+        "_r0 != _r1").select("bucket", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"))
+    work = rooted.join(several, "bucket").withColumn("_mine", F.pmod(F.xxhash64("_cls"), F.col("_blocks")).cast("int"))
+    work = work.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    work = work.select("bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_cls", "root")
+    lower = sets.mapInArrow(_lower_bits, "_cls bigint, _low binary")
+    rows = (work.join(lower, "_cls").join(candidates.select("_cls", "_regs", "_n"), "_cls").repartition("bucket", "_i", "_j")
+            .sortWithinPartitions("bucket", "_i", "_j").select("bucket", "_i", "_j", "_mine", "_cls", "root", "_regs", "_low", "_n"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, 3):
+            keys = np.stack([rows.column(c).to_numpy() for c in range(3)])
+            cut = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
+            out = []
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if e - s > 1:
+                    out += _block_joins(rows.slice(s, e - s), percent, margin)
+            if out:
+                a, b = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _lower_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        low = [np.unique(np.frombuffer(x, np.uint64).astype(np.uint32)).tobytes() for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary())], names=["_cls", "_low"])
+
+
+def _block_joins(rows: pa.Table, percent: int, margin: float) -> list[tuple[int, int]]:
+    """Links between different components in one block pair; what a link has
+    joined isn't compared again."""
+    i, j, mine = rows.column(1)[0].as_py(), rows.column(2)[0].as_py(), rows.column(3).to_numpy()
+    cls, root = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+    regs = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+    low = [np.frombuffer(x, np.uint32) for x in rows.column(7).to_pylist()]
+    n = rows.column(8).to_numpy()
+    shared = n - np.array([len(x) for x in low])  # hashes whose lower bits another of the set has
+    label = np.unique(root, return_inverse=True)[1]
+    place = np.arange(len(cls))
+    out = []
+    for x in np.flatnonzero(mine == i).tolist():
+        fits = (mine == j) & (label != label[x]) & ((place > x) | (i != j)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        others = np.flatnonzero(fits)
+        likely = estimate((regs[others] == regs[x]).sum(axis=1))
+        order = np.argsort(-likely, kind="stable")
+        for y in others[order[likely[order] >= percent / 100 - margin]].tolist():
+            if label[x] != label[y]:
+                union = len(np.union1d(low[x], low[y]))
+                both = len(low[x]) + len(low[y]) - union
+                # at least the full sets' intersection, over at most their union
+                if 100 * (both + shared[x]) >= percent * union:
+                    out.append((int(cls[x]), int(cls[y])))
+                    label[label == label[y]] = label[x]
+    return out
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, margin: float = 0.13) -> DataFrame:
     """Per row: the key, ``n_shingles``, ``component_id`` (smallest key
     reachable by links of at least ``percent``, its own included) and ``kept``
@@ -178,37 +245,23 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     candidates = cut_lineage(classes.join(wanted, "_cls"))
     sets = cut_lineage(_sets(docs, key, text, candidates))
 
-    def centre(of: DataFrame, *columns: str) -> DataFrame:
-        """One class of each bucket, by an order of the bucket's own."""
-        return of.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("_cls", "bucket"), F.col("_cls").alias("c"), *columns)).alias("_m"))
-
-    def ordered(x: str, y: str):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
+    # one class of each bucket, by an order of the bucket's own
     own = members.where("_first")
-    pairs = own.join(centre(own).select("bucket", F.col("_m.c").alias("_c")), "bucket").where("_cls != _c").select(*ordered("_cls", "_c"))
+    centres = own.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("_cls", "bucket"), "_cls")).alias("_m")).select("bucket", F.col("_m._cls").alias("_c"))
+    pairs = own.join(centres, "bucket").where("_cls != _c").select(F.least("_cls", "_c").alias("a"), F.greatest("_cls", "_c").alias("b"))
     found = _confirmed(pairs, candidates, sets, percent, margin)
 
-    def with_roots(found: DataFrame) -> DataFrame:
+    def with_roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         roots = components(found).select(F.col("node").alias("_cls"), "root")
-        return cut_lineage(members.select("_cls", "bucket").join(roots, "_cls", "left").withColumn("root", F.coalesce("root", "_cls")))
-
-    rooted = with_roots(found)
-    pairs = rooted.join(centre(rooted, "root").select("bucket", F.col("_m.c").alias("_c"), F.col("_m.root").alias("_r")), "bucket")
-    found = found.unionAll(_confirmed(pairs.where("root != _r").select(*ordered("_cls", "_c")), candidates, sets, percent, margin))
-
-    rooted = with_roots(found)
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("_n", "root")).alias("_m"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select(
-        "bucket", F.col("_m.root").alias("_main"))
-    mixed_ = cut_lineage(rooted.join(main, "bucket"))
-    # each pair once: two outside the main component by number, or one outside and one inside
-    x, y = mixed_.alias("x"), mixed_.where("root != _main").alias("y")
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where(
-        "x.root != y.root AND (x.root = x._main OR x._cls < y._cls)").select(*ordered("x._cls", "y._cls"))
-    found = found.unionAll(_confirmed(pairs, candidates, sets, percent, margin))
-
-    roots = components(found).select(F.col("node").alias("_cls"), "root")
+        return roots, cut_lineage(members.select("_cls", "bucket").join(roots, "_cls", "left").withColumn("root", F.coalesce("root", "_cls")))
+
+    while True:
+        roots, rooted = with_roots(found)
+        new = _confirmed(_joining(rooted, candidates, sets, percent, margin), candidates, sets, percent, 1.0)
+        if new.isEmpty():
+            break
+        found = found.unionAll(new)
+
     known = cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")))
     known = known.join(known.groupBy("root").agg(F.min("_low").alias("_component")), "root").select("_cls", "_component")
     component = F.coalesce("_component", "_id")
