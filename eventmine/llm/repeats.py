@@ -16,17 +16,19 @@ equal strings meet under the same one.
    is done.
 3. The contexts of the others (one of each kind) are fetched, and what shares
    an anchor meets in one task, where a transform of about ``chunk`` bytes
-   gives the groups of equal strings (see :mod:`.bwt`). Anchors with more than
-   ``most`` kinds of segments are split by the string's first bytes.
-4. All repeats of a document are merged, and its text is cut.
+   gives the groups of equal strings (see :mod:`.bwt`).
+4. Anchors with more than ``most`` kinds of segments (at the edges of a passage
+   that many documents share) would not fit in a task, and don't meet in one:
+   their strings move as hashes, settled like segments (steps 1 and 2).
+5. All repeats of a document are merged, and its text is cut.
 
 Cases: a null or empty text has no bytes and loses none; rows of one id and
 text are one document (each loses the same); rows that share an id but not the
 text come in the order of a hash of the text, and null ids come last; texts
 shorter than ``length`` lose nothing; extra columns are kept by
 :func:`without_repeats` and ignored by :func:`repeats`; an empty table gives
-no rows. Anchors and segments are told apart by 64-bit hashes. Removed bytes
-may leave broken characters at a cut.
+no rows. Anchors, segments and the strings of step 4 are told apart by 64-bit
+hashes. Removed bytes may leave broken characters at a cut.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ CHOICES = 64
 BLOCK = 1 << 20
 #: bytes of contexts in one transform
 CHUNK = 1 << 20
-#: kinds of segments of one anchor beyond which it is split
+#: kinds of segments of one anchor beyond which its strings move as hashes; so many contexts fit in a task
 MOST = 20_000
 #: stands for a null id
 LAST = (1 << 63) - 1
@@ -191,35 +193,76 @@ def _segment_rows(anchor, i, h, place) -> pa.RecordBatch:
          pa.array(h, pa.int64()), pa.array(place, pa.int64())], names=["_anchor", "_id", "_h", "_place"])
 
 
-def _contexts(keyed: DataFrame, several: DataFrame, length: int, most: int) -> DataFrame:
-    """The bytes of segments, and the unit (anchor, or part of one) they meet in."""
-    many = several.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > most).select(
-        "_anchor", F.ceil(F.col("_kinds") / most).cast("bigint").alias("_split"))
-    wanted = several.join(many, "_anchor", "left").groupBy("_id", "_h").agg(
-        F.collect_list(F.struct("_anchor", "_place", F.coalesce("_split", F.lit(1)).alias("_split"))).alias("_segments"))
-    given = _only(keyed, wanted).join(wanted, ["_id", "_h"]).select("_id", "_h", "_text", "_segments")
+def _with_segments(keyed: DataFrame, segments: DataFrame) -> DataFrame:
+    """The documents of segments, and their list."""
+    wanted = segments.groupBy("_id", "_h").agg(F.collect_list(F.struct("_anchor", "_place")).alias("_segments"))
+    return _only(keyed, wanted).join(wanted, ["_id", "_h"]).select("_id", "_h", "_text", "_segments")
 
+
+def _contexts(keyed: DataFrame, several: DataFrame, length: int) -> DataFrame:
+    """The bytes of segments, and the unit (anchor) they meet in."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 i, h, text = (b.column(c)[row].as_py() for c in range(3))
                 segments = b.column(3)[row].values
-                anchor, place, split = (segments.field(c).to_numpy() for c in range(3))
-                whole = np.flatnonzero(split == 1)
-                starts, counts = place >> 8, place & 255
-                out = [(anchor[whole], starts[whole], counts[whole])]
-                for k in np.flatnonzero(split > 1).tolist():
-                    at = starts[k] + np.arange(counts[k])
-                    heads = Spans(np.frombuffer(text, np.uint8, int(counts[k]) + 7, int(starts[k]))).of_length(8)
-                    part = (heads % np.uint64(split[k])).astype(np.uint64)
-                    out.append((mixed(part + np.array(anchor[k]).view(np.uint64)).view(np.int64), at, np.ones(len(at), np.int64)))
-                unit, at, n = (np.concatenate(x) for x in zip(*out))
+                unit, place = (segments.field(c) for c in range(2))
+                at, n = place.to_numpy() >> 8, place.to_numpy() & 255
                 bytes_ = [text[s:s + c + length - 1] for s, c in zip(at.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit), pa.array(np.full(len(unit), i)), pa.array(np.full(len(unit), h)), pa.array((at << 8) | n), pa.array(bytes_, pa.binary())],
+                    [unit, pa.array(np.full(len(unit), i)), pa.array(np.full(len(unit), h)), place, pa.array(bytes_, pa.binary())],
                     names=["_unit", "_id", "_h", "_place", "_bytes"])
 
-    return given.mapInArrow(work, "_unit bigint, _id bigint, _h bigint, _place bigint, _bytes binary")
+    return _with_segments(keyed, several).mapInArrow(work, "_unit bigint, _id bigint, _h bigint, _place bigint, _bytes binary")
+
+
+def _strings(keyed: DataFrame, several: DataFrame, length: int) -> DataFrame:
+    """The strings of segments as segments of their own, with their hash as
+    anchor and kind. Worked on by ``BLOCK`` bytes of contexts, each of which
+    leaves one row per string: not even a string that every document has is
+    moved for each of them."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for row in range(b.num_rows):
+                i, h, text = (b.column(c)[row].as_py() for c in range(3))
+                for p in b.column(3)[row].values.field(1).to_pylist():
+                    context = text[p >> 8:(p >> 8) + (p & 255) + length - 1]
+                    if size + len(context) > BLOCK:
+                        yield _first_of_string(held, length)
+                        held, size = [], 0
+                    held.append((i, h, p, context))
+                    size += len(context)
+        if held:
+            yield _first_of_string(held, length)
+
+    return _with_segments(keyed, several).mapInArrow(work, "_anchor bigint, _kind bigint, _id bigint, _h bigint, _place bigint")
+
+
+def _first_of_string(segments: list[tuple[int, int, int, bytes]], length: int) -> pa.RecordBatch:
+    """For (id, h, place, context): the first start of each string, and the
+    others as repeats (anchor null), neighbours of a segment in one row."""
+    i, h, place = (np.array(x, np.int64) for x in list(zip(*segments))[:3])
+    counts = place & 255
+    row = np.repeat(np.arange(len(counts)), counts)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    own = step + row * (length - 1) + np.repeat(np.cumsum(counts) - counts, counts)
+    string = Spans(np.frombuffer(b"".join(x[3] for x in segments), np.uint8)).hashes(own, own + length).view(np.int64)
+    i, h, at = i[row], h[row], (place >> 8)[row] + step
+    order = np.lexsort((at, h, i, string))
+    same = string[order][1:] == string[order][:-1]
+    twice = same & np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (i, h, at)])  # repeated rows are one document
+    first, repeated = np.ones(len(row), bool), np.zeros(len(row), bool)
+    first[order[1:]], repeated[order[1:]] = ~same, same & ~twice
+    first, hit = np.flatnonzero(first), np.flatnonzero(repeated)
+    new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])[:len(hit)]
+    head = hit[new]
+    n = np.diff(np.append(np.flatnonzero(new), len(hit)))
+    rows = np.concatenate([first, head])
+    known = pa.array(string[rows], mask=np.arange(len(rows)) >= len(first))
+    ends = np.concatenate([np.ones(len(first), np.int64), n])
+    return pa.RecordBatch.from_arrays([known, *(pa.array(x) for x in (string[rows], i[rows], h[rows], (at[rows] << 8) | ends))],
+                                      names=["_anchor", "_kind", "_id", "_h", "_place"])
 
 
 def repeated_starts(contexts: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
@@ -289,13 +332,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 
 def _repeats(keyed: DataFrame, length: int, chunk: int, most: int) -> DataFrame:
     bounded_batches(keyed.sparkSession)
-    columns = ["_anchor", "_kind", "_id", "_h", "_place"]
     schema = "_anchor bigint, _id bigint, _h bigint, _place bigint"
-    sorted_out = cut_lineage(_segments(keyed, length).repartition(F.coalesce("_anchor", F.xxhash64("_id", "_place"))).sortWithinPartitions(*columns).mapInArrow(_sorted_out, schema))
+
+    def settled(segments: DataFrame) -> DataFrame:
+        return segments.repartition(F.coalesce("_anchor", F.xxhash64("_id", "_place"))).sortWithinPartitions(
+            "_anchor", "_kind", "_id", "_h", "_place").mapInArrow(_sorted_out, schema)
+
+    sorted_out = cut_lineage(settled(_segments(keyed, length)))
     several = sorted_out.where(F.col("_anchor").isNotNull())
-    contexts = _contexts(keyed, several, length, most).repartition("_unit").sortWithinPartitions("_unit")
+    every = sorted_out.where(F.col("_anchor").isNull())
+    many = cut_lineage(several.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > most).select("_anchor"))
+    if not many.isEmpty():
+        many = bounded_broadcast(many, 1_000_000)
+        every = every.unionAll(settled(_strings(keyed, several.join(many, "_anchor", "left_semi"), length)))
+        several = several.join(many, "_anchor", "left_anti")
+    contexts = _contexts(keyed, several, length).repartition("_unit").sortWithinPartitions("_unit")
     expanded = contexts.mapInArrow(lambda batches: _expanded(batches, length, chunk), schema)
-    every = sorted_out.where(F.col("_anchor").isNull()).unionAll(expanded).select("_id", "_h", "_place")
+    every = every.unionAll(expanded).select("_id", "_h", "_place")
     return cut_lineage(every.groupBy("_id", "_h").agg(F.collect_list("_place").alias("_segments")))
 
 

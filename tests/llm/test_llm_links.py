@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from data import DOCS, frame, odd_rows, prose
 from eventmine.llm import bwt, repeats, text_links, vector_links
@@ -202,6 +203,25 @@ def test_repeated_passages(spark, most, chunk):
     assert Counter(map(tuple, got)) == brute_repeats(rows)
 
 
+def test_a_passage_many_share_fits_in_no_unit(spark, monkeypatch):
+    """At the edges of a shared passage an anchor has a kind per document; what
+    meets in one task stays bounded, and equal strings are found all the same."""
+    shared = prose(70, 60)
+    rows = [(k, f"{prose(k + 100, 20)} {shared} {prose(k + 900, 20)}", "en", "s", 0) for k in range(80)]
+    rows += [rows[3], (None, rows[5][1][40:], "en", "s", 0)]
+    sizes, real = [], repeats._contexts
+
+    def seen(*args):
+        out = real(*args).localCheckpoint()
+        sizes.extend(r.n for r in out.groupBy("_unit").agg(F.sum(F.octet_length("_bytes")).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(repeats, "_contexts", seen)
+    got = repeats.removals(spark.createDataFrame(rows[::-1], DOCS).repartition(5), most=5).collect()
+    assert Counter(map(tuple, got)) == brute_repeats(rows)
+    assert sizes and max(sizes) <= 5 * (repeats.CHOICES + 99)
+
+
 def test_repeated_passages_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 1 << 11)
     rows = [(1, prose(1, 1500), "en", "s", 0), (2, prose(1, 1500)[700:9000], "en", "s", 0), (3, "ab" * 3000, "en", "s", 0)]
