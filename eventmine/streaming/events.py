@@ -20,7 +20,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,7 +195,58 @@ USER_STATE = T.StructType([
 ])
 
 
-def _user_state_fn(ttl_ms: int, positive_type: str) -> Callable:
+#: events of a user with no gap above the ttl between them; times in microseconds
+SPELLS = "user_id bigint, n bigint, p bigint, first bigint, last bigint, last_p bigint"
+#: stands for no purchase
+_NEVER = int(np.iinfo(np.int64).min)
+#: spells a task holds before it passes them on
+HELD = 50_000
+
+
+def _merged(user: np.ndarray, n: np.ndarray, p: np.ndarray, first: np.ndarray, last: np.ndarray, last_p: np.ndarray,
+            ttl_us: int) -> tuple[np.ndarray, ...]:
+    """Spells in any order, overlapping ones too, as the spells they make up
+    together, by user and time. Parts of a spell have no inner gap above the
+    ttl, so neither has what they make up: the order of merging changes nothing."""
+    order = np.lexsort((first, user))
+    user, n, p, first, last, last_p = (x[order] for x in (user, n, p, first, last, last_p))
+    reach = pd.Series(last).groupby(user).cummax().to_numpy()
+    new = np.ones(len(user), bool)
+    new[1:] = (user[1:] != user[:-1]) | (first[1:] - reach[:-1] > ttl_us)
+    at = np.flatnonzero(new)
+    return (user[at], np.add.reduceat(n, at), np.add.reduceat(p, at), first[at],
+            np.maximum.reduceat(last, at), np.maximum.reduceat(last_p, at))
+
+
+def _spells_of(ttl_us: int) -> Callable:
+    """From events (user_id, t, hit) to spells, merged within the task, so that
+    a user's part of a task is as many rows as it has spells, not events."""
+    def rows(held: tuple[np.ndarray, ...], no_user: bool) -> pa.RecordBatch:
+        user, n, p, first, last, last_p = held
+        return pa.RecordBatch.from_arrays(
+            [pa.array(user, mask=np.full(len(user), no_user)), *map(pa.array, (n, p, first, last, last_p))], names=["user_id", "n", "p", "first", "last", "last_p"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, tuple[np.ndarray, ...]] = {}
+        for b in batches:
+            for no_user in (False, True):  # null is a user of its own
+                own = b.filter(b.column(0).is_null() if no_user else b.column(0).is_valid())
+                if not own.num_rows:
+                    continue
+                user = own.column(0).fill_null(0).to_numpy()
+                t, hit = own.column(1).to_numpy(), own.column(2).to_numpy(zero_copy_only=False)
+                new = (user, np.ones(len(t), np.int64), hit.astype(np.int64), t, t, np.where(hit, t, _NEVER))
+                if no_user in held:
+                    new = tuple(map(np.concatenate, zip(held[no_user], new)))
+                held[no_user] = _merged(*new, ttl_us)
+                if len(held[no_user][0]) > HELD:
+                    yield rows(held.pop(no_user), no_user)
+        for no_user, left in held.items():
+            yield rows(left, no_user)
+    return work
+
+
+def _user_state_fn(ttl_ms: int) -> Callable:
     def row(user_id, n, p, last, lastp, expired):
         return {"user_id": user_id, "as_of": last, "n_events": n, "n_purchases": p, "last_event": last,
                 "last_purchase": lastp, "expired": expired}
@@ -205,29 +258,26 @@ def _user_state_fn(ttl_ms: int, positive_type: str) -> Callable:
             state.remove()
             yield pd.DataFrame(out)
             return
-        # the user's new events in time order; only times and a flag are kept
-        parts = [(b["event_time"], b["event_type"] == positive_type) for b in batches if len(b)]
-        if not parts:
+        # the user's new spells in time order, merged batch by batch: never more than there are
+        spells = None
+        for b in batches:
+            if len(b):
+                new = (np.zeros(len(b), np.int64), *(b[c].to_numpy(np.int64) for c in ("n", "p", "first", "last", "last_p")))
+                spells = _merged(*(new if spells is None else map(np.concatenate, zip(spells, new))), ttl_ms * 1000)
+        if spells is None:
             return
-        times = pd.concat([t for t, _ in parts], ignore_index=True)
-        flags = pd.concat([f for _, f in parts], ignore_index=True)[times.sort_values(kind="stable").index]
-        times = times.sort_values(kind="stable")
         ttl = pd.Timedelta(milliseconds=ttl_ms)
         n, p, last, lastp = state.get if state.exists else (0, 0, None, None)
-        spell = (times.diff() > ttl).cumsum()
-        if last is not None and times.iloc[0] - last > ttl:
-            spell += 1
         out = []
-        for number, own in times.groupby(spell.to_numpy()):
-            if number > 0 and n:
+        for own_n, own_p, *times in zip(*(x.tolist() for x in spells[1:])):
+            begin, end, hit = (None if t == _NEVER else pd.Timestamp(t, unit="us") for t in times)
+            if n and begin - last > ttl:
                 out.append(row(user_id, n, p, last, lastp, True))
                 n, p, last, lastp = 0, 0, None, None
-            n += len(own)
-            hits = own[flags.loc[own.index]]
-            p += len(hits)
-            last = own.iloc[-1] if last is None else max(last, own.iloc[-1])
-            if len(hits):
-                lastp = hits.iloc[-1] if lastp is None else max(lastp, hits.iloc[-1])
+            n, p = n + own_n, p + own_p
+            last = end if last is None else max(last, end)
+            if hit is not None:
+                lastp = hit if lastp is None else max(lastp, hit)
         ends = pd.Timestamp(last).value // 1_000_000 + ttl_ms
         if ends < state.getCurrentWatermarkMs():  # already over: a timeout can't be set in the past
             out.append(row(user_id, n, p, last, lastp, True))
@@ -250,12 +300,18 @@ def stream_user_state(stream: DataFrame, ttl: str, delay: str,
     its state is released, and a user who returns starts at one. The answer
     is the same whether a gap falls inside a micro-batch or between two.
     Emits one row per user and ended spell, and one for the open spell, per
-    micro-batch in which the user was seen or expired."""
-    s = with_event_time(stream, delay).select("user_id", "event_time", "event_type")
+    micro-batch in which the user was seen or expired.
+
+    Each task merges its events to spells before they move, so a user is a few
+    rows per task and the state holds spells, however many events there are. A
+    part of a spell is late if its last event is. Rows without a time are dropped."""
     ttl_ms = duration_us(ttl) // 1000
+    events = stream.select("user_id", F.unix_micros(to_event_time("ts")).alias("t"),
+                           F.coalesce(F.col("event_type") == positive_type, F.lit(False)).alias("hit"))
+    spells = events.where(F.col("t").isNotNull()).mapInArrow(_spells_of(ttl_ms * 1000), SPELLS)
+    s = spells.withColumn("event_time", F.timestamp_micros("last")).withWatermark("event_time", _interval(delay))
     return s.groupBy("user_id").applyInPandasWithState(
-        _user_state_fn(ttl_ms, positive_type), USER_STATE_OUT, USER_STATE, "append",
-        "EventTimeTimeout")
+        _user_state_fn(ttl_ms), USER_STATE_OUT, USER_STATE, "append", "EventTimeTimeout")
 
 
 def latest_user_state(sink: DataFrame) -> DataFrame:

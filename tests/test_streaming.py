@@ -154,3 +154,47 @@ def test_user_state_with_rows_behind_the_watermark(spark, tmp_path):
     out = ST.run_available_now(spark, s, "t-late", sink=str(tmp_path / "sink"), checkpoint=str(tmp_path / "ck"))
     got = {r.user_id: (r.n_events, r.expired) for r in ST.latest_user_state(out).collect()}
     assert got[3] == (1, True) and got[1] == (1, True)
+
+
+def test_a_hot_user_reaches_the_state_as_spells(spark, tmp_path, monkeypatch):
+    """One user with most of the events: the state function gets rows in
+    proportion to tasks and spells, not to events, and the answer stays."""
+    rows = [(k, at(0) + dt.timedelta(minutes=(k * 37) % 6000 + (30_000 if k % 6000 >= 4000 else 0)), 1 if k % 10 else k % 50,
+             "purchase" if k % 3 == 0 else "view") for k in range(6000)]
+    rows += [(6000, at(1), None, "purchase"), (6001, at(2), None, "view"), (6002, None, 1, "view")]
+    make_events(spark, rows).repartition(4, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    real = ST._user_state_fn
+
+    def counting(*args):
+        inner = real(*args)
+
+        def fn(key, batches, state):
+            n = 0
+
+            def each():
+                nonlocal n
+                for b in batches:
+                    n += len(b)
+                    yield b
+
+            out = list(inner(key, each(), state))
+            if n > 50:
+                raise AssertionError(f"{n} rows of one user")
+            yield from out
+        return fn
+
+    monkeypatch.setattr(ST, "_user_state_fn", counting)
+    out = ST.replay(spark, str(tmp_path), lambda s: ST.stream_user_state(s, "3d", "1h"), "t-hot")
+    spells = {}
+    for user in {r[2] for r in rows}:
+        own = sorted((r[1], r[3]) for r in rows if r[2] == user and r[1])
+        for k, (t, kind) in enumerate(own):
+            if k == 0 or t - own[k - 1][0] > dt.timedelta(days=3):
+                spells.setdefault(user, []).append([0, 0, None])
+            spell = spells[user][-1]
+            spell[0] += 1
+            spell[1] += kind == "purchase"
+            spell[2] = t
+    got = Counter((r.user_id, r.n_events, r.n_purchases, r.last_event.replace(tzinfo=None)) for r in out.selectExpr(
+        "user_id", "n_events", "n_purchases", "cast(last_event AS timestamp_ntz) last_event").distinct().collect())
+    assert len(spells[1]) == 2 and got == Counter((u, *x) for u, own in spells.items() for x in own)
