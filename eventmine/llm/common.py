@@ -35,6 +35,12 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row: rows that share it are taken as equal, so one
+    stands for another. Maps have no hash and are left out."""
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+
+
 def n_words(text: str = "text") -> Column:
     """Number of words: white space at both ends goes, then one more than the gaps."""
     trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{BLANKS}|{BLANKS}$", "")

@@ -22,11 +22,11 @@ corpus without words takes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
-from .common import WORD, bucket_of, cut_lineage, n_words, prefix_sums, random_key
+from .common import WORD, bucket_of, cut_lineage, n_words, prefix_sums, random_key, row_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -54,31 +54,53 @@ def budgets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: f
             key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: the key, ``size``, ``source_size``, ``target`` (its source's),
     ``taken`` (words the mix takes, over all epochs) and ``source``."""
+    taken = _taken(docs, weights, max_epochs, seed, key, text, source, F.lit(0))
+    return taken.select(F.col("_id").alias(key), "size", "source_size", "target", "taken", "source")
+
+
+def _taken(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, seed: int, key: str, text: str, source: str, row: Column) -> DataFrame:
     rows = cut_lineage(docs.select(
         F.col(key).alias("_id"), F.col(source).alias("source"), n_words(text).alias("size"),
-        random_key(key, seed).alias("_random")))
+        random_key(key, seed).alias("_random"), row.alias("_row")))
     targets = source_targets(rows, weights, max_epochs).withColumnRenamed("source", "_of")
     placed = prefix_sums(rows.withColumn("_bucket", bucket_of("_random")), ["source"], "_bucket",
-                         [F.col("_random"), F.col("size")], {"_before": "size"})
+                         [F.col("_random"), F.col("size"), F.col("_row")], {"_before": "size"})
     epochs = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("bigint")
     taken = F.when(F.col("size") > 0, epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before"))))
     return placed.join(targets, placed["source"].eqNullSafe(targets["_of"])).select(
-        F.col("_id").alias(key), "size", "source_size", "target",
-        F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"), "source")
+        "_id", "_row", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"), "source")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mixed documents with the columns they had: each as often as it is
-    taken whole, and the one in which a source's budget ends up to there.
-    ``key`` must tell rows apart; rows that share one are taken together."""
-    taken = budgets(docs, key=key, text=text, source=source, **options)
-    per_key = taken.groupBy(key).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    per_key = bounded_broadcast(cut_lineage(per_key.where(F.col("_taken") > 0).withColumnRenamed(key, "_key")), 1_000_000)
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
+        max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """The mixed documents with the columns they had: each row as often as it
+    is taken whole, and the one in which a source's budget ends up to there.
+    Rows that share a key are told apart by a hash of the row; equal rows
+    follow each other in the order, and one of them stands for all."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    given = docs.toDF(*names)
+    at, body, of = (names[docs.columns.index(c)] for c in (key, text, source))
+    marked = given.withColumn("_row", row_hash(given))
+    taken = _taken(given, weights, max_epochs, seed, at, body, of, row_hash(given))
+    taken = taken.groupBy("_id", "_row").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
+    taken = cut_lineage(taken.where(F.col("_taken") > 0).withColumnRenamed("_row", "_is"))
     whole, part = F.expr("_taken div _size").cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     words = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
-    kept = docs.join(per_key, docs[key].eqNullSafe(per_key["_key"])).withColumn("_words", F.explode(words))
+
+    def same(rows: DataFrame, these: DataFrame):
+        return rows["_row"].eqNullSafe(these["_is"]) & rows[at].eqNullSafe(these["_id"])
+
+    def joined(rows: DataFrame, these: DataFrame) -> DataFrame:
+        return rows.join(these, same(rows, these)).withColumn("_words", F.explode(words))
+
+    kept = joined(marked, bounded_broadcast(taken.where("_rows = 1"), 1_000_000))
+    several = taken.where("_rows > 1")
+    if not several.isEmpty():
+        several = bounded_broadcast(several, 1_000_000)
+        once = marked.join(several, same(marked, several), "left_semi").dropDuplicates([at, "_row"])
+        kept = kept.unionAll(joined(once, several))
     # for the cut ones: the words up to there, each with the white space before it
-    gaps, found = F.split(F.col(text), WORD), F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
+    gaps, found = F.split(F.col(body), WORD), F.regexp_extract_all(F.col(body), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.zip_with(F.slice(gaps, 1, F.col("_words")), F.slice(found, 1, F.col("_words")), lambda g, w: F.concat(g, w)), "")
-    return kept.select(*[F.when(F.col("_words") >= 0, cut).otherwise(F.col(c)).alias(c) if c == text else c for c in docs.columns])
+    return kept.select(*[F.when(F.col("_words") >= 0, cut).otherwise(F.col(c)).alias(c) if c == body else c for c in names]).toDF(*docs.columns)

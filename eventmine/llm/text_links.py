@@ -40,11 +40,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
-from .common import bounded_batches, cut_lineage, utf8, whole_groups
+from .common import bounded_batches, cut_lineage, row_hash, utf8, whole_groups
 from .components import components
 from .hashes import mixed
 
@@ -108,17 +108,17 @@ def _set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    given = docs.select(F.col(key).alias("_id"), utf8(text).alias("_text"))
+def _sketches(docs: DataFrame, key: str, text: str, row: Column | None = None) -> DataFrame:
+    given = docs.select(F.col(key).alias("_id"), utf8(text).alias("_text"), (F.lit(0).cast("bigint") if row is None else row).alias("_row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["_id", "_n", "_cls", "_regs"])
+                [b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array([_set_hash(s) if len(s) else None for s in sets], pa.int64()),
+                 pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=["_id", "_row", "_n", "_cls", "_regs"])
 
-    return given.mapInArrow(work, f"_id {given.schema['_id'].dataType.simpleString()}, _n bigint, _cls bigint, _regs binary")
+    return given.mapInArrow(work, f"_id {given.schema['_id'].dataType.simpleString()}, _row bigint, _n bigint, _cls bigint, _regs binary")
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -232,8 +232,19 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     """Per row: the key, ``n_shingles``, ``component_id`` (smallest key
     reachable by links of at least ``percent``, its own included) and ``kept``
     (whether that is its own key)."""
+    rows, known = _rooted(docs, key, text, percent, margin)
+    known = known.join(known.groupBy("root").agg(F.min("_low").alias("_component")), "root").select("_cls", "_component")
+    component = F.coalesce("_component", "_id")
+    return rows.select("_id", "_n", "_cls").join(known, "_cls", "left").select(
+        F.col("_id").alias(key), F.col("_n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(component == F.col("_id"), F.lit(False)).alias("kept"))
+
+
+def _rooted(docs: DataFrame, key: str, text: str, percent: int = 75, margin: float = 0.13, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (``_id``, ``_row``, ``_n``, ``_cls``: null without words, ``_regs``)
+    and classes (``_cls``, ``_low``, ``root``)."""
     bounded_batches(docs.sparkSession)
-    rows = cut_lineage(_sketches(docs, key, text))
+    rows = cut_lineage(_sketches(docs, key, text, row))
     classes = cut_lineage(rows.where(F.col("_cls").isNotNull()).groupBy("_cls").agg(
         F.min("_id").alias("_low"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
@@ -262,17 +273,36 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int
             break
         found = found.unionAll(new)
 
-    known = cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")))
-    known = known.join(known.groupBy("root").agg(F.min("_low").alias("_component")), "root").select("_cls", "_component")
-    component = F.coalesce("_component", "_id")
-    return rows.select("_id", "_n", "_cls").join(known, "_cls", "left").select(
-        F.col("_id").alias(key), F.col("_n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(component == F.col("_id"), F.lit(False)).alias("kept"))
+    return rows, cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents but for those linked to one with a smaller key, with the
-    columns they had. ``key`` must tell rows apart."""
-    gone = cut_lineage(links(docs, key, text, **options).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")))
-    gone = bounded_broadcast(gone, 1_000_000)
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """The documents with the columns they had, one row of each component: that
+    of the smallest key (null last), then by a hash of the row; of equal rows,
+    one. Rows decide for themselves, whatever rows share their key. Rows
+    without words stay."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    given = docs.toDF(*names)
+    at, body = (names[docs.columns.index(c)] for c in (key, text))
+    marked = given.withColumn("_row", row_hash(given))
+    rows, known = _rooted(given, at, body, row=row_hash(given), **options)
+    # the best row of each class, then of each component: minima, summed up before rows move
+    one = F.struct(F.col("_id").isNull().alias("_no"), "_id", "_row")
+    best = rows.where(F.col("_cls").isNotNull()).groupBy("_cls").agg(F.min(one).alias("_one")).join(known, "_cls")
+    best = known.select("_cls", "root").join(best.groupBy("root").agg(F.min("_one").alias("_one")), "root").select("_cls", "_one")
+    own = rows.select("_id", "_row", "_cls").join(best, "_cls").groupBy("_id", "_row").agg(
+        F.count(F.lit(1)).alias("_rows"), F.first(F.col("_one") == one).alias("_best")).where("NOT _best OR _rows > 1")
+    own = cut_lineage(own.select(F.col("_id").alias("_key"), F.col("_row").alias("_is"), "_best"))
+
+    def same(these: DataFrame):
+        return marked["_row"].eqNullSafe(these["_is"]) & marked[at].eqNullSafe(these["_key"])
+
+    def of(best: bool) -> DataFrame:
+        return bounded_broadcast(own.where(F.col("_best") if best else ~F.col("_best")).drop("_best"), 1_000_000)
+
+    gone, twice = of(False), of(True)
+    left = marked.join(gone, same(gone), "left_anti")
+    if not twice.isEmpty():
+        once = marked.join(twice, same(twice), "left_semi").dropDuplicates([at, "_row"])
+        left = left.join(twice, same(twice), "left_anti").unionAll(once)
+    return left.select(names).toDF(*docs.columns)

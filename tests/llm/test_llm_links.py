@@ -144,6 +144,25 @@ def test_text_links_of_odd_rows(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r[0] for r in rows if r[0] not in gone)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Whatever ids rows share: of each component one row, that of the smallest id."""
+    near = prose(1, 400).replace(" ", "  ", 3)
+    rows = odd_rows() + [(20, prose(1, 400), "en", "a", 1), (20, prose(20, 300), "en", "a", 1), (21, prose(21, 300), "en", "a", 1),
+                         (21, prose(21, 300), "en", "a", 1), (22, prose(22, 300), "en", "a", 1), (22, prose(22, 300), "en", "b", 2),
+                         (None, near, "en", "a", 1), (None, prose(23, 300), "en", "a", 1), (None, prose(23, 300), "en", "b", 1), (6, None, "fr", "b", 0)]
+    sets = [shingle_set(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = Counter(min((r[0] is None, r[0] or 0) for k, r in enumerate(rows) if group[k] == g) for g in set(group))
+    got = text_links.deduplicated(frame(spark, rows).repartition(3)).collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in got) == want
+    whole = {(r[:5]): group[k] for k, r in enumerate(rows) if sets[k]}
+    assert len({whole[tuple(r)[:5]] for r in got if shingle_set(r.text)}) == sum(1 for r in got if shingle_set(r.text))
+
+
 def test_sketch_estimates_similarity():
     r = np.random.default_rng(0)
     for n in (3, 20, 300, 5000):

@@ -74,6 +74,28 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_each_row_is_mixed_by_its_own_budget(spark):
+    """Rows that share an id, null included, in several sources."""
+    rows = odd_rows() + [(k % 7 if k % 7 else None, prose(k % 50, 5 + k % 50), "en", f"s{k % 3}", 0) for k in range(120)] + [(1, prose(2, 40), "en", "b", 0)] * 3
+    sizes, words = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += size(r[1])
+    mixed = mixing.mix(frame(spark, rows).repartition(3)).collect()
+    for r in mixed:
+        words[r.source] += size(r.text)
+    want = targets(dict(sizes))
+    assert all(words[s] == pytest.approx(want[s], abs=1) for s in sizes)
+    given, whole, cut = Counter(r[:5] for r in rows), Counter(tuple(r)[:5] for r in mixed), Counter()
+    for r in list(whole):
+        if r not in given:  # the one a budget ends in
+            cut[r[3]] += whole.pop(r)
+    assert sum(cut.values()) <= len(sizes) and set(cut.values()) <= {1}
+    for s in sizes:  # each row of a source whole times, some once more
+        times = {r: whole[r] / n for r, n in given.items() if r[3] == s and size(r[1])}
+        epochs = int((want[s] + 1e-6) // sizes[s]) if sizes[s] else 0
+        assert all(epochs <= t <= epochs + 1 for t in times.values())
+
+
 @pytest.mark.parametrize("rows,n", [(odd_rows(), 4), (odd_rows(), 40), ([(k, prose(k, k % 30), "en", "hot" if k % 3 else f"s{k % 5}", 0) for k in range(997)], 40)])
 def test_shards_are_even_and_match_the_mixture(spark, rows, n):
     got = sharding.shard(frame(spark, rows).repartition(3), n).collect()
