@@ -1,19 +1,12 @@
-import datetime as dt
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-from pyspark.sql import types as T  # noqa: E402
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from eventmine.session import get_spark  # noqa: E402
-from eventmine.sources.tables import SCHEMAS  # noqa: E402
-
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-T0 = dt.datetime(2024, 1, 1)
+from support import make_events  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,26 +15,6 @@ def spark():
     yield s
 
 
-def ts(minutes=0.0, micros=0, days=0, hours=0.0):
-    return T0 + dt.timedelta(days=days, hours=hours, minutes=minutes, microseconds=micros)
-
-
-def make_events(spark, rows):
-    """rows: (event_id, ts, user_id, event_type[, value[, props]])"""
-    full = []
-    for r in rows:
-        r = list(r)
-        if len(r) < 5:
-            r.append(1.0)
-        if len(r) < 6:
-            r.append('{"k": 1}')
-        full.append(tuple(r))
-    return spark.createDataFrame(full, SCHEMAS["events"])
-
-
 @pytest.fixture
 def ev(spark):
     return lambda rows: make_events(spark, rows)
-
-
-NTZ = T.TimestampNTZType()

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from eventmine.operators import behaviour as B
 
-from conftest import make_events, ts
+from support import make_events, ts
 
 H = dt.timedelta(hours=1)
 SETTINGS = dict(max_examples=12, deadline=None, derandomize=True,
@@ -230,7 +230,7 @@ def test_keyed_quantiles_equal_numpy(spark, vals):
 
 
 def test_gap_stats_approx_close_to_exact(spark):
-    from conftest import SF001
+    from support import SF001
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     ex = {r.user_id: r for r in B.gap_stats(ev).collect()}
     ap = {r.user_id: r for r in B.gap_stats(ev, method="approx").collect()}

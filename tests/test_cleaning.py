@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from eventmine.operators import cleaning as C
 
-from conftest import SF001
+from support import SF001
 
 
 def test_dedup_latest_total_order_and_invariance(spark):

@@ -68,7 +68,7 @@ def test_metrics_of_one_class(spark):
 
 
 def test_flagship_labels_and_features_agree_on_events_without_a_user(spark):
-    from conftest import make_events, ts
+    from support import make_events, ts
     rows = [(1, ts(days=1), None, "view"), (2, ts(days=10, hours=1), None, "purchase"), (3, ts(days=1), 1, "view"),
             (4, ts(days=10, hours=1), 1, "purchase")]
     ev = make_events(spark, rows)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventmine.operators import examples as X
 
-from conftest import SF001, make_events, ts
+from support import SF001, make_events, ts
 
 CUT = ["2024-01-02 00:00:00", "2024-01-03 00:00:00"]
 C1 = dt.datetime(2024, 1, 2)

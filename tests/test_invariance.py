@@ -6,7 +6,7 @@ from eventmine.operators import cleaning as C
 from eventmine.operators import examples as X
 from eventmine.operators import items as I
 
-from conftest import SF001
+from support import SF001
 
 CUT = ["2024-01-11 00:00:00", "2024-01-16 00:00:00", "2024-01-21 00:00:00"]
 

@@ -10,7 +10,7 @@ from eventmine.operators import models as M
 from eventmine.operators import sales as S
 from eventmine.operators.ordered import global_positions
 
-from conftest import SF001
+from support import SF001
 
 
 def test_top_k_break_and_keep(spark):

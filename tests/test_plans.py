@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 
-from conftest import SF01  # noqa: E402
+from support import SF01  # noqa: E402
 
 
 def _executed(spark, name):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from eventmine.functions.props import parse_props, props_quality
 from eventmine.sources.tables import SchemaMismatch, check_schema, read_table, SCHEMAS
 
-from conftest import SF001
+from support import SF001
 
 
 def test_read_table_checks_schema(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from eventmine.streaming import events as ST
 
-from conftest import make_events
+from support import make_events
 
 D = dt.datetime(2024, 1, 1)
 
@@ -86,7 +86,7 @@ def test_user_state_expiry_and_restart(spark, tmp_path):
 
 
 def test_table_stream_from_file_or_directory(spark, tmp_path):
-    from conftest import SF001
+    from support import SF001
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     ev.repartition(3).write.parquet(str(tmp_path / "events.parquet"))  # a directory table
     for base in (SF001, str(tmp_path)):
@@ -98,7 +98,7 @@ def test_table_stream_from_file_or_directory(spark, tmp_path):
 
 def shuffled_files(spark, path, n):
     """The events as ``n`` files not in time order."""
-    from conftest import SF001
+    from support import SF001
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     ev.repartition(n, "event_id").write.parquet(f"{path}/events.parquet")
     return str(path)
@@ -113,7 +113,7 @@ BUILDS = {
 
 @pytest.mark.parametrize("name", sorted(BUILDS))
 def test_replay_depends_on_neither_files_nor_batches(spark, tmp_path, name):
-    from conftest import SF001
+    from support import SF001
     last = ST.latest_user_state if name == "user_state" else (lambda x: x)
 
     def rows(base, slices):
@@ -127,7 +127,7 @@ def test_replay_depends_on_neither_files_nor_batches(spark, tmp_path, name):
 
 def test_over_two_thousand_files(spark, tmp_path):
     import __spark_entry__ as E
-    from conftest import SF001
+    from support import SF001
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     # 2,100 files: the rows three times over under other event ids
     many = ev.crossJoin(spark.range(3).withColumnRenamed("id", "k")).selectExpr("event_id * 3 + k AS event_id", "ts", "user_id", "event_type", "value", "props")
