@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, line_quality, mixing, packing, repeats, sharding, text_links, token_counts, vector_links
+from . import (byte_bpe, chat, conversation_repair, language, line_quality, mixing, packing, repeats, sharding, text_links, token_counts, vector_codes,
+               vector_links)
 from .common import read
 
 QUERIES = {}
@@ -142,3 +143,123 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f""")
 def op10_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(read(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+# CRC-32 bit by bit, the edits of a conversation as a scan with the lightest (cost, audit, lines) by state of the pattern
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda a, x:
+  list_reduce(list_prepend(xor(a, x), range(8)), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)), 4294967295)"""
+
+
+def _edit(state: str, price: str, letter: str, line: str | None = None, where: str = "true") -> str:
+    lines = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+    return f"CASE WHEN {where} AND {state} IS NOT NULL THEN {{'c': {state}.c + {price}, 'a': {state}.a || '{letter}', 't': {lines}}} END"
+
+
+def _least(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _inserted(source: str, also: str) -> str:
+    """States p0 .. p3 of ``source`` after inserted turns."""
+    user = _least("p2", *[_edit(f"p{q}", "2", "I", "'user:'") for q in (0, 1, 3)])
+    return f"""SELECT {also}, p0, p1, p2, {_least("p3", _edit("p2", "2", "I", "'assistant:'"))} AS p3
+      FROM (SELECT {also}, p0, p1, {user} AS p2, p3 FROM {source})"""
+
+
+_REPAIR = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+c AS (SELECT *, {_CRC} % 20 AS d FROM o),
+r AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM r),
+f AS (
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM n),
+s AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}} AS p0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS p1,
+         NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS p2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]) AS p3
+  FROM (SELECT DISTINCT conv_id FROM f)
+  UNION ALL
+  SELECT conv_id, j, {_edit("p0", "3", "D")}, {_least(_edit("p1", "3", "D"), _edit("p0", "more", "K", "line", "live AND ini = 's'"))},
+         {_least(_edit("p2", "3", "D"), *[_edit(f"p{q}", "more", "K", "line", "live AND ini = 'u'") for q in (0, 1, 3)],
+                 *[_edit(f"p{q}", "2 + more", "R", "'user:' || text", "live") for q in (0, 1, 3)])},
+         {_least(_edit("p3", "3", "D"), _edit("p2", "more", "K", "line", "live AND ini = 'a'"), _edit("p2", "2 + more", "R", "'assistant:' || text", "live"))}
+  FROM ({_inserted("(SELECT s.*, f.i AS j, f.ini, f.text, f.role || ':' || f.text AS line, f.fault NOT IN ('blank', 'duplicate') AS live, (f.fault = 'truncated')::BIGINT AS more FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1)", "conv_id, j, ini, text, line, live, more")})),
+z AS (
+  SELECT conv_id, {_least("p0", "p3")} AS w
+  FROM ({_inserted("(SELECT s.* FROM s JOIN (SELECT conv_id, max(i) AS m FROM f GROUP BY conv_id) l ON s.conv_id IS NOT DISTINCT FROM l.conv_id AND s.i = l.m)", "conv_id")})),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+@query(_REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    done = conversation_repair.repair(conversation_repair.damage(rows)).withColumnRenamed("conv_id", "_of")
+    every = rows.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    text = F.coalesce(conversation_repair.repaired_text(F.col("repaired")), F.lit(""))
+    return every.join(done, every["conv_id"].eqNullSafe(done["_of"]), "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(text, 256).alias("repaired_sha256"))
+
+
+def _nearest(books: str) -> str:
+    """Each part's entry in ``books`` (p, e, c) and its squared distance."""
+    return f"""SELECT r, label, vec_id, x.p, v, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (
+    SELECT x.*, b.e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM x JOIN {books} b ON x.p = b.p) x
+  GROUP BY r, label, vec_id, x.p, v"""
+
+
+def _moved(assigned: str, books: str) -> str:
+    return f"""SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (
+    SELECT p, e, list(c ORDER BY w) AS c FROM (
+      SELECT p, e, w, floor(sum(y)::DOUBLE / count(*))::BIGINT AS c FROM (SELECT p, e, unnest(range(1, len(v) + 1)) AS w, unnest(v) AS y FROM {assigned}) GROUP BY p, e, w)
+    GROUP BY p, e) m ON b.p = m.p AND b.e = m.e"""
+
+
+_CODES = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v, label NULLS LAST) AS r FROM k),
+q AS (SELECT n.* FROM n, (SELECT len(v) AS size FROM n WHERE r = 1) WHERE len(v) = size),
+x AS MATERIALIZED (
+  SELECT r, vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM (SELECT *, unnest(range(16)) AS p FROM q)),
+b0 AS MATERIALIZED (SELECT p, e, c FROM (SELECT p, v AS c, row_number() OVER (PARTITION BY p ORDER BY r) - 1 AS e FROM x) WHERE e < 64),
+a0 AS MATERIALIZED ({_nearest("b0")}),
+b1 AS MATERIALIZED ({_moved("a0", "b0")}),
+a1 AS MATERIALIZED ({_nearest("b1")}),
+b2 AS MATERIALIZED ({_moved("a1", "b1")}),
+a2 AS MATERIALIZED ({_nearest("b2")}),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2),
+w AS (SELECT r, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM w, h"""
+
+
+@query(_CODES)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    print_ = F.sha2(F.lit(vector_codes.codebook_text(books)), 256)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", vector_codes.hex_code("code").alias("code"), "error", "label_error", print_.alias("codebooks_sha256"))
+
+
+@query()
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    back = byte_bpe.decode(byte_bpe.encode(read(spark, sf_dir, "documents"), *of), *of)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("bytes", 256).alias("decoded_sha256"))
