@@ -11,12 +11,15 @@ registers, 40 of them, are band buckets.
 2. In each bucket of the first bands, every class is compared with one centre
    (a random one for each bucket). Large groups of copies are thus joined by
    a number of comparisons in proportion to their size.
-3. What a bucket still holds in different components is compared pair by pair
-   inside a task, in blocks of ``BLOCK`` classes, on the lower 32 bits of the
-   shingles' hashes (with room for two that share them). Pairs aren't written:
+3. Where a bucket still holds several components, its outsiders (all but the
+   classes of the largest one) are compared with the classes they share a
+   bucket with, inside tasks, in blocks of ``BLOCK`` classes, on the lower 32
+   bits of the shingles' hashes (with room for two that share them). The
+   largest component's classes don't meet each other again, so rows moved grow
+   with a hot group times the blocks of its outsiders. Pairs aren't written:
    each block pair gives the links that join its components, at most one per
-   class. That is repeated until a round finds none, so no candidate of the
-   bands goes unseen.
+   class. If one of these fails on the full sets, the round is repeated, so no
+   candidate of the bands goes unseen.
 4. A pair's similarity is estimated from equal registers, corrected for
    accidental collisions; unless it is clearly below the threshold, the pair
    is confirmed on its full sets. Nothing is linked without that.
@@ -53,8 +56,8 @@ BITS = 8
 REGISTERS = 1 << BITS
 MANTISSA = 10
 ROWS, BANDS, FIRST = 5, 40, 8
-#: classes of a bucket compared in one task
-BLOCK = 512
+#: classes of a component, and outsiders, compared in one task
+BLOCK = 1024
 #: chance that registers of different minima agree: equal zeros (sum of 4**-k) and equal mantissas
 COLLISION = 1 / 3 / (1 << MANTISSA)
 
@@ -167,17 +170,39 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return cut_lineage(pairs.mapInArrow(same, "a bigint, b bigint"))
 
 
+def _contested(rooted: DataFrame) -> DataFrame:
+    """Rows (``_zone``, ``bucket``, ``_cls``, ``root``, ``_out``) of the buckets
+    that hold several components. A bucket's zone is the component it has most
+    classes of; the others are outsiders there."""
+    per = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("_n"))
+    zones = per.groupBy("bucket").agg(F.max(F.struct("_n", "root"))["root"].alias("_zone"), F.count(F.lit(1)).alias("_roots"))
+    return rooted.join(zones.where("_roots > 1").drop("_roots"), "bucket").withColumn("_out", F.col("root") != F.col("_zone"))
+
+
+def _routed(contested: DataFrame, block: int) -> DataFrame:
+    """Which classes meet in which tasks (``_zone``, ``_i``, ``_j``): a zone's
+    own classes and its outsiders are cut into blocks; a block of own classes
+    meets the blocks of outsiders that it shares a bucket with, and so do
+    blocks of outsiders among themselves (``_i`` below zero). Own classes
+    never meet each other, so a class moves once per block of outsiders."""
+    sizes = contested.groupBy("_zone", "_out").agg(F.ceil(F.approx_count_distinct("_cls") / block).cast("int").alias("_blocks"))
+    cut = contested.join(sizes, ["_zone", "_out"]).withColumn("_block", F.pmod(F.xxhash64("_cls"), F.col("_blocks")).cast("int"))
+    met = cut.groupBy("_zone", "bucket").agg(F.collect_set(F.when(~F.col("_out"), F.col("_block"))).alias("_own"),
+                                             F.collect_set(F.when(F.col("_out"), F.col("_block"))).alias("_others"))
+    own = F.transform("_others", lambda j: F.struct(F.col("_block").alias("_i"), j.alias("_j")))
+    out = F.concat(F.transform("_own", lambda i: F.struct(i.alias("_i"), F.col("_block").alias("_j"))),
+                   F.transform("_others", lambda j: F.struct((-1 - F.least("_block", j)).alias("_i"), F.greatest("_block", j).alias("_j"))))
+    routes = cut.join(met, ["_zone", "bucket"]).select("_zone", "_cls", "root", "_out", "_block", "bucket", F.inline(F.when(F.col("_out"), out).otherwise(own)))
+    # a class has at most BANDS buckets
+    return routes.groupBy("_zone", "_i", "_j", "_cls", "root", "_out", "_block").agg(F.collect_list("bucket").alias("_buckets"))
+
+
 def _joining(rooted: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Pairs (``a``, ``b``) that would join the components (``root``) within a
+    """Pairs (``a``, ``b``) that would join different components within a
     bucket, compared block by block."""
-    several = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), F.min("root").alias("_r0"), F.max("root").alias("_r1")).where(
-        "_r0 != _r1").select("bucket", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"))
-    work = rooted.join(several, "bucket").withColumn("_mine", F.pmod(F.xxhash64("_cls"), F.col("_blocks")).cast("int"))
-    work = work.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    work = work.select("bucket", F.least("_mine", "_other").alias("_i"), F.greatest("_mine", "_other").alias("_j"), "_mine", "_cls", "root")
     lower = sets.mapInArrow(_lower_bits, "_cls bigint, _low binary")
-    rows = (work.join(lower, "_cls").join(candidates.select("_cls", "_regs", "_n"), "_cls").repartition("bucket", "_i", "_j")
-            .sortWithinPartitions("bucket", "_i", "_j").select("bucket", "_i", "_j", "_mine", "_cls", "root", "_regs", "_low", "_n"))
+    rows = (_routed(_contested(rooted), BLOCK).join(lower, "_cls").join(candidates.select("_cls", "_regs", "_n"), "_cls").repartition("_zone", "_i", "_j")
+            .sortWithinPartitions("_zone", "_i", "_j").select("_zone", "_i", "_j", "_block", "_out", "_buckets", "_cls", "root", "_regs", "_low", "_n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 3):
@@ -201,20 +226,31 @@ def _lower_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_joins(rows: pa.Table, percent: int, margin: float) -> list[tuple[int, int]]:
-    """Links between different components in one block pair; what a link has
-    joined isn't compared again."""
-    i, j, mine = rows.column(1)[0].as_py(), rows.column(2)[0].as_py(), rows.column(3).to_numpy()
-    cls, root = rows.column(4).to_numpy(), rows.column(5).to_numpy()
-    regs = np.frombuffer(b"".join(rows.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
-    low = [np.frombuffer(x, np.uint32) for x in rows.column(7).to_pylist()]
-    n = rows.column(8).to_numpy()
+    """Links between different components in one pair of blocks, of classes
+    that share a bucket; what a link has joined isn't compared again."""
+    i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+    block, out = rows.column(3).to_numpy(), rows.column(4).to_numpy(zero_copy_only=False)
+    buckets = rows.column(5).to_pylist()
+    cls, root = rows.column(6).to_numpy(), rows.column(7).to_numpy()
+    regs = np.frombuffer(b"".join(rows.column(8).to_pylist()), "<u2").reshape(-1, REGISTERS)
+    low = [np.frombuffer(x, np.uint32) for x in rows.column(9).to_pylist()]
+    n = rows.column(10).to_numpy()
     shared = n - np.array([len(x) for x in low])  # hashes whose lower bits another of the set has
     label = np.unique(root, return_inverse=True)[1]
-    place = np.arange(len(cls))
-    out = []
-    for x in np.flatnonzero(mine == i).tolist():
-        fits = (mine == j) & (label != label[x]) & ((place > x) | (i != j)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-        others = np.flatnonzero(fits)
+    # outsiders of one block are held against the others: own classes, or outsiders of a block that isn't before theirs
+    mine = out & (block == (j if i >= 0 else -1 - i))
+    theirs = ~out if i >= 0 else block == j
+    at: dict[int, list[int]] = {}
+    for y in np.flatnonzero(theirs).tolist():
+        for bucket in buckets[y]:
+            at.setdefault(bucket, []).append(y)
+    found = []
+    for x in np.flatnonzero(mine).tolist():
+        others = np.unique(np.concatenate([np.array(at.get(bucket, ()), np.int64) for bucket in buckets[x]]))
+        fits = (label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
+        if i < 0 and -1 - i == j:
+            fits &= others > x
+        others = others[fits]
         likely = estimate((regs[others] == regs[x]).sum(axis=1))
         order = np.argsort(-likely, kind="stable")
         for y in others[order[likely[order] >= percent / 100 - margin]].tolist():
@@ -223,9 +259,9 @@ def _block_joins(rows: pa.Table, percent: int, margin: float) -> list[tuple[int,
                 both = len(low[x]) + len(low[y]) - union
                 # at least the full sets' intersection, over at most their union
                 if 100 * (both + shared[x]) >= percent * union:
-                    out.append((int(cls[x]), int(cls[y])))
+                    found.append((int(cls[x]), int(cls[y])))
                     label[label == label[y]] = label[x]
-    return out
+    return found
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, margin: float = 0.13) -> DataFrame:
@@ -268,10 +304,15 @@ def _rooted(docs: DataFrame, key: str, text: str, percent: int = 75, margin: flo
 
     while True:
         roots, rooted = with_roots(found)
-        new = _confirmed(_joining(rooted, candidates, sets, percent, margin), candidates, sets, percent, 1.0)
-        if new.isEmpty():
+        named = cut_lineage(_joining(rooted, candidates, sets, percent, margin).distinct())
+        new = _confirmed(named, candidates, sets, percent, 1.0)
+        n_named, n_new = named.count(), new.count()
+        if n_new:
+            found = found.unionAll(new)
+            roots, rooted = with_roots(found)
+        # all pairs were compared but those that a named pair had joined already: final if all of these hold
+        if n_named == n_new:
             break
-        found = found.unionAll(new)
 
     return rows, cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")))
 
