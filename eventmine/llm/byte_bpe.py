@@ -27,8 +27,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, held_by_worker, utf8, valid_utf8
 from .hashes import Spans, mixed
 from .tokenizing import stable_boundaries
 
 #: bytes of text looked up at once
 BLOCK = 1 << 19
 #: pre-tokens outside the vocabulary that a worker keeps, and their longest
-KEPT, KEPT_BYTES = 200_000, 64
+KEPT, KEPT_BYTES = 300_000, 64
 #: keys in a group of the perfect hash, on average, and displacements tried at once
 GROUP, TRIES = 4, 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -134,21 +135,28 @@ class ByteBpe:
         by_id = {r: t for t, r in self.ranks.items()}
         self.bytes = np.frombuffer(b"".join(by_id[k] for k in sorted(by_id)), np.uint8)
         self.begin = np.cumsum(np.maximum(self.size, 0)) - np.maximum(self.size, 0)
-        self.longest = int(self.size.max())
-        end = self.begin[ids] + self.size[ids]
-        keys = Spans(self.bytes).hashes(self.begin[ids], end)
-        self.hash = PerfectHash(keys)
-        self.id_at = np.empty(len(ids), np.int64)
-        self.id_at[self.hash.slots(keys)] = ids
         self._clear()
 
+    @cached_property
+    def _hash(self) -> tuple[PerfectHash, np.ndarray]:
+        """The perfect hash of all tokens, and the id in each slot."""
+        ids = np.flatnonzero(self.size >= 0)
+        keys = Spans(self.bytes).hashes(self.begin[ids], self.begin[ids] + self.size[ids])
+        found = PerfectHash(keys)
+        at = np.empty(len(ids), np.int64)
+        at[found.slots(keys)] = ids
+        return found, at
+
     def _clear(self) -> None:
+        """Nothing kept: no pre-token's ids, which stand in one row in ``store``."""
         self.at: dict[bytes, int] = {}
-        self.kept: list[np.ndarray] = []
+        self.store = array("i")
+        self.ends = array("q", [0])
 
     def tier_one(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The id of each span that is a token, else -1."""
-        ids = self.id_at[self.hash.slots(Spans(data).hashes(starts, ends))]
+        found, id_at = self._hash
+        ids = id_at[found.slots(Spans(data).hashes(starts, ends))]
         maybe = np.flatnonzero(self.size[ids] == ends - starts)
         sizes = self.size[ids[maybe]]
         equal = data[_ranges(starts[maybe], sizes)] == self.bytes[_ranges(self.begin[ids[maybe]], sizes)]
@@ -158,17 +166,25 @@ class ByteBpe:
             found[maybe[same]] = ids[maybe[same]]
         return found
 
-    def _tier_two(self, piece: bytes) -> np.ndarray:
-        k = self.at.get(piece)
-        if k is not None:
-            return self.kept[k]
-        ids = np.array(merged(piece, self.ranks), np.int64)
-        if len(piece) <= KEPT_BYTES:
-            if len(self.at) >= KEPT:
-                self._clear()
-            self.at[piece] = len(self.kept)
-            self.kept.append(ids)
-        return ids
+    def tier_two(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that are no tokens, one after the other, and how
+        many each has."""
+        if len(self.at) > KEPT or len(self.store) > KEPT * KEPT_BYTES:
+            self._clear()
+        places = list(map(self.at.get, pieces))
+        for k, piece in enumerate(pieces):
+            if places[k] is None:
+                places[k] = self.at.get(piece)  # it may have come by just now
+                if places[k] is None:
+                    places[k] = len(self.ends) - 1
+                    self.store.extend(merged(piece, self.ranks))
+                    self.ends.append(len(self.store))
+                    if len(piece) <= KEPT_BYTES:
+                        self.at[piece] = places[k]
+        at = np.array(places, np.int64)
+        ends = np.array(self.ends)
+        sizes = ends[at + 1] - ends[at]
+        return np.array(self.store)[_ranges(ends[at], sizes)], sizes
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and how many each has."""
@@ -188,14 +204,12 @@ class ByteBpe:
         found = self.tier_one(data, starts, ends)
         sizes = np.ones(len(found), np.int64)
         missed = np.flatnonzero(found < 0)
-        rest = [self._tier_two(raw[s:e]) for s, e in zip(starts[missed].tolist(), ends[missed].tolist())]
-        sizes[missed] = [len(x) for x in rest]
+        rest, sizes[missed] = self.tier_two([raw[s:e] for s, e in zip(starts[missed].tolist(), ends[missed].tolist())])
         at = np.cumsum(sizes) - sizes
         ids = np.empty(int(sizes.sum()), np.int64)
         hit = found >= 0
         ids[at[hit]] = found[hit]
-        if rest:
-            ids[_ranges(at[missed], sizes[missed])] = np.concatenate(rest)
+        ids[_ranges(at[missed], sizes[missed])] = rest
         before = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n_pieces))]
         return ids, np.diff(before)
 
@@ -214,11 +228,11 @@ class ByteBpe:
             held = 0
 
         for k, text in enumerate(texts):
-            for part in cut_at_boundaries(text, block):
+            for part in cut_at_boundaries(valid_utf8(text), block):
                 if group and held + len(part) > block:
                     work()
                 of.append(k)
-                group.append(part.decode("utf-8", "replace"))
+                group.append(part.decode())
                 held += len(part)
         if group:
             work()
@@ -254,9 +268,8 @@ def cut_at_boundaries(text: bytes, block: int = BLOCK) -> Iterator[bytes]:
         yield text[at:] if at else text
 
 
-@lru_cache(maxsize=2)
 def load_vocabulary(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held_by_worker(ByteBpe, path, pattern)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

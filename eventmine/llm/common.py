@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import md5_key
 from ..session import checkpoint_dir
@@ -35,15 +36,43 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))
 
 
+def valid_utf8(text: bytes) -> bytes:
+    """The text itself if it is UTF-8, else with U+FFFD for what isn't."""
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+
+
+_held: dict = {}
+
+
+def held_by_worker(make, *args):
+    """``make(*args)``, kept by the worker until it needs another: vocabularies
+    and models of earlier stages don't add up in workers that Spark reuses."""
+    if (make, args) not in _held:
+        _held.clear()
+        _held[make, args] = make(*args)
+    return _held[make, args]
+
+
 def row_hash(df: DataFrame) -> Column:
-    """A hash of the whole row: rows that share it are taken as equal, so one
-    stands for another. Maps have no hash and are left out."""
-    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+    """A hash of the whole row, which also says which columns are null; values
+    with parts (arrays, structs, maps) go by their JSON text. Rows that share
+    it are taken as equal, so one stands for another."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        nested = isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+        parts += [c.isNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c]
+    return F.xxhash64(*parts)
 
 
 def n_words(text: str = "text") -> Column:
-    """Number of words: white space at both ends goes, then one more than the gaps."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{BLANKS}|{BLANKS}$", "")
+    """Number of words: white space at both ends goes, then one more than the
+    gaps. No pattern is tried anew at each blank of a long run."""
+    trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(F.length(trimmed) == 0, 0).otherwise(F.size(F.split(trimmed, BLANKS))).cast("bigint")
 
 
@@ -51,18 +80,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: buckets of a hash-random order; a bucket is the most that one sort holds together
-BUCKETS = 4096
-
-
 def random_key(key: str, seed: int) -> Column:
     """A reproducible random string (hex digits) of the key's text; null has its own."""
     return md5_key(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)
 
 
-def bucket_of(random: str | Column) -> Column:
-    """One of ``BUCKETS`` equal ranges of a :func:`random_key`, in its order."""
-    return F.conv(F.substring(random, 1, 3), 16, 10).cast("int")
+def range_buckets(df: DataFrame, order: list[Column], out: str = "_bucket") -> DataFrame:
+    """Adds the row's part of the table when it is cut into equal ranges of
+    ``order``; equal rows are cut too, so no value of any column makes a part
+    larger. Parts come from a sample, so the rows are written before and after."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = cut_lineage(df).withColumn("_nth", F.monotonically_increasing_id())
+    return cut_lineage(given.repartitionByRange(n, *order, F.col("_nth")).drop("_nth").withColumn(out, F.spark_partition_id()))
 
 
 def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
