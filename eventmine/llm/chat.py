@@ -55,7 +55,7 @@ class Mapping:
     text: str = "content"
     turns: tuple[tuple[str, str], ...] = ()
     #: other names of roles
-    roles: tuple[tuple[str, str], ...] = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def fingerprint(self) -> str:
@@ -69,7 +69,8 @@ def fingerprint_of(paths) -> str:
 REGISTRY = (
     Mapping(("messages[].content", "messages[].role"), messages="messages"),
     Mapping(("messages[].role", "messages[].text"), messages="messages", text="text"),
-    Mapping(("conversations[].from", "conversations[].value"), messages="conversations", role="from", text="value"),
+    Mapping(("conversations[].from", "conversations[].value"), messages="conversations", role="from", text="value",
+            roles=(("human", "user"), ("gpt", "assistant"), ("bot", "assistant"))),
     Mapping(("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
     Mapping(("prompt", "completion"), turns=(("user", "prompt"), ("assistant", "completion"))),
     Mapping(("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
@@ -120,14 +121,16 @@ def from_columns(df: DataFrame, record: list[str], registry=REGISTRY) -> DataFra
 
 
 def json_paths(value: Column) -> Column:
-    """Leaf paths of a variant up to lists of flat objects, in order."""
+    """Leaf paths of a variant up to lists of flat objects, in order. What lies
+    deeper is told by its type, so it has no flat layout's fingerprint."""
     fields = F.map_keys(value.cast("map<string,variant>"))
 
     def below(name: Column) -> Column:
         kind = F.schema_of_variant(F.element_at(value.cast("map<string,variant>"), name))
         inner = F.regexp_extract_all(kind, F.lit(r"(?:OBJECT<|, )`?([^:`<>, ]+)`?: "), F.lit(1))
         listed = kind.startswith("ARRAY<")
-        return F.when(kind.startswith("ARRAY<OBJECT<"), F.transform(inner, lambda x: F.concat(name, F.lit("[]."), x))) \
+        deep = F.regexp_like(F.regexp_replace(kind, r"^(ARRAY<)?OBJECT<", ""), F.lit("OBJECT<|ARRAY<"))
+        return F.when(deep, F.array(F.concat(name, F.lit(": "), kind))).when(kind.startswith("ARRAY<OBJECT<"), F.transform(inner, lambda x: F.concat(name, F.lit("[]."), x))) \
             .when(kind.startswith("OBJECT<"), F.transform(inner, lambda x: F.concat(name, F.lit("."), x))) \
             .otherwise(F.array(F.concat(name, F.when(listed, "[]").otherwise(""))))
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 #: the smallest table of powers made; larger inputs make larger ones
-_LEAST = 1 << 21
+_LEAST = 1 << 20
 
 
 class _Powers:
@@ -20,7 +18,14 @@ class _Powers:
         self.sign = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-_powers = lru_cache(maxsize=2)(_Powers)
+_made: list[_Powers] = []
+
+
+def _powers(n: int) -> _Powers:
+    """The worker's one table of powers, made anew when a larger one is needed."""
+    if not _made or len(_made[0].up) <= n:
+        _made[:] = [_Powers(n)]
+    return _made[0]
 
 
 class Spans:

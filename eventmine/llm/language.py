@@ -50,16 +50,18 @@ def plain(text: bytes) -> bytes:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 64,
-          excerpt: int = 1500, folds: int = 5) -> dict[str, bytes]:
-    """Dictionary of each language, from rows that are not held out: at most
-    ``per_lang * excerpt`` characters per language come to the driver."""
+          excerpt: int = 1500, folds: int = 5, max_langs: int = 256) -> dict[str, bytes]:
+    """Dictionary of each of the ``max_langs`` commonest languages, from rows
+    that are not held out: at most ``per_lang * excerpt`` characters per
+    language come to the driver."""
     labelled = docs.select(F.col(key).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).where(
         F.col("_text").isNotNull() & F.col("_lang").isNotNull() & F.col("_id").isNotNull() & ~held_out("_id", folds))
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id", "_text")
     middle = F.substr("_text", F.greatest(F.lit(1), F.expr(f"length(_text) div 2 - {excerpt // 2}").cast("int")), F.lit(excerpt))
-    rows = (labelled.select("_id", "_lang", middle.alias("_text")).withColumn("_nth", F.row_number().over(order))
-            .where(F.col("_nth") <= per_lang).orderBy("_lang", "_nth").select("_lang", "_text").collect())
-    common = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
+    per = labelled.groupBy("_lang").count().orderBy(F.col("count").desc(), "_lang").limit(max_langs)
+    common = {r["_lang"]: r["count"] for r in per.collect()}
+    rows = (labelled.where(F.col("_lang").isin(*common)).select("_id", "_lang", middle.alias("_text")).withColumn("_nth", F.row_number().over(order))
+            .where(F.col("_nth") <= per_lang).orderBy("_lang", "_nth").select("_lang", "_text").collect()) if common else []
     model: dict[str, list[bytes]] = {}
     for r in rows:
         model.setdefault(r["_lang"], []).append(plain(r["_text"].encode()))
@@ -83,7 +85,7 @@ def sizes(text: bytes, by_lang: list[zstandard.ZstdCompressor]) -> list[int]:
 
 
 def predict_one(text: bytes | None, langs: list[str], by_lang: list, min_margin: float) -> tuple[str, float, float, bool]:
-    if not langs or not text or not any(map(str.isalpha, text.decode())):
+    if not langs or not text or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
         return "und", 0.0, 0.0, True
     got = sorted(zip(sizes(plain(text), by_lang), range(len(langs))))
     best, at = got[0]

@@ -117,7 +117,10 @@ def without_lines(text: Column, host: Column, removed: Column) -> Column:
 
 def filtered(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", **options) -> DataFrame:
     """The documents kept, without boilerplate lines, with the columns they
-    had. ``key`` must tell rows apart."""
-    verdict = quality(docs, key, text, host, **options).where("kept").select(F.col(key).alias("_key"), F.col("removed_lines").alias("_removed"))
-    both = docs.join(verdict, docs[key].eqNullSafe(verdict["_key"]))
-    return both.select(*[without_lines(F.col(text), F.col(host), F.col("_removed")).alias(c) if c == text else F.col(c) for c in docs.columns])
+    had. Rows are numbered, so those that share a key decide for themselves."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    _, body, of = (names[docs.columns.index(c)] for c in (key, text, host))
+    rows = cut_lineage(docs.toDF(*names).withColumn("_nth", F.monotonically_increasing_id()))
+    verdict = quality(rows, "_nth", body, of, **options).where("kept").select(F.col("_nth").alias("_of"), F.col("removed_lines").alias("_removed"))
+    both = rows.join(verdict, rows["_nth"] == verdict["_of"])
+    return both.select(*[without_lines(F.col(c), F.col(of), F.col("_removed")).alias(c) if c == body else F.col(c) for c in names]).toDF(*docs.columns)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Every document gets a hash-random key; the keys put each source's documents
-in a random order, and distributed prefix sums of their sizes cut that order
-at the source's exact budget. A budget above the source's size takes the
+in a random order, and distributed prefix sums of their sizes over equal ranges
+of that order cut it at the source's exact budget. A budget above the source's size takes the
 whole source once or more (epochs) and then cuts.
 
 Budgets share the corpus's total size by weight. None goes beyond
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
-from .common import WORD, bucket_of, cut_lineage, n_words, prefix_sums, random_key, row_hash
+from .common import WORD, cut_lineage, n_words, prefix_sums, random_key, range_buckets, row_hash
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -59,12 +59,12 @@ def budgets(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: f
 
 
 def _taken(docs: DataFrame, weights: tuple[float, ...], max_epochs: float, seed: int, key: str, text: str, source: str, row: Column) -> DataFrame:
-    rows = cut_lineage(docs.select(
+    order = [F.col(c) for c in ("_random", "size", "_row")]
+    rows = range_buckets(docs.select(
         F.col(key).alias("_id"), F.col(source).alias("source"), n_words(text).alias("size"),
-        random_key(key, seed).alias("_random"), row.alias("_row")))
+        random_key(key, seed).alias("_random"), row.alias("_row")), [F.col("source"), *order])
     targets = source_targets(rows, weights, max_epochs).withColumnRenamed("source", "_of")
-    placed = prefix_sums(rows.withColumn("_bucket", bucket_of("_random")), ["source"], "_bucket",
-                         [F.col("_random"), F.col("size"), F.col("_row")], {"_before": "size"})
+    placed = prefix_sums(rows, ["source"], "_bucket", order, {"_before": "size"})
     epochs = F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("bigint")
     taken = F.when(F.col("size") > 0, epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before"))))

@@ -93,7 +93,21 @@ def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_links.links(read(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+         lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 16 AS size, md5(coalesce(doc_id::VARCHAR, '') || ':17') AS k,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(coalesce(text, '')))),
+             lambda i: ('0x' || substr(hex, 2 * i + 1, 2))::BIGINT)),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS hex FROM documents), tab),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, text_crc32, size) - 1 AS nth, count(*) OVER (PARTITION BY source) AS of_source FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * nth + 1) / (2.0::DOUBLE * of_source), source NULLS FIRST, nth) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place * 40 // n)::INTEGER AS shard,
+       (place - ((place * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
+FROM p""")
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 

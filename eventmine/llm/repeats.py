@@ -49,10 +49,10 @@ from .hashes import Spans, mixed
 
 #: string starts that share a choice of anchor; a power of two
 CHOICES = 64
-#: bytes worked on at once; places in them must fit in the low 20 bits
-BLOCK = 1 << 20
+#: bytes worked on at once; places in them must fit in the bits below it
+BLOCK = 1 << 19
 #: bytes of contexts in one transform
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: kinds of segments of one anchor beyond which its strings move as hashes; so many contexts fit in a task
 MOST = 20_000
 #: stands for a null id

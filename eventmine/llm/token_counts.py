@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, utf8, valid_utf8
 from .tokenizing import PieceTokenizer, batched, piece_tokenizer
 
 CHUNK = 256 << 10
@@ -84,8 +84,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, keys: tuple[str, ...] = ("doc_
         tok = piece_tokenizer(tokenizer)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
+            counts = count_batch(list(map(valid_utf8, texts)), tok, chunk, overlap)
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array(count_batch(texts, tok, chunk, overlap), pa.int64())],
+                [*b.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array(counts, pa.int64())],
                 names=[*keys, "n_bytes", "n_tokens"])
 
     return given.mapInArrow(work, schema).withColumn("over_limit", F.col("n_tokens") > limit)

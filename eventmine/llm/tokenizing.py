@@ -16,8 +16,9 @@ Everything else (other scripts, other white space, combining marks) stays
 inside a piece, which the library itself encodes. Strings of special tokens
 cut a text first, as the library does by default.
 
-Pieces repeat, so each worker keeps the ids of those it has met, by a 64-bit
-hash of their bytes, and only new ones reach the library.
+Pieces repeat, so each worker keeps the ids of those it has met, by their
+bytes, and only new ones reach the library. A text that isn't UTF-8 has U+FFFD
+for what isn't, before anything else.
 """
 
 from __future__ import annotations
@@ -25,15 +26,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
+from .common import held_by_worker, valid_utf8
 from .hashes import span_hashes
 
 #: pieces that a worker keeps; it starts over when that many others came by
-MAX_PIECES = 1_000_000
+MAX_PIECES = 300_000
 #: longer pieces are not kept, so the cache is bounded in bytes too
 MAX_PIECE_BYTES = 64
 #: bytes worked on at once
@@ -86,7 +87,6 @@ def stable_boundaries(data: np.ndarray) -> np.ndarray:
     return maybe[keep]
 
 
-@lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """The library's tokenizer; one thread, as Spark already runs one task per core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -121,7 +121,7 @@ class PieceTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.store = np.zeros(1 << 20, np.uint32)
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.n = self.used = 0
@@ -147,24 +147,34 @@ class PieceTokenizer:
             word = word.encode().decode("latin-1").translate(self.signs)
         return [t.id for t in self.model.tokenize((self.space if space else "") + word)]
 
+    def _place(self, piece: bytes) -> int:
+        """Where the ids of one piece are kept."""
+        place = self.at.get(piece)
+        if place is None:
+            place = self._keep(self._encode(piece.decode()))
+            if len(piece) <= MAX_PIECE_BYTES:
+                self.at[piece] = place
+        return place
+
     def _block(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """For each piece that starts at ``starts``, its place among those kept."""
+        """For each piece that starts at ``starts``, its place among those
+        kept. Hashes only group the block's pieces: each is then compared,
+        byte by byte, with the first of its group."""
         ends = np.append(starts[1:], len(data))
         codes, found = pd.factorize(span_hashes(data, starts, ends))
         if self.n + len(found) > 2 * MAX_PIECES:
             self._clear()
-        places = [self.at.get(h, -1) for h in found.tolist()]
-        if -1 in places:
-            first = np.empty(len(found), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = data.tobytes()
-            for k, place in enumerate(places):
-                if place < 0:
-                    s, e = int(starts[first[k]]), int(ends[first[k]])
-                    places[k] = self._keep(self._encode(raw[s:e].decode()))
-                    if e - s <= MAX_PIECE_BYTES:
-                        self.at[int(found[k])] = places[k]
-        return np.array(places, np.int64)[codes]
+        first = np.empty(len(found), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        like, sizes = first[codes], ends - starts
+        fits = sizes == sizes[like]
+        index = np.arange(len(data)) + np.repeat(np.where(fits, starts[like] - starts, 0), sizes)
+        fits &= np.add.reduceat(data != data[index], starts, dtype=np.int64) == 0
+        raw = data.tobytes()
+        places = np.array([self._place(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist())], np.int64)[codes]
+        for k in np.flatnonzero(~fits).tolist():  # other bytes of the same hash
+            places[k] = self._place(raw[starts[k]:ends[k]])
+        return places
 
     def pieces(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of ``data`` start and which of those kept they are.
@@ -187,9 +197,8 @@ class PieceTokenizer:
         return self.split.split(text) if any(s in text for s in self.special) else [text]
 
 
-@lru_cache(maxsize=2)
 def piece_tokenizer(path: str) -> PieceTokenizer:
-    return PieceTokenizer(path)
+    return held_by_worker(PieceTokenizer, path)
 
 
 def batched(texts: list[bytes], tok: PieceTokenizer, with_ids: bool):
@@ -209,6 +218,7 @@ def batched(texts: list[bytes], tok: PieceTokenizer, with_ids: bool):
             out[k] = (b - a, ids[a:b] if with_ids else None)
 
     for k, text in enumerate(texts):
+        text = valid_utf8(text)
         parts = tok.segments(text)
         if len(parts) > 1:
             done = []

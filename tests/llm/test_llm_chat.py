@@ -82,3 +82,25 @@ def test_planted_conversation(spark, planted):
     r = queries.op4_chat_formatting(spark, "/root/testdata/sf0.001").where("conv_id = -7").collect()[0]
     assert r.n_turns == 2 and r.loss_chars == len(planted) and r.loss_sha256 == hashlib.sha256(planted.encode()).hexdigest()
     assert r.turns_sha256 == hashlib.sha256(f"user\n{planted}\nassistant\n{planted}\n".encode()).hexdigest()
+
+
+def test_given_roles_stay(spark):
+    rows = [(1, 0, "human", "q"), (1, 1, "gpt", "a"), (1, 2, "bot", "b"), (1, 3, "assistant", "c")]
+    df = chat.from_columns(chat.gather_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), ["messages"])
+    back = chat.format_chats(df).select(chat.read_back(F.col("formatted")).alias("t")).withColumn("loss", chat.loss_text(F.col("t"))).collect()[0]
+    assert [tuple(x) for x in back.t] == [r[2:] for r in rows] and back.loss == "c"
+
+
+@pytest.mark.parametrize("record", [
+    {"messages": [{"role": {"content": "x"}}]}, {"messages": [{"role": "user", "content": ["x"]}]}, {"messages": {"role": {"content": "x"}}},
+    {"prompt": "q", "response": {"text": {"a": 1}}}, {"messages": [[{"role": "user", "content": "x"}]]}])
+def test_deeper_layouts_are_not_taken_for_flat_ones(spark, record):
+    r = chat.from_json(spark.createDataFrame([(json.dumps(record),)], "j string"), "j").collect()[0]
+    assert r.turns is None and r.fingerprint not in {m.fingerprint for m in chat.REGISTRY}
+
+
+def test_a_very_long_text(spark):
+    text = "\\<a>\n" * 300_000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(chat.from_columns(chat.gather_turns(df), ["messages"])).select(chat.loss_text(chat.read_back(F.col("formatted"))).alias("t")).collect()
+    assert out[0].t == text

@@ -128,3 +128,29 @@ def test_pieces_can_carry_their_ids(spark):
     df = spark.createDataFrame([(1, "some words here", "en", "s", 0)], DOCS)
     r = packing.pack(packing.encode_pieces(df, WORD, with_ids=True)).collect()[0]
     assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_one_hash_keep_their_own_ids(name):
+    """Letter runs in the Thue-Morse order, whose polynomial hashes collide."""
+    path = public_tokenizers.path(name)
+    tok, lib = tokenizing.PieceTokenizer(path), tokenizing.load_tokenizer(path)
+    texts = []
+    for n in (512, 1024, 2048, 4096):
+        for a, b in ("ab", "xz"):
+            run = "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+            texts += [run, run.translate(str.maketrans(a + b, b + a))]
+    got = tokenizing.batched([" ".join(texts).encode(), *(t.encode() for t in texts)], tok, True)
+    for t, (n, ids) in zip([" ".join(texts), *texts], got):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert n == len(want) and list(ids) == want
+
+
+def test_bytes_that_are_not_utf8_are_replaced(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF6220C3212063') AS string) AS text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = tokenizing.load_tokenizer(path).encode("a�b �! c", add_special_tokens=False).ids
+    r = token_counts.count_tokens(df, path).collect()[0]
+    assert (r.n_bytes, r.n_tokens) == (8, len(want))
+    piece = packing.encode_pieces(df, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
+    assert len(piece) == 1 and piece[0].length > 1

@@ -231,7 +231,7 @@ def test_a_passage_many_share_fits_in_no_unit(spark, monkeypatch):
     sizes, real = [], repeats._contexts
 
     def seen(*args):
-        out = real(*args).localCheckpoint()
+        out = real(*args).checkpoint()
         sizes.extend(r.n for r in out.groupBy("_unit").agg(F.sum(F.octet_length("_bytes")).alias("n")).collect())
         return out
 
@@ -278,3 +278,42 @@ def test_texts_without_repeats(spark):
         elif k not in sha:
             assert got[k] == t
     assert set(want) - set(got) == {d for d, n, gone, _, _ in brute_repeats(rows) if n and n == gone}
+
+
+@pytest.mark.parametrize("outsiders", [1, 5])
+def test_rows_sent_grow_with_the_group(spark, outsiders):
+    """A group of copies and a few outsiders in all its buckets."""
+    sent = {}
+    for n in (1500, 3000, 6000):
+        rooted = spark.range(n + outsiders).selectExpr("xxhash64(id) AS _cls", f"if(id < {n}, 0, xxhash64(id)) AS root").withColumn("bucket", F.explode(F.array(*map(F.lit, range(6)))))
+        routed = text_links._routed(text_links._contested(rooted), text_links.BLOCK)
+        sent[n] = routed.count()
+        assert routed.where("NOT _out").count() == n  # each once, whatever buckets it shares
+    assert sent[3000] <= 2.1 * sent[1500] and sent[6000] <= 2.1 * sent[3000]
+
+
+def test_blocks_of_outsiders_find_all_links(spark, monkeypatch):
+    monkeypatch.setattr(text_links, "BLOCK", 3)
+    words = prose(7, 60).split()
+    rows = []
+    for k in range(40):  # texts at many distances from each other
+        own = list(words)
+        for x in range(k % 10):
+            own[(7 * x + k) % 60] = f"w{k}x{x}"
+        rows.append((k, " ".join(own), "en", "a", 1))
+    got = {r.doc_id: r.component_id for r in text_links.links(spark.createDataFrame(rows, DOCS)).collect()}
+    sets = [set(text_links.shingles(r[1].encode()).tolist()) for r in rows]
+    edges = [(a, b) for a in range(40) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert [got[k] for k in range(40)] == smallest(40, edges, list(range(40)))
+
+
+def test_repeats_in_texts_longer_than_a_block(spark):
+    """Passages that begin in one block and end in the next, in both texts."""
+    long = prose(80, 95_000)
+    assert len(long) > 1.2 * repeats.BLOCK
+    at = repeats.BLOCK
+    other = prose(81, 60_000) + long[at - 700:at + 300] + prose(82, 40_000) + long[2_000:2_099] + "!" + long[5_000:5_100]
+    rows = [(1, long, "en", "s", 0), (2, other, "en", "s", 0), (3, long[at - 40:at + 59], "en", "s", 0)]
+    got = repeats.removals(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter(map(tuple, got)) == brute_repeats(rows)
+    assert {r.doc_id: r.n_removed for r in got}[3] == 0

@@ -5,10 +5,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from data import DOCS, frame, odd_rows, prose
 from eventmine.llm import mixing, sharding
-from eventmine.llm.common import n_words
+from eventmine.llm.common import n_words, random_key, range_buckets, row_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,3 +118,52 @@ def test_shards_are_even_and_match_the_mixture(spark, rows, n):
 def test_no_rows_no_shards(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
     assert mixing.budgets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def largest_share(rows):
+    """The largest range bucket, as a multiple of the mean."""
+    n = [r["count"] for r in rows.groupBy("_bucket").count().collect()]
+    return max(n) / (sum(n) / 8)
+
+
+def test_a_long_run_of_blanks_takes_linear_time(spark):
+    import time
+
+    df = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b\u00a0c"), F.repeat(F.lit("\n"), 1_000_000)).alias("text"))
+    n_words()
+    df.select(n_words().alias("n")).collect()
+    t = time.time()
+    assert df.select(n_words().alias("n")).collect()[0].n == 2
+    assert time.time() - t < 2
+
+
+@pytest.mark.parametrize("id_of, source_of", [("id", "cast(id AS string)"), ("if(id % 3 = 0, null, id)", "if(id % 2 = 0, null, 'a')"), ("7", "'a'")])
+def test_buckets_are_even_whatever_ids_and_sources(spark, id_of, source_of):
+    docs = spark.range(20_000).selectExpr(f"cast({id_of} AS bigint) AS doc_id", f"{source_of} AS source", "'a b c' AS text", "'en' AS lang", "1L AS n_chars")
+    order = [F.col(c) for c in ("source", "_random", "size")]
+    rows = docs.withColumn("_random", random_key("doc_id", 17)).withColumn("size", F.lit(3))
+    assert largest_share(range_buckets(rows, order)) < 2
+    seen = []
+    orig = sharding.range_buckets
+    try:
+        sharding.range_buckets = lambda df, by: seen.append(orig(df, by)) or seen[-1]
+        got = sharding.shard(docs).groupBy("shard").count().collect()
+    finally:
+        sharding.range_buckets = orig
+    assert len(seen) == 2 and all(largest_share(x) < 2 for x in seen)
+    assert len(got) == 40 and {r["count"] for r in got} == {500}
+
+
+def test_rows_with_swapped_nulls_are_told_apart(spark):
+    rows = [(1, "a b c d", "en", None, 1), (1, "a b c d", None, "en", 1), (1, "a b c d", None, "en", 1), (None, "x y", "en", None, 2), (None, "x y", None, "en", 2)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, m map<string,int>, a array<int>"
+    df = spark.createDataFrame([(*r, {"k": n % 2}, [None, n] if n % 2 else [n, None]) for n, r in enumerate(rows)], kinds)
+    hashes = [r.h for r in df.select(row_hash(df).alias("h")).collect()]
+    assert len(set(hashes)) == 5
+    taken = Counter()
+    for r in mixing.budgets(df).collect():
+        taken[r.source] += r.taken
+    mixed = Counter()
+    for r in mixing.mix(df).collect():
+        mixed[r.source] += size(r.text)
+    assert mixed == taken and sum(taken.values()) == sum(size(r[1]) for r in rows)

@@ -154,7 +154,7 @@ def test_sql_agrees_where_there_is_sql(spark):
     from eventmine.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
@@ -163,3 +163,54 @@ def test_sql_agrees_where_there_is_sql(spark):
         assert sorted(columns) == sorted(got.columns)
         show = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
         assert Counter(map(show, cur.fetchall())) == Counter(map(show, got.select(columns).collect())), name
+
+
+def test_predictions_equal_plain_compression(spark):
+    """The smallest compressed size over all dictionaries, by the library alone."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(120)
+    model = language.learn(docs)
+    got = {r.doc_id: r for r in language.predict(docs, model, ["doc_id", "text"]).collect()}
+    for r in got.values():
+        text = re.sub(rb"[^a-z\x80-\xff]+", b" ", r.text.lower().encode() if r.text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in r.text.encode())).strip()
+        size = {}
+        for lang, content in model.items():
+            how = zstandard.ZstdCompressionParameters(**language.SEARCH)
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+            size[lang] = sum(len(c.compress(text[k:k + language.BLOCK])) for k in range(0, len(text), language.BLOCK))
+        if any(map(str.isalpha, r.text)):
+            order = sorted(size.values())
+            assert size[r.lang_pred] == order[0] and r.score == pytest.approx(order[1] / (order[0] + order[1]))
+            assert r.rejected == (1 - order[0] / order[1] < 0.005)
+
+
+def test_language_of_bytes_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text UNION ALL SELECT 2L, cast(unhex('FF') AS string)")
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, {"a": b"ab ab ab", "b": b"zz yy"}, ["doc_id"]).collect()}
+    assert got[1] in ("a", "b") and got[2] == "und"
+
+
+def test_only_the_commonest_languages_reach_the_driver(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('some text ', id) AS text", "concat('l', if(id < 1000, 0, id)) AS lang")
+    assert len(language.learn(docs, max_langs=5)) == 5 and "l0" in language.learn(docs, max_langs=1)
+
+
+def test_filtered_rows_that_share_an_id_stay_two(spark):
+    rows = [(1, prose(1, 60), "en", "a", 1), (1, prose(2, 60), "en", "a", 1), (None, prose(3, 60), "en", "a", 1), (None, prose(3, 60), "en", "a", 1), (2, "short", "en", "a", 1)]
+    got = line_quality.filtered(spark.createDataFrame(rows, DOCS))
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert Counter(map(tuple, got.collect())) == Counter(rows[:4])
+
+
+def test_line_rules_are_native_before_the_rows_are_written(spark, monkeypatch):
+    plans = []
+    orig = line_quality.cut_lineage
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return orig(df)
+
+    monkeypatch.setattr(line_quality, "cut_lineage", seen)
+    line_quality.quality(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert len(plans) >= 2 and not any(x in p for p in plans for x in ("Python", "Pandas", "Arrow"))
