@@ -21,7 +21,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 def bounded_batches(spark: SparkSession) -> None:
     """Python workers get rows by a bounded number of bytes, not by count alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -57,6 +57,11 @@ def held_by_worker(make, *args):
     return _held[make, args]
 
 
+def hold_nothing() -> None:
+    """The worker lets go of what an earlier stage made."""
+    _held.clear()
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row, which also says which columns are null; values
     with parts (arrays, structs, maps) go by their JSON text. Rows that share

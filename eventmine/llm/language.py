@@ -22,7 +22,7 @@ have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, held_by_worker
 
 BLOCK = 32 << 10
 #: short matches, searched well: what tells languages apart are parts of words
@@ -69,9 +69,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return {k: b" ".join(model[k]) for k in by_rows if any(model[k])}
 
 
-def compressors(model: dict[str, bytes]) -> list[zstandard.ZstdCompressor]:
+def compressors(contents: Iterable[bytes]) -> list[zstandard.ZstdCompressor]:
     made = []
-    for content in model.values():
+    for content in contents:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters(**SEARCH)
         d.precompute_compress(compression_params=how)
@@ -104,7 +104,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], keep: list[str], text: str
         RESULTS, (T.StringType, T.DoubleType, T.DoubleType, T.BooleanType))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, by_lang = list(model), compressors(model)
+        langs, by_lang = list(model), held_by_worker(compressors, tuple(model.values()))
         for b in batches:
             got = [predict_one(t, langs, by_lang, min_margin) for t in b.column(b.num_columns - 1).to_pylist()]
             results = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
@@ -120,7 +120,7 @@ def only_known(docs: DataFrame, model: dict[str, bytes], text: str = "text", min
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, by_lang = list(model), compressors(model)
+        langs, by_lang = list(model), held_by_worker(compressors, tuple(model.values()))
         for b in batches:
             texts = b.column(at).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array([not predict_one(t, langs, by_lang, min_margin)[3] for t in texts], pa.bool_()))

@@ -27,7 +27,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -125,7 +124,7 @@ def plan_patterns(counts: dict[int, int], seq_len: int) -> list[tuple[list[int],
     return patterns
 
 
-def rank_ranges(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
+def rank_ranges(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
     """For each length, which ranks go where: from ``rank`` on, ranks count up
     with the sequences from ``sequence`` on, at ``offset``."""
     used: Counter = Counter()
@@ -137,7 +136,8 @@ def rank_ranges(patterns: list[tuple[list[int], int]]) -> pd.DataFrame:
             used[length] += times
             offset += length
         sequence += times
-    return pd.DataFrame(rows, columns=["length", "rank", "sequence", "offset"], dtype=np.int64).sort_values(["length", "rank"])
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+    return dict(zip(("length", "rank", "sequence", "offset"), columns))
 
 
 def pack(pieces: DataFrame, seq_len: int = 4096) -> DataFrame:
@@ -147,8 +147,8 @@ def pack(pieces: DataFrame, seq_len: int = 4096) -> DataFrame:
     by_task = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranges = rank_ranges(plan_patterns(counts, seq_len))
-    first, sequence, offset = (ranges[c].to_numpy() for c in ("rank", "sequence", "offset"))
-    length_at = np.searchsorted(ranges["length"].to_numpy(), np.arange(seq_len + 2))
+    first, sequence, offset = (ranges[c] for c in ("rank", "sequence", "offset"))
+    length_at = np.searchsorted(ranges["length"], np.arange(seq_len + 2))
     keep = [c for c in pieces.columns if c not in ("part", "nth")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
 from .bwt import equal_groups
-from .common import bounded_batches, cut_lineage, utf8, whole_groups
+from .common import bounded_batches, cut_lineage, hold_nothing, utf8, whole_groups
 from .hashes import Spans, mixed
 
 #: string starts that share a choice of anchor; a power of two
@@ -123,6 +123,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _segments(keyed: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for b in batches:
             ids, h = b.column(0), b.column(1)
             for rows, offsets, parts in _blocks(b.column(2).to_pylist(), length):

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
-from .common import bounded_batches, cut_lineage, row_hash, utf8, whole_groups
+from .common import bounded_batches, cut_lineage, hold_nothing, row_hash, utf8, whole_groups
 from .components import components
 from .hashes import mixed
 
@@ -115,6 +115,7 @@ def _sketches(docs: DataFrame, key: str, text: str, row: Column | None = None) -
     given = docs.select(F.col(key).alias("_id"), utf8(text).alias("_text"), (F.lit(0).cast("bigint") if row is None else row).alias("_row"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_nothing()
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -186,7 +187,9 @@ def _routed(contested: DataFrame, block: int) -> DataFrame:
     blocks of outsiders among themselves (``_i`` below zero). Own classes
     never meet each other, so a class moves once per block of outsiders."""
     sizes = contested.groupBy("_zone", "_out").agg(F.ceil(F.approx_count_distinct("_cls") / block).cast("int").alias("_blocks"))
-    cut = contested.join(sizes, ["_zone", "_out"]).withColumn("_block", F.pmod(F.xxhash64("_cls"), F.col("_blocks")).cast("int"))
+    large = bounded_broadcast(cut_lineage(sizes.where("_blocks > 1")))  # a row stands for many classes
+    cut = contested.join(large, ["_zone", "_out"], "left").withColumn(
+        "_block", F.pmod(F.xxhash64("_cls"), F.coalesce("_blocks", F.lit(1))).cast("int"))
     met = cut.groupBy("_zone", "bucket").agg(F.collect_set(F.when(~F.col("_out"), F.col("_block"))).alias("_own"),
                                              F.collect_set(F.when(F.col("_out"), F.col("_block"))).alias("_others"))
     own = F.transform("_others", lambda j: F.struct(F.col("_block").alias("_i"), j.alias("_j")))

@@ -28,7 +28,7 @@ import re
 from array import array
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from .common import held_by_worker, valid_utf8
 from .hashes import span_hashes
@@ -38,7 +38,7 @@ MAX_PIECES = 300_000
 #: longer pieces are not kept, so the cache is bounded in bytes too
 MAX_PIECE_BYTES = 64
 #: bytes worked on at once
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _OTHER, _SPACE, _BLANK, _LETTER, _APOSTROPHE, _SIGN, _LATIN = range(7)
 _WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -161,8 +161,9 @@ class PieceTokenizer:
         kept. Hashes only group the block's pieces: each is then compared,
         byte by byte, with the first of its group."""
         ends = np.append(starts[1:], len(data))
-        codes, found = pd.factorize(span_hashes(data, starts, ends))
-        if self.n + len(found) > 2 * MAX_PIECES:
+        grouped = pa.array(span_hashes(data, starts, ends)).dictionary_encode()
+        codes, found = grouped.indices.to_numpy(), grouped.dictionary
+        if self.n + len(found) > MAX_PIECES:
             self._clear()
         first = np.empty(len(found), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]

@@ -57,7 +57,7 @@ def test_long_texts_are_read_whole(spark):
     model = {"a": language.plain(prose(1, 2000).encode()), "b": language.plain(b"zq wx yv uj " * 50 + prose(9, 50).upper().encode())}
     mostly_a = prose(5, 200) + " " + prose(6, 20_000)
     text = "zq wx yv uj " * 5 + mostly_a
-    langs, by = list(model), language.compressors(model)
+    langs, by = list(model), language.compressors(model.values())
     assert language.predict_one(text.encode(), langs, by, 0)[0] == "a"
     assert language.predict_one(("zq wx yv uj " * 30_000).encode()[:40_000], langs, by, 0)[0] == "b"
 
