@@ -136,16 +136,29 @@ RECOMMENDED = 5
 WITH u AS (SELECT o.o_custkey AS user_id FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey
            JOIN part p ON p.p_partkey = l.l_partkey GROUP BY 1),
 b AS (SELECT least({RECOMMENDED}, count(DISTINCT p.p_brand)) AS k FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey)
-SELECT u.user_id, b.k::BIGINT AS n_items, (b.k * (b.k + 1) // 2)::BIGINT AS rank_sum, true AS scores_fall FROM u, b
+SELECT u.user_id, b.k::BIGINT AS n_items, (b.k * (b.k + 1) // 2)::BIGINT AS rank_sum, true AS scores_fall, 0::BIGINT AS n_wrong_scores,
+       0::BIGINT AS n_better FROM u, b
 """)
 def q_recommend_checks(spark, d):
     """Every user has the same number of different items, at ranks 1 to k,
-    with scores that don't rise with the rank."""
-    r = I.recommend(customer_brand_counts(spark, d), RECOMMENDED)
+    with scores that don't rise with the rank, that are the products of the
+    factors (``n_wrong_scores``) and that nothing the user bought beats (``n_better``)."""
+    counts = customer_brand_counts(spark, d)
+    users, items = I.als_factors(counts)
+    r = I.top_by_product(users, items, RECOMMENDED)
     w = Window.partitionBy("user_id").orderBy("rank")
     r = r.withColumn("_rise", F.coalesce(F.col("score") > F.lag("score").over(w), F.lit(False)))
-    return r.groupBy("user_id").agg(F.count_distinct("item").alias("n_items"), F.sum("rank").cast("bigint").alias("rank_sum"),
-                                    (~F.max("_rise")).alias("scores_fall"))
+    # what a user bought or is recommended, with its product
+    seen = counts.select("user_id", "item").unionAll(r.select("user_id", "item")).distinct()
+    product = F.aggregate(F.zip_with("_u", "_i", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    seen = (seen.join(users.select("user_id", F.col("features").alias("_u")), "user_id").join(items.select("item", F.col("features").alias("_i")), "item")
+            .select("user_id", "item", product.alias("_product")))
+    last = r.groupBy("user_id").agg(F.min("score").alias("_last"))
+    both = seen.join(r, ["user_id", "item"], "left").join(last, "user_id")
+    return both.groupBy("user_id").agg(
+        F.count("rank").alias("n_items"), F.sum("rank").cast("bigint").alias("rank_sum"), (~F.max("_rise")).alias("scores_fall"),
+        F.count_if(F.abs(F.col("score") - F.col("_product")) > 1e-6).alias("n_wrong_scores"),
+        F.count_if(F.col("score").isNull() & (F.col("_product") > F.col("_last") + 1e-6)).alias("n_better"))
 
 
 _TEST_SQL = f"SELECT user_id, cutoff, label, true AS score_in_0_1 FROM ({EXAMPLES_SQL}) WHERE cutoff >= TIMESTAMP '{P.CUTOFFS[-1]}'"

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,64 @@ def test_global_positions_split_tied_values(spark):
     assert len(parts) >= 12 and max(r["count"] for r in parts) < 3 * 8000 / 16
     got = [(r.pos, r.v, r.id) for r in global_positions(df, "v", ["id"], n_buckets=16).orderBy("pos").collect()]
     assert [g[0] for g in got] == list(range(1, 8001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+def test_top_by_product_equals_all_products(spark):
+    r = np.random.default_rng(4)
+    items = [(f"i{k:03}", (r.normal(size=5) * (1 + (k % 9 == 0) * 4)).astype(np.float32).tolist()) for k in range(300)] + [("tie", [0.0] * 5), ("tie2", [0.0] * 5)]
+    users = [(k * 10**11, r.normal(size=5).astype(np.float32).tolist()) for k in range(60)] + [(-5, [0.0] * 5)]
+    idf, udf = spark.createDataFrame(items, "item string, features array<float>"), spark.createDataFrame(users, "user_id long, features array<float>")
+    v = np.array([f for _, f in items], np.float64)
+    norm = np.sqrt((v * v).sum(axis=1))
+    place = np.lexsort((np.array([n for n, _ in items]), -norm))
+    for k, first, most in ((7, 16, 64), (400, 50, 50), (1, 1, 8)):
+        got = {}
+        for row in I.top_by_product(udf, idf, k, first=first, most=most).collect():
+            got.setdefault(row.user_id, []).append((row["rank"], row["item"], row.score))
+        assert len(got) == len(users)
+        for u, x in users:
+            product = (v[place] * np.array(x, np.float64)).sum(axis=1)
+            order = np.lexsort((np.arange(len(place)), -product))[:k]
+            want = [(n + 1, items[place[o]][0], round(float(product[o]), 6)) for n, o in enumerate(order)]
+            assert [g[:2] for g in sorted(got[u])] == [x[:2] for x in want]
+            assert [g[2] for g in sorted(got[u])] == pytest.approx([x[2] for x in want], abs=2e-6)
+
+
+def test_small_norms_are_skipped(spark, monkeypatch):
+    """Users whose k-th score is out of reach of the norms left take no part."""
+    rounds = []
+    orig = I._looked_at
+    monkeypatch.setattr(I, "_looked_at", lambda block, at, bound, k: rounds.append(len(block)) or orig(block, at, bound, k))
+    items = spark.range(5000).selectExpr("id AS item", "array(cast(if(id < 20, 10.0, 0.01) AS float), cast(0.001 AS float)) AS features")
+    users = spark.range(50).selectExpr("id AS user_id", "array(cast(1 AS float), cast(0 AS float)) AS features")
+    out = I.top_by_product(users, items, 5, first=32, most=64)
+    assert out.count() == 250 and rounds == [32] and {r["item"] for r in out.collect()} == set(range(5))
+
+
+def test_recommend_with_wide_ids_and_nulls(spark):
+    rows = [((1 << 40) + u, f"i{(u + j) % 6}", 1 + (u * j) % 3) for u in range(20) for j in range(3)] + [(None, "i1", 3), (1 << 40, None, 3)]
+    rec = I.recommend(spark.createDataFrame(rows, "user_id long, item string, n long"), 2, max_iter=3).collect()
+    assert len(rec) == 40 and min(r.user_id for r in rec) == 1 << 40
+    assert I.recommend(spark.createDataFrame([(1, "a", 2)], "user_id long, item string, n long"), 4, max_iter=2).count() == 1
+
+
+def test_itemsets_equal_brute_force(spark):
+    from itertools import combinations
+    r = np.random.default_rng(8)
+    baskets = {k: set(r.choice(9, r.integers(1, 6), replace=False).tolist()) for k in range(150)}
+    baskets[None] = {0, 1, 2}
+    baskets[1000] = set(range(400))  # a hot basket
+    rows = [(b, i) for b, own in baskets.items() for i in own] * 2 + [(7777, None), (3, None)]
+    df = spark.createDataFrame(rows, "basket long, item long")
+    least = math.ceil(0.04 * (len(baskets) + 1))
+    want = {}
+    for n in range(1, 7):
+        for items in combinations(range(9), n):
+            freq = sum(set(items) <= own for own in baskets.values())
+            if freq >= least:
+                want[items] = freq
+    for block in (64, 100, 16_384):
+        got = {tuple(x["items"]): (x["size"], x.freq) for x in I.frequent_itemsets(df, 0.04, block=block).collect()}
+        assert got == {k: (len(k), v) for k, v in want.items()}
+    assert max(map(len, want)) >= 3
+    assert I.frequent_itemsets(df.limit(0), 0.1).count() == 0
