@@ -1,10 +1,9 @@
 """Behaviour mining over the event log.
 
 Per-user ordered work runs per (user, time bucket) — see ``ordered`` — so a
-user with a third of all events is spread over many tasks. P05, P06, P10 and
-P11 cut the whole order (user, time, id) into equal ranges unless a fixed
-time ``bucket`` is given; the others take a time bucket, to be picked so that
-one user-bucket fits comfortably in a task.
+user with a third of all events is spread over many tasks. They cut the whole
+order (user, time) into equal ranges unless a fixed time ``bucket`` is given,
+to be picked so that one user-bucket fits comfortably in a task.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import duration_us, floor_div, micros, ntz_literal
-from .ordered import (BUCKET, TS_US, halo_copies, keyed_quantiles, lag_across_buckets,
+from .ordered import (BUCKET, TS_US, in_ranges, keyed_quantiles, lag_across_buckets,
                       running_sum_across_buckets, with_bucket)
 
 ORDER = [TS_US, "event_id"]
@@ -80,7 +79,7 @@ def session_summary(events: DataFrame, gap: str = "8h", bucket: str | None = Non
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value_sum"))
 
 
-def funnel(events: DataFrame, steps: list[str], within: str, bucket: str = "1d",
+def funnel(events: DataFrame, steps: list[str], within: str, bucket: str | None = None,
            key: str = "user_id") -> DataFrame:
     """P07. Per user with at least one ``steps[0]`` event: the deepest step
     reached. From each anchor (a ``steps[0]`` event) the chain takes the
@@ -94,14 +93,22 @@ def funnel(events: DataFrame, steps: list[str], within: str, bucket: str = "1d",
     Chains are built last step to first. In reverse time order "the earliest
     later event" is the last one seen so far, a growing frame that each of the
     k−1 window passes on one partitioning reads once, however many events a
-    user has. Partitions are (user, bucket) with halo copies of the events an
-    anchor near the end of a bucket can reach, so no user is one task."""
+    user has. Partitions are (user, bucket), where buckets are equal ranges of
+    (user, time), or of width ``bucket`` if given; a summary row per
+    partition says where a chain that enters a bucket from before leaves for,
+    and the summaries are scanned along the buckets. So chains cross buckets
+    without copies, and a user's day is as many tasks as its rows need.
+    Events of one user, instant and type count once."""
     wu = duration_us(within)
     ev = (events.where(F.col("event_type").isin(steps) & F.col(key).isNotNull() & F.col("ts").isNotNull())
-                .select(key, "event_type", micros("ts").alias(TS_US)))
-    ev = halo_copies(ev, TS_US, bucket, ahead_us=wu).withColumn("_back", -F.col(TS_US))
-    w = (Window.partitionBy(key, "_pb").orderBy("_back")
-         .rangeBetween(Window.unboundedPreceding, -1))
+                .select(key, "event_type", micros("ts").alias(TS_US)).distinct())
+    if bucket is None:
+        ev = in_ranges(ev, [key, TS_US])  # an instant is never cut
+    else:
+        ev = ev.withColumn(BUCKET, floor_div(F.col(TS_US), duration_us(bucket)))
+    ev = ev.withColumn("_back", -F.col(TS_US))
+    inside = Window.partitionBy(key, BUCKET).orderBy("_back").rangeBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(key).orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
     # _c.t{i} = time of step i reached by the greedy chain that starts at the
     # first steps[i-1] event after the current row
     k = len(steps)
@@ -109,9 +116,11 @@ def funnel(events: DataFrame, steps: list[str], within: str, bucket: str = "1d",
         here = F.struct(F.col(TS_US).alias(f"t{i}"),
                         *[F.col(f"_c.t{j}").alias(f"t{j}") for j in range(i + 1, k)])
         cand = F.when(F.col("event_type") == steps[i], here)
-        ev = ev.withColumn("_c_next", F.last(cand, ignorenulls=True).over(w))
-        ev = ev.drop("_c").withColumnRenamed("_c_next", "_c")
-    anchors = ev.where(F.col("_own") & (F.col("event_type") == steps[0]))
+        firsts = ev.groupBy(key, BUCKET).agg(F.min(cand).alias("_first"))
+        firsts = firsts.select(key, BUCKET, F.last("_first", ignorenulls=True).over(behind).alias("_c_behind"))
+        ev = ev.withColumn("_c_next", F.last(cand, ignorenulls=True).over(inside)).join(firsts, [key, BUCKET])
+        ev = ev.select(key, BUCKET, "event_type", TS_US, "_back", F.coalesce("_c_next", "_c_behind").alias("_c"))
+    anchors = ev.where(F.col("event_type") == steps[0])
     depth = F.lit(1)
     ok = F.lit(True)
     for i in range(1, k):
@@ -136,7 +145,7 @@ def _interval(spec: str) -> str:
     return f"{us // 1_000_000} seconds" if us % 1_000_000 == 0 else f"{us} microseconds"
 
 
-def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str = "1d",
+def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str | None = None,
                       key: str = "user_id") -> DataFrame:
     """P09. Per event, the count and value sum of the same user's events in
     ``[ts - h, ts)`` for each horizon ``h`` — the event itself and others at
@@ -146,11 +155,12 @@ def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str =
     A trailing count is count(ts' < t) − count(ts' < t − h). Events are
     summed per (user, instant) first; each instant adds a probe at t and one
     at t − h per horizon, and running sums over (user, bucket) partitions with
-    bucket hand-over (two-level scan) give the sums before every probe. Work
-    is linear in the events, whatever the horizon and the bucket, and a hot
-    user splits as finely as the bucket is narrow."""
+    bucket hand-over (two-level scan) give the sums before every probe. Buckets
+    are equal ranges of events and probes together by (user, time), or of width
+    ``bucket`` if given, so each probe is in the range its time falls in and a
+    hot user's day splits like any other. Work is linear in the events,
+    whatever the horizon."""
     hs = {n: duration_us(h) for n, h in horizons.items()}
-    b = duration_us(bucket)
     own = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "event_id", "ts", "value")
     at = own.groupBy(key, micros("ts").alias("_at")).agg(
         F.count(F.lit(1)).alias("_c"), F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")), F.lit(0)).alias("_v"))
@@ -158,8 +168,8 @@ def trailing_features(events: DataFrame, horizons: dict[str, str], bucket: str =
                                 F.lit(0).cast("decimal(28,2)").alias("v")) for n, h in [("_self", 0), *hs.items()]],
                      F.struct(F.lit(None).cast("string").alias("pn"), F.col("_at").alias("t"), F.col("_c").alias("c"),
                               F.col("_v").cast("decimal(28,2)").alias("v")))
-    u = at.select(key, "_at", F.inline(probes)).withColumn("_kind", F.col("pn").isNull().cast("int")).withColumn(
-        BUCKET, floor_div(F.col("t"), b))
+    u = at.select(key, "_at", F.inline(probes)).withColumn("_kind", F.col("pn").isNull().cast("int"))
+    u = in_ranges(u, [key, "t", "_kind", "_at", "pn"]) if bucket is None else u.withColumn(BUCKET, floor_div(F.col("t"), duration_us(bucket)))
     # probes sort before events at the same instant: their running sums
     # count events strictly before the probe time
     rs = running_sum_across_buckets(u, key, ["t", "_kind", "_at", "pn"], {"_cc": F.col("c"), "_vv": F.col("v")})

@@ -9,8 +9,6 @@ helpers here split the order into buckets and stitch neighbouring buckets:
   ``(key, time bucket)``, summarise each bucket to one row, scan the small
   summary per key, join the offsets back on the keys the big side is already
   partitioned by (only the summary moves);
-* halo copies for bounded look-back / look-ahead frames: a row is copied into
-  every neighbouring bucket whose frames can reach it;
 * range buckets: the whole order (key, time, id) or (value, tiebreak) cut into
   equal parts, fixed by a checkpoint, so that neither a hot key nor a tied
   value is one task; offsets come from a summary of one row per part.
@@ -61,6 +59,18 @@ def with_range_bucket(df: DataFrame, keys, ts_col: str, order) -> DataFrame:
               .checkpoint(eager=True))
 
 
+def in_ranges(df: DataFrame, order, bucket_col: str = BUCKET) -> DataFrame:
+    """Adds the row's part when the table is cut into equal ranges of
+    ``order``; rows that agree in it stay together. Written to the shared
+    checkpoint folder once, so a part stays what it is."""
+    from ..session import checkpoint_dir
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *[_col(c) for c in _cols(order)]).withColumn(bucket_col, F.spark_partition_id().cast("bigint")).checkpoint(eager=True)
+
+
 def with_bucket(df: DataFrame, keys, ts_col: str, order, bucket: str | int | None) -> DataFrame:
     """Time buckets of width ``bucket``, or range buckets if it is None."""
     return with_range_bucket(df, keys, ts_col, order) if bucket is None else with_time_bucket(df, ts_col, bucket)
@@ -134,26 +144,6 @@ def running_sum_across_buckets(df: DataFrame, keys, order, sums: dict, bucket_co
     # (NULL keys find no summary row in the equi-join, so _off is NULL there)
 
 
-def halo_copies(df: DataFrame, ts_us: str, bucket: str | int, back_us: int = 0,
-                ahead_us: int = 0) -> DataFrame:
-    """Copy each row into every bucket whose rows can reach it.
-
-    A row at time t is seen by frames looking ``back_us`` behind (rows in
-    buckets up to (t + back_us) / B) and ``ahead_us`` ahead (rows in buckets
-    from (t - ahead_us) / B). Adds ``_pb`` (the bucket the copy belongs to) and
-    ``_own`` (true for the row's own bucket). Copies per row: at most
-    1 + ceil(reach / B)."""
-    b = duration_us(bucket)
-    t = F.col(ts_us)
-    own = floor_div(t, b)
-    lo = floor_div(t - F.lit(ahead_us), b)
-    hi = floor_div(t + F.lit(back_us), b)
-    return (df.withColumn("_own_b", own)
-              .withColumn("_pb", F.explode(F.sequence(lo, hi)))
-              .withColumn("_own", F.col("_pb") == F.col("_own_b"))
-              .drop("_own_b"))
-
-
 def _in_order(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """``df`` cut into ``n`` ranges of ``order`` and sorted inside: ``_gb`` is
     a row's range, ``_rn`` its place there (from 1). Written to the shared

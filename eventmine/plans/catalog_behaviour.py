@@ -111,7 +111,7 @@ SELECT user_id, max(1 + CASE WHEN epoch_us(t1) - epoch_us(t0) <= {WITHIN_US}
 FROM a2 GROUP BY user_id
 """)
 def q_funnel(spark, d):
-    return B.funnel(events(spark, d), P.FUNNEL_STEPS, P.FUNNEL_WITHIN, P.TS_BUCKET)
+    return B.funnel(events(spark, d), P.FUNNEL_STEPS, P.FUNNEL_WITHIN)
 
 
 @query("window_counts_tumbling", f"""
@@ -150,7 +150,7 @@ SELECT user_id, event_id, ts,
 FROM events WINDOW {_TR_WIN}
 """)
 def q_trailing(spark, d):
-    return B.trailing_features(events(spark, d), P.TRAILING, bucket=P.TS_BUCKET)
+    return B.trailing_features(events(spark, d), P.TRAILING)
 
 
 @query("gap_stats", """
@@ -241,7 +241,7 @@ SELECT user_id, max(1 + CASE WHEN epoch_us(t1) - epoch_us(t0) <= {WITHIN72_US}
 FROM a2 GROUP BY user_id
 """)
 def q_funnel_72h(spark, d):
-    return B.funnel(events(spark, d), _S2, "72h", bucket=P.TS_BUCKET)
+    return B.funnel(events(spark, d), _S2, "72h")
 
 
 @query("gap_stats_approx", """

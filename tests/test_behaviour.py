@@ -95,9 +95,9 @@ def test_funnel_two_anchors_only_second_completes(spark):
 def test_funnel_matches_brute_force(spark, raw):
     rows = _to_rows(raw)
     steps = ["view", "click", "purchase"]
-    got = {r.user_id: r.depth for r in B.funnel(make_events(spark, rows), steps, "3h",
-                                                bucket="1h").collect()}
-    assert got == py_funnel(rows, steps, 3 * H)
+    for bucket in ("1h", None):
+        got = {r.user_id: r.depth for r in B.funnel(make_events(spark, rows), steps, "3h", bucket=bucket).collect()}
+        assert got == py_funnel(rows, steps, 3 * H)
 
 
 @given(raw=event_rows)

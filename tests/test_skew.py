@@ -118,3 +118,26 @@ def test_no_task_holds_a_hot_users_day(spark):
     gaps = spark.range(24_000).selectExpr("1L AS k", "90000000 + id % 6000 AS v").distinct()
     sizes = [r["count"] for r in _in_order(gaps, [F.col("k"), F.col("v")], 8).groupBy("_gb").count().collect()]
     assert max(sizes) < 2 * 6000 / 8
+
+
+@pytest.mark.parametrize("what", ["funnel", "trailing"])
+def test_a_hot_users_day_is_many_parts(spark, what, monkeypatch):
+    """A third of the rows are one user's and one day's: no part of the ordered
+    passes holds more than twice its share, and wide time buckets agree."""
+    from eventmine.operators import behaviour as B
+    ev = spark.range(18_000).selectExpr(
+        "id AS event_id", "CASE WHEN id % 3 = 0 THEN 1L ELSE 10 + id % 500 END AS user_id",
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CASE WHEN id % 3 = 0 THEN id * 4 ELSE id * 100 END) AS ts",
+        "element_at(array('view', 'click', 'purchase'), cast((id div 3) * 7919 % 3 + 1 AS int)) AS event_type", "cast(id % 7 AS double) AS value", "'' AS props")
+    parts, orig = [], B.in_ranges
+    monkeypatch.setattr(B, "in_ranges", lambda *a: parts.append(orig(*a)) or parts[-1])
+
+    def run(bucket):
+        if what == "funnel":
+            return B.funnel(ev, ["view", "click", "purchase"], "30m", bucket=bucket)
+        return B.trailing_features(ev, {"1h": "1h", "2d": "2d"}, bucket=bucket)
+
+    got = sorted(map(tuple, run(None).collect()))
+    sizes = [r["count"] for r in parts[0].groupBy("user_id", B.BUCKET).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got == sorted(map(tuple, run("40d").collect()))
