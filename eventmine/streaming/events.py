@@ -39,6 +39,8 @@ def _interval(spec: str) -> str:
 
 #: bytes of input per micro-batch of a replay
 SLICE_BYTES = 64 << 30
+#: files that a slice is written to
+FILES_PER_SLICE = 64
 
 
 def read_event_stream(spark: SparkSession, directory: str, glob: str | None = None,
@@ -73,10 +75,13 @@ def replay(spark: SparkSession, base: str, build: Callable[[DataFrame], DataFram
     """Run ``build(stream)`` over the table at rest, in event-time order.
 
     With one slice the table is streamed as it is, in one micro-batch. With
-    more, each time range is landed and run before the next one (same query
-    checkpoint, same sink). ``slices`` defaults to one per ``SLICE_BYTES`` of
-    files. Rows without a time have no place in an order: the first slice has
-    them, and the operators drop them as the batch ones do."""
+    more, the table is written once, cut at quantiles of its times into one
+    folder per slice; the folders are then moved one by one to where the stream
+    looks, each run as one micro-batch (same query checkpoint, same sink). So
+    besides a look at its times the table is read once, however many slices.
+    ``slices`` defaults to one per ``SLICE_BYTES`` of files. Rows without a time
+    have no place in an order: the first slice has them, and the operators drop
+    them as the batch ones do."""
     path = f"{base.rstrip('/')}/{table}.parquet"
     data = read_table(spark, base, table)
     if slices is None:
@@ -84,18 +89,31 @@ def replay(spark: SparkSession, base: str, build: Callable[[DataFrame], DataFram
     if slices == 1:
         return run_available_now(spark, build(read_table_stream(spark, base, table)), name)
     us = data.select(micros("ts").cast("double").alias("t")).where(F.col("t").isNotNull())
-    cuts = sorted(set(us.approxQuantile("t", [k / slices for k in range(1, slices)], 0.1 / slices)))
-    landing, sink, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("landing", "sink", "ckpt"))
-    t = micros("ts")
-    for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
-        part = data.where(F.lit(True) if low is None else t >= F.lit(int(low)))
-        part = part.where(F.lit(True) if high is None else (t < F.lit(int(high))) | (F.lit(k == 0) & t.isNull()))
-        part.write.mode("append").parquet(landing)
-        out = run_available_now(spark, build(read_event_stream(spark, landing)), name, sink=sink, checkpoint=ckpt)
+    cuts = sorted({int(c) for c in us.approxQuantile("t", [k / slices for k in range(1, slices)], 0.1 / slices)})
+    staged, landing, sink, ckpt = (scratch_path(spark, f"{name}-{x}") for x in ("staged", "landing", "sink", "ckpt"))
+    before = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (c <= micros("ts")).cast("int")) if cuts else F.lit(0)
+    sliced = data.withColumn("slice", F.coalesce(before, F.lit(0)))
+    # a slice is many tasks and files, each task has few slices
+    sliced = sliced.repartition(F.col("slice"), F.pmod(F.xxhash64(*data.columns), F.lit(FILES_PER_SLICE)))
+    sliced.write.partitionBy("slice").parquet(staged)
+    out = None
+    for k in range(len(cuts) + 1):
+        if _moved(spark, f"{staged}/slice={k}", f"{landing}/slice={k}") or out is None:
+            stream = build(read_event_stream(spark, f"{landing}/slice=*"))
+            out = run_available_now(spark, stream, name, sink=sink, checkpoint=ckpt)
+    delete_path(spark, staged)
     delete_path(spark, landing)
     return out
 
 
+def _moved(spark: SparkSession, path: str, to: str) -> bool:
+    """Moves a folder if it is there."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    return bool(fs.exists(at)) and bool(fs.rename(at, to))
+
+
 def _n_bytes(spark: SparkSession, path: str) -> int:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()

@@ -123,6 +123,28 @@ def test_replay_depends_on_neither_files_nor_batches(spark, tmp_path, name):
     six = shuffled_files(spark, tmp_path, 6)
     assert sum(want.values()) > 10
     assert rows(six, 1) == want and rows(six, 3) == want
+    if name in ("dedup", "user_state"):
+        assert rows(six, 8) == want
+
+
+def test_a_replay_of_many_slices_reads_the_table_once(spark, monkeypatch):
+    """Rows that leave the table: once for its times, once to be cut."""
+    from support import SF001
+    seen, real = spark.sparkContext.accumulator(0), ST.read_table
+
+    def counted(*args):
+        df = real(*args)
+
+        def work(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return df.mapInArrow(work, df.schema)
+
+    monkeypatch.setattr(ST, "read_table", counted)
+    out = ST.replay(spark, SF001, BUILDS["dedup"], "t-once", slices=8)
+    n = spark.read.parquet(f"{SF001}/events.parquet").count()
+    assert out.count() == n and seen.value == 2 * n
 
 
 def test_over_two_thousand_files(spark, tmp_path):
