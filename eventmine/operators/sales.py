@@ -19,8 +19,11 @@ def sales_rollup(orders: DataFrame, customer: DataFrame, nation: DataFrame, regi
     with subtotals (``rollup``, ``cube`` or explicit grouping sets);
     ``gid`` is ``grouping_id()`` (bit set = column rolled up).
 
-    Region and nation are broadcast after a row-count check; customer is
-    joined by the planner (sort-merge at scale, adaptive broadcast when small)."""
+    Orders are summed to the finest cells first, money as decimals; the
+    subtotals are rolled up from these few rows, so no order is copied for
+    each grouping set. Region and nation are broadcast after a row-count check;
+    customer is joined by the planner (sort-merge at scale, adaptive broadcast
+    when small)."""
     geo = (bounded_broadcast(nation, DIM_MAX_ROWS)
            .join(bounded_broadcast(region, DIM_MAX_ROWS), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
@@ -29,17 +32,18 @@ def sales_rollup(orders: DataFrame, customer: DataFrame, nation: DataFrame, regi
     j = orders.select("o_custkey", "o_orderstatus", "o_totalprice").join(
         cust, F.col("o_custkey") == F.col("c_custkey"))
     dims = ["r_name", "c_mktsegment", "o_orderstatus"]
+    cells = j.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("_revenue"))
     if mode == "rollup":
-        g = j.rollup(*dims)
+        g = cells.rollup(*dims)
     elif mode == "cube":
-        g = j.cube(*dims)
+        g = cells.cube(*dims)
     elif mode == "sets":
-        g = j.groupingSets([["r_name"], ["c_mktsegment"], ["o_orderstatus"], []], *dims)
+        g = cells.groupingSets([["r_name"], ["c_mktsegment"], ["o_orderstatus"], []], *dims)
     else:
         raise ValueError(mode)
     return g.agg(F.grouping_id().cast("bigint").alias("gid"),
-                 F.count(F.lit(1)).alias("n_orders"),
-                 F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("revenue"))
+                 F.sum("_n").alias("n_orders"),
+                 F.sum("_revenue").cast("double").alias("revenue"))
 
 
 def rfm(orders: DataFrame, as_of: str, n_buckets: int | None = None) -> DataFrame:

@@ -238,3 +238,13 @@ def test_itemsets_equal_brute_force(spark):
         assert got == {k: (len(k), v) for k, v in want.items()}
     assert max(map(len, want)) >= 3
     assert I.frequent_itemsets(df.limit(0), 0.1).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["rollup", "cube", "sets"])
+def test_subtotals_are_rolled_up_from_cells(spark, mode):
+    """Rows are copied for the grouping sets only after they were summed."""
+    t = {n: spark.read.parquet(f"{SF001}/{n}.parquet") for n in ("orders", "customer", "nation", "region")}
+    plan = S.sales_rollup(t["orders"], t["customer"], t["nation"], t["region"], mode)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    kinds = [x.lstrip(" :+-").split(" ")[0] for x in plan]
+    assert kinds.index("Expand") < len(kinds) - 1 - kinds[::-1].index("Aggregate")
+    assert kinds.index("Aggregate") < kinds.index("Expand") and kinds.index("Join") > len(kinds) - 1 - kinds[::-1].index("Aggregate")
