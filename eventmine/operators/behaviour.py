@@ -214,6 +214,47 @@ def gap_stats(events: DataFrame, bucket: str | None = None, key: str = "user_id"
         (F.col("_mean") / 1e6).alias("mean_s"))
 
 
+def gap_sketches(events: DataFrame, key: str = "user_id", k: int = 800, bucket: str | None = None) -> DataFrame:
+    """P10, to be kept: one row per (user, day) with the number and sum of the
+    gaps between the day's events, a KLL sketch of them (microseconds), and the
+    day's first and last instant. A new day's events give new rows; no earlier
+    day is read again (:func:`gap_stats_of`). A day with one event has no gaps
+    and a NULL sketch; events without a user or a time have no row. ``k`` is the
+    sketch's size: the rank error shrinks about as 1 / ``k``, and up to ``k``
+    gaps are held exactly. A hot user's day is many parts, each of which sends
+    one sketch."""
+    ev = events.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(key, "event_id", "ts", F.to_date("ts").alias("day"))
+    ev = with_bucket(ev, key, "ts", "event_id", bucket)
+    ev = lag_across_buckets(ev, [key, "day"], ORDER, {"_prev_us": F.col(TS_US)})
+    gap = F.col(TS_US) - F.col("_prev_us")
+    return ev.groupBy(key, "day").agg(
+        F.count("_prev_us").alias("n_gaps"), F.coalesce(F.sum(gap), F.lit(0)).alias("gaps_us"),
+        F.when(F.count("_prev_us") > 0, F.kll_sketch_agg_bigint(gap, F.lit(k))).alias("sketch"),
+        F.min(TS_US).alias("first_us"), F.max(TS_US).alias("last_us"))
+
+
+def gap_stats_of(sketches: DataFrame, key: str = "user_id", k: int = 800) -> DataFrame:
+    """P10 from the rows of :func:`gap_sketches`, of however many runs: number
+    of gaps and their mean exactly, p50 / p90 as observed gaps within the
+    sketches' rank error (exact while a user has at most ``k`` gaps). The gap
+    from a day to the user's next day with events comes from the days' first and
+    last instants. Users without gaps have no row. One row per (user, day)
+    moves, never an event."""
+    days = Window.partitionBy(key).orderBy("day")
+    rows = sketches.withColumn("_over", F.col("first_us") - F.lag("last_us").over(days))
+    per = rows.groupBy(key).agg(
+        (F.sum("n_gaps") + F.count("_over")).alias("n_gaps"),
+        (F.sum("gaps_us") + F.coalesce(F.sum("_over"), F.lit(0))).alias("_us"),
+        F.when(F.sum("n_gaps") > 0, F.kll_merge_agg_bigint("sketch", F.lit(k))).alias("_within"),
+        F.when(F.count("_over") > 0, F.kll_sketch_agg_bigint("_over", F.lit(k))).alias("_across"))
+    both = F.when(F.col("_within").isNotNull() & F.col("_across").isNotNull(),
+                  F.kll_sketch_merge_bigint("_within", "_across")).otherwise(F.coalesce("_within", "_across"))
+    return per.where(F.col("n_gaps") > 0).withColumn("_all", both).select(
+        key, "n_gaps",
+        *[(F.kll_sketch_get_quantile_bigint("_all", F.lit(p)) / 1e6).alias(f"p{int(p * 100)}_s") for p in (0.5, 0.9)],
+        (F.col("_us") / F.col("n_gaps") / 1e6).alias("mean_s"))
+
+
 def transitions(events: DataFrame, bucket: str | None = None, key: str = "user_id") -> DataFrame:
     """P11. Counts of (from_type, to_type) between consecutive events of a
     user and each pair's share of its ``from_type`` row."""

@@ -199,6 +199,44 @@ def global_positions(df: DataFrame, value: str, tiebreak: list[str], out: str =
                       *keep_totals)
 
 
+def positions_of_each(df: DataFrame, key: str, metrics: dict, n_buckets: int | None = None) -> DataFrame:
+    """1-based position of each row in several global orders at once, one per
+    entry of ``metrics`` (numeric column → descending?), ties by ``key``, which
+    names each row. Gives ``key``, the metrics, ``_pos_<metric>`` and ``_total``.
+
+    Each row is turned into one narrow row per metric and all of them are cut
+    into ``n_buckets`` equal ranges of (metric, value, key) in one pass: one
+    write to the checkpoint folder and one sort, however many orders there are.
+    A range's first place is taken off inside it and the counts of the ranges
+    before are added; the summary has at most ``n_buckets`` plus one row per
+    metric and is broadcast. Metrics are compared as doubles; NULL and NaN stand
+    where Spark's order puts them."""
+    if n_buckets is None:
+        n_buckets = max(64, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    number = F.lit(None).cast("double")
+    long = df.select(key, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("_metric"),
+        (number if falls else F.col(m).cast("double")).alias("_up"),
+        (F.col(m).cast("double") if falls else number).alias("_down"))
+        for i, (m, falls) in enumerate(metrics.items())])))
+    placed = _in_order(long, [F.col("_metric"), F.col("_up").asc(), F.col("_down").desc(), F.col(key).asc()], n_buckets)
+    # One row per (metric, range): the window touches about n_buckets rows.
+    wm = Window.partitionBy("_metric")
+    summary = placed.groupBy("_metric", "_gb").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_rn").alias("_first")).select(
+        "_metric", "_gb",
+        (F.coalesce(F.sum("_cnt").over(wm.orderBy("_gb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+         - F.col("_first") + 1).alias("_off"),
+        F.sum("_cnt").over(wm).alias("_total"))
+    at = placed.join(F.broadcast(summary), ["_metric", "_gb"])
+    value = F.coalesce("_up", "_down")
+    aggs = [F.max("_total").cast("bigint").alias("_total")]
+    for i, m in enumerate(metrics):
+        here = F.col("_metric") == i
+        aggs += [F.max(F.when(here, value)).cast(df.schema[m].dataType).alias(m),
+                 F.max(F.when(here, F.col("_off") + F.col("_rn"))).cast("bigint").alias(f"_pos_{m}")]
+    return at.groupBy(key).agg(*aggs)
+
+
 def keyed_quantiles(df: DataFrame, keys, value: str, probs: dict, mean: str | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key (the definition of
     Spark ``percentile`` / SQL ``quantile_cont``), one column per entry of

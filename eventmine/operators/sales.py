@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sizing import bounded_broadcast
 from ..functions.timefn import micros, ntz_literal
 from .evaluation import ntile_of
-from .ordered import global_positions
+from .ordered import positions_of_each
 
 DIM_MAX_ROWS = 10_000
 
@@ -51,9 +51,10 @@ def rfm(orders: DataFrame, as_of: str, n_buckets: int | None = None) -> DataFram
     spend, and a 1–5 score on each — ``ntile(5)`` by (metric, customer) with
     recency reversed, so 5 is best.
 
-    ``ntile`` over all customers would be one task; positions come from
-    ``global_positions`` (range buckets + offsets) and the ntile bucket is
-    computed from position and count."""
+    ``ntile`` over all customers would be one task; the three positions come
+    from ``positions_of_each`` (one write of narrow rows, range buckets and
+    offsets for all metrics) and the ntile bucket is computed from position and
+    count."""
     per = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(
         F.max("o_orderdate").alias("_last"),
         F.count(F.lit(1)).alias("frequency"),
@@ -61,12 +62,9 @@ def rfm(orders: DataFrame, as_of: str, n_buckets: int | None = None) -> DataFram
     per = per.withColumn(
         "recency_days",
         F.floor((micros(ntz_literal(as_of)) - micros("_last")) / F.lit(86_400_000_000)).cast("bigint"))
-    r = global_positions(per, "recency_days", ["custkey"], out="_pr", descending=True,
-                         n_buckets=n_buckets, totals=True)
-    r = global_positions(r, "frequency", ["custkey"], out="_pf", n_buckets=n_buckets)
-    r = global_positions(r, "monetary", ["custkey"], out="_pm", n_buckets=n_buckets)
-    n = F.col("_pr_total")
+    r = positions_of_each(per, "custkey", {"recency_days": True, "frequency": False, "monetary": False}, n_buckets)
+    n = F.col("_total")
     return r.select("custkey", "recency_days", "frequency", "monetary",
-                    ntile_of(F.col("_pr"), n, 5).alias("r_score"),
-                    ntile_of(F.col("_pf"), n, 5).alias("f_score"),
-                    ntile_of(F.col("_pm"), n, 5).alias("m_score"))
+                    ntile_of(F.col("_pos_recency_days"), n, 5).alias("r_score"),
+                    ntile_of(F.col("_pos_frequency"), n, 5).alias("f_score"),
+                    ntile_of(F.col("_pos_monetary"), n, 5).alias("m_score"))

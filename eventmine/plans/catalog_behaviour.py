@@ -244,16 +244,25 @@ def q_funnel_72h(spark, d):
     return B.funnel(events(spark, d), _S2, "72h")
 
 
-@query("gap_stats_approx", """
+_GAPS_SQL = """
 WITH g AS (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id
              ORDER BY ts, event_id)) AS gap_us FROM events)
 SELECT user_id, count(*)::BIGINT AS n_gaps,
   quantile_disc(gap_us, 0.5) / 1e6 AS p50_s, quantile_disc(gap_us, 0.9) / 1e6 AS p90_s,
   sum(gap_us) / count(*) / 1e6 AS mean_s
 FROM g WHERE gap_us IS NOT NULL GROUP BY user_id
-""")
+"""
+
+
+@query("gap_stats_approx", _GAPS_SQL)
 def q_gap_stats_approx(spark, d):
     """P10's large-data option: percentile_approx sketches per user (observed
     gaps, not interpolated). A user with fewer gaps than the sketch's accuracy
     has exact ranks, which the SQL checks."""
     return B.gap_stats(events(spark, d), method="approx")
+
+
+@query("gap_stats_by_day", _GAPS_SQL)
+def q_gap_stats_by_day(spark, d):
+    """P10 from one kept KLL sketch per user and day."""
+    return B.gap_stats_of(B.gap_sketches(events(spark, d)))

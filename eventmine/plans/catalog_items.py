@@ -161,14 +161,24 @@ def q_recommend_checks(spark, d):
         F.count_if(F.col("score").isNull() & (F.col("_product") > F.col("_last") + 1e-6)).alias("n_better"))
 
 
-_TEST_SQL = f"SELECT user_id, cutoff, label, true AS score_in_0_1 FROM ({EXAMPLES_SQL}) WHERE cutoff >= TIMESTAMP '{P.CUTOFFS[-1]}'"
+_FEATURES = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
+             "recency_s", "active_days"]
 
 
-@query("train_score_checks", _TEST_SQL)
+@query("train_score_checks", f"""
+SELECT user_id, cutoff, label, true AS score_in_0_1, true AS score_is_the_models, true AS model_is_optimal
+FROM ({EXAMPLES_SQL}) WHERE cutoff >= TIMESTAMP '{P.CUTOFFS[-1]}'
+""")
 def q_train_score_checks(spark, d):
-    """Every test example is scored once, with a probability."""
-    s = q_train_score(spark, d)
-    return s.select("user_id", "cutoff", "label", F.col("score").between(0, 1).alias("score_in_0_1"))
+    """Every test example is scored once, with a probability, which the
+    weights give by plain arithmetic too; the weights are the optimum of the
+    penalised likelihood (its gradient over the training rows is 0)."""
+    model, train, rest = M.fit_model(training_examples(spark, d), _FEATURES)
+    optimal = M.logistic_residual(model, train) < 1e-4
+    s = M.logistic_scores_by_hand(model, rest, _FEATURES, ["user_id", "cutoff", "label"])
+    return s.select("user_id", "cutoff", "label", F.col("score").between(0, 1).alias("score_in_0_1"),
+                    (F.abs(F.col("score") - F.col("by_hand")) < 1e-9).alias("score_is_the_models"),
+                    F.lit(optimal).alias("model_is_optimal"))
 
 
 @query("write_predictions", f"""
@@ -182,22 +192,19 @@ def q_write_predictions(spark, d):
     return spark.read.parquet(path)
 
 
+def training_examples(spark, d):
+    ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
+    return X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], horizon=P.HORIZON)
+
+
 @query("train_score_logistic")
 def q_train_score(spark, d):
-    ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
-    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], horizon=P.HORIZON)
-    feats = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
-             "recency_s", "active_days"]
-    return M.train_score(ex, feats, keep=["user_id", "cutoff", "label"])
+    return M.train_score(training_examples(spark, d), _FEATURES, keep=["user_id", "cutoff", "label"])
 
 
 @query("train_score_gbt")
 def q_train_score_gbt(spark, d):
-    ex = X.examples_with_features(t(spark, d, "events"), P.CUTOFFS, P.HORIZON)
-    ex = X.split_examples(ex, by="time", test_cutoff=P.CUTOFFS[-1], horizon=P.HORIZON)
-    feats = ["n_events", "n_click", "n_error", "n_purchase", "n_signup", "n_view", "value_sum",
-             "recency_s", "active_days"]
-    return M.train_score(ex, feats, kind="gbt", keep=["user_id", "cutoff", "label"])
+    return M.train_score(training_examples(spark, d), _FEATURES, kind="gbt", keep=["user_id", "cutoff", "label"])
 
 
 def scored_examples(spark, d):

@@ -245,3 +245,51 @@ def test_sessionize_keeps_rows_without_user_or_time(spark):
     rows = [(1, ts(0), 1, "view"), (2, None, 1, "view"), (3, ts(5), None, "view")]
     got = {r.event_id: r.session_no for r in B.sessionize(make_events(spark, rows), "30m").collect()}
     assert got == {1: 1, 2: None, 3: None}
+
+
+def _plain_gaps(rows):
+    by = defaultdict(list)
+    for event_id, at, user, *_ in rows:
+        if user is not None and at is not None:
+            by[user].append((at, event_id))
+    return {u: [(b[0] - a[0]) // dt.timedelta(microseconds=1) for a, b in zip(sorted(xs), sorted(xs)[1:])] for u, xs in by.items()}
+
+
+def test_gap_sketches_of_days_add_up(spark):
+    """Days sketched in separate runs, then merged, equal all gaps: days of one
+    event, skipped days, ties, one-event users and missing values included."""
+    rows = [(1, ts(hours=1), 1, "view"), (2, ts(hours=1), 1, "view"), (3, ts(hours=30), 1, "view"), (4, ts(days=5), 1, "view"),
+            (5, ts(days=5, hours=2), 1, "view"), (6, ts(hours=3), 2, "view"), (7, ts(hours=3), None, "view"), (8, None, 1, "view"),
+            (9, ts(hours=23.99), 3, "view"), (10, ts(hours=24.01), 3, "view")]
+    df = make_events(spark, rows)
+    first = df.where("ts < timestamp_ntz'2024-01-02 00:00:00' OR ts IS NULL")
+    kept = B.gap_sketches(first).unionByName(B.gap_sketches(df.where("ts >= timestamp_ntz'2024-01-02 00:00:00'")))
+    got = {r.user_id: r for r in B.gap_stats_of(kept).collect()}
+    want = {u: sorted(g) for u, g in _plain_gaps(rows).items() if g}
+    assert set(got) == set(want) == {1, 3}
+    for u, g in want.items():
+        assert got[u].n_gaps == len(g) and abs(got[u].mean_s - sum(g) / len(g) / 1e6) < 1e-9
+        for p, name in ((0.5, "p50_s"), (0.9, "p90_s")):
+            assert got[u][name] == g[max(0, -(-int(p * 10) * len(g) // 10) - 1)] / 1e6
+    assert B.gap_stats_of(B.gap_sketches(df.limit(0))).count() == 0
+
+
+def test_gap_sketches_keep_the_rank_bound(spark):
+    """A hot user's 60,000 gaps: merged days and a single sketch both stay
+    within the rank error; a sketch stays small."""
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    steps = rnd.lognormal(15, 2, 60_000).astype(np.int64) + 1
+    at = np.cumsum(steps)
+    df = spark.createDataFrame([(int(i), 1, int(t)) for i, t in enumerate(at)], "event_id long, user_id long, us long")
+    df = df.selectExpr("event_id", "user_id", "timestampadd(MICROSECOND, us, timestamp_ntz'2024-01-01 00:00:00') AS ts")
+    days = B.gap_sketches(df, k=200).cache()
+    assert days.count() > 5 and max(len(r.sketch) for r in days.where("sketch IS NOT NULL").collect()) < 10_000
+    gaps = np.sort(np.diff(at))
+    for frame in (days, B.gap_sketches(df, k=200, bucket="1h")):
+        r = B.gap_stats_of(frame, k=200).first()
+        assert r.n_gaps == len(gaps) and abs(r.mean_s - gaps.mean() / 1e6) < 1e-6 * r.mean_s
+        for p, q in ((0.5, r.p50_s), (0.9, r.p90_s)):
+            lo, hi = np.searchsorted(gaps, round(q * 1e6), "left") / len(gaps), np.searchsorted(gaps, round(q * 1e6), "right") / len(gaps)
+            assert lo - 0.02 <= p <= hi + 0.02
+    days.unpersist()

@@ -9,7 +9,7 @@ from eventmine.operators import evaluation as V
 from eventmine.operators import items as I
 from eventmine.operators import models as M
 from eventmine.operators import sales as S
-from eventmine.operators.ordered import global_positions
+from eventmine.operators.ordered import global_positions, positions_of_each
 
 from support import SF001
 
@@ -248,3 +248,57 @@ def test_subtotals_are_rolled_up_from_cells(spark, mode):
     kinds = [x.lstrip(" :+-").split(" ")[0] for x in plan]
     assert kinds.index("Expand") < len(kinds) - 1 - kinds[::-1].index("Aggregate")
     assert kinds.index("Aggregate") < kinds.index("Expand") and kinds.index("Join") > len(kinds) - 1 - kinds[::-1].index("Aggregate")
+
+
+@pytest.mark.parametrize("n_buckets", [1, 5, 64])
+def test_positions_of_each_equal_row_numbers(spark, n_buckets):
+    from pyspark.sql import Window
+    rnd = random.Random(n_buckets)
+    rows = [(i, rnd.choice([None, 0, 0, 0, rnd.randint(-9, 9)]), rnd.choice([None, float("nan"), 2.5, rnd.random()]), rnd.randint(0, 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a long, b double, c int")
+    got = positions_of_each(df, "id", {"a": True, "b": False, "c": True}, n_buckets)
+    assert got.schema["a"].dataType == df.schema["a"].dataType and got.schema["c"].dataType == df.schema["c"].dataType
+    want = df.select("*", F.row_number().over(Window.orderBy(F.col("a").desc(), "id")).alias("_pos_a"),
+                     F.row_number().over(Window.orderBy("b", "id")).alias("_pos_b"),
+                     F.row_number().over(Window.orderBy(F.col("c").desc(), "id")).alias("_pos_c"), F.lit(400).alias("_total"))
+    cols = ["id", "a", "b", "c", "_pos_a", "_pos_b", "_pos_c", "_total"]
+    assert sorted(map(repr, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(repr, (tuple(r) for r in want.select(*cols).collect())))
+    assert positions_of_each(df.limit(0), "id", {"a": True, "c": False}, n_buckets).count() == 0
+
+
+def test_rfm_writes_its_customers_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    written, real = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, eager=True: written.append(self.columns) or real(self, eager))
+    S.rfm(spark.read.parquet(f"{SF001}/orders.parquet"), "2001-08-02 00:00:00", n_buckets=4).collect()
+    assert len(written) == 1
+
+
+def _planted(spark, n=600):
+    rnd = random.Random(4)
+    rows = []
+    for i in range(n):
+        f1 = rnd.gauss(0, 1)
+        rows.append((i, f1, rnd.gauss(3, 5), 7.0, int(f1 + rnd.gauss(0, 0.5) > 0), "train" if i < n * 2 // 3 else "test"))
+    return spark.createDataFrame(rows, "user_id long, f1 double, f2 double, f3 double, label int, split string")
+
+
+def test_logistic_checks_can_fail(spark):
+    """The gradient is 0 for the fitted model only; scores follow from weights."""
+    df, feats = _planted(spark), ["f1", "f2", "f3"]
+    model, train, rest = M.fit_model(df, feats)
+    assert M.logistic_residual(model, train) < 1e-4
+    assert all(abs(r.score - r.by_hand) < 1e-9 for r in M.logistic_scores_by_hand(model, rest, feats, ["user_id"]).collect())
+    wrong = train.withColumn("_y", 1 - F.col("_y"))
+    assert M.logistic_residual(model, wrong) > 0.1
+    other, _, _ = M.fit_model(df.withColumn("f1", -F.col("f1")), feats)
+    assert M.logistic_residual(other, train) > 0.1
+    assert M.logistic_residual(model, train.limit(0)) == 0.0
+
+
+def test_tree_scores_rise_with_the_planted_signal(spark):
+    df = _planted(spark, 1200)
+    s = M.train_score(df, ["f1", "f2", "f3"], kind="gbt", keep=["user_id", "f1", "label"])
+    bins = s.groupBy(F.floor(F.greatest(F.lit(-1.5), F.least(F.lit(1.4), "f1"))).alias("b")).agg(F.avg("score").alias("score"), F.avg("label").alias("rate")).orderBy("b").collect()
+    assert len(bins) == 4 and all(a.score < b.score for a, b in zip(bins, bins[1:]))
+    assert all(abs(r.score - r.rate) < 0.2 for r in bins)
