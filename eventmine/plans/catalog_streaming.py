@@ -47,7 +47,7 @@ def q_stream_dedup(spark, d):
     return ST.replay(spark, d, lambda s: ST.stream_dedup(s.unionByName(s), ["event_id"], P.STREAM_DELAY), "dedup")
 
 
-@query("stream_user_state", f"""
+_USER_STATE_SQL = f"""
 WITH g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
 sp AS (SELECT user_id, max(CASE WHEN gap IS NULL OR gap > {TTL_US} THEN ts END) AS since FROM g GROUP BY user_id),
 u AS (SELECT user_id, count(*)::BIGINT AS n_events,
@@ -60,9 +60,20 @@ SELECT u.user_id, u.last_event AS as_of,
   u.n_events, u.n_purchases, u.last_event, u.last_purchase,
   ((epoch_us(u.last_event) - epoch_us(u.last_purchase)) // 86400000000)::BIGINT AS days_since_purchase
 FROM u, m
-""")
+"""
+
+
+@query("stream_user_state", _USER_STATE_SQL)
 def q_stream_user_state(spark, d):
     """The state of each user's last spell, expired when its last event + TTL
     is behind the final watermark."""
     return ST.latest_user_state(
         ST.replay(spark, d, lambda s: ST.stream_user_state(s, P.STATE_TTL, P.STREAM_DELAY), "user-state"))
+
+
+@query("stream_user_timers", _USER_STATE_SQL)
+def q_stream_user_timers(spark, d):
+    """The same from value state and event-time timers on RocksDB."""
+    with ST.rocksdb_state(spark):
+        return ST.latest_user_state(
+            ST.replay(spark, d, lambda s: ST.stream_user_timers(s, P.STATE_TTL, P.STREAM_DELAY), "user-timers"))

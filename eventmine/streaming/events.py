@@ -19,6 +19,7 @@ the shared checkpoint folder and return the sink as a batch DataFrame:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.timefn import duration_us, micros, to_event_time
 from ..session import checkpoint_dir, delete_path, scratch_path
@@ -332,6 +334,110 @@ def stream_user_state(stream: DataFrame, ttl: str, delay: str,
         _user_state_fn(ttl_ms), USER_STATE_OUT, USER_STATE, "append", "EventTimeTimeout")
 
 
+#: a user's open spell; times in microseconds
+OPEN_SPELL = "n bigint, p bigint, last bigint, last_p bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, whose files go to
+    the stream's checkpoint; the session's own setting comes back after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class UserSpells(StatefulProcessor):
+    """One user's open spell as a value, its end as an event-time timer."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", OPEN_SPELL)
+
+    def _row(self, key, n, p, last, last_p, expired) -> list:
+        at, hit = (None if t == _NEVER else pd.Timestamp(t, unit="us") for t in (last, last_p))
+        return [key[0], at, n, p, at, hit, expired]
+
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=USER_STATE_OUT.fieldNames()).astype(
+            {"as_of": "datetime64[us]", "last_event": "datetime64[us]", "last_purchase": "datetime64[us]"})
+
+    def _end_ms(self, last: int) -> int:
+        """The first millisecond that is past the spell's last instant."""
+        return (last + self.ttl_us) // 1000
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        spells = None
+        for b in rows:
+            if len(b):
+                new = (np.zeros(len(b), np.int64), *(b[c].to_numpy(np.int64) for c in ("n", "p", "first", "last", "last_p")))
+                spells = _merged(*(new if spells is None else map(np.concatenate, zip(spells, new))), self.ttl_us)
+        if spells is None:
+            return
+        held = tuple(self.open.get()) if self.open.exists() else None
+        if held:
+            self.handle.deleteTimer(self._end_ms(held[2]))
+        out = []
+        for n, p, first, last, last_p in zip(*(x.tolist() for x in spells[1:])):
+            if held and first - held[2] > self.ttl_us:
+                out.append(self._row(key, *held, True))
+                held = None
+            held = (n, p, last, last_p) if held is None else (held[0] + n, held[1] + p, max(held[2], last), max(held[3], last_p))
+        watermark = timerValues.getCurrentWatermarkInMs()
+        over = self._end_ms(held[2]) < watermark
+        out.append(self._row(key, *held, over))
+        if over:
+            self.open.clear()
+        else:
+            self.open.update(held)
+            self.handle.registerTimer(self._end_ms(held[2]))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            held = tuple(self.open.get())
+            self.open.clear()
+            yield self._frame([self._row(key, *held, True)])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_user_timers(stream: DataFrame, ttl: str, delay: str, positive_type: str = "purchase") -> DataFrame:
+    """P32 on ``transformWithState``: the rows of :func:`stream_user_state`,
+    with the open spell as a value state and its end as an event-time timer.
+    Start the stream under :func:`rocksdb_state`: state is on disk, so users
+    are not bounded by memory, and can be read back between runs
+    (:func:`open_spells`). A timer takes the place of a state TTL, which Spark
+    has for processing time only. Late parts, rows without a time and events
+    without a user are treated as there."""
+    ttl_us = duration_us(ttl) // 1000 * 1000
+    events = stream.select("user_id", F.unix_micros(to_event_time("ts")).alias("t"),
+                           F.coalesce(F.col("event_type") == positive_type, F.lit(False)).alias("hit"))
+    spells = events.where(F.col("t").isNotNull()).mapInArrow(_spells_of(ttl_us), SPELLS)
+    s = spells.withColumn("event_time", F.timestamp_micros("last")).withWatermark("event_time", _interval(delay))
+    return s.groupBy("user_id").transformWithStateInPandas(UserSpells(ttl_us), USER_STATE_OUT, "append", "eventTime")
+
+
+def open_spells(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state a run of :func:`stream_user_timers` left at ``checkpoint``:
+    one row per user with an open spell."""
+    with rocksdb_state(spark):
+        state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    when = {c: F.when(F.col(f"value.{c}") != _NEVER, F.timestamp_micros(f"value.{c}")).cast("timestamp_ntz") for c in ("last", "last_p")}
+    return state.select("key.user_id", F.col("value.n").alias("n_events"), F.col("value.p").alias("n_purchases"),
+                        when["last"].alias("last_event"), when["last_p"].alias("last_purchase"))
+
+
 def latest_user_state(sink: DataFrame) -> DataFrame:
     """The last row written per user (expiry rows win over updates at the
     same time); times as TIMESTAMP_NTZ like the event log, plus whole days

@@ -220,3 +220,51 @@ def test_a_hot_user_reaches_the_state_as_spells(spark, tmp_path, monkeypatch):
     got = Counter((r.user_id, r.n_events, r.n_purchases, r.last_event.replace(tzinfo=None)) for r in out.selectExpr(
         "user_id", "n_events", "n_purchases", "cast(last_event AS timestamp_ntz) last_event").distinct().collect())
     assert len(spells[1]) == 2 and got == Counter((u, *x) for u, own in spells.items() for x in own)
+
+
+def test_user_timers_restart_and_read_back(spark, tmp_path):
+    src = tmp_path / "src"
+    sink, ck = str(tmp_path / "sink"), str(tmp_path / "ck")
+
+    def run():
+        s = ST.stream_user_timers(ST.read_event_stream(spark, str(src)), "2h", "10m")
+        with ST.rocksdb_state(spark):
+            out = ST.run_available_now(spark, s, "t-ut", sink=sink, checkpoint=ck)
+        return {r.user_id: r for r in ST.latest_user_state(out).collect()}, {r.user_id: r for r in ST.open_spells(spark, ck).collect()}
+
+    write_files(spark, src, [[(1, at(10), 1, "purchase"), (2, at(10, 30), 1, "view"), (3, at(10), 2, "view"),
+                              (4, at(10), None, "view"), (5, None, 1, "view")]])
+    got, kept = run()
+    assert (got[1].n_events, got[1].n_purchases, got[1].expired) == (2, 1, False) and got[None].n_events == 1
+    assert {u: (r.n_events, r.n_purchases) for u, r in kept.items()} == {1: (2, 1), 2: (1, 0), None: (1, 0)}
+    assert kept[1].last_event == at(10, 30) and kept[1].last_purchase == at(10) and kept[2].last_purchase is None
+    # the same user goes on, another comes back after more than 2h: its timer and the first one's fire
+    write_files(spark, src, [[(6, at(14), 2, "purchase"), (7, at(11), 1, "view")]])
+    got, kept = run()
+    assert (got[2].n_events, got[2].n_purchases, got[2].expired) == (1, 1, False)
+    assert (got[1].n_events, got[1].expired) == (3, True) and got[1].last_purchase == at(10) and got[None].expired
+    assert set(kept) == {2} and kept[2].last_event == at(14)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    assert spark.conf.get(name, None) != ST.ROCKSDB
+
+
+def test_user_timers_equal_user_state(spark, tmp_path):
+    """Over unordered files in three micro-batches, with a hot user; a part that is over when it comes counts as expired at once."""
+    rows = [(k, at(0) + dt.timedelta(minutes=(k * 37) % 6000 + (30_000 if k % 1500 >= 1000 else 0)), 1 if k % 10 else k % 50,
+             "purchase" if k % 3 == 0 else "view") for k in range(1500)]
+    rows += [(1500, at(1), None, "purchase"), (1501, None, 1, "view")]
+    make_events(spark, rows).repartition(3, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    want = ST.replay(spark, str(tmp_path), lambda s: ST.stream_user_state(s, "3d", "1h"), "t-us", slices=3)
+    with ST.rocksdb_state(spark):
+        got = ST.replay(spark, str(tmp_path), lambda s: ST.stream_user_timers(s, "3d", "1h"), "t-ut", slices=3)
+    cols = ["user_id", "as_of", "expired", "n_events", "n_purchases", "last_event", "last_purchase"]
+    assert Counter(map(tuple, ST.latest_user_state(got).select(*cols).collect())) == Counter(map(tuple, ST.latest_user_state(want).select(*cols).collect()))
+    ended = "expired AND user_id IS NOT NULL"
+    assert got.where(ended).count() == want.where(ended).count() > 0
+    src = tmp_path / "late"
+    write_files(spark, src, [[(1, at(10), 1, "view")], [(2, at(20), 2, "view"), (3, at(9, 30), 3, "view")], [(4, at(21), 2, "view")]])
+    s = ST.stream_user_timers(ST.read_event_stream(spark, str(src), max_files_per_trigger=1), "10m", "1h")
+    with ST.rocksdb_state(spark):
+        out = ST.run_available_now(spark, s, "t-late", sink=str(tmp_path / "sink"), checkpoint=str(tmp_path / "ck"))
+    last = {r.user_id: (r.n_events, r.expired) for r in ST.latest_user_state(out).collect()}
+    assert last[3] == (1, True) and last[1] == (1, True)
