@@ -22,7 +22,8 @@ def sessionize(events: DataFrame, gap: str = "8h", bucket: str | None = None,
                key: str = "user_id") -> DataFrame:
     """P05. Add ``session_no`` (1, 2, … per user). A new session starts iff the
     time since the user's previous event is strictly greater than ``gap``.
-    Events without a user or a time are kept with a NULL ``session_no``.
+    Events without a user or a time are kept with a NULL ``session_no``. All
+    columns of ``events`` are written once on the way: give those needed.
 
     Inside each (user, bucket): lag and a running count of session starts.
     Per (user, bucket) summary: first and last time, starts inside. A scan of
@@ -69,6 +70,7 @@ def session_summary(events: DataFrame, gap: str = "8h", bucket: str | None = Non
     event types, whether it contains ``positive_type``, value sum. A plain
     ``groupBy`` on the sessionized log — partial aggregation, no single-key
     task."""
+    events = events.select(key, "event_id", "ts", "event_type", "value")
     s = sessionize(events, gap, bucket, key).where(F.col("session_no").isNotNull())
     return s.groupBy(key, "session_no").agg(
         F.min("ts").alias("session_start"),

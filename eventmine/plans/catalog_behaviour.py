@@ -81,8 +81,7 @@ def q_rules(spark, d):
 
 @query("sessionize", f"SELECT event_id, user_id, ts, session_no FROM ({SESSIONIZED_SQL})")
 def q_sessionize(spark, d):
-    s = B.sessionize(events(spark, d), P.SESSION_GAP)
-    return s.select("event_id", "user_id", "ts", "session_no")
+    return B.sessionize(events(spark, d).select("event_id", "user_id", "ts"), P.SESSION_GAP)
 
 
 @query("session_summary", f"""

@@ -293,3 +293,12 @@ def test_gap_sketches_keep_the_rank_bound(spark):
             lo, hi = np.searchsorted(gaps, round(q * 1e6), "left") / len(gaps), np.searchsorted(gaps, round(q * 1e6), "right") / len(gaps)
             assert lo - 0.02 <= p <= hi + 0.02
     days.unpersist()
+
+
+def test_sessions_write_only_what_they_need(spark, monkeypatch):
+    from support import SF001
+    from pyspark.sql.classic.dataframe import DataFrame
+    written, real = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, eager=True: written.append(self.columns) or real(self, eager))
+    B.session_summary(spark.read.parquet(f"{SF001}/events.parquet")).collect()
+    assert len(written) == 1 and "props" not in written[0] and "value" in written[0]
