@@ -1,6 +1,7 @@
 """Near duplicates of vectors and texts, components, repeated passages: against brute force."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from data import DOCS, frame, odd_rows, prose
 from eventmine.llm import bwt, repeats, text_links, vector_links
+from eventmine.llm.common import cut_lineage
 from eventmine.llm.components import components
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -317,3 +319,25 @@ def test_repeats_in_texts_longer_than_a_block(spark):
     got = repeats.removals(spark.createDataFrame(rows, DOCS)).collect()
     assert Counter(map(tuple, got)) == brute_repeats(rows)
     assert {r.doc_id: r.n_removed for r in got}[3] == 0
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    """Rows behind a checkpoint leave no shuffle files, though their DataFrame is still there."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def written() -> set[str]:
+        files = disk.getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    there = written()
+    sums = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("v"))
+    kept = cut_lineage(sums)
+    until = time.time() + 20
+    while written() - there and time.time() < until:
+        time.sleep(0.2)
+    assert not written() - there
+    assert sorted(kept.collect()) == sorted(sums.collect()) == sorted(sums.collect()) and sums.join(kept, "k").count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
