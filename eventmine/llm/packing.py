@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.sizing import bounded_broadcast
 from .common import bounded_batches, cut_lineage, utf8
 from .tokenizing import batched, piece_tokenizer
 
@@ -163,7 +164,8 @@ def pack(pieces: DataFrame, seq_len: int = 4096) -> DataFrame:
                 names=[*keep, "sequence_id", "offset"])
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(by_task.select("length", "part", before.alias("_before")), ["length", "part"]).select(
+    # the counts are broadcast if few enough, so that pieces needn't move and stay in as few files as the input
+    ranked = pieces.join(bounded_broadcast(by_task.select("length", "part", before.alias("_before"))), ["length", "part"]).select(
         *keep, (F.col("_before") + F.col("nth")).alias("_rank"))
     schema = T.StructType([pieces.schema[c] for c in keep] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(work, schema)

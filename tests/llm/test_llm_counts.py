@@ -124,6 +124,25 @@ def test_packing_is_tight_with_a_hot_length(spark):
     assert n <= 1.02 * sum(len(ids) for _, ids in want) / 256 + 1
 
 
+def test_packing_moves_no_pieces_for_few_counts(spark, tmp_path):
+    """Each task of the input writes one file, however many parts a shuffle has."""
+    rows = [(k, prose(k % 50, 20 + k % 37), "en", "s", 0) for k in range(60)]
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), DOCS)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        packing.pack(packing.encode_pieces(docs, WORD, seq_len=64), seq_len=64).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 3
+    tok = tokenizing.load_tokenizer(WORD)
+    want = [(r[0], tok.encode(r[1], add_special_tokens=False).ids + [1]) for r in rows]
+    check_packed(spark.read.parquet(str(tmp_path / "out")).collect(), want, 64)
+
+
 def test_pieces_can_carry_their_ids(spark):
     df = spark.createDataFrame([(1, "some words here", "en", "s", 0)], DOCS)
     r = packing.pack(packing.encode_pieces(df, WORD, with_ids=True)).collect()[0]
