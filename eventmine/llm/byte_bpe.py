@@ -9,9 +9,11 @@ are cut into pre-tokens by a pattern, and each pre-token is encoded by itself.
    to free slots, as many slots as tokens). The bytes in the slot are compared,
    so other pre-tokens never pass. This is done for a block of text at once.
 2. The others: adjacent parts of the pre-token's bytes are merged, lowest rank
-   first and leftmost among equals, from a heap over a linked list, so a
-   pre-token of n bytes takes n log n steps, a megabyte without a blank
-   included. Ids of short ones are kept by their bytes, a bounded number.
+   first and leftmost among equals. The short ones of a block, each once, are
+   merged together, one merge of each at a time; ranks come from a table of
+   all pairs of tokens that make a token. Long ones use a heap over a linked
+   list, so a pre-token of n bytes takes n log n steps, a megabyte without a
+   blank included. Ids of short ones are kept by their bytes, a bounded number.
 
 Long texts are cut into blocks where a pre-token must start (see
 :mod:`.tokenizing`), so what a task holds beside the text and its ids is bounded.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -48,6 +51,10 @@ BLOCK = 1 << 19
 KEPT, KEPT_BYTES = 300_000, 64
 #: keys in a group of the perfect hash, on average, and displacements tried at once
 GROUP, TRIES = 4, 128
+#: short pre-tokens merged together have lengths up to the same of these
+WIDTHS = (8, 12, 16, 24, 40, KEPT_BYTES)
+#: rank of what is no token, and the bits of a pair's hash
+NONE, PAIR_BITS = np.iinfo(np.int32).max, 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,6 +97,69 @@ class PerfectHash:
         return np.where(d < 0, -1 - d, self._displaced(keys, np.maximum(d, 0).astype(np.uint64)))
 
 
+class PairRanks:
+    """Which token two adjacent tokens make, for many pairs at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.n = max(ranks.values()) + 1
+        made = [(a * self.n + b, r) for t, r in ranks.items() for k in range(1, len(t))
+                if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None]
+        keys, ids = np.array(made, np.int64).reshape(-1, 2).T
+        at = self._hashes(keys)
+        order = np.argsort(at, kind="stable")
+        filled = np.bincount(at, minlength=1 << PAIR_BITS)
+        self.first, self.deepest = (np.cumsum(filled) - filled).astype(np.int32), int(filled.max())
+        # keys of one hash stand side by side; so many are looked at from the first on
+        self.keys = np.append(keys[order], np.full(self.deepest, -1))
+        self.ids = np.append(ids[order], np.full(self.deepest, NONE)).astype(np.int32)
+
+    def _hashes(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _STEP) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of each pair, or ``NONE``."""
+        keys = left.astype(np.int64) * self.n + right
+        at, found = self.first[self._hashes(keys)], np.full(keys.shape, NONE, np.int32)
+        for k in range(self.deepest):
+            np.copyto(found, self.ids[at + k], where=self.keys[at + k] == keys)
+        return found
+
+
+def merged_together(pieces: list[bytes], pairs: PairRanks, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`merged` gives for each of some pre-tokens, none empty: a row
+    of ids for each, and how many of them count."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    width = int(size.max())
+    ids = byte_ids[np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)].reshape(-1, width)
+    column = np.arange(width)
+    # ranks[:, k]: of the parts k and k + 1 together
+    ranks = np.full(ids.shape, NONE, np.int32)
+    ranks[:, :-1] = np.where(column[1:] < size[:, None], pairs.of(ids[:, :-1], ids[:, 1:]), NONE)
+    done, sizes, rows = ids.copy(), size.copy(), np.arange(len(ids))
+    while True:
+        low = ranks.argmin(axis=1)
+        found = ranks[np.arange(len(rows)), low]
+        go = found < NONE
+        if not go.all():
+            done[rows[~go]], sizes[rows[~go]] = ids[~go], size[~go]
+            rows, ids, ranks, size, low, found = (x[go] for x in (rows, ids, ranks, size, low, found))
+        if not len(rows):
+            return done, sizes
+        # the part behind goes, what follows moves up
+        every = np.arange(len(rows))
+        behind = column[:-1] >= low[:, None]
+        np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=behind)
+        behind[every, np.minimum(low, width - 2)] = False
+        np.copyto(ids[:, :-1], ids[:, 1:].copy(), where=behind)
+        ids[every, low] = found
+        size -= 1
+        ranks[:, -1] = NONE
+        after = np.flatnonzero(low + 1 < size)
+        ranks[after, low[after]] = pairs.of(found[after], ids[after, low[after] + 1])
+        before = np.flatnonzero(low > 0)
+        ranks[before, low[before] - 1] = pairs.of(ids[before, low[before] - 1], found[before])
+
+
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: its bytes, merged by rank."""
     n = len(piece)
@@ -147,6 +217,12 @@ class ByteBpe:
         at[found.slots(keys)] = ids
         return found, at
 
+    @cached_property
+    def _pairs(self) -> tuple[PairRanks, np.ndarray] | None:
+        """Ranks of pairs and the ids of single bytes, if each byte has one."""
+        alone = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        return None if -1 in alone else (PairRanks(self.ranks), np.array(alone, np.int32))
+
     def _clear(self) -> None:
         """Nothing kept: no pre-token's ids, which stand in one row in ``store``."""
         self.at: dict[bytes, int] = {}
@@ -166,21 +242,36 @@ class ByteBpe:
             found[maybe[same]] = ids[maybe[same]]
         return found
 
+    def _added(self, pieces: list[bytes]) -> dict[bytes, int]:
+        """Where the ids of new pre-tokens now stand; short ones are kept."""
+        new: dict[bytes, int] = {}
+        by_width: list[list[bytes]] = [[] for _ in WIDTHS]
+        for piece in pieces:
+            if len(piece) <= KEPT_BYTES and self._pairs:
+                by_width[bisect_left(WIDTHS, len(piece))].append(piece)
+            else:
+                new[piece] = len(self.ends) - 1
+                self.store.extend(merged(piece, self.ranks))
+                self.ends.append(len(self.store))
+        for own in by_width:
+            if own:
+                ids, sizes = merged_together(own, *self._pairs)
+                new.update(zip(own, range(len(self.ends) - 1, len(self.ends) - 1 + len(own))))
+                self.ends.frombytes((len(self.store) + np.cumsum(sizes)).tobytes())
+                self.store.frombytes(ids[np.arange(ids.shape[1]) < sizes[:, None]].tobytes())
+        self.at.update((piece, place) for piece, place in new.items() if len(piece) <= KEPT_BYTES)
+        return new
+
     def tier_two(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens that are no tokens, one after the other, and how
         many each has."""
         if len(self.at) > KEPT or len(self.store) > KEPT * KEPT_BYTES:
             self._clear()
         places = list(map(self.at.get, pieces))
-        for k, piece in enumerate(pieces):
-            if places[k] is None:
-                places[k] = self.at.get(piece)  # it may have come by just now
-                if places[k] is None:
-                    places[k] = len(self.ends) - 1
-                    self.store.extend(merged(piece, self.ranks))
-                    self.ends.append(len(self.store))
-                    if len(piece) <= KEPT_BYTES:
-                        self.at[piece] = places[k]
+        missed = [k for k, place in enumerate(places) if place is None]
+        new = self._added(list(dict.fromkeys([pieces[k] for k in missed])))
+        for k in missed:
+            places[k] = new[pieces[k]]
         at = np.array(places, np.int64)
         ends = np.array(self.ends)
         sizes = ends[at + 1] - ends[at]

@@ -139,6 +139,23 @@ def test_tiers(library):
         assert byte_bpe.merged(word.encode(), bpe.ranks) == library._encode_single_piece(word.encode())
 
 
+def test_short_pretokens_are_merged_together(library, monkeypatch):
+    bpe = byte_bpe.ByteBpe(*OF)
+    r = np.random.default_rng(3)
+    words = [bytes(r.choice(np.frombuffer(of, np.uint8), r.integers(1, 65)).tolist())
+             for of in (b"etaoinshrdlu ", b"aab", "é日\xa0".encode(), bytes(range(256))) for _ in range(300)] + [bytes([b]) for b in range(256)]
+    want = [library._encode_single_piece(w) for w in words]
+    heap = []
+    monkeypatch.setattr(byte_bpe, "merged", lambda piece, ranks, f=byte_bpe.merged: heap.append(piece) or f(piece, ranks))
+    for _ in range(2):  # new, then kept
+        ids, sizes = bpe.tier_two(words + words[::-1])
+        assert sizes.tolist() == [len(w) for w in want + want[::-1]] and ids.tolist() == [x for w in want + want[::-1] for x in w]
+    assert not heap
+    long = b"ab" * byte_bpe.KEPT_BYTES
+    assert bpe.tier_two([long, b"zqxj", long])[0].tolist() == [x for w in (long, b"zqxj", long) for x in library._encode_single_piece(w)]
+    assert heap == [long]
+
+
 @settings(max_examples=150, deadline=None, derandomize=True)
 @given(st.lists(st.text(st.sampled_from("abcz '\n\t1é日.-") | st.characters(codec="utf-8"), max_size=60), max_size=6), st.integers(8, 200))
 def test_ids_equal_the_library(library, texts, block):
