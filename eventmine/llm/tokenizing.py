@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,12 @@ def load_tokenizer(path: str):
     return tok
 
 
-def _byte_signs() -> dict[int, int]:
+def _byte_signs() -> str:
     """The printable sign that byte-level vocabularies write for each byte:
     itself if it is printable in Latin-1, else the next one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in plain]
-    return {b: 0x100 + k for k, b in enumerate(rest)}
+    rest = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return "".join(chr(rest.get(b, b)) for b in range(256))
 
 
 class PieceTokenizer:
@@ -126,35 +127,61 @@ class PieceTokenizer:
         self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.n = self.used = 0
 
-    def _keep(self, ids: list[int]) -> int:
+    def _keep(self, ids: list[int], ends: list[int]) -> None:
+        """Keeps the ids of new pieces, those of a block at once. ``ends``:
+        where those of each piece end."""
+        ends = np.array(ends, np.int64)
+        sizes = np.diff(ends, prepend=0)
         if self.used + len(ids) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros(len(self.store) + len(ids), np.uint32)])
-        if self.n == len(self.begin):
+        while self.n + len(sizes) > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        self.begin[self.n:self.n + len(sizes)], self.size[self.n:self.n + len(sizes)] = self.used + ends - sizes, sizes
         self.store[self.used:self.used + len(ids)] = ids
-        self.begin[self.n], self.size[self.n] = self.used, len(ids)
         self.used += len(ids)
-        self.n += 1
-        return self.n - 1
-
-    def _encode(self, piece: str) -> list[int]:
-        space, word = (" ", piece[1:]) if piece[:1] == " " else ("", piece)
-        if not _WORD.fullmatch(word):
-            return self.tok.encode(piece, add_special_tokens=False).ids
-        # a plain word needs no more cutting: the vocabulary's merges at once
-        word = word.lower() if self.lower else word
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.signs)
-        return [t.id for t in self.model.tokenize((self.space if space else "") + word)]
-
-    def _place(self, piece: bytes) -> int:
-        """Where the ids of one piece are kept."""
-        place = self.at.get(piece)
-        if place is None:
-            place = self._keep(self._encode(piece.decode()))
+        self.n += len(sizes)
+
+    def _word(self, piece: bytes) -> str | None:
+        """What the vocabulary's merges get of a plain word, which needs no
+        more cutting; None for other pieces."""
+        space = piece[:1] == b" "
+        raw = piece[1:] if space else piece
+        if raw.isalpha():  # ASCII letters
+            word = (raw.lower() if self.lower else raw).decode()
+        else:
+            word = raw.decode()
+            if not _WORD.fullmatch(word):
+                return None
+            word = word.lower() if self.lower else word
+            word = charmap_decode(word.encode(), "strict", self.signs)[0]
+        return self.space + word if space else word
+
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the ids of the pieces are kept. Words that differ only by what
+        the vocabulary takes away (a space before them, capitals) share one."""
+        get, tokenize = self.at.get, self.model.tokenize
+        places = np.array([get(p, -1) for p in pieces], np.int64)
+        ids: list[int] = []
+        ends: list[int] = []
+        words: dict[str, int] = {}
+        for k in np.flatnonzero(places < 0).tolist():
+            piece = pieces[k]
+            word = self._word(piece)
+            place = None if word is None else words.get(word)
+            if place is None:
+                place = self.n + len(ends)
+                if word is None:
+                    ids += self.tok.encode(piece.decode(), add_special_tokens=False).ids
+                else:
+                    words[word] = place
+                    ids += [t.id for t in tokenize(word)]
+                ends.append(len(ids))
+            places[k] = place
             if len(piece) <= MAX_PIECE_BYTES:
                 self.at[piece] = place
-        return place
+        if ends:
+            self._keep(ids, ends)
+        return places
 
     def _block(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each piece that starts at ``starts``, its place among those
@@ -172,9 +199,10 @@ class PieceTokenizer:
         index = np.arange(len(data)) + np.repeat(np.where(fits, starts[like] - starts, 0), sizes)
         fits &= np.add.reduceat(data != data[index], starts, dtype=np.int64) == 0
         raw = data.tobytes()
-        places = np.array([self._place(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist())], np.int64)[codes]
-        for k in np.flatnonzero(~fits).tolist():  # other bytes of the same hash
-            places[k] = self._place(raw[starts[k]:ends[k]])
+        places = self._places([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])[codes]
+        odd = np.flatnonzero(~fits)  # other bytes of the same hash
+        if odd.size:
+            places[odd] = self._places([raw[s:e] for s, e in zip(starts[odd].tolist(), ends[odd].tolist())])
         return places
 
     def pieces(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

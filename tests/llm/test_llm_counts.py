@@ -1,6 +1,7 @@
 """Tokenizing, token counts and packing against the library."""
 
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -173,3 +174,24 @@ def test_bytes_that_are_not_utf8_are_replaced(spark):
     assert (r.n_bytes, r.n_tokens) == (8, len(want))
     piece = packing.encode_pieces(df, public_tokenizers.path("word_bpe_49k.json"), with_ids=True).collect()
     assert len(piece) == 1 and piece[0].length > 1
+
+
+def test_a_blocks_new_pieces_share_the_words_that_reach_the_library(monkeypatch):
+    tok, lib = tokenizing.PieceTokenizer(WORD), tokenizing.load_tokenizer(WORD)
+    met = []
+    model = tok.model
+    monkeypatch.setattr(tok, "model", SimpleNamespace(tokenize=lambda w: met.append(w) or model.tokenize(w)))
+    text = "été Été Straße straße lorem Lorem LOREM\nlorem ipsum\nipsum"
+    got = tokenizing.batched([text.encode()], tok, True)
+    assert got[0][1].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(met) == len(set(met)) == 4
+
+
+@pytest.mark.parametrize("name", ["WORD", "BYTE"])
+def test_every_byte_of_plain_words_has_the_librarys_ids(name):
+    path = globals()[name]
+    tok, lib = tokenizing.PieceTokenizer(path), tokenizing.load_tokenizer(path)
+    letters = [chr(c) for c in range(0x41, 0x100) if tokenizing._WORD.fullmatch(chr(c))]
+    texts = [f"{a}{b} {b}{a}x" for a in letters[::3] for b in letters[::5]]
+    got = tokenizing.batched([t.encode() for t in texts], tok, True)
+    assert [x.tolist() for _, x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
