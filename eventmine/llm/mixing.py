@@ -84,7 +84,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     marked = given.withColumn("_row", row_hash(given))
     taken = _taken(given, weights, max_epochs, seed, at, body, of, row_hash(given))
     taken = taken.groupBy("_id", "_row").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.count(F.lit(1)).alias("_rows"))
-    taken = cut_lineage(taken.where(F.col("_taken") > 0).withColumnRenamed("_row", "_is"))
+    taken = cut_lineage(taken.where(F.col("_taken") > 0).withColumnRenamed("_row", "_is"), given.count())
     whole, part = F.expr("_taken div _size").cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     words = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sizing import bounded_broadcast
 from .bwt import equal_groups
-from .common import bounded_batches, cut_lineage, hold_nothing, utf8, whole_groups
+from .common import bounded_batches, cut_lineage, files_of, hold_nothing, utf8, whole_groups
 from .hashes import Spans, mixed
 
 #: string starts that share a choice of anchor; a power of two
@@ -121,6 +121,11 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return _identified(docs.select(key, text), key, text).select("_id", "_h", utf8(text).alias("_text"))
 
 
+def _n_bytes(keyed: DataFrame) -> int:
+    """Bytes of all texts; what is made of them needs no more files than they."""
+    return keyed.agg(F.coalesce(F.sum(F.octet_length("_text").cast("bigint")), F.lit(0))).first()[0]
+
+
 def _segments(keyed: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_nothing()
@@ -328,10 +333,11 @@ def _only(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, chunk: int = CHUNK, most: int = MOST) -> DataFrame:
     """Repeats (``_id``, ``_h``, ``_segments``: list of starts << 8 | number of
     repeated string starts from there on) of the documents of :func:`_keyed`."""
-    return _repeats(_keyed(docs, key, text), length, chunk, most)
+    keyed = _keyed(docs, key, text)
+    return _repeats(keyed, _n_bytes(keyed), length, chunk, most)
 
 
-def _repeats(keyed: DataFrame, length: int, chunk: int, most: int) -> DataFrame:
+def _repeats(keyed: DataFrame, n_bytes: int, length: int, chunk: int, most: int) -> DataFrame:
     bounded_batches(keyed.sparkSession)
     schema = "_anchor bigint, _id bigint, _h bigint, _place bigint"
 
@@ -339,10 +345,12 @@ def _repeats(keyed: DataFrame, length: int, chunk: int, most: int) -> DataFrame:
         return segments.repartition(F.coalesce("_anchor", F.xxhash64("_id", "_place"))).sortWithinPartitions(
             "_anchor", "_kind", "_id", "_h", "_place").mapInArrow(_sorted_out, schema)
 
-    sorted_out = cut_lineage(settled(_segments(keyed, length)))
+    # about one segment for every other choice
+    sorted_out = cut_lineage(settled(_segments(keyed, length)), 2 * n_bytes // CHOICES)
+    n_left = sorted_out.count()
     several = sorted_out.where(F.col("_anchor").isNotNull())
     every = sorted_out.where(F.col("_anchor").isNull())
-    many = cut_lineage(several.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > most).select("_anchor"))
+    many = cut_lineage(several.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > most).select("_anchor"), n_left)
     if not many.isEmpty():
         many = bounded_broadcast(many, 1_000_000)
         every = every.unionAll(settled(_strings(keyed, several.join(many, "_anchor", "left_semi"), length)))
@@ -350,7 +358,7 @@ def _repeats(keyed: DataFrame, length: int, chunk: int, most: int) -> DataFrame:
     contexts = _contexts(keyed, several, length).repartition("_unit").sortWithinPartitions("_unit")
     expanded = contexts.mapInArrow(lambda batches: _expanded(batches, length, chunk), schema)
     every = every.unionAll(expanded).select("_id", "_h", "_place")
-    return cut_lineage(every.groupBy("_id", "_h").agg(F.collect_list("_place").alias("_segments")))
+    return cut_lineage(every.groupBy("_id", "_h").agg(F.collect_list("_place").alias("_segments")), n_left)
 
 
 def merged(segments: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +380,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
     """Per row: the key, ``n_bytes``, ``n_removed``, ``n_spans`` and
     ``kept_sha256`` (of the bytes that remain)."""
     keyed = _keyed(docs, key, text)
-    found = _repeats(keyed, length, chunk, most)
+    found = _repeats(keyed, _n_bytes(keyed), length, chunk, most)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,7 +404,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """The documents with the columns they had and without repeated passages;
     a character that a cut breaks goes with it. Documents of which nothing is
     left are dropped."""
-    found = _repeats(_keyed(docs, key, text), length, chunk, most)
+    keyed = _keyed(docs, key, text)
+    n_bytes = _n_bytes(keyed)
+    found = _repeats(keyed, n_bytes, length, chunk, most)
     names = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index(text)
     body = F.col(names[at])
@@ -408,7 +418,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                              .decode("utf-8", "ignore") for row in range(b.num_rows)], pa.string())
             yield pa.RecordBatch.from_arrays([left if k == at else b.column(k) for k in range(len(names))], names=names)
 
-    cut = _only(rows, found).join(found, ["_id", "_h"]).select(*names, "_segments").mapInArrow(work, rows.select(names).schema)
+    cut = _only(rows, found).join(found, ["_id", "_h"]).select(*names, "_segments").coalesce(files_of(n_bytes)).mapInArrow(work, rows.select(names).schema)
     numbers = bounded_broadcast(found.select("_id", "_h"), 1_000_000)
     whole = rows.join(numbers, ["_id", "_h"], "left_anti").select(names)
     return whole.unionAll(cut.where(F.length(body) > 0)).toDF(*docs.columns)

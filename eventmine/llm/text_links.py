@@ -58,6 +58,8 @@ MANTISSA = 10
 ROWS, BANDS, FIRST = 5, 40, 8
 #: classes of a component, and outsiders, compared in one task
 BLOCK = 1024
+#: a row with a class's registers
+_CLASS_BYTES = 64 + 2 * REGISTERS
 #: chance that registers of different minima agree: equal zeros (sum of 4**-k) and equal mantissas
 COLLISION = 1 / 3 / (1 << MANTISSA)
 
@@ -145,8 +147,9 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
     return given.mapInArrow(work, "_cls bigint, _set binary").dropDuplicates(["_cls"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) that are linked."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, margin: float, n_bytes: int) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) that are linked. ``n_bytes``: of all
+    sets and those of all pairs, about."""
     def of(c: str, table: DataFrame, *columns: str) -> DataFrame:
         return table.select(F.col("_cls").alias(c), *[F.col(x).alias(f"{x}{c}") for x in columns])
 
@@ -168,7 +171,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     fits = 100 * F.least("_na", "_nb") >= percent * F.greatest("_na", "_nb")
     pairs = pairs.where(fits).select("a", "b", "_regsa", "_regsb").mapInArrow(near, "a bigint, b bigint")
     pairs = pairs.join(of("a", sets, "_set"), "a").join(of("b", sets, "_set"), "b").select("a", "b", "_seta", "_setb")
-    return cut_lineage(pairs.mapInArrow(same, "a bigint, b bigint"))
+    return cut_lineage(pairs.mapInArrow(same, "a bigint, b bigint"), n_bytes, 1)
 
 
 def _contested(rooted: DataFrame) -> DataFrame:
@@ -180,14 +183,15 @@ def _contested(rooted: DataFrame) -> DataFrame:
     return rooted.join(zones.where("_roots > 1").drop("_roots"), "bucket").withColumn("_out", F.col("root") != F.col("_zone"))
 
 
-def _routed(contested: DataFrame, block: int) -> DataFrame:
+def _routed(contested: DataFrame, block: int, most: int | None = None) -> DataFrame:
     """Which classes meet in which tasks (``_zone``, ``_i``, ``_j``): a zone's
     own classes and its outsiders are cut into blocks; a block of own classes
     meets the blocks of outsiders that it shares a bucket with, and so do
     blocks of outsiders among themselves (``_i`` below zero). Own classes
-    never meet each other, so a class moves once per block of outsiders."""
+    never meet each other, so a class moves once per block of outsiders.
+    ``most``: number of rows or more, if known."""
     sizes = contested.groupBy("_zone", "_out").agg(F.ceil(F.approx_count_distinct("_cls") / block).cast("int").alias("_blocks"))
-    large = bounded_broadcast(cut_lineage(sizes.where("_blocks > 1")))  # a row stands for many classes
+    large = bounded_broadcast(cut_lineage(sizes.where("_blocks > 1"), most))  # a row stands for many classes
     cut = contested.join(large, ["_zone", "_out"], "left").withColumn(
         "_block", F.pmod(F.xxhash64("_cls"), F.coalesce("_blocks", F.lit(1))).cast("int"))
     met = cut.groupBy("_zone", "bucket").agg(F.collect_set(F.when(~F.col("_out"), F.col("_block"))).alias("_own"),
@@ -200,11 +204,11 @@ def _routed(contested: DataFrame, block: int) -> DataFrame:
     return routes.groupBy("_zone", "_i", "_j", "_cls", "root", "_out", "_block").agg(F.collect_list("bucket").alias("_buckets"))
 
 
-def _joining(rooted: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, margin: float) -> DataFrame:
+def _joining(rooted: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, margin: float, most: int | None = None) -> DataFrame:
     """Pairs (``a``, ``b``) that would join different components within a
     bucket, compared block by block."""
     lower = sets.mapInArrow(_lower_bits, "_cls bigint, _low binary")
-    rows = (_routed(_contested(rooted), BLOCK).join(lower, "_cls").join(candidates.select("_cls", "_regs", "_n"), "_cls").repartition("_zone", "_i", "_j")
+    rows = (_routed(_contested(rooted), BLOCK, most).join(lower, "_cls").join(candidates.select("_cls", "_regs", "_n"), "_cls").repartition("_zone", "_i", "_j")
             .sortWithinPartitions("_zone", "_i", "_j").select("_zone", "_i", "_j", "_block", "_out", "_buckets", "_cls", "root", "_regs", "_low", "_n"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,40 +288,46 @@ def _rooted(docs: DataFrame, key: str, text: str, percent: int = 75, margin: flo
     and classes (``_cls``, ``_low``, ``root``)."""
     bounded_batches(docs.sparkSession)
     rows = cut_lineage(_sketches(docs, key, text, row))
+    n_rows = rows.count()  # no table of classes has more, whatever number of files a shuffle would give it
     classes = cut_lineage(rows.where(F.col("_cls").isNotNull()).groupBy("_cls").agg(
-        F.min("_id").alias("_low"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs")))
+        F.min("_id").alias("_low"), F.first("_n").alias("_n"), F.first("_regs").alias("_regs")), n_rows, _CLASS_BYTES)
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(i, F.substring("_regs", i * (2 * ROWS) + 1, 2 * ROWS)).alias("bucket")))
     members = classes.select("_cls", F.inline(bands)).select("_cls", "bucket", (F.col("band") < FIRST).alias("_first"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = cut_lineage(members.join(shared, "bucket"))
+    members = cut_lineage(members.join(shared, "bucket"), BANDS * n_rows, 32)
+    n_members = members.count()
     wanted = members.select("_cls").distinct()
-    candidates = cut_lineage(classes.join(wanted, "_cls"))
-    sets = cut_lineage(_sets(docs, key, text, candidates))
+    candidates = cut_lineage(classes.join(wanted, "_cls"), n_rows, _CLASS_BYTES)
+    of_sets = candidates.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_n"), F.lit(0)).alias("hashes")).first()
+    set_bytes = 64 + 8 * of_sets["hashes"] // max(1, of_sets["n"])
+    sets = cut_lineage(_sets(docs, key, text, candidates), of_sets["n"], set_bytes)
 
     # one class of each bucket, by an order of the bucket's own
     own = members.where("_first")
     centres = own.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("_cls", "bucket"), "_cls")).alias("_m")).select("bucket", F.col("_m._cls").alias("_c"))
     pairs = own.join(centres, "bucket").where("_cls != _c").select(F.least("_cls", "_c").alias("a"), F.greatest("_cls", "_c").alias("b"))
-    found = _confirmed(pairs, candidates, sets, percent, margin)
+    n_found = own.count()
+    found = _confirmed(pairs, candidates, sets, percent, margin, (of_sets["n"] + 2 * n_found) * set_bytes)
 
     def with_roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        roots = components(found).select(F.col("node").alias("_cls"), "root")
-        return roots, cut_lineage(members.select("_cls", "bucket").join(roots, "_cls", "left").withColumn("root", F.coalesce("root", "_cls")))
+        roots = components(found, n_found).select(F.col("node").alias("_cls"), "root")
+        return roots, cut_lineage(members.select("_cls", "bucket").join(roots, "_cls", "left").withColumn("root", F.coalesce("root", "_cls")), n_members)
 
     while True:
         roots, rooted = with_roots(found)
-        named = cut_lineage(_joining(rooted, candidates, sets, percent, margin).distinct())
-        new = _confirmed(named, candidates, sets, percent, 1.0)
-        n_named, n_new = named.count(), new.count()
+        named = cut_lineage(_joining(rooted, candidates, sets, percent, margin, n_members).distinct())
+        n_named = named.count()
+        new = _confirmed(named, candidates, sets, percent, 1.0, (of_sets["n"] + 2 * n_named) * set_bytes)
+        n_new = new.count()
         if n_new:
-            found = found.unionAll(new)
+            found, n_found = found.unionAll(new), n_found + n_new
             roots, rooted = with_roots(found)
         # all pairs were compared but those that a named pair had joined already: final if all of these hold
         if n_named == n_new:
             break
 
-    return rows, cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")))
+    return rows, cut_lineage(classes.select("_cls", "_low").join(roots, "_cls", "left").select("_cls", "_low", F.coalesce("root", "_cls").alias("root")), n_rows)
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -336,7 +346,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     best = known.select("_cls", "root").join(best.groupBy("root").agg(F.min("_one").alias("_one")), "root").select("_cls", "_one")
     own = rows.select("_id", "_row", "_cls").join(best, "_cls").groupBy("_id", "_row").agg(
         F.count(F.lit(1)).alias("_rows"), F.first(F.col("_one") == one).alias("_best")).where("NOT _best OR _rows > 1")
-    own = cut_lineage(own.select(F.col("_id").alias("_key"), F.col("_row").alias("_is"), "_best"))
+    own = cut_lineage(own.select(F.col("_id").alias("_key"), F.col("_row").alias("_is"), "_best"), rows.count())
 
     def same(these: DataFrame):
         return marked["_row"].eqNullSafe(these["_is"]) & marked[at].eqNullSafe(these["_key"])

@@ -341,3 +341,32 @@ def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
     assert not written() - there
     assert sorted(kept.collect()) == sorted(sums.collect()) == sorted(sums.collect()) and sums.join(kept, "k").count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_small_tables_have_few_files_whatever_the_shuffle(spark, monkeypatch):
+    made = []
+    real = type(spark.range(1)).checkpoint
+
+    def checkpoint(df, *a, **k):
+        made.append(real(df, *a, **k))
+        return made[-1]
+
+    docs = spark.createDataFrame([(k, prose(k // 3, 60) + " x" * (k % 3), "en", "a", 1) for k in range(60)], DOCS).coalesce(1)
+    want = sorted(text_links.links(docs).collect())
+    kept = sorted(repeats.without_repeats(docs).collect())
+    monkeypatch.setattr(type(docs), "checkpoint", checkpoint)
+    was = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert sorted(text_links.links(docs).collect()) == want
+        # all but the pairs found block by block, whose number isn't known before
+        assert sum(d.rdd.getNumPartitions() > 1 for d in made) <= 2 and len(made) > 10
+        made.clear()
+        again = repeats.without_repeats(docs)
+        assert again.rdd.getNumPartitions() <= 2
+        assert sorted(again.collect()) == kept
+        assert [d.rdd.getNumPartitions() for d in made] == [1] * len(made) and made
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
